@@ -11,20 +11,22 @@ a text's encoding is the concatenation of those of its segments, which are cache
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from helixframe.llm.common import sliced, table, texts_of
+from helixframe.llm.common import released, sliced, small_batches, table, texts_of
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
 
@@ -32,7 +34,7 @@ LEAF = 16_384  # code points
 WINDOW = 256  # code points on each side of a cut, at first
 MARGIN = 64  # tokens that have to agree end or begin at least so far from the cut
 AGREE = 3  # tokens on each side
-CACHED = 300_000  # segments that an encoder keeps
+CACHED = 200_000  # segments that an encoder keeps
 
 _WORD = re.compile(r"[^ \t-\r]+")
 _SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -106,6 +108,27 @@ def tree_encode(tok: Tokenizer, text: str, leaf: int = LEAF, window: int = WINDO
     return join_all(tok, pieces, [encode_leaf(tok, p, i * leaf) for i, p in enumerate(pieces)], window, margin)[0]
 
 
+#: Fixed value: how byte-level BPE cuts a text before merges.
+_BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def rank_encoder(spec: str) -> Callable[[str], list[int]] | None:
+    """For a plain byte-level BPE whose ids follow its merges, the same encoding by ranks of byte strings, which is cheaper for
+    short segments; None for other tokenizers."""
+    j = json.loads(spec)
+    pre, model = j["pre_tokenizer"] or {}, j["model"]
+    if j["normalizer"] or pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["type"] != "BPE" or model["end_of_word_suffix"] or model["ignore_merges"]:
+        return None
+    vocabulary, special = model["vocab"], {t["content"] for t in j["added_tokens"]}
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != list(range(256, 256 + len(merged))):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    return tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class SegmentEncoder:
     """Encodes many texts by their segments; keeps the ids of at most `cached` of them.
 
@@ -115,6 +138,8 @@ class SegmentEncoder:
 
     def __init__(self, spec: str, drop_space: bool, cached: int = CACHED, leaf: int = LEAF):
         self.tok, self.drop_space, self.cached, self.leaf = load_tokenizer(spec), drop_space, cached, leaf
+        self.ranked = rank_encoder(spec)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.index: dict[str, int] = {}
         self.ids, self.start, self.used = np.empty(1 << 16, np.int32), [0], 0
 
@@ -124,10 +149,13 @@ class SegmentEncoder:
         return [text] if text and _OTHER_SPACE.search(text) else _SPACED.findall(text)
 
     def _add(self, segments: list[str]) -> None:
-        short = [s for s in segments if len(s) <= self.leaf]
+        plain, short, long = [], [], []
+        for s in segments:
+            own = long if len(s) > self.leaf else plain if self.ranked and not any(x in s for x in self.special) else short
+            own.append(s)
         found = [e.ids for e in self.tok.encode_batch_fast(short, add_special_tokens=False)]
-        long = [s for s in segments if len(s) > self.leaf]
-        for s, ids in zip(short + long, chain(found, (tree_encode(self.tok, s, self.leaf) for s in long)), strict=True):
+        rest = chain(map(self.ranked, plain) if plain else (), (tree_encode(self.tok, s, self.leaf) for s in long))
+        for s, ids in zip(short + plain + long, chain(found, rest), strict=True):
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(ids)), np.int32)])
             self.ids[self.used : self.used + len(ids)] = ids
@@ -193,6 +221,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, drop_space: bool, id_
     """
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver: of fixed size, sent to the tasks
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     long = F.coalesce(F.char_length("text"), F.lit(0)) > 2 * leaf
@@ -201,7 +230,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, drop_space: bool, id_
     def short_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = shared.value
         enc = encoder(spec, drop_space)
-        for batch in batches:
+        for batch in released(batches):
             for part in sliced(batch):
                 ids, bounds = enc.encode(texts_of(part))
                 listed = ids.tolist()
