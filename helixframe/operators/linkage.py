@@ -150,3 +150,17 @@ def fast_prune(scores: DataFrame, ld: DataFrame, threshold: float = 0.2) -> Data
     removed = links.join(kept.withColumnRenamed("j", "i"), ["chr", "i"], "left_semi").select("chr", F.col("j").alias("local_idx")).distinct()
     removed = removed.join(kept.select("chr", F.col("j").alias("local_idx")), ["chr", "local_idx"], "left_anti").withColumn("gone", F.lit(True))
     return scores.join(removed, ["chr", "local_idx"], "left").select("chr", "local_idx", F.when(F.col("gone").isNull(), F.col("score")).alias("score"))
+
+
+def prune_frequency(axis: DataFrame, ld: DataFrame, score: Column, n_iter: int, threshold: float = 0.2) -> DataFrame:
+    """(chr, local_idx, frequency): in which part of n_iter prunings a variant stays.
+
+    score: by axis columns and `iteration` (from 1). All prunings run in the same rounds, each as shards of its own.
+    """
+    many = F.explode(F.sequence(F.lit(1), F.lit(n_iter)))
+    own = F.concat_ws("/", "iteration", "chr")
+    scores = axis.withColumn("iteration", many).select(own.alias("chr"), "local_idx", score.alias("score"))
+    links = ld.withColumn("iteration", many).select(own.alias("chr"), "i", "j", "r")
+    kept = fast_prune(scores, links, threshold)
+    label = F.element_at(F.split("chr", "/"), 2)
+    return kept.groupBy(label.alias("chr"), "local_idx").agg((F.count("score") / n_iter).alias("frequency"))

@@ -13,7 +13,7 @@ from helixframe.functions.variants import allele_hash64, is_single_nucleotide, i
 from helixframe.genotype import map_subjects
 from helixframe.operators.align import swapped_counts, with_match_key
 from helixframe.operators.intervals import overlapping, paint, paint_groups, paint_values, union_intervals
-from helixframe.operators.linkage import allele_frequency, build_pairs, fast_prune, haploid_frequency, is_monomorphic, multiply_r2, symmetric, validation
+from helixframe.operators.linkage import allele_frequency, build_pairs, fast_prune, haploid_frequency, is_monomorphic, multiply_r2, prune_frequency, symmetric, validation
 from helixframe.plans import views
 from helixframe.plans.views import duck
 from helixframe.reference import ReferencePanel, shard_checksums, shard_offsets
@@ -489,3 +489,38 @@ def prune_and_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = present.join(axis.select("chr", "local_idx", "calls"), ["chr", "local_idx"])
     return found.select("chr", "local_idx", F.posexplode("calls").alias("at", "call")).select("chr", "local_idx", F.col("at").cast("long").alias("sample_idx"), "call")
 
+
+
+def _sql_iterations(sql: str, n_iter: int) -> str:
+    """The pruning of every iteration, each as shards of its own."""
+    copies = f"""
+its AS (SELECT unnest(range(1, {n_iter + 1})) AS it),
+axis2 AS (SELECT concat(it, '/', chr) AS chr, local_idx, k, it FROM axis CROSS JOIN its),
+ld2 AS (SELECT concat(it, '/', chr) AS chr, i, j, r FROM ld CROSS JOIN its),
+sc AS ("""
+    return sql.replace("\nsc AS (", copies, 1).replace("AS score FROM axis)", "AS score FROM axis2)").replace("FROM ld WHERE i <> j", "FROM ld2 WHERE i <> j")
+
+
+@query(
+    _sql_iterations(_sql_prune("((k * 104729 + it * 7919) % 10007)::DOUBLE"), 4)
+    + "SELECT split_part(chr, '/', 2) AS chr, local_idx, count(score) / 4.0::DOUBLE AS frequency FROM pruned GROUP BY split_part(chr, '/', 2), local_idx"
+)
+def random_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ld, axis = _ld(spark, sf_dir)
+    score = ((F.col("k") * 104729 + F.col("iteration") * 7919) % 10007).cast("double")
+    return prune_frequency(axis, stored(ld, "ld"), score, 4, 0.05)
+
+
+@query(
+    _PAIRS.rstrip()
+    + """,
+f AS (SELECT chr, local_idx, sum(g) / (2.0 * count(*)) AS f FROM calls WHERE g >= 0 GROUP BY chr, local_idx)
+SELECT f.chr, count(*) AS n, count(*) FILTER (f.f IS NULL) AS missing FROM axis a JOIN f ON a.chr = f.chr AND a.local_idx = f.local_idx GROUP BY f.chr"""
+)
+def frequency_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies of a built panel against those of its calls: as many as variants, none missing or different."""
+    axis = _calls(spark, sf_dir)
+    built = allele_frequency(axis).select("chr", "local_idx", F.col("a1freq").cast("float").alias("kept"))
+    again = axis.select("chr", "local_idx", F.explode("calls").alias("g")).filter("g >= 0").groupBy("chr", "local_idx").agg((F.sum("g") / (2 * F.count("g"))).alias("f"))
+    differs = F.col("kept").isNull() | (F.abs(F.col("kept") - F.col("f")) > 1e-5)
+    return built.join(again, ["chr", "local_idx"]).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("missing"))

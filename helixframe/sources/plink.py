@@ -106,6 +106,18 @@ def load_reference(spark: SparkSession, path: str, shards: list[str] | None = No
     return panel.select_shards(shards) if shards is not None else panel
 
 
+def read_hash_table(spark: SparkSession, path: str) -> DataFrame:
+    """A whitespace-delimited table with a header that starts with #, as strings; every row must have as many columns."""
+    lines = numbered_lines(spark, path)
+    head = lines.orderBy("row0").limit(1).collect()
+    if not head or not head[0]["value"].startswith("#"):
+        raise ValueError(f"{path}: expected a header that starts with #")
+    names = head[0]["value"][1:].split()
+    rows = fields(lines.filter("row0 > 0 AND trim(value) <> ''"), names)
+    check_rows(rows, [(f"expected {len(names)} columns", F.col("n_fields") != len(names))], path)
+    return rows.drop("path", "n_fields")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

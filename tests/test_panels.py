@@ -292,3 +292,67 @@ def test_npz_import(spark, tmp_path):
     np.savez(tmp_path / "s.npz", data=r[i, j], indices=i.astype(np.int32), indptr=np.searchsorted(j, range(4)).astype(np.int32), shape=np.array([3, 3]), a1freq=np.array([0.1, 0.2, 0.3], np.float32), metadata=meta)
     got = read_npz_shards(spark, str(tmp_path / "s.npz")).collect()
     assert {(x["i"], x["j"]): x["r"] for x in got} == {(int(a), int(b)): float(r[a, b]) for a, b in zip(i, j, strict=True)}
+
+
+def npz_shard(path, r, freq, chr_, sex, checksum):
+    import json
+
+    r = np.asarray(r, np.float32)
+    j, i = np.nonzero(r.T)
+    meta = {"chr": chr_, "sex": sex, "matrix": "symmetric", "diagonal": "explicit_unit", "value": "r", "object_type": "ld_shard", "num_snp": len(r), "nnz": len(i), "num_monomorphic_snps": 0}
+    meta |= {"reference_checksum": checksum, "reference_bim": f"{chr_}.bim"}
+    np.savez(path, data=r[i, j], indices=i.astype(np.int32), indptr=np.searchsorted(j, range(len(r) + 1)).astype(np.int32), shape=np.array(r.shape), a1freq=np.array(freq, np.float32), metadata=np.frombuffer(json.dumps(meta).encode(), np.uint8))
+    return meta
+
+
+def test_import_distribution(spark, panel, tmp_path):
+    import hashlib
+    import json
+
+    from helixframe.sources.ld_npz import check_agreement, check_metadata, import_distribution, is_plain_name, read_manifest
+
+    sums = {r["chr"]: r["checksum"] for r in panel.shards().collect()}
+    r1, rx = np.eye(5), np.eye(3)
+    r1[0, 1] = r1[1, 0] = 0.9
+    rx[1, 2] = rx[2, 1] = -0.35
+    entries = []
+    for chr_, sex, r in (("X", "female", rx), ("1", None, r1)):
+        name = f"{chr_}.npz"
+        meta = npz_shard(tmp_path / name, r, [0.25] * len(r), chr_, sex, sums[chr_])
+        check_metadata(meta, name)
+        entries.append({k: meta[k] for k in ("chr", "sex", "num_snp", "nnz", "reference_checksum", "reference_bim")} | {"file": name, "file_md5": hashlib.md5((tmp_path / name).read_bytes()).hexdigest()})
+        check_agreement(entries[-1], meta, name)
+    manifest = tmp_path / "ld_manifest.json"
+    manifest.write_text(json.dumps({"shards": entries}))
+    got = import_distribution(spark, str(tmp_path), panel)
+    validate_ld(got)
+    assert {(r["chr"], r["i"], r["j"]): round(r["r"], 2) for r in got.r.filter("i < j").collect()} == {("1", 0, 1): 0.9, ("X", 1, 2): -0.35}
+    assert [e["chr"] for e in read_manifest(spark, str(tmp_path))] == ["1", "X"]
+    for change in ({"file_md5": "0" * 32}, {"file": "../1.npz"}, {"num_snp": True}, {"chr": "Y"}, {"sex": "female"}, {"reference_bim": "a/b"}, {"reference_checksum": "x"}):
+        manifest.write_text(json.dumps({"shards": [entries[1] | change]}))
+        with pytest.raises(ValueError):
+            import_distribution(spark, str(tmp_path), panel)
+    assert [is_plain_name(n) for n in ("a.bim", "a/b", "..", "", "c:x", 5)] == [True, False, False, False, False, False]
+    with pytest.raises(ValueError):
+        check_metadata(meta | {"diagonal": "none"}, "t")
+
+
+def test_hash_table(spark, tmp_path):
+    from helixframe.sources.plink import read_hash_table
+
+    path = tmp_path / "t.afreq"
+    path.write_text("#CHROM ID\tALT_FREQS\n1 rs1 0.5\n1\trs2   0.25\n")
+    assert [(r["CHROM"], r["ID"], r["ALT_FREQS"]) for r in read_hash_table(spark, str(path)).orderBy("row0").collect()] == [("1", "rs1", "0.5"), ("1", "rs2", "0.25")]
+    path.write_text("#CHROM ID\n1 rs1 0.5\n")
+    with pytest.raises(ValueError):
+        read_hash_table(spark, str(path))
+
+
+def test_stream(spark, panel, tmp_path):
+    from helixframe.streaming.align import align_stream
+
+    schema = "chr string, bp long, a1 string, a2 string, p double, z double"
+    spark.createDataFrame([("1", 100, "A", "G", 0.01, 1.0), ("1", 100, "G", "A", 0.01, 1.0), ("X", 300, "A", "C", 0.0, 2.0)], schema).write.parquet(str(tmp_path / "in"))
+    q = align_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), panel).writeStream.format("memory").queryName("aligned").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["snp"], r["logp"], r["z"]) for r in spark.table("aligned").collect()} == {("rs1001", 2.0, 1.0), ("rsX003", math.inf, 2.0)}
