@@ -34,7 +34,7 @@ LEAF = 16_384  # code points
 WINDOW = 256  # code points on each side of a cut, at first
 MARGIN = 64  # tokens that have to agree end or begin at least so far from the cut
 AGREE = 3  # tokens on each side
-CACHED = 200_000  # segments that an encoder keeps
+CACHED = 120_000  # segments that an encoder keeps
 
 _WORD = re.compile(r"[^ \t-\r]+")
 _SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -130,7 +130,7 @@ def rank_encoder(spec: str) -> Callable[[str], list[int]] | None:
 
 
 class SegmentEncoder:
-    """Encodes many texts by their segments; keeps the ids of at most `cached` of them.
+    """Encodes many texts by their segments; keeps the ids of at most twice `cached` of them.
 
     drop_space: the tokenizer drops white space (segments are words); else a segment is a word with the
     white space before it.
@@ -166,7 +166,7 @@ class SegmentEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and where each text's ids start (one more than texts)."""
         parts = [self.segments(t) for t in texts]
-        kept, flat = len(self.start) - 1, list(chain.from_iterable(parts))
+        flat = list(chain.from_iterable(parts))
         new = list(dict.fromkeys(s for s in flat if s not in self.index))
         if new:
             self._add(new)
@@ -176,8 +176,8 @@ class SegmentEncoder:
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(start[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(p) for p in parts])]
-        if len(self.start) - 1 > max(kept, self.cached):  # what is over the bound was for this call only
-            kept = max(kept, self.cached)
+        if len(self.start) - 1 > 2 * self.cached:  # the first half stays
+            kept = self.cached
             self.index = {s: i for s, i in self.index.items() if i < kept}
             self.used = self.start[kept]
             del self.start[kept + 1 :]

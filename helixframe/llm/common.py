@@ -62,7 +62,14 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_K
     return docs.join(F.broadcast(ids) if _small(ids, limit) else ids, key, "left_anti")
 
 
-def sliced(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows with whole texts are large: fewer of them go to a Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def sliced(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have at most max_bytes (a longer text comes alone)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
@@ -75,6 +82,13 @@ def sliced(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20
         yield batch.slice(start)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow has freed goes back to the system between them, as workers share an executor's memory."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts as Python strings; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

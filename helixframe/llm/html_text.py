@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import sliced, stored, table, texts_of
+from helixframe.llm.common import released, sliced, small_batches, stored, table, texts_of
 
 #: The bounded sample of labelled pages: so many at most, those with the smallest hash of their id.
 MAX_LABELLED = 2_000
@@ -200,11 +200,12 @@ def extract_text(pages: DataFrame, weights: Weights) -> DataFrame:
     empty table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights)
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in released(batches):
             for part in sliced(batch, "html"):
                 texts = [main_text(p, own) if p else "" for p in texts_of(part, "html")]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -3,8 +3,8 @@
 Each text is sketched once: its distinct shingles (hashed to 64 bits), a digest of that set, the minima of K
 hash functions as band keys, and their low B bits packed. Equal sets are one node. In each band's bucket, all are
 first compared with a leader; what that leaves in different components is compared in full, in blocks of bounded
-size. Candidates have to pass the collision-corrected estimate from the packed bits, and what passes is confirmed
-on the full sets of the texts. Components come from large-star/small-star rounds over the links.
+size that give only links. Candidates have to pass the collision-corrected estimate from the packed bits, and what
+passes is confirmed on the full sets of the texts. Components come from large-star/small-star rounds over the links.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import drop_ids, forget, keep_ids, sliced, stored, table
+from helixframe.llm.common import drop_ids, forget, keep_ids, released, sliced, small_batches, stored, table
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
 B = 4  # low bits that are kept of each minimum
 SIGMAS = 5.0  # standard errors that an estimate may lie below the threshold
-BLOCK = 512  # members of a bucket that are compared with as many others at once
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000  # members of a bucket (and shingles of them) that are compared with as many others at once
+STEP = 64  # pairs that are confirmed at once, the likeliest first
 PERMUTATIONS = 4  # leaders differ between bands
 
 _R = np.random.default_rng(20240229)
@@ -130,8 +131,8 @@ def sketch(docs: DataFrame, words: int = 2) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, digest, bits, bands; without words the last three are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, max_bytes=2 << 20):
+        for batch in released(batches):
+            for part in sliced(batch):
                 sets, start = shingle_sets(*text_bytes(part.column("text")), words)
                 sizes = np.diff(start)
                 some = np.flatnonzero(sizes)
@@ -187,6 +188,42 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
+def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join the components of one block of a bucket; a pair that shares an earlier band is left to that.
+
+    Members of small components come first, and a member is held against others with the likeliest first, until
+    their components are one: what is emitted is at most a link for each component, though every pair of
+    components is either joined or compared in full.
+    """
+    pdf = pdf.drop_duplicates(["node", "text"])
+    sizes = pdf["component"].map(pdf["component"].value_counts())
+    pdf = pdf.assign(_size=sizes).sort_values(["_size", "component", "node"])
+    node, part, n, own, band = (pdf[c].to_numpy(np.int64).copy() for c in ("node", "component", "n", "own", "band"))
+    bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
+    bands = np.stack(pdf["bands"].to_list())
+    sets, at = shingle_sets(*text_bytes(pa.array(pdf["text"], pa.string())), words)
+    across, threshold, out = pdf["i"].iloc[0] != pdf["j"].iloc[0], percent / 100, []
+    least = least_estimate(threshold)
+    for x in range(len(pdf) - 1):
+        y = x + 1 + np.flatnonzero(part[x + 1 :] != part[x])
+        y = y[(np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x])) & ((own[y] != own[x]) | (not across))]
+        near = estimate(bits[y], bits[x]) if len(y) else np.empty(0)
+        y, near = y[near >= least], near[near >= least]
+        if len(y):
+            mine = (bands[y] == bands[x]).argmax(axis=1) == band[x]
+            y = y[mine][np.argsort(-near[mine], kind="stable")]
+        one = sets[at[x] : at[x + 1]]
+        while len(y):
+            now, y = y[:STEP], y[STEP:]
+            both = np.array([np.isin(sets[at[k] : at[k + 1]], one, assume_unique=True).sum() for k in now])
+            for k in now[100 * both >= percent * (len(one) + at[now + 1] - at[now] - both)]:
+                if part[k] != part[x]:
+                    out.append((min(node[x], node[k]), max(node[x], node[k])))
+                    part[part == part[k]] = part[x]
+            y = y[part[y] != part[x]]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: (a, b) longs, a <> b. Returns (node, component): the smallest node that can be reached.
 
@@ -219,45 +256,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     nothing and kept. Rows of one id are one document, linked by any of its texts. An empty table gives no
     rows. Only id_col (an integer) and text_col are read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     threshold = percent / 100
     sketched = stored(sketch(rows, words), "minhash-sketch")
     usable = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     sets = stored(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), "s.bits", "s.bands"), "minhash-sets")
-    nodes = sets.select("node", "n", "bits")
+    nodes = sets.select("node", "n", "bits", "bands")
     placed = sets.select("node", F.posexplode("bands").alias("band", "key"))
 
     rank = F.xxhash64("node", F.col("band") % PERMUTATIONS)
     leaders = placed.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("lead.node").alias("lead"), "m")
     led = placed.join(leaders, "key").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    tried = stored(_likely(led, nodes, threshold), "minhash-led")
-    links = stored(_confirmed(tried, rows, words, percent), "minhash-links")
+    likely = stored(_likely(led, nodes, threshold), "minhash-led")
+    links = stored(_confirmed(likely, rows, words, percent), "minhash-links")
     found = stored(connected_components(links), "minhash-components")
 
-    labelled = placed.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2").select("key", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    grid = members.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(nodes.withColumnRenamed("n", "size"), "node")
-    least = least_estimate(threshold)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["node", "bits"])
-        node, part, size, own = (pdf[c].to_numpy(np.int64) for c in ("node", "component", "size", "own"))
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
-        across, out = pdf["i"].iloc[0] != pdf["j"].iloc[0], []
-        for x in range(len(pdf) - 1):
-            y = x + 1 + np.flatnonzero((part[x + 1 :] != part[x]) & (np.minimum(size[x + 1 :], size[x]) >= threshold * np.maximum(size[x + 1 :], size[x])) & ((own[x + 1 :] != own[x]) | (not across)))
-            if len(y):
-                y = y[estimate(bits[y], bits[x]) >= least]
-                out.append(np.column_stack([np.minimum(node[y], node[x]), np.maximum(node[y], node[x])]))
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
-
-    rest = grid.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "minhash-rest")
+    labelled = placed.join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2").select("key")
+    members = stored(labelled.join(mixed, "key").join(nodes, "node"), "minhash-members")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    room = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).select("key", blocks.alias("blocks"))
+    placed = members.join(room, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ids = stored(members.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
+    texts = stored(keep_ids(rows, ids, "doc_id").select(F.col("doc_id").alias("node"), "text"), "minhash-texts")
+    grid = placed.select("key", "band", "node", "component", "n", "bits", "bands", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "node")
+    rest = stored(grid.groupBy("key", "i", "j").applyInPandas(lambda pdf: link_block(pdf, words, percent), "a long, b long").distinct(), "minhash-rest")
     if not rest.isEmpty():
-        links = stored(links.union(_confirmed(rest, rows, words, percent)).distinct(), "minhash-links")
-        found = stored(connected_components(links), "minhash-components")
+        found = stored(connected_components(links.union(rest)), "minhash-components")
 
     of_set = sets.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")

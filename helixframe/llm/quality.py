@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import sliced, stored, table
+from helixframe.llm.common import released, sliced, small_batches, stored, table
 from helixframe.llm.toxicity import labelled_sample
 
 WORDS = 64
@@ -156,9 +156,10 @@ class AttentionModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> AttentionModel:
-    """Passages of the bounded sample are measured by Spark and fitted on the driver: bound rows, MAX_PASSAGES each.
+    """Passages of the bounded sample are measured by many tasks and fitted by one, which gets at most `bound` documents.
 
-    A sampled document with more passages keeps them all: its measures are few numbers for each 64 words.
+    A sampled document keeps all its passages: each is a few numbers for 64 words. Without labelled rows the
+    score is 0.5 everywhere.
     """
     sample = stored(labelled_sample(docs, labels, "quality", 5, 0, bound), "quality-sample")
 
@@ -170,7 +171,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "passages"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    measured = sample.mapInArrow(measure, f"doc_id {kind}, label double, passages binary").groupBy(F.pmod(F.hash("doc_id"), F.lit(1)).alias("all"))
+    measured = sample.mapInArrow(measure, f"doc_id {kind}, label double, passages binary").groupBy()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:  # one task: of at most `bound` rows
         pdf = pdf.sort_values(["doc_id", "label"])
@@ -194,11 +195,12 @@ def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text"
     Null and empty texts are one empty passage. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in sliced(batch, text_col):
                 x, start = passages(*_column(part, text_col))
                 yield part.append_column(score_col, pa.array(shared.value.forward(x, start)["score"], pa.float64()))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import sliced, table
+from helixframe.llm.common import released, sliced, small_batches, table
 from helixframe.llm.minhash import text_bytes
 
 BLOCK = 512
@@ -293,12 +293,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts count as empty; repeated rows are scanned once each; an empty table gives no rows. Only id_col and
     text_col are read. Spans of one kind do not overlap; those of different kinds may.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scanner()
-        for batch in batches:
+        for batch in released(batches):
             for part in sliced(batch):
                 found = own.scan(*text_bytes(part.column("text")))
                 spans = [[{"kind": k, "start": s, "end": e} for k, s, e in found.get(i, ())] for i in range(len(part))]
@@ -318,11 +319,12 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with each secret replaced by a mark; size_col, if docs has it, follows the new length. Other rows stay as they are."""
+    small_batches(docs.sparkSession)
     schema: T.StructType = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scanner()
-        for batch in batches:
+        for batch in released(batches):
             for part in sliced(batch, text_col):
                 found = own.scan(*text_bytes(part.column(text_col)))
                 if found:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import sliced, stored, table, texts_of
+from helixframe.llm.common import released, sliced, small_batches, stored, table, texts_of
 from helixframe.llm.words import WordTable, beginnings, split_words
 
 BITS = 21
@@ -58,8 +58,11 @@ def features(text: str, words: WordTable) -> tuple[np.ndarray, np.ndarray]:
 def fit_ftrl(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights) other than zero, and the bias."""
     words = WordTable()
-    rows = [features(t or "", words) for t in texts]
-    met = np.bincount(np.concatenate([i for i, _ in rows] or [np.empty(0, np.int64)]), minlength=1 << BITS)
+    met, rows = np.zeros(1 << BITS, np.int32), []
+    for t in texts:
+        i, x = features(t or "", words)
+        met[i] += 1
+        rows.append((i.astype(np.int32), np.minimum(x, 255).astype(np.uint8)))
     rows = [(i[met[i] >= MET], x[met[i] >= MET]) for i, x in rows]
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     order = np.random.default_rng(7)
@@ -78,9 +81,8 @@ def fit_ftrl(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tupl
             g = (p - labels[r]) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA * w
             n[i] += g * g
-    w = weights(np.arange((1 << BITS) + 1))
-    some = np.flatnonzero(w[:-1])
-    return some, w[some], float(prior + w[-1])
+    some = np.flatnonzero(np.abs(z[:-1]) > L1)  # all others are zero
+    return some, weights(some), float(prior + weights(np.array([1 << BITS]))[0])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int = MAX_LABELLED) -> DataFrame:
@@ -149,12 +151,13 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
     Null and empty texts get the score of a document without features. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(shared.value)
-        for batch in batches:
+        for batch in released(batches):
             for part in sliced(batch, text_col):
                 yield part.append_column(score_col, pa.array(scorer.score(texts_of(part, text_col)), pa.float64()))
 

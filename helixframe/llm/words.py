@@ -10,11 +10,11 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-CACHED = 300_000
+CACHED = 100_000
 
 
 class WordTable:
-    """Codes of words; hashes[code], and values[code] of a function of (words, hashes). Keeps at most `cached` words between calls."""
+    """Codes of words; hashes[code], and values[code] of a function of (words, hashes). Keeps at most twice `cached` words between calls."""
 
     def __init__(self, value: Callable[[list[str], np.ndarray], np.ndarray] | None = None, cached: int = CACHED):
         self.value, self.cached = value, cached
@@ -23,7 +23,7 @@ class WordTable:
 
     def codes(self, words: list[str]) -> np.ndarray:
         """Codes that hold until the next call."""
-        if len(self.hashes) > self.cached:
+        if len(self.hashes) > 2 * self.cached:  # not at each call: it takes as long as the table is large
             self.index = {w: i for w, i in self.index.items() if i < self.cached}
             self.hashes, self.values = self.hashes[: self.cached], self.values[: self.cached]
         new = [w for w in dict.fromkeys(words) if w not in self.index]
