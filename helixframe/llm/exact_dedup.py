@@ -15,7 +15,12 @@ from helixframe.llm.common import drop_ids, fresh_path, keep_ids, stored, table
 
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: How state is kept: on disk; a batch adds a log of changes instead of whole tables, and logs take no disk before they are written.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKS,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -49,8 +54,9 @@ def stream_state(spark: SparkSession, located: DataFrame, micro_batches: int = 2
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             grouped.writeStream.outputMode("update").foreachBatch(append)
@@ -58,7 +64,8 @@ def stream_state(spark: SparkSession, located: DataFrame, micro_batches: int = 2
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     return (
         spark.read.parquet(out).groupBy("digest")
         .agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("last"))
