@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -112,7 +112,7 @@ def tree_encode(tok: Tokenizer, text: str, leaf: int = LEAF, window: int = WINDO
 _BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def rank_encoder(spec: str) -> Callable[[str], list[int]] | None:
+def rank_encoder(spec: str) -> tiktoken.Encoding | None:
     """For a plain byte-level BPE whose ids follow its merges, the same encoding by ranks of byte strings, which is cheaper for
     short segments; None for other tokenizers."""
     j = json.loads(spec)
@@ -126,7 +126,20 @@ def rank_encoder(spec: str) -> Callable[[str], list[int]] | None:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
-    return tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
+class _Codes(dict):
+    """Codes of segments; a segment that has none yet gets the next one and waits in `new`."""
+
+    def __init__(self, known: dict[str, int] | None = None):
+        super().__init__(known or {})
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        code = self[segment] = len(self)
+        self.new.append(segment)
+        return code
 
 
 class SegmentEncoder:
@@ -139,48 +152,68 @@ class SegmentEncoder:
     def __init__(self, spec: str, drop_space: bool, cached: int = CACHED, leaf: int = LEAF):
         self.tok, self.drop_space, self.cached, self.leaf = load_tokenizer(spec), drop_space, cached, leaf
         self.ranked = rank_encoder(spec)
+        if self.ranked:
+            self.token_bytes = np.array([len(self.ranked.decode_single_token_bytes(i)) for i in range(self.ranked.max_token_value + 1)], np.int64)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.index: dict[str, int] = {}
-        self.ids, self.start, self.used = np.empty(1 << 16, np.int32), [0], 0
+        self.index = _Codes()
+        self.ids, self.used = np.empty(1 << 16, np.int32), 0
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # by code: where its ids start, how many
 
     def segments(self, text: str) -> list[str]:
         if self.drop_space:
             return text.split() if text.isascii() and not _SEPARATORS.search(text) else _WORD.findall(text)
         return [text] if text and _OTHER_SPACE.search(text) else _SPACED.findall(text)
 
+    def _put(self, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(ids)), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[codes], self.size[codes] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
+    def _ranked_run(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with white space before them, as one text: no token reaches across. And how many each has."""
+        run = "".join(segments)
+        ids = self.ranked.encode_to_numpy(run, disallowed_special=())
+        sizes = list(map(len, segments)) if run.isascii() else [len(s.encode("utf-8")) for s in segments]
+        ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(sizes), "left") + 1
+        return ids.astype(np.int32), np.diff(ends, prepend=0)
+
     def _add(self, segments: list[str]) -> None:
-        plain, short, long = [], [], []
-        for s in segments:
-            own = long if len(s) > self.leaf else plain if self.ranked and not any(x in s for x in self.special) else short
-            own.append(s)
-        found = [e.ids for e in self.tok.encode_batch_fast(short, add_special_tokens=False)]
-        rest = chain(map(self.ranked, plain) if plain else (), (tree_encode(self.tok, s, self.leaf) for s in long))
-        for s, ids in zip(short + plain + long, chain(found, rest), strict=True):
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), len(ids)), np.int32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.index[s] = len(self.start) - 1
-            self.used += len(ids)
-            self.start.append(self.used)
+        first = len(self.at)
+        self.at, self.size = (np.concatenate([x, np.zeros(len(segments), np.int64)]) for x in (self.at, self.size))
+        run: list[int] = []
+        if self.ranked:
+            white = frozenset(" \t\n\x0b\x0c\r")
+            run = [i for i, s in enumerate(segments) if s[0] in white and s[-1] not in white and len(s) <= self.leaf]
+            whole = "".join(segments)
+            if _OTHER_SPACE.search(whole) or any(x in whole for x in self.special):
+                run = [i for i in run if not _OTHER_SPACE.search(segments[i]) and not any(x in segments[i] for x in self.special)]
+            if run:
+                self._put(np.array(run) + first, *self._ranked_run([segments[i] for i in run]))
+        rest = sorted(set(range(len(segments))).difference(run)) if run else range(len(segments))
+        short, long = [i for i in rest if len(segments[i]) <= self.leaf], [i for i in rest if len(segments[i]) > self.leaf]
+        found = [e.ids for e in self.tok.encode_batch_fast([segments[i] for i in short], add_special_tokens=False)] + [tree_encode(self.tok, segments[i], self.leaf) for i in long]
+        if found:
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._put(np.array(short + long) + first, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and where each text's ids start (one more than texts)."""
         parts = [self.segments(t) for t in texts]
-        flat = list(chain.from_iterable(parts))
-        new = list(dict.fromkeys(s for s in flat if s not in self.index))
-        if new:
-            self._add(new)
-        codes = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        start = np.array(self.start, np.int64)
-        sizes = (start[1:] - start[:-1])[codes]
+        n = sum(map(len, parts))
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, n)
+        if self.index.new:
+            self._add(self.index.new)
+            self.index.new = []
+        sizes = self.size[codes]
         ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(start[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.ids[np.repeat(self.at[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if n else 0)]
         bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(p) for p in parts])]
-        if len(self.start) - 1 > 2 * self.cached:  # the first half stays
-            kept = self.cached
-            self.index = {s: i for s, i in self.index.items() if i < kept}
-            self.used = self.start[kept]
-            del self.start[kept + 1 :]
+        if len(self.index) > 2 * self.cached:  # the first half stays
+            self.index = _Codes({s: i for s, i in self.index.items() if i < self.cached})
+            self.at, self.size = self.at[: self.cached], self.size[: self.cached]
+            self.used = int((self.at + self.size).max(initial=0))
             self.ids = self.ids[: self.used].copy()
         return ids, bounds
 
