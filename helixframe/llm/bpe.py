@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from helixframe.llm.common import released, sliced, small_batches, table, texts_of
+from helixframe.llm.common import only, own_cache, released, sliced, small_batches, table, texts_of
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
 
@@ -218,18 +218,19 @@ class SegmentEncoder:
         return ids, bounds
 
 
-_ENCODERS: dict[tuple[int, bool], SegmentEncoder] = {}
+_ENCODERS: dict[tuple[int, bool], SegmentEncoder] = own_cache("encoders", {})
 
 
 def encoder(spec: str, drop_space: bool) -> SegmentEncoder:
     """The worker's own encoder: its cache serves all tasks of the worker."""
+    only("encoders", "vocabulary")
     key = (hash(spec), drop_space)
     if key not in _ENCODERS:
         _ENCODERS[key] = SegmentEncoder(spec, drop_space)
     return _ENCODERS[key]
 
 
-_VOCABULARY: dict[int, tuple[Tokenizer, list[str] | None]] = {}
+_VOCABULARY: dict[int, tuple[Tokenizer, list[str] | None]] = own_cache("vocabulary", {})
 
 
 def decode(spec: str, ids: list[int]) -> str:

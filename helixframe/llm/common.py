@@ -89,6 +89,22 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
+_CACHES: dict[str, list | dict] = {}
+
+
+def own_cache(owner: str, cache: list | dict) -> list | dict:
+    """A cache that tasks of one worker share; `only` clears it when the worker turns to another operator."""
+    _CACHES[owner] = cache
+    return cache
+
+
+def only(*owners: str) -> None:
+    """A worker keeps the caches of these owners and lets go of others, as workers share an executor's memory."""
+    for owner, cache in _CACHES.items():
+        if owner not in owners:
+            cache.clear()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts as Python strings; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

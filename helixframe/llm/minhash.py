@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import drop_ids, forget, keep_ids, released, sliced, small_batches, stored, table
+from helixframe.llm.common import drop_ids, forget, keep_ids, only, released, sliced, small_batches, stored, table
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
 B = 4  # low bits that are kept of each minimum
 SIGMAS = 5.0  # standard errors that an estimate may lie below the threshold
 BLOCK, BLOCK_SHINGLES = 4096, 2_000_000  # members of a bucket (and shingles of them) that are compared with as many others at once
+SLICE = 1 << 20  # bytes of text that are cut into shingles at once
 STEP = 64  # pairs that are confirmed at once, the likeliest first
 PERMUTATIONS = 4  # leaders differ between bands
 
@@ -131,8 +132,9 @@ def sketch(docs: DataFrame, words: int = 2) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, digest, bits, bands; without words the last three are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in released(batches):
-            for part in sliced(batch):
+            for part in sliced(batch, max_bytes=SLICE):
                 sets, start = shingle_sets(*text_bytes(part.column("text")), words)
                 sizes = np.diff(start)
                 some = np.flatnonzero(sizes)
@@ -173,8 +175,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, "text_a", 1 << 20):
+        only()
+        for batch in released(batches):
+            for part in sliced(batch, "text_a", SLICE):
                 a, a_at = shingle_sets(*text_bytes(part.column("text_a")), words)
                 b, b_at = shingle_sets(*text_bytes(part.column("text_b")), words)
                 keep = []
@@ -188,6 +191,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _sets_by_slices(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_sets of all texts, in slices: what a slice takes for its work is many times its bytes."""
+    found = [shingle_sets(*text_bytes(part.column("text")), words) for part in sliced(pa.record_batch({"text": pa.array(texts, pa.string())}), max_bytes=SLICE)]
+    return np.concatenate([s for s, _ in found]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in found]))])
+
+
 def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     """Links (a, b) that join the components of one block of a bucket; a pair that shares an earlier band is left to that.
 
@@ -195,13 +204,14 @@ def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     their components are one: what is emitted is at most a link for each component, though every pair of
     components is either joined or compared in full.
     """
+    only()
     pdf = pdf.drop_duplicates(["node", "text"])
     sizes = pdf["component"].map(pdf["component"].value_counts())
     pdf = pdf.assign(_size=sizes).sort_values(["_size", "component", "node"])
     node, part, n, own, band = (pdf[c].to_numpy(np.int64).copy() for c in ("node", "component", "n", "own", "band"))
     bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
     bands = np.stack(pdf["bands"].to_list())
-    sets, at = shingle_sets(*text_bytes(pa.array(pdf["text"], pa.string())), words)
+    sets, at = _sets_by_slices(pdf["text"], words)
     across, threshold, out = pdf["i"].iloc[0] != pdf["j"].iloc[0], percent / 100, []
     least = least_estimate(threshold)
     for x in range(len(pdf) - 1):

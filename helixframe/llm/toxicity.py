@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import released, sliced, small_batches, stored, table, texts_of
+from helixframe.llm.common import only, own_cache, released, sliced, small_batches, stored, table, texts_of
 from helixframe.llm.words import WordTable, beginnings, split_words
 
 BITS = 21
@@ -135,11 +135,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-_LAST: list = []
+_LAST: list = own_cache("toxicity", [])
 
 
 def scorer_of(model: tuple[np.ndarray, np.ndarray, float]) -> Scorer:
     """The worker's scorer: tasks that got the same broadcast share it and its cache."""
+    only("toxicity")
     if not _LAST or _LAST[0] is not model:
         _LAST[:] = [model, Scorer(model)]
     return _LAST[1]
