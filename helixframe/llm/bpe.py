@@ -34,7 +34,7 @@ LEAF = 16_384  # code points
 WINDOW = 256  # code points on each side of a cut, at first
 MARGIN = 64  # tokens that have to agree end or begin at least so far from the cut
 AGREE = 3  # tokens on each side
-CACHED = 120_000  # segments that an encoder keeps
+CACHED = 60_000  # segments that an encoder keeps
 
 _WORD = re.compile(r"[^ \t-\r]+")
 _SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")

@@ -16,10 +16,14 @@ from helixframe.llm.common import drop_ids, fresh_path, keep_ids, stored, table
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How state is kept: on disk; a batch adds a log of changes instead of whole tables, and logs take no disk before they are written.
+#: All stores of an executor share a bounded memory, and those of a query that has ended are soon closed.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKS,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
 
