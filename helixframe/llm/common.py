@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def sliced(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have at most max_bytes (a longer text comes alone)."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for row, size in enumerate(sizes):
         if total + size > max_bytes and row > start:

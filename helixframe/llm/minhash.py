@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and where each starts (one more than texts); null counts as empty."""
-    texts = pa.compute.fill_null(column, "").cast(pa.large_binary())
+    texts = pc.fill_null(column, "").cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
