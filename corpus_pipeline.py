@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Models, similarity and tokenization are no SQL; tests/llm/test_pipeline.py holds the rows against brute force.
+#: Models, similarity and tokenization are no SQL; tests/llm holds each stage's operator against brute force.
 ORACLE_SQL = None
 
 
