@@ -12,6 +12,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,18 @@ CONTAINERS = frozenset("nav header footer aside form section article main div ta
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 NOT_CONTENT = frozenset("nav footer aside form dialog menu button select fieldset".split())
 CONTENT = frozenset("article main".split())
+#: A class name of parts is one of these if such a part is its noun: what follows it is in AFTER, and none in AROUND precedes it ("site-footer",
+#: "comment-list", but not "comments-open", "no-sidebar", "category-social").
 _NOT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|menus?|nav\w*|breadcrumbs?"
-    r"|footer|masthead|shar(?:e|ing)|social|related|recommend\w*|comments?|comment\w*|repl(?:y|ies)|respond|disqus|login|signup|search|widgets?|toolbar|pag(?:ination|er)|complementary|contentinfo|navigation)(?=$|[\s_-])",
+    r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|menus?|nav\w*|breadcrumbs?"
+    r"|footer|masthead|shar(?:e|ing)|social|related|recommend\w*|comments?|comment\w*|repl(?:y|ies)|respond|disqus|login|signup|search|widgets?|toolbar|pag(?:ination|er)|complementary|contentinfo|navigation)",
     re.I,
 )
+AFTER = frozenset(
+    "area bar bars block body bottom box button buttons column container content footer form group header holder icons inner item items left link links list panel"
+    " pane posts post primary right secondary section slot stories text title top unit wrap wrapper zone".split()
+)
+AROUND = frozenset("with without no not non has have hide show is cat category tag topic type format after before single".split())
 _YES = re.compile(r"(?:^|[\s_-])(?:content|main|post|entry|story|article\w*|body|text|hentry)(?=$|[\s_-])", re.I)
 WHITE = re.compile(r"\s+")
 
@@ -87,9 +95,17 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
+@lru_cache(1 << 16)
+def is_not_name(name: str) -> bool:
+    parts = re.split(r"[_-]+", name.strip("_-"))
+    nouns = [i for i, p in enumerate(parts) if _NOT.fullmatch(p)]
+    return bool(nouns) and all(p in AFTER or p[:1].isdigit() for p in parts[nouns[-1] + 1 :]) and AROUND.isdisjoint(parts[: nouns[-1]])
+
+
+@lru_cache(1 << 16)
 def prior(key: str) -> float:
     tag, _, names = key.partition(" ")
-    if tag in NOT_CONTENT or "hidden" in names.split() or (names and _NOT.search(names)):
+    if tag in NOT_CONTENT or "hidden" in names.split() or any(map(is_not_name, names.split())):
         return -LIMIT
     if tag in CONTENT or (names and _YES.search(names)):
         return LIMIT / 2
@@ -100,30 +116,70 @@ def is_not_content(key: str) -> bool:
     return prior(key) == -LIMIT
 
 
+def tag_of(key: str) -> str:
+    return key.partition(" ")[0]
+
+
+def content_root(inside: tuple[str, ...]) -> int | None:
+    """Place of the article or main element that the words belong to; None without one.
+
+    An article in a main element counts, but not one in a part of it that is no content: that is a comment or a teaser.
+    """
+    root = None
+    for i, k in enumerate(inside):
+        if tag_of(k) in CONTENT:
+            if root is not None and (tag_of(inside[root]) == "article" or any(map(is_not_content, inside[root + 1 : i]))):
+                break
+            root = i
+    return root
+
+
+def page_forms(own: list[Token]) -> set[str]:
+    """Forms round a page: they hold articles, or menus or the headline, as nothing but fields does."""
+    return {k for t in own if t.tag in CONTENT or t.tag in ("nav", "h1") for k in t.inside if tag_of(k) == "form" and (t.tag in CONTENT or content_root(t.inside) is None)}
+
+
+def is_wrapped(inside: tuple[str, ...]) -> bool:
+    """Whether the article or main element is hidden, or stands in a part that is no content."""
+    root = content_root(inside)
+    return root is not None and ("hidden" in inside[root].split()[1:] or any(map(is_not_content, inside[:root])))
+
+
+def judged(inside: tuple[str, ...], apart: bool) -> tuple[str, ...]:
+    """Containers that say whether the words are content: those in the article or main element, and where the page has another that stands free (apart), those round it."""
+    root = content_root(inside)
+    if root is None or (apart and is_wrapped(inside)):
+        return inside
+    return inside[root + 1 :]
+
+
 class Weights:
     def __init__(self, counts: dict[tuple[str, str], tuple[int, int]]):
         """counts: for (what, name), with what `word` or `tag`: how often inside and outside of labelled content."""
         self.words = {k: (np.log((i + 1) / (o + 1)), i + o) for (what, k), (i, o) in counts.items() if what == "word"}
         self.tags = {k: float(np.clip(np.log((i + 1) / (o + 1)) / 4, -1.0, -0.05)) for (what, k), (i, o) in counts.items() if what == "tag"}
-        self.known: dict[tuple[str, ...], float] = {}
+        self.known: dict[tuple[tuple[str, ...], bool], float] = {}
 
     def container(self, key: str) -> float:
         """A prior for the name, moved by what labelled pages show; names that are never content stay so."""
         base = prior(key)
+        if tag_of(key) in CONTENT:
+            base = max(base, LIMIT / 2)  # whatever it is called
         if base == -LIMIT or key not in self.words:
             return base
         learned, n = self.words[key]
         return float(np.clip((base * PRIOR_WORDS + learned * n) / (PRIOR_WORDS + n), -LIMIT, LIMIT))
 
-    def word(self, inside: tuple[str, ...]) -> float:
-        if inside not in self.known:
-            own = [self.container(k) for k in inside]
-            labelled = [i for i, k in enumerate(inside) if k.split()[0] in CONTENT]
-            own = own[labelled[0] :] if labelled else own  # around an article anything may stand
-            if labelled and not any(is_not_content(k) for k in inside[labelled[0] :]):
-                own = [max(own[0], 1.0)]
-            self.known[inside] = min(own) if own else 0.5
-        return self.known[inside]
+    def word(self, inside: tuple[str, ...], apart: bool = False) -> float:
+        """apart: the page has an article or main element that stands free, so that others in menus and the like are none."""
+        if (inside, apart) not in self.known:
+            root, parts = content_root(inside), judged(inside, apart)
+            if root is None or any(map(is_not_content, parts)):
+                own = [self.container(k) for k in parts]
+            else:
+                own = [max(self.container(inside[root]), 1.0)]  # around an article anything may stand
+            self.known[inside, apart] = min(own) if own else 0.5
+        return self.known[inside, apart]
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.1)
@@ -143,10 +199,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     own = tokens(page)
-    start, end = best_region([weights.tag(t.tag) if t.tag else t.words * weights.word(t.inside) for t in own])
+    forms = page_forms(own)
+    if forms:
+        for t in own:
+            t.inside = tuple(k for k in t.inside if k not in forms)
+    apart = any(t.tag in CONTENT and not is_wrapped(t.inside) for t in own)
+    start, end = best_region([weights.tag(t.tag) if t.tag else t.words * weights.word(t.inside, apart) for t in own])
     blocks: dict[int, list[str]] = {}
     for t in own[start:end]:
-        if t.text and not any(is_not_content(k) for k in t.inside):
+        if t.text and not any(map(is_not_content, judged(t.inside, apart))):
             blocks.setdefault(t.block, []).append(t.text)
     texts = (WHITE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)

@@ -157,3 +157,28 @@ def test_best_region():
 def test_all_queries_on_empty_tables(spark, tables):
     for name, query in QUERIES.items():
         assert query(spark, tables).count() == 0, name
+
+
+BODY = "word " * 30
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ('<div class="layout with-sidebar"><article>', "</article></div>"), ('<div class="no-sidebar"><article>', "</article></div>"), ('<form id="aspnetForm"><article>', "</article></form>"),
+        ('<article class="post comments-open">', "</article>"), ('<article class="hentry category-social">', "</article>"), ('<article class="story-related-none">', "</article>"),
+        ('<article class="sponsored">', "</article>"), ('<div class="sidebar"><main>', "</main></div>"), ('<main><form><article>', "</article></form></main>"), ('<form><nav>Home</nav><h1>A</h1><div>', "</div></form>"),
+    ],
+)
+def test_wrappers_and_names_of_articles(start, end):
+    found = main_text(f"<html><body>{start}<p>{BODY}</p>{end}</body></html>", Weights({}))
+    assert found.removeprefix("A\n\n") == BODY.strip()
+
+
+def test_articles_that_are_comments_or_teasers():
+    teaser, comment = "<article><p>Another story of some words</p></article>", '<section class="comments"><article class="comment"><p>Nice one</p></article></section>'
+    for page in (
+        f"<article><p>{BODY}</p>{comment}</article><aside>{teaser}</aside>", f"<main><p>{BODY}</p><aside>{teaser}</aside></main>", f'<article><p>{BODY}</p></article><div class="related-posts">{teaser}</div>',
+        f"<form><article><p>{BODY}</p></article><aside>{teaser}</aside></form>", f"<main><p>{BODY}</p><div class='comment-list'>x y</div><div class='site-footer'>z</div></main>",
+    ):
+        assert main_text(f"<html><body>{page}</body></html>", Weights({})) == BODY.strip()
