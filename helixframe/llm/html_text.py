@@ -51,6 +51,8 @@ AFTER = frozenset(
 AROUND = frozenset("with without no not non has have hide show is cat category tag topic type format after before single".split())
 _YES = re.compile(r"(?:^|[\s_-])(?:content|main|post|entry|story|article\w*|body|text|hentry)(?=$|[\s_-])", re.I)
 WHITE = re.compile(r"\s+")
+DIGITS = re.compile(r"\d+")
+ID = " #"  # what follows it in a container's key are names that may be its own
 
 
 class Token:
@@ -65,9 +67,9 @@ class Token:
 
 def container_key(tag: str, attributes: str) -> str:
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-    names = " ".join(found[a] for a in ("class", "id", "role", "itemprop") if a in found).lower()
+    names = [" ".join(found[a] for a in own if a in found).lower().replace("#", " ") for own in (("class", "role", "itemprop"), ("id",))]
     hidden = " hidden" if "hidden" in found or found.get("aria-hidden") == "true" else ""
-    return f"{tag} {names}{hidden}".strip()
+    return " ".join(f"{tag} {names[0]}{hidden}".split()) + (f"{ID} {names[1]}" if names[1] else "")
 
 
 def tokens(page: str) -> list[Token]:
@@ -153,6 +155,29 @@ def judged(inside: tuple[str, ...], apart: bool) -> tuple[str, ...]:
     return inside[root + 1 :]
 
 
+@lru_cache(1 << 16)
+def learned_keys(key: str) -> tuple[str, ...]:
+    """What a container's weight is learned by, the first that is known: its id without numbers where that says more than its class, then its class
+    without numbers. The names of an article or main element change nothing.
+    """
+    if tag_of(key) in CONTENT:
+        return (tag_of(key),)
+    classes, _, own = key.partition(ID)
+    keys = [key] if own and (" " not in classes or prior(key) != prior(classes)) else []
+    keys += [classes] if " " in classes or not own else []
+    return tuple(DIGITS.sub("#", k) for k in keys)
+
+
+def in_content(inside: tuple[str, ...]) -> bool:
+    """Whether words in a part that is no content stand in an article, a main element or a container that is named like one."""
+    for k in inside:
+        if tag_of(k) not in CONTENT and is_not_content(k):
+            return False
+        if prior(k) == LIMIT / 2 or tag_of(k) in CONTENT:
+            return True
+    return False
+
+
 class Weights:
     def __init__(self, counts: dict[tuple[str, str], tuple[int, int]]):
         """counts: for (what, name), with what `word` or `tag`: how often inside and outside of labelled content."""
@@ -165,16 +190,21 @@ class Weights:
         base = prior(key)
         if tag_of(key) in CONTENT:
             base = max(base, LIMIT / 2)  # whatever it is called
-        if base == -LIMIT or key not in self.words:
+        known = [k for k in learned_keys(key) if k in self.words]
+        if base == -LIMIT or not known:
             return base
-        learned, n = self.words[key]
+        learned, n = self.words[known[0]]
         return float(np.clip((base * PRIOR_WORDS + learned * n) / (PRIOR_WORDS + n), -LIMIT, LIMIT))
 
     def word(self, inside: tuple[str, ...], apart: bool = False) -> float:
         """apart: the page has an article or main element that stands free, so that others in menus and the like are none."""
         if (inside, apart) not in self.known:
             root, parts = content_root(inside), judged(inside, apart)
-            if root is None or any(map(is_not_content, parts)):
+            if root is not None and len(parts) < len(inside) and any(map(is_not_content, parts)):
+                own = [0.0]  # main_text takes them out in any case, and they part nothing
+            elif root is None and any(map(is_not_content, parts)) and in_content(parts):
+                own = [0.0]
+            elif root is None or any(map(is_not_content, parts)):
                 own = [self.container(k) for k in parts]
             else:
                 own = [max(self.container(inside[root]), 1.0)]  # around an article anything may stand
@@ -227,7 +257,7 @@ def label_counts(page: str) -> Counter | None:
         if t.tag:
             found["tag", t.tag, within] += 1
         else:
-            for k in set(t.inside):
+            for k in {own for k in t.inside for own in learned_keys(k)}:
                 found["word", k, within] += t.words
     return found
 

@@ -6,7 +6,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from helixframe.llm.html_text import Weights, best_region, extract_text, fit_weights, main_text
+from helixframe.llm.html_text import Weights, best_region, container_key, extract_text, fit_weights, label_counts, main_text
 from helixframe.llm.langid import Classifier, Model, fit_languages, identify, op6_langid
 from helixframe.llm.quality import AttentionModel, fit_quality, op10_quality, score_quality
 from helixframe.llm.registry import QUERIES
@@ -182,3 +182,21 @@ def test_articles_that_are_comments_or_teasers():
         f"<form><article><p>{BODY}</p></article><aside>{teaser}</aside></form>", f"<main><p>{BODY}</p><div class='comment-list'>x y</div><div class='site-footer'>z</div></main>",
     ):
         assert main_text(f"<html><body>{page}</body></html>", Weights({})) == BODY.strip()
+
+
+@pytest.mark.parametrize("start, end", [('<article id="post-17">', "</article>"), ('<div class="post-content">', "</div>"), ('<main><div id="x">', "</div></main>")])
+@pytest.mark.parametrize("block", ['<div class="share">Send this to all your friends</div>', '<aside class="ad">Buy one and get another for free today</aside>', '<nav>Up and down and left and right</nav>'])
+def test_headline_and_end_round_bars(start, end, block):
+    head, last = "Eight words that stand over an article here", "Two words"
+    page = f"<html><body>{start}<h1>{head}</h1>{block}<p>{BODY}</p>{block}<p>{last}</p>{end}</body></html>"
+    assert main_text(page, Weights({})) == f"{head}\n\n{BODY.strip()}\n\n{last}"
+
+
+def test_weights_learned_for_ids_that_were_not_sampled():
+    w = Weights({})
+    for i in range(40):
+        for (what, name, within), n in label_counts(f'<main><div class="item-{i}" id="p-{i}">{BODY}</div></main><div class="lead-{i}">{BODY}</div>').items():
+            if what == "word":
+                w.words[name] = (4.0 if within else -4.0, w.words.get(name, (0, 0))[1] + n)
+    same = [[w.container(container_key(tag, f' class="{c}{i}" id="q-{i}"')) for i in (3, 999)] for tag, c in (("div", "item-"), ("div", "lead-"), ("main", "x"), ("article", "y"))]
+    assert all(a == b for a, b in same) and same[0][0] > 3 and same[1][0] < -3 and same[2][0] > 3
