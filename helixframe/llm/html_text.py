@@ -27,13 +27,19 @@ LIMIT = 4.0  # weights lie between its negative and itself
 PRIOR_WORDS = 50.0  # so many words would have to speak against a prior
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: elements that hold whole parts of a page
 CONTAINERS = frozenset("nav header footer aside form section article main div table dialog menu button select fieldset figure ul ol dl".split())
+#: Elements without text of the page. They end at their end tag or where their parent ends; foreign ones also at the first of FLOW, as in HTML.
+SKIPPED = frozenset("noscript template iframe svg math".split())
+FOREIGN = frozenset("svg math".split())
+FLOW = frozenset("article aside b big blockquote body br center code dd div dl dt em embed form footer h1 h2 h3 h4 h5 h6 head header hr i img li main menu meta nav ol p pre ruby s section small span strike strong sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 NOT_CONTENT = frozenset("nav footer aside form dialog menu button select fieldset".split())
 CONTENT = frozenset("article main".split())
@@ -55,6 +61,48 @@ DIGITS = re.compile(r"\d+")
 ID = " #"  # what follows it in a container's key are names that may be its own
 
 
+class Skipped:
+    """Follows the tags of a page: `takes` says of each whether it belongs to an element without text of the page."""
+
+    def __init__(self):
+        self.name, self.within = "", []
+        self.opened: Counter[str] = Counter()
+
+    def takes(self, tag: str, closing: bool, empty: bool) -> bool:
+        if self.name:
+            if self._ends(tag, closing):
+                self.name, self.within = "", []
+            else:
+                return self._inside(tag, closing, empty)
+        if tag in SKIPPED:
+            if not closing and not empty:
+                self.name = tag
+            return True
+        if closing:
+            self.opened[tag] -= self.opened[tag] > 0
+        elif not empty and tag not in VOID:
+            self.opened[tag] += 1
+        return False
+
+    def _ends(self, tag: str, closing: bool) -> bool:
+        if closing:
+            return tag not in self.within and tag != self.name and self.opened[tag] > 0
+        if tag == "body":
+            return not self.within
+        return self.name in FOREIGN and tag in FLOW and INTEGRATION.isdisjoint(self.within)
+
+    def _inside(self, tag: str, closing: bool, empty: bool) -> bool:
+        if not closing:
+            if not empty and tag not in VOID:
+                self.within.append(tag)
+        elif tag in self.within:
+            while self.within.pop() != tag:
+                pass
+        elif tag == self.name:
+            self.name = ""
+        return True
+
+
 class Token:
     """A tag, or a run of text with the containers it stands in."""
 
@@ -74,12 +122,14 @@ def container_key(tag: str, attributes: str) -> str:
 
 def tokens(page: str) -> list[Token]:
     """Text is decoded. Blocks are numbered in page order; an inline tag doesn't end one."""
-    out, stack, block = [], [], 0
+    out, stack, block, skipped = [], [], 0, Skipped()
     inside: tuple[str, ...] = ()
     for m in TOKEN.finditer(page):
         tag = m[3]
         if tag:
             tag, closing = tag.lower(), bool(m[2])
+            if skipped.takes(tag, closing, m[4].rstrip().endswith("/")):
+                continue
             if tag in CONTAINERS:
                 if not closing and not m[4].rstrip().endswith("/"):
                     stack.append((tag, container_key(tag, m[4])))
@@ -91,8 +141,8 @@ def tokens(page: str) -> list[Token]:
                 block += 1
             out.append(Token(f"{'/' if closing else ''}{tag}", " " if tag == "br" else "", inside, block))
         elif m[1]:
-            block += m[1].lower() in ("title", "head")
-        elif not m[0].startswith(("<!", "<?")):
+            block += m[1].lower() == "title"
+        elif not skipped.name and not m[0].startswith(("<!", "<?")):
             out.append(Token("", html.unescape(m[0]), inside, block))
     return out
 

@@ -200,3 +200,16 @@ def test_weights_learned_for_ids_that_were_not_sampled():
                 w.words[name] = (4.0 if within else -4.0, w.words.get(name, (0, 0))[1] + n)
     same = [[w.container(container_key(tag, f' class="{c}{i}" id="q-{i}"')) for i in (3, 999)] for tag, c in (("div", "item-"), ("div", "lead-"), ("main", "x"), ("article", "y"))]
     assert all(a == b for a, b in same) and same[0][0] > 3 and same[1][0] < -3 and same[2][0] > 3
+
+
+@pytest.mark.parametrize("start", ["<head><meta charset=utf-8><title>t</title>", "<head><title>t</title><noscript><link rel=x></head>", "<head><template><i>x</i>", ""])
+@pytest.mark.parametrize(
+    "part",
+    [
+        "", "<div><svg><path d='M0'><title>s</title></div>", "<svg viewBox='0'>", "<svg/>", "<div><noscript><img src=x></div>", "<div><iframe src=x></div>", "<p><math><mi>x</mi></p>", "<span><template><b>x</b></span>",
+        "<template><template>x</template><p>y</template>", "<svg><foreignObject><p>x</p></foreignObject></svg>", "<iframe>x</iframe><noscript><p>x</p></noscript>",
+    ],
+)
+def test_elements_that_are_left_open(start, part):
+    page = f"<html>{start}<body><article><h1>Head</h1>{part}<p>{BODY}</p><p>End</p></article></body></html>"
+    assert main_text(page, Weights({})) == f"Head\n\n{BODY.strip()}\n\nEnd"
