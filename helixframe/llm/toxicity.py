@@ -24,10 +24,9 @@ GAPS = (1, 2, 3)
 BEGINNINGS = range(3, 9)
 #: The bounded sample of labelled rows: so many at most, those with the smallest hash of their id.
 MAX_LABELLED = 16_000
-ROWS_PER_SHARD, MAX_SHARDS = 4_000, 4
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 6.0, 0.5
-MET = 3  # documents of a shard that have a feature, at least; L1 leaves others at zero
+MET = 3  # documents of the sample that have a feature, at least; L1 leaves others at zero
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -63,7 +62,8 @@ def fit_ftrl(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tupl
         i, x = features(t or "", words)
         met[i] += 1
         rows.append((i.astype(np.int32), np.minimum(x, 255).astype(np.uint8)))
-    rows = [(i[met[i] >= MET], x[met[i] >= MET]) for i, x in rows]
+    for r, (i, x) in enumerate(rows):  # one after the other, as whole and cut rows together take twice the memory
+        rows[r] = (i[met[i] >= MET], x[met[i] >= MET])
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     order = np.random.default_rng(7)
     base = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
@@ -94,21 +94,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Shards of the sample are fitted apart and their weights averaged; a small sample is one shard.
+    """The sample is bounded, so it is one fit in one task at every size of input.
 
     Without labelled rows, or with one class only, the weights are empty and the bias is that class's rate.
     """
     sample = stored(labelled_sample(docs, labels, "toxic", 4, 2), "toxicity-sample")
-    shards = int(np.clip(sample.count() // ROWS_PER_SHARD, 1, MAX_SHARDS))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "label"])
         some, w, bias = fit_ftrl(pdf["text"].to_list(), pdf["label"].to_numpy(float))
         return pd.DataFrame({"feature": np.append(some, -1), "weight": np.append(w, bias)})
 
-    fitted = sample.withColumn("shard", F.pmod(F.hash("doc_id"), F.lit(shards))).groupBy("shard").applyInPandas(fit, "feature long, weight double")
+    fitted = sample.groupBy().applyInPandas(fit, "feature long, weight double")
     # at most the size of the table of features, whatever the corpus
-    model = fitted.groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).orderBy("feature").toPandas()
+    model = fitted.orderBy("feature").toPandas()
     bias = model.loc[model["feature"] < 0, "weight"]
     model = model[model["feature"] >= 0]
     return model["feature"].to_numpy(np.int64), model["weight"].to_numpy(np.float32), float(bias.iloc[0]) if len(bias) else 0.0

@@ -10,7 +10,7 @@ from helixframe.llm.html_text import Weights, best_region, container_key, extrac
 from helixframe.llm.langid import Classifier, Model, fit_languages, identify, op6_langid
 from helixframe.llm.quality import AttentionModel, fit_quality, op10_quality, score_quality
 from helixframe.llm.registry import QUERIES
-from helixframe.llm.toxicity import fit_toxicity, op5_toxicity, score_toxicity
+from helixframe.llm.toxicity import fit_ftrl, fit_toxicity, op5_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -213,3 +213,20 @@ def test_weights_learned_for_ids_that_were_not_sampled():
 def test_elements_that_are_left_open(start, part):
     page = f"<html>{start}<body><article><h1>Head</h1>{part}<p>{BODY}</p><p>End</p></article></body></html>"
     assert main_text(page, Weights({})) == f"Head\n\n{BODY.strip()}\n\nEnd"
+
+
+def test_toxicity_is_one_fit_at_every_size(spark):
+    """8,400 labelled rows, of which seven have a rare toxic word."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(40)])
+    toxic = np.arange(14_000) % 10 == 0
+    texts = [" ".join(rng.choice(words, 6)) + (" vile" if t else "") for t in toxic]
+    trained = [i for i in range(14_000) if fold(i, 4) != 2]
+    assert 8_400 < len(trained) < 16_000
+    for i in [i for i in trained if not toxic[i]][:: len(trained) // 7][:7]:
+        texts[i], toxic[i] = "zorblax", True
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    found = fit_toxicity(docs, labels)
+    want = fit_ftrl([texts[i] for i in trained], np.array([float(toxic[i]) for i in trained]))
+    assert found[0].tolist() == want[0].tolist() and np.allclose(found[1], want[1], atol=1e-5) and abs(found[2] - want[2]) < 1e-9
