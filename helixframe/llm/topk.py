@@ -39,11 +39,11 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best candidates of each query: exact, ties to the smaller id."""
+    """(query, candidate, score) of the k best candidates of each query: exact, ties to the smaller id; vectors without dimensions score 0."""
     dims = c.shape[1]
     order = np.argsort(-(c * c).sum(axis=0), kind="stable")  # heavy dimensions first: bounds close sooner
     q, columns = q[:, order], np.ascontiguousarray(c[:, order].T)
-    cuts = list(range(0, dims, STEP)) + [dims]
+    cuts = [*range(0, max(dims, 1), STEP), dims]  # [0, 0] without dimensions
     rest_q = [np.sqrt((q[:, b:] ** 2).sum(axis=1)) for b in cuts[1:]]
     rest_c = [np.sqrt((columns[b:] ** 2).sum(axis=0)) for b in cuts[1:]]
     out = []
@@ -76,7 +76,7 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows
 
     A candidate with the query's own id is left out. Ties go to the smaller id; with fewer than k candidates
     all are returned; without candidates or queries no rows. Vectors are compared only with those of the
-    same number of dimensions. Null ids take no part. Repeated rows count once each.
+    same number of dimensions; empty ones score 0 with each other. Null ids take no part. Repeated rows count once each.
     """
     keyed = [x.filter("vec_id IS NOT NULL").withColumn("dims", F.size("v")) for x in (queries, candidates)]
     n_q, n_c = keyed[0].count(), keyed[1].count()

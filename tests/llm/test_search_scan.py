@@ -50,6 +50,13 @@ def test_few_or_no_candidates(spark):
     assert exact_topk(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_vectors_without_dimensions(spark):
+    rows = quantised(spark.createDataFrame([(0, []), (50, []), (3, []), (7, [1.0]), (100, [0.5])], "vec_id long, embedding array<float>"))
+    got = sorted(tuple(r) for r in exact_topk(rows.filter("vec_id % 50 = 0"), rows).collect())
+    assert got == [(0, 1, 3, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0), (100, 1, 7, 128 * 256)]
+    assert search_block(np.array([1]), np.empty((1, 0)), np.array([1, 2]), np.empty((2, 0)), 5) == [(1, 2, 0)]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
