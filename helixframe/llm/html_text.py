@@ -26,22 +26,21 @@ MAX_LABELLED = 2_000
 LIMIT = 4.0  # weights lie between its negative and itself
 PRIOR_WORDS = 50.0  # so many words would have to speak against a prior
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: attributes up to the end of a tag; a quote opens a value only after =. Nothing is tried twice (possessive).
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=>)|(?!["'])))*+>""")
+RAW = frozenset("script style textarea title".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: elements that hold whole parts of a page
-CONTAINERS = frozenset("nav header footer aside form section article main div table dialog menu button select fieldset figure ul ol dl".split())
+CONTAINERS = frozenset("nav header footer aside form section article main div table dialog menu select fieldset figure blockquote ul ol dl".split())
 #: Elements without text of the page. They end at their end tag or where their parent ends; foreign ones also at the first of FLOW, as in HTML.
 SKIPPED = frozenset("noscript template iframe svg math".split())
 FOREIGN = frozenset("svg math".split())
 FLOW = frozenset("article aside b big blockquote body br center code dd div dl dt em embed form footer h1 h2 h3 h4 h5 h6 head header hr i img li main menu meta nav ol p pre ruby s section small span strike strong sub sup table tt u ul var".split())
 INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
-NOT_CONTENT = frozenset("nav footer aside form dialog menu button select fieldset".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+NOT_CONTENT = frozenset("nav footer aside form dialog menu select fieldset".split())
 CONTENT = frozenset("article main".split())
 #: A class name of parts is one of these if such a part is its noun: what follows it is in AFTER, and none in AROUND precedes it ("site-footer",
 #: "comment-list", but not "comments-open", "no-sidebar", "category-social").
@@ -67,11 +66,13 @@ class Skipped:
     def __init__(self):
         self.name, self.within = "", []
         self.opened: Counter[str] = Counter()
+        self.held: Counter[str] = Counter()  # how often each name is in within
 
     def takes(self, tag: str, closing: bool, empty: bool) -> bool:
         if self.name:
             if self._ends(tag, closing):
                 self.name, self.within = "", []
+                self.held.clear()
             else:
                 return self._inside(tag, closing, empty)
         if tag in SKIPPED:
@@ -86,30 +87,43 @@ class Skipped:
 
     def _ends(self, tag: str, closing: bool) -> bool:
         if closing:
-            return tag not in self.within and tag != self.name and self.opened[tag] > 0
+            return not self.held[tag] and tag != self.name and self.opened[tag] > 0
         if tag == "body":
             return not self.within
-        return self.name in FOREIGN and tag in FLOW and INTEGRATION.isdisjoint(self.within)
+        return self.name in FOREIGN and tag in FLOW and not any(self.held[i] for i in INTEGRATION)
 
     def _inside(self, tag: str, closing: bool, empty: bool) -> bool:
         if not closing:
             if not empty and tag not in VOID:
                 self.within.append(tag)
-        elif tag in self.within:
-            while self.within.pop() != tag:
-                pass
+                self.held[tag] += 1
+        elif self.held[tag]:
+            while (last := self.within.pop()) != tag:
+                self.held[last] -= 1
+            self.held[tag] -= 1
         elif tag == self.name:
             self.name = ""
         return True
 
 
+class Node:
+    """A container that is open at some place of a page. What its ancestors say is carried along, so depth costs nothing."""
+
+    __slots__ = ("tag", "key", "parent", "holds_page", "root", "fixed", "bad", "low", "within", "inside", "outside", "labelled")
+
+    def __init__(self, tag: str, key: str, parent: Node | None):
+        self.tag, self.key, self.parent = tag, key, parent
+        self.holds_page = False  # an article, a menu or the headline of the page stands in it
+        self.inside = self.outside = 0
+
+
 class Token:
-    """A tag, or a run of text with the containers it stands in."""
+    """A tag, or a run of text with the container it stands in."""
 
-    __slots__ = ("tag", "text", "inside", "words", "block")
+    __slots__ = ("tag", "text", "node", "words", "block")
 
-    def __init__(self, tag: str, text: str, inside: tuple[str, ...], block: int):
-        self.tag, self.text, self.inside, self.block = tag, text, inside, block
+    def __init__(self, tag: str, text: str, node: Node | None, block: int):
+        self.tag, self.text, self.node, self.block = tag, text, node, block
         self.words = len(text.split())
 
 
@@ -120,31 +134,77 @@ def container_key(tag: str, attributes: str) -> str:
     return " ".join(f"{tag} {names[0]}{hidden}".split()) + (f"{ID} {names[1]}" if names[1] else "")
 
 
-def tokens(page: str) -> list[Token]:
-    """Text is decoded. Blocks are numbered in page order; an inline tag doesn't end one."""
-    out, stack, block, skipped = [], [], 0, Skipped()
-    inside: tuple[str, ...] = ()
-    for m in TOKEN.finditer(page):
-        tag = m[3]
+def pieces(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(tag, closing, attributes, text) of a page in order, in time linear in its length. A raw element is one piece with an empty tag and text.
+
+    A tag whose quotes never end closes at its first >, and quotes count no more from there on; one without any > is text.
+    """
+    at, end, quotes, low, last = 0, len(page), True, None, page.rfind(">")
+    while at < end:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "", False, "", page[at:]
+            return
+        if lt > at:
+            yield "", False, "", page[at:lt]
+        if page.startswith("<!--", lt):
+            close = page.find("-->", lt + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?") or not (m := NAME.match(page, lt)):
+            close = page.find(">", lt) if page[lt + 1 : lt + 2] in ("!", "?") and lt < last else -1
+            if close < 0:
+                yield "", False, "", "<"
+            at = close + 1 if close >= 0 else lt + 1
+            continue
+        rest = REST.match(page, m.end()) if quotes else None
+        if rest:
+            close = rest.end() - 1
+        else:
+            quotes, close = False, page.find(">", m.end())
+            if close < 0:
+                yield "", False, "", page[lt:]
+                return
+        tag, at = m[2].lower(), close + 1
+        if tag in RAW and not m[1]:
+            low = low if low is not None else page.lower() if len(page.lower()) == end else re.sub("[A-Z]", lambda c: c[0].lower(), page)
+            stop = low.find(f"</{tag}", at)
+            shut = page.find(">", stop) if stop >= 0 else -1
+            at = shut + 1 if shut >= 0 else end
+            yield "", tag == "title", "", ""
+        else:
+            yield tag, bool(m[1]), page[m.end() : close], ""
+
+
+def tokens(page: str) -> tuple[list[Token], list[Node]]:
+    """Text is decoded. Blocks are numbered in page order; an inline tag doesn't end one. Nodes come after their parents."""
+    out, nodes, block, skipped = [], [], 0, Skipped()
+    node: Node | None = None
+    opened: Counter[str] = Counter()
+    for tag, closing, attributes, text in pieces(page):
         if tag:
-            tag, closing = tag.lower(), bool(m[2])
-            if skipped.takes(tag, closing, m[4].rstrip().endswith("/")):
+            empty = attributes.rstrip().endswith("/")
+            if skipped.takes(tag, closing, empty):
                 continue
             if tag in CONTAINERS:
-                if not closing and not m[4].rstrip().endswith("/"):
-                    stack.append((tag, container_key(tag, m[4])))
-                elif any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-                inside = tuple(k for _, k in stack)
+                if not closing and not empty:
+                    node = Node(tag, container_key(tag, attributes), node)
+                    nodes.append(node)
+                    opened[tag] += 1
+                elif opened[tag]:
+                    while node.tag != tag:
+                        opened[node.tag] -= 1
+                        node = node.parent
+                    opened[tag] -= 1
+                    node = node.parent
             if tag not in INLINE:
                 block += 1
-            out.append(Token(f"{'/' if closing else ''}{tag}", " " if tag == "br" else "", inside, block))
-        elif m[1]:
-            block += m[1].lower() == "title"
-        elif not skipped.name and not m[0].startswith(("<!", "<?")):
-            out.append(Token("", html.unescape(m[0]), inside, block))
-    return out
+            out.append(Token(f"{'/' if closing else ''}{tag}", " " if tag == "br" else "", node, block))
+        elif not text:
+            block += closing
+        elif not skipped.name:
+            out.append(Token("", html.unescape(text), node, block))
+    return out, nodes
 
 
 @lru_cache(1 << 16)
@@ -164,68 +224,31 @@ def prior(key: str) -> float:
     return -1.0 if tag == "header" else 0.5
 
 
-def is_not_content(key: str) -> bool:
-    return prior(key) == -LIMIT
-
-
 def tag_of(key: str) -> str:
     return key.partition(" ")[0]
 
 
-def content_root(inside: tuple[str, ...]) -> int | None:
-    """Place of the article or main element that the words belong to; None without one.
-
-    An article in a main element counts, but not one in a part of it that is no content: that is a comment or a teaser.
-    """
-    root = None
-    for i, k in enumerate(inside):
-        if tag_of(k) in CONTENT:
-            if root is not None and (tag_of(inside[root]) == "article" or any(map(is_not_content, inside[root + 1 : i]))):
-                break
-            root = i
-    return root
-
-
-def page_forms(own: list[Token]) -> set[str]:
-    """Forms round a page: they hold articles, or menus or the headline, as nothing but fields does."""
-    return {k for t in own if t.tag in CONTENT or t.tag in ("nav", "h1") for k in t.inside if tag_of(k) == "form" and (t.tag in CONTENT or content_root(t.inside) is None)}
-
-
-def is_wrapped(inside: tuple[str, ...]) -> bool:
-    """Whether the article or main element is hidden, or stands in a part that is no content."""
-    root = content_root(inside)
-    return root is not None and ("hidden" in inside[root].split()[1:] or any(map(is_not_content, inside[:root])))
-
-
-def judged(inside: tuple[str, ...], apart: bool) -> tuple[str, ...]:
-    """Containers that say whether the words are content: those in the article or main element, and where the page has another that stands free (apart), those round it."""
-    root = content_root(inside)
-    if root is None or (apart and is_wrapped(inside)):
-        return inside
-    return inside[root + 1 :]
-
-
 @lru_cache(1 << 16)
 def learned_keys(key: str) -> tuple[str, ...]:
     """What a container's weight is learned by, the first that is known: its id without numbers where that says more than its class, then its class
-    without numbers. The names of an article or main element change nothing.
+    without numbers, then each name of the class whatever the element. The names of an article or main element change nothing.
     """
     if tag_of(key) in CONTENT:
         return (tag_of(key),)
     classes, _, own = key.partition(ID)
     keys = [key] if own and (" " not in classes or prior(key) != prior(classes)) else []
     keys += [classes] if " " in classes or not own else []
-    return tuple(DIGITS.sub("#", k) for k in keys)
+    keys += [f".{c}" for c in classes.split()[1:] if c != "hidden"]
+    return tuple(dict.fromkeys(DIGITS.sub("#", k) for k in keys))
 
 
-def in_content(inside: tuple[str, ...]) -> bool:
-    """Whether words in a part that is no content stand in an article, a main element or a container that is named like one."""
-    for k in inside:
-        if tag_of(k) not in CONTENT and is_not_content(k):
-            return False
-        if prior(k) == LIMIT / 2 or tag_of(k) in CONTENT:
-            return True
-    return False
+def mark_page_parts(own: list[Token]) -> None:
+    """Marks what holds an article, a menu or the headline of the page: a form that does is no form to fill in."""
+    for t in own:
+        if t.tag in CONTENT or (t.tag in ("nav", "h1") and (t.node is None or not t.node.labelled)):
+            n = t.node
+            while n is not None and not n.holds_page:
+                n.holds_page, n = True, n.parent
 
 
 class Weights:
@@ -233,38 +256,78 @@ class Weights:
         """counts: for (what, name), with what `word` or `tag`: how often inside and outside of labelled content."""
         self.words = {k: (np.log((i + 1) / (o + 1)), i + o) for (what, k), (i, o) in counts.items() if what == "word"}
         self.tags = {k: float(np.clip(np.log((i + 1) / (o + 1)) / 4, -1.0, -0.05)) for (what, k), (i, o) in counts.items() if what == "tag"}
-        self.known: dict[tuple[tuple[str, ...], bool], float] = {}
+        self.known: dict[str, float] = {}
 
     def container(self, key: str) -> float:
-        """A prior for the name, moved by what labelled pages show; names that are never content stay so."""
+        """A prior for the name that counts as much as PRIOR_WORDS words, moved by what labelled pages show."""
         base = prior(key)
         if tag_of(key) in CONTENT:
             base = max(base, LIMIT / 2)  # whatever it is called
         known = [k for k in learned_keys(key) if k in self.words]
-        if base == -LIMIT or not known:
+        if not known:
             return base
         learned, n = self.words[known[0]]
         return float(np.clip((base * PRIOR_WORDS + learned * n) / (PRIOR_WORDS + n), -LIMIT, LIMIT))
 
-    def word(self, inside: tuple[str, ...], apart: bool = False) -> float:
-        """apart: the page has an article or main element that stands free, so that others in menus and the like are none."""
-        if (inside, apart) not in self.known:
-            root, parts = content_root(inside), judged(inside, apart)
-            if root is not None and len(parts) < len(inside) and any(map(is_not_content, parts)):
-                own = [0.0]  # main_text takes them out in any case, and they part nothing
-            elif root is None and any(map(is_not_content, parts)) and in_content(parts):
-                own = [0.0]
-            elif root is None or any(map(is_not_content, parts)):
-                own = [self.container(k) for k in parts]
-            else:
-                own = [max(self.container(inside[root]), 1.0)]  # around an article anything may stand
-            self.known[inside, apart] = min(own) if own else 0.5
-        return self.known[inside, apart]
+    def weight(self, key: str) -> float:
+        if key not in self.known:
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            self.known[key] = self.container(key)
+        return self.known[key]
+
+    def is_not_content(self, key: str) -> bool:
+        """Names and elements that are taken out of an article, unless labelled pages show the contrary."""
+        return prior(key) == -LIMIT and self.weight(key) <= -LIMIT / 2
+
+    def place(self, nodes: list[Node]) -> None:
+        """Gives each node what it and its ancestors say, in one pass.
+
+        root: the article or main element that the words belong to. An article in a main element counts, but not one in
+        a part of it that is no content: that is a comment or a teaser, as is an article in an article.
+        bad: how many of the chain are no content. low: the least weight. within: whether the first of the chain that says so is content.
+        """
+        for n in nodes:
+            p = n.parent
+            root, fixed, bad, low, within = (p.root, p.fixed, p.bad, p.low, p.within) if p else (None, False, 0, LIMIT, None)
+            gone = (n.tag == "form" and n.holds_page) or (n.tag == "footer" and p is not None and p.tag == "blockquote")
+            if not gone:
+                is_bad = self.is_not_content(n.key)
+                if n.tag in CONTENT and not fixed:
+                    if root is not None and (root.tag == "article" or bad > root.bad):
+                        fixed = True
+                    else:
+                        root = n
+                if within is None and (n.tag in CONTENT or is_bad or prior(n.key) == LIMIT / 2):
+                    within = n.tag in CONTENT or not is_bad
+                bad, low = bad + is_bad, min(low, self.weight(n.key))
+            n.root, n.fixed, n.bad, n.low, n.within = root, fixed, bad, low, within
+
+    def judged(self, n: Node | None, apart: bool) -> tuple[float, bool]:
+        """Score of a word, and whether it is taken out in any case.
+
+        apart: the page has an article or main element that stands free, so that others in menus and the like are none.
+        """
+        if n is None:
+            return 0.5, False
+        if n.root is None or (apart and is_wrapped(n)):
+            if n.bad and n.root is None and n.within:
+                return 0.0, True  # it parts nothing
+            return n.low, n.bad > 0
+        if n.bad > n.root.bad:
+            return 0.0, True
+        return max(self.weight(n.root.key), 1.0), False  # around an article anything may stand
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.1)
 
 
+def is_wrapped(n: Node) -> bool:
+    """Whether the article or main element is hidden, or stands in a part that is no content."""
+    root = n.root
+    return root is not None and ("hidden" in root.key.split()[1:] or (root.parent is not None and root.parent.bad > 0))
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """Start and end (exclusive) of the contiguous run of the highest positive sum; the first of equals; (0, 0) if none."""
     best, found, total, start = 0.0, (0, 0), 0.0, 0
@@ -278,38 +341,62 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str, weights: Weights) -> str:
-    own = tokens(page)
-    forms = page_forms(own)
-    if forms:
-        for t in own:
-            t.inside = tuple(k for k in t.inside if k not in forms)
-    apart = any(t.tag in CONTENT and not is_wrapped(t.inside) for t in own)
-    start, end = best_region([weights.tag(t.tag) if t.tag else t.words * weights.word(t.inside, apart) for t in own])
+    own, nodes = tokens(page)
+    label_nodes(nodes)
+    mark_page_parts(own)
+    weights.place(nodes)
+    apart = any(t.tag in CONTENT and t.node is not None and t.node.root is not None and not is_wrapped(t.node) for t in own)
+    judged = {id(n): weights.judged(n, apart) for n in (None, *nodes)}
+    start, end = best_region([weights.tag(t.tag) if t.tag else t.words * judged[id(t.node)][0] for t in own])
     blocks: dict[int, list[str]] = {}
     for t in own[start:end]:
-        if t.text and not any(map(is_not_content, judged(t.inside, apart))):
+        if t.text and not judged[id(t.node)][1]:
             blocks.setdefault(t.block, []).append(t.text)
     texts = (WHITE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
 
 
+def label_nodes(nodes: list[Node], labels: frozenset[str] = CONTENT) -> None:
+    for n in nodes:
+        n.labelled = n.tag in labels or (n.parent is not None and n.parent.labelled)
+
+
 def label_counts(page: str) -> Counter | None:
-    """Words of each container and tags, inside and outside of the page's only article or main element; None if it has no such."""
-    own = tokens(page)
+    """Words of each container and tags, inside and outside of the page's only article or main element; None if it has no such.
+
+    Words in parts of the article that are no content by name or element say nothing of their containers.
+    """
+    own, nodes = tokens(page)
     for label in ("article", "main"):
         if sum(t.tag == label for t in own) == 1:
             break
     else:
         return None
-    found = Counter()
+    label_nodes(nodes, frozenset([label]))
+    found: Counter = Counter()
     for t in own:
-        within = any(k.split()[0] == label for k in t.inside)
+        within = t.node is not None and t.node.labelled
         if t.tag:
             found["tag", t.tag, within] += 1
-        else:
-            for k in {own for k in t.inside for own in learned_keys(k)}:
-                found["word", k, within] += t.words
-    return found
+        elif within:
+            t.node.inside += t.words
+        elif t.node is not None:
+            t.node.outside += t.words
+    for n in reversed(nodes):  # children first
+        for k in learned_keys(n.key):
+            for within, words in ((True, n.inside), (False, n.outside)):
+                if words:
+                    found["word", k, within] += words
+        if n.parent is not None:
+            if not (n.labelled and prior(n.key) == -LIMIT):
+                n.parent.inside += n.inside
+            n.parent.outside += n.outside
+    return Counter({k: v for k, v in found.items() if not (k[0] == "word" and k[2] and prior_of_learned(k[1]) == -LIMIT)})
+
+
+@lru_cache(1 << 16)
+def prior_of_learned(name: str) -> float:
+    return prior(name.replace("#", "1") if not name.startswith(".") else f"div {name[1:]}")
 
 
 def fit_weights(pages: DataFrame, bound: int = MAX_LABELLED) -> Weights:

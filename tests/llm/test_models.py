@@ -1,5 +1,6 @@
 import html
 import re
+import time
 import zlib
 from itertools import product
 
@@ -230,3 +231,39 @@ def test_toxicity_is_one_fit_at_every_size(spark):
     found = fit_toxicity(docs, labels)
     want = fit_ftrl([texts[i] for i in trained], np.array([float(toxic[i]) for i in trained]))
     assert found[0].tolist() == want[0].tolist() and np.allclose(found[1], want[1], atol=1e-5) and abs(found[2] - want[2]) < 1e-9
+
+
+def test_tags_of_any_quotes():
+    w, end = Weights({}), "</article><nav>Menu</nav>"
+    for start in ("<p title=it's>", '<p title="a > b">', "<p x='\"'>", '<p x="a>', "<p x=a'b\"c>", '<p "x" y>', "<p x=>", "<p x =  'y'>"):
+        assert main_text(f"<article>{start}{BODY}</p>{end}", w) == BODY.strip(), start
+    assert main_text(f"<article><p>press <button>OK</button> now</p><p>{BODY}</p><blockquote>q<footer>by X</footer></blockquote>{end}", w) == f"press OK now\n\n{BODY.strip()}\n\nq\n\nby X"
+
+
+@pytest.mark.parametrize("part", ["<div>", '<a b="><a" ', '<p x="a', "<form><h1>x", "<svg><g>", "<!", "<title>", "<ul></div>", "</p>", "<b", "&amp"])
+def test_long_malformed_pages(part):
+    """Work grows in proportion to a page's length; so does what of it is looked at."""
+    page = "<article><p>first words</p>" + part * (400_000 // len(part))
+    began = time.process_time()
+    assert main_text(page, Weights({})).startswith("first words")
+    assert time.process_time() - began < 8
+
+
+def test_pages_without_article_elements(spark):
+    """Class names without a prior are learned from pages that have an article and hold on pages without."""
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{rng.integers(900)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(120):
+        lead, text, tail = say(12), say(60), say(15)
+        kind = "article" if i % 3 else "div"
+        rows.append((i, "u", f'<body><div class="zork x{i}">{lead}</div><{kind} class="quux"><div class="inner y{i}"><p>{text}</p></div></{kind}><div class="zork">{tail}</div></body>'))
+        want[i] = text
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract_text(pages, fit_weights(pages)).collect()} == want
+
+
+def test_names_move_with_what_pages_show():
+    """A listed name is a prior of as much weight as some words, not a veto."""
+    w = Weights({("word", "div comment"): (5000, 0), ("word", "div zork"): (0, 5000)})
+    assert w.is_not_content("div promo") and not w.is_not_content("div comment") and w.container("div zork") < -3
