@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: At most so many keys are broadcast by `keep_ids`/`drop_ids`; beyond it both sides are shuffled.
-BROADCAST_KEYS = 1_000_000
+#: At most so many bytes of keys are broadcast by `keep_ids`/`drop_ids`; beyond it both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+#: What a key takes in a broadcast table, by type.
+KEY_BYTES = {"bigint": 40, "int": 40, "binary": 96}
+#: The largest groups that `join_groups` broadcasts: any other key has at most one in so many of all rows.
+HOT_GROUPS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; one in the warehouse where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/helixframe-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -49,18 +54,31 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def _small(ids: DataFrame, limit: int) -> bool:
-    return ids.limit(limit + 1).count() <= limit
+def is_small(ids: DataFrame) -> bool:
+    """Whether the rows of one key column may be broadcast."""
+    rows = BROADCAST_BYTES // KEY_BYTES.get(ids.dtypes[0][1], 256)
+    return ids.limit(rows + 1).count() <= rows
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows of docs whose key is in ids (unique keys, stored): without a shuffle of docs while ids are few."""
-    return docs.join(F.broadcast(ids) if _small(ids, limit) else ids, key, "left_semi")
+def keep_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key is in ids (one column of unique keys, stored): without a shuffle of docs while ids are few."""
+    return docs.join(F.broadcast(ids) if is_small(ids) else ids, key, "left_semi")
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> DataFrame:
+def drop_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of docs whose key isn't in ids; a null key stays."""
-    return docs.join(F.broadcast(ids) if _small(ids, limit) else ids, key, "left_anti")
+    return docs.join(F.broadcast(ids) if is_small(ids) else ids, key, "left_anti")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of their group. groups (stored) has one row for each key, with its number of rows in `size`.
+
+    The largest groups are broadcast, so that no key with many rows is dealt to one task; the others are shuffled.
+    """
+    largest = groups.orderBy(F.desc(size), key).limit(HOT_GROUPS)
+    hot = stored(largest.filter(F.col(size) > HOT_GROUPS), "hot-groups")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -1,10 +1,12 @@
 """Near-duplicates by b-bit MinHash over word shingles.
 
 Each text is sketched once: its distinct shingles (hashed to 64 bits), a digest of that set, the minima of K
-hash functions as band keys, and their low B bits packed. Equal sets are one node. In each band's bucket, all are
-first compared with a leader; what that leaves in different components is compared in full, in blocks of bounded
-size that give only links. Candidates have to pass the collision-corrected estimate from the packed bits, and what
-passes is confirmed on the full sets of the texts. Components come from large-star/small-star rounds over the links.
+hash functions as band keys, and their low B bits packed. Equal sets are one node. A band's bucket is dealt out in
+parts where its key is frequent, and all of a part are compared with its leader. Only in buckets that this leaves in
+different components the members outside of the largest component are held against all, block by block: first by their
+bits alone, and those that may have a link by their texts. Candidates have to pass the collision-corrected estimate
+from the packed bits, and what passes is confirmed on the full sets of the texts. Components come from
+large-star/small-star rounds over the links.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from helixframe.llm.common import drop_ids, forget, keep_ids, only, released, sliced, small_batches, stored, table
+from helixframe.llm.common import drop_ids, forget, join_groups, keep_ids, only, released, sliced, small_batches, stored, table
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
@@ -29,6 +32,9 @@ BLOCK, BLOCK_SHINGLES = 4096, 2_000_000  # members of a bucket (and shingles of
 SLICE = 1 << 20  # bytes of text that are cut into shingles at once
 STEP = 64  # pairs that are confirmed at once, the likeliest first
 PERMUTATIONS = 4  # leaders differ between bands
+PART = 512  # members of a frequent key's bucket that get a leader of their own
+#: Frequent keys are looked for among so many counters: each of more than 1 in 3/4 of them of all rows is found. At most FREQUENT of them are dealt out.
+COUNTERS, FREQUENT = 32_768, 4_096
 
 _R = np.random.default_rng(20240229)
 _BYTE = _R.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -155,7 +161,7 @@ def sketch(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sizes and packed bits allow the threshold."""
+    """The pairs (a, b) whose sizes and packed bits allow the threshold, with their estimate."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     least = least_estimate(threshold)
@@ -163,10 +169,11 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(f"bits_{s}").to_pylist()), np.uint8).reshape(len(batch), -1) for s in "ab")
-            keep = np.flatnonzero(estimate(a, b) >= least)
-            yield batch.select(["a", "b"]).take(pa.array(keep))
+            near = estimate(a, b)
+            keep = np.flatnonzero(near >= least)
+            yield batch.select(["a", "b"]).take(pa.array(keep)).append_column("near", pa.array(near[keep]))
 
-    return near.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
+    return near.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, near double")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -198,8 +205,40 @@ def _sets_by_slices(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([s for s, _ in found]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in found]))])
 
 
+def _differing(part: np.ndarray, n: np.ndarray, own: np.ndarray, bits: np.ndarray, threshold: float, across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For a member of one block after the other: the members after it in other components that may be linked with it, and their estimates.
+
+    part may change meanwhile. In a group of two blocks, only pairs across them count.
+    """
+    least = least_estimate(threshold)
+    for x in range(len(part) - 1):
+        y = x + 1 + np.flatnonzero(part[x + 1 :] != part[x])
+        y = y[(np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x])) & ((own[y] != own[x]) | (not across))]
+        near = estimate(bits[y], bits[x]) if len(y) else np.empty(0)
+        if len(some := np.flatnonzero(near >= least)):
+            yield x, y[some], near[some]
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    node, part, n, own = (pdf[c].to_numpy(np.int64).copy() for c in ("node", "component", "n", "own"))
+    return node, part, n, own, np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
+
+
+def likely_members(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of a group of one or two blocks of a bucket: the members that by sizes and bits may be linked with one of another component."""
+    sizes = pdf["component"].map(pdf["component"].value_counts())
+    pdf = pdf.assign(_size=sizes).sort_values(["_size", "node"])  # small components first: they have the fewest pairs after them
+    node, part, n, own, bits = _arrays(pdf)
+    found, across = np.zeros(len(pdf), bool), pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    for x, y, _ in _differing(part, n, own, bits, percent / 100, across):
+        found[x] = True
+        found[y] = True
+    out = pdf[found][["key", "i", "j", "node", "component", "own"]]
+    return out.reset_index(drop=True)
+
+
 def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
-    """Links (a, b) that join the components of one block of a bucket; a pair that shares an earlier band is left to that.
+    """Links (a, b) that join the components of such a group; a pair that shares an earlier band is left to that.
 
     Members of small components come first, and a member is held against others with the likeliest first, until
     their components are one: what is emitted is at most a link for each component, though every pair of
@@ -209,20 +248,14 @@ def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     pdf = pdf.drop_duplicates(["node", "text"])
     sizes = pdf["component"].map(pdf["component"].value_counts())
     pdf = pdf.assign(_size=sizes).sort_values(["_size", "component", "node"])
-    node, part, n, own, band = (pdf[c].to_numpy(np.int64).copy() for c in ("node", "component", "n", "own", "band"))
-    bits = np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
+    node, part, n, own, bits = _arrays(pdf)
     bands = np.stack(pdf["bands"].to_list())
+    band = (bands[0] == pdf["key"].iloc[0]).argmax()
     sets, at = _sets_by_slices(pdf["text"], words)
-    across, threshold, out = pdf["i"].iloc[0] != pdf["j"].iloc[0], percent / 100, []
-    least = least_estimate(threshold)
-    for x in range(len(pdf) - 1):
-        y = x + 1 + np.flatnonzero(part[x + 1 :] != part[x])
-        y = y[(np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x])) & ((own[y] != own[x]) | (not across))]
-        near = estimate(bits[y], bits[x]) if len(y) else np.empty(0)
-        y, near = y[near >= least], near[near >= least]
-        if len(y):
-            mine = (bands[y] == bands[x]).argmax(axis=1) == band[x]
-            y = y[mine][np.argsort(-near[mine], kind="stable")]
+    across, out = pdf["i"].iloc[0] != pdf["j"].iloc[0], []
+    for x, y, near in _differing(part, n, own, bits, percent / 100, across):
+        mine = (bands[y] == bands[x]).argmax(axis=1) == band
+        y = y[mine][np.argsort(-near[mine], kind="stable")]
         one = sets[at[x] : at[x + 1]]
         while len(y):
             now, y = y[:STEP], y[STEP:]
@@ -235,14 +268,14 @@ def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links: (a, b) longs, a <> b. Returns (node, component): the smallest node that can be reached.
 
-    Rounds of large-star and small-star; each is a table in the shared folder, and the ones before are deleted.
+    Rounds of large-star and small-star until nothing changes; each is a table in the shared folder, and the ones before are deleted.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -259,47 +292,114 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def _frequent(keys: DataFrame) -> DataFrame | None:
+    """(key, parts) of the band keys that many nodes have, FREQUENT at most; None without any. One row of counters reaches the driver."""
+    found = keys.agg(F.expr(f"approx_top_k(key, {FREQUENT}, {COUNTERS})").alias("top")).first()["top"] or []
+    rows = [(r["item"], -(-r["count"] // PART)) for r in found if r["count"] > PART]
+    return keys.sparkSession.createDataFrame(rows, "key long, parts long") if rows else None
+
+
+def _buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, part, node, lead, hot) of the buckets with two members or more, dealt once; and the frequent keys with their number of parts."""
+    placed = sets.select("node", F.explode("bands").alias("key"))
+    frequent = _frequent(placed)
+    if frequent is None:
+        placed = placed.withColumns({"part": F.lit(0).cast("long"), "hot": F.lit(False)})
+    else:
+        part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+        placed = placed.join(F.broadcast(frequent), "key", "left").select("node", "key", part.alias("part"), F.col("parts").isNotNull().alias("hot"))
+    rank = F.xxhash64("node", F.pmod("key", F.lit(PERMUTATIONS)))
+    w = Window.partitionBy("key", "part").orderBy(rank, "node")
+    lead = F.first("node").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    led = placed.withColumn("lead", lead).withColumn("next", F.lead("node").over(w))
+    return stored(led.filter("hot OR node <> lead OR next IS NOT NULL").select("key", "part", "node", "lead", "hot"), "minhash-buckets"), frequent
+
+
+def _led_pairs(buckets: DataFrame, frequent: DataFrame | None) -> DataFrame:
+    """Pairs of each member with its part's leader, and of a frequent key's leaders with the first of them."""
+    pairs = buckets.filter("node <> lead").select("node", "lead")
+    if frequent is not None:
+        tops = buckets.filter("hot AND node = lead").select("key", "node")
+        first = tops.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), "node")).alias("first")).select("key", F.col("first.node").alias("lead"))
+        pairs = pairs.unionByName(tops.join(F.broadcast(first), "key").filter("node <> lead").select("node", "lead"))  # a row for each frequent key
+    return pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def _star_links(likely: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links among the likely pairs: first the likeliest pair of each node, then of the rest what isn't joined by these."""
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node"), F.struct("near", "a", "b").alias("pair"))
+    best = stored(ends.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "minhash-best")
+    links = stored(_confirmed(best, rows, words, percent), "minhash-links")
+    found = stored(connected_components(links), "minhash-components")
+    of = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
+    open_ = likely.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = stored(open_.filter("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b"), "minhash-open")
+    forget(found)
+    return links.unionByName(stored(_confirmed(rest, rows, words, percent), "minhash-links"))
+
+
+def _rest_links(buckets: DataFrame, frequent: DataFrame | None, sets: DataFrame, found: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of a bucket that are in different components so far."""
+    own = sets.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    labelled = stored(buckets.select("key", "part", "node").join(own, "node"), "minhash-labelled")
+    of = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
+    largest = F.max(F.struct("m", "component", "all"))
+    mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("parties"), F.sum("m").alias("m"), F.sum("all").alias("all"), largest.alias("major")).filter("parties > 1 AND m > 2")
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
+    mixed = mixed.select(
+        "key", F.col("major.component").alias("major"), blocks(F.col("major.m"), F.col("major.all")).alias("mb"), blocks(F.col("m") - F.col("major.m"), F.col("all") - F.col("major.all")).alias("nb")
+    )
+    if frequent is None:
+        mixed = mixed.withColumn("part", F.lit(0).cast("long"))
+    else:  # a row for each part of a frequent key
+        mixed = mixed.join(F.broadcast(frequent), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    members = labelled.join(stored(mixed, "minhash-mixed"), ["key", "part"]).drop("part")
+    # blocks of the largest component come first; no two of them meet
+    is_major, mb, nb, at = F.col("component") == F.col("major"), F.col("mb"), F.col("nb"), F.xxhash64("node")
+    own = F.when(is_major, F.pmod(at, mb)).otherwise(mb + F.pmod(at, nb)).cast("int")
+    others = F.sequence(F.when(is_major, mb).otherwise(F.lit(0)), mb + nb - 1)
+    placed = members.withColumn("own", own).withColumn("other", F.explode(others)).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "n", "own")
+    by_bits = placed.join(sets.select("node", "bits"), "node")
+    likely = stored(by_bits.groupBy("key", "i", "j").applyInPandas(lambda pdf: likely_members(pdf, percent), "key long, i int, j int, node long, component long, own int"), "minhash-likely")
+    ids = stored(likely.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
+    texts = keep_ids(rows, ids, "doc_id").select(F.col("doc_id").alias("node"), "text")
+    full = likely.join(keep_ids(sets.select(F.col("node").alias("doc_id"), "n", "bits", "bands"), ids, "doc_id").withColumnRenamed("doc_id", "node"), "node").join(texts, "node")
+    found = stored(full.groupBy("key", "i", "j").applyInPandas(lambda pdf: link_block(pdf, words, percent), "a long, b long").distinct(), "minhash-rest")
+    forget(labelled), forget(likely)
+    return found
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id that links reach), kept.
 
     Texts are linked if percent / 100 of the union of their sets of word shingles is in both. A text with fewer
     words is one shingle; without words (or null) it is linked with nothing. A row without an id is linked with
     nothing and kept. Rows of one id are one document, linked by any of its texts. An empty table gives no
-    rows. Only id_col (an integer) and text_col are read.
+    rows. Very long texts are cut into shingles alone, one by one. Only id_col (an integer; other types are an error) and
+    text_col are read, so other columns of any name do no harm.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be an integer")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    threshold = percent / 100
     sketched = stored(sketch(rows, words), "minhash-sketch")
     usable = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    sets = stored(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), "s.bits", "s.bands"), "minhash-sets")
-    nodes = sets.select("node", "n", "bits", "bands")
-    placed = sets.select("node", F.posexplode("bands").alias("band", "key"))
-
-    rank = F.xxhash64("node", F.col("band") % PERMUTATIONS)
-    leaders = placed.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.col("lead.node").alias("lead"), "m")
-    led = placed.join(leaders, "key").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    likely = stored(_likely(led, nodes, threshold), "minhash-led")
-    links = stored(_confirmed(likely, rows, words, percent), "minhash-links")
+    of_digest = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands")).alias("s"), F.count(F.lit(1)).alias("docs"))
+    sets = stored(of_digest.select("digest", "docs", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), "s.bits", "s.bands"), "minhash-sets")
+    buckets, frequent = _buckets(sets)
+    likely = stored(_likely(_led_pairs(buckets, frequent), sets, percent / 100), "minhash-led")
+    links = _star_links(likely, rows, words, percent)
     found = stored(connected_components(links), "minhash-components")
-
-    labelled = placed.join(found, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2").select("key")
-    members = stored(labelled.join(mixed, "key").join(nodes, "node"), "minhash-members")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    room = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).select("key", blocks.alias("blocks"))
-    placed = members.join(room, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ids = stored(members.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
-    texts = stored(keep_ids(rows, ids, "doc_id").select(F.col("doc_id").alias("node"), "text"), "minhash-texts")
-    grid = placed.select("key", "band", "node", "component", "n", "bits", "bands", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "node")
-    rest = stored(grid.groupBy("key", "i", "j").applyInPandas(lambda pdf: link_block(pdf, words, percent), "a long, b long").distinct(), "minhash-rest")
+    rest = _rest_links(buckets, frequent, sets, found, rows, words, percent)
     if not rest.isEmpty():
-        found = stored(connected_components(links.union(rest)), "minhash-components")
+        found = stored(connected_components(links.unionByName(rest)), "minhash-components")
+    forget(buckets), forget(likely)
 
-    of_set = sets.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.expr("doc_id IS NULL OR doc_id = coalesce(component_id, doc_id)").alias("kept"))
+    of_set = stored(sets.select("digest", "docs", "node").join(found, "node", "left").select("digest", "docs", F.coalesce("component", "node").alias("component_id")), "minhash-of-set")
+    some = join_groups(sketched.select("doc_id", "n_shingles", "digest").filter("digest IS NOT NULL AND doc_id IS NOT NULL"), of_set, "digest", "docs")
+    none = sketched.filter("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = some.select("doc_id", "n_shingles", "component_id").unionByName(none)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +407,16 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the near-duplicates of documents with smaller ids."""
-    gone = near_duplicates(docs, words, percent).filter("NOT kept").select("doc_id").distinct()
-    return drop_ids(docs, stored(gone, "minhash-gone"), "doc_id")
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id (null last).
+
+    Rows count one by one, so that rows that share an id, or have none, are told apart. Texts without words all stay.
+    """
+    row = "helixframe_row"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
+    found = stored(near_duplicates(numbered, words, percent, id_col=row), "minhash-found")
+    linked = found.filter("NOT kept").select("component_id").distinct()
+    members = found.select(F.col("doc_id").alias(row), "component_id").join(linked, "component_id")
+    ranked = members.join(numbered.select(row, "doc_id"), row).select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row).alias("rank"))
+    stays = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{row}").alias(row))
+    gone = members.select(row).join(stays, row, "left_anti")
+    return drop_ids(numbered, stored(gone, "minhash-gone"), row).drop(row)
