@@ -28,7 +28,7 @@ BANDS, ROWS = 40, 5
 K = BANDS * ROWS
 B = 4  # low bits that are kept of each minimum
 SIGMAS = 5.0  # standard errors that an estimate may lie below the threshold
-BLOCK, BLOCK_SHINGLES = 4096, 2_000_000  # members of a bucket (and shingles of them) that are compared with as many others at once
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # members of a bucket (and shingles of them) that are compared with as many others at once
 SLICE = 1 << 20  # bytes of text that are cut into shingles at once
 STEP = 64  # pairs that are confirmed at once, the likeliest first
 PERMUTATIONS = 4  # leaders differ between bands
@@ -46,7 +46,7 @@ for _b in range(65, 91):  # A-Z count as a-z
 _POWERS = np.cumprod(np.full(1 << 12, np.uint64(0xD1342543DE82EF95)))
 _A, _X = _R.integers(1, 1 << 32, K, np.uint64).astype(np.uint32) | np.uint32(1), _R.integers(0, 1 << 32, K, np.uint64).astype(np.uint32)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
-_ZERO_PARTS = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
+_LOWEST = np.uint64(0x1111111111111111)  # the lowest bit of each B bits
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -123,13 +123,30 @@ def pack_bits(m: np.ndarray) -> np.ndarray:
     return low[:, ::2] << 4 | low[:, 1::2]
 
 
+def as_words(bits: np.ndarray) -> np.ndarray:
+    """Packed bits, a row for each set, as 64-bit words; what fills the last word is equal in all rows."""
+    return np.pad(bits, [(0, 0)] * (bits.ndim - 1) + [(0, -bits.shape[-1] % 8)]).view(np.uint64)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity from packed bits; two unequal minima agree in their low bits once in 2 ** B."""
-    same = _ZERO_PARTS[a ^ b].sum(axis=-1, dtype=np.int64) / K
+    """Similarity from packed bits (bytes or words), by counting bits; two unequal minima agree in their low bits once in 2 ** B."""
+    x = a ^ b if a.dtype == np.uint64 else as_words(a ^ b)
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    same = 1 - np.bitwise_count(x & _LOWEST).sum(axis=-1, dtype=np.int64) / K
     chance = 2.0**-B
     return (same - chance) / (1 - chance)
 
 
+def shared(one: np.ndarray, sets: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """How many elements each of the sets `which` (sets[at[k]:at[k + 1]], sorted and not empty) has in common with one."""
+    sizes = at[which + 1] - at[which]
+    starts = np.cumsum(sizes) - sizes
+    every = sets[np.repeat(at[which] - starts, sizes) + np.arange(sizes.sum())]
+    place = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    return np.add.reduceat(one[place] == every, starts, dtype=np.int64)
+
+
 def least_estimate(threshold: float) -> float:
     p = threshold + (1 - threshold) * 2.0**-B
     return threshold - SIGMAS * float(np.sqrt(p * (1 - p) / K)) / (1 - 2.0**-B)
@@ -168,8 +185,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(f"bits_{s}").to_pylist()), np.uint8).reshape(len(batch), -1) for s in "ab")
-            near = estimate(a, b)
+            near = estimate(*(np.frombuffer(b"".join(batch.column(f"bits_{s}").to_pylist()), np.uint8).reshape(len(batch), K * B // 8) for s in "ab"))
             keep = np.flatnonzero(near >= least)
             yield batch.select(["a", "b"]).take(pa.array(keep)).append_column("near", pa.array(near[keep]))
 
@@ -189,10 +205,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
                 a, a_at = shingle_sets(*text_bytes(part.column("text_a")), words)
                 b, b_at = shingle_sets(*text_bytes(part.column("text_b")), words)
                 keep = []
-                for i in range(len(part)):
-                    x, y = a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= percent * (len(x) + len(y) - both):
+                for i in np.flatnonzero((np.diff(a_at) > 0) & (np.diff(b_at) > 0)):
+                    x, y = a_at[i + 1] - a_at[i], b_at[i + 1] - b_at[i]
+                    both = int(shared(a[a_at[i] : a_at[i + 1]], b, b_at, np.array([i]))[0])
+                    if both and 100 * both >= percent * (x + y - both):
                         keep.append(i)
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -205,61 +221,60 @@ def _sets_by_slices(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([s for s, _ in found]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in found]))])
 
 
-def _differing(part: np.ndarray, n: np.ndarray, own: np.ndarray, bits: np.ndarray, threshold: float, across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For a member of one block after the other: the members after it in other components that may be linked with it, and their estimates.
-
-    part may change meanwhile. In a group of two blocks, only pairs across them count.
-    """
-    least = least_estimate(threshold)
-    for x in range(len(part) - 1):
-        y = x + 1 + np.flatnonzero(part[x + 1 :] != part[x])
-        y = y[(np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x])) & ((own[y] != own[x]) | (not across))]
-        near = estimate(bits[y], bits[x]) if len(y) else np.empty(0)
-        if len(some := np.flatnonzero(near >= least)):
-            yield x, y[some], near[some]
-
-
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    node, part, n, own = (pdf[c].to_numpy(np.int64).copy() for c in ("node", "component", "n", "own"))
-    return node, part, n, own, np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1)
+class _Group:
+    """Members of one or two blocks of a bucket, those of small components first, as they have the fewest pairs after them."""
+
+    def __init__(self, pdf: pd.DataFrame, percent: int):
+        sizes = pdf["component"].map(pdf["component"].value_counts())
+        self.pdf = pdf = pdf.assign(_size=sizes).sort_values(["_size", "component", "node"])
+        self.node, self.part, self.n, self.own = (pdf[c].to_numpy(np.int64).copy() for c in ("node", "component", "n", "own"))
+        self.bits = as_words(np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1))
+        self.bands = np.stack(pdf["bands"].to_list())
+        self.band = int((self.bands[0] == pdf["key"].iloc[0]).argmax())
+        self.across = bool(pdf["i"].iloc[0] != pdf["j"].iloc[0])  # of two blocks: only pairs across them count
+        self.threshold, self.least = percent / 100, least_estimate(percent / 100)
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """For one member after the other: those after it in other components that may be linked with it, the likeliest first.
+
+        Components may change meanwhile. A pair that shares an earlier band is left to that.
+        """
+        for x in range(len(self.node) - 1):
+            y = x + 1 + np.flatnonzero(self.part[x + 1 :] != self.part[x])
+            y = y[(np.minimum(self.n[y], self.n[x]) >= self.threshold * np.maximum(self.n[y], self.n[x])) & ((self.own[y] != self.own[x]) | (not self.across))]
+            if not len(y):
+                continue
+            near = estimate(self.bits[y], self.bits[x])
+            y, near = y[near >= self.least], near[near >= self.least]
+            mine = (self.bands[y] == self.bands[x]).argmax(axis=1) == self.band
+            if mine.any():
+                yield x, y[mine][np.argsort(-near[mine], kind="stable")]
 
 
 def likely_members(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Of a group of one or two blocks of a bucket: the members that by sizes and bits may be linked with one of another component."""
-    sizes = pdf["component"].map(pdf["component"].value_counts())
-    pdf = pdf.assign(_size=sizes).sort_values(["_size", "node"])  # small components first: they have the fewest pairs after them
-    node, part, n, own, bits = _arrays(pdf)
-    found, across = np.zeros(len(pdf), bool), pdf["i"].iloc[0] != pdf["j"].iloc[0]
-    for x, y, _ in _differing(part, n, own, bits, percent / 100, across):
-        found[x] = True
-        found[y] = True
-    out = pdf[found][["key", "i", "j", "node", "component", "own"]]
-    return out.reset_index(drop=True)
+    """The members of a group that by sizes and bits may be linked with one of another component."""
+    group = _Group(pdf, percent)
+    found = np.zeros(len(pdf), bool)
+    for x, y in group.pairs():
+        found[x] = found[y] = True
+    return group.pdf[found][["key", "i", "j", "node", "component", "own"]].reset_index(drop=True)
 
 
 def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
-    """Links (a, b) that join the components of such a group; a pair that shares an earlier band is left to that.
+    """Links (a, b) that join the components of a group, whose members have their texts.
 
-    Members of small components come first, and a member is held against others with the likeliest first, until
-    their components are one: what is emitted is at most a link for each component, though every pair of
-    components is either joined or compared in full.
+    A member is held against others until their components are one: what is emitted is at most a link for each
+    component, though every pair of components is either joined or compared in full.
     """
     only()
-    pdf = pdf.drop_duplicates(["node", "text"])
-    sizes = pdf["component"].map(pdf["component"].value_counts())
-    pdf = pdf.assign(_size=sizes).sort_values(["_size", "component", "node"])
-    node, part, n, own, bits = _arrays(pdf)
-    bands = np.stack(pdf["bands"].to_list())
-    band = (bands[0] == pdf["key"].iloc[0]).argmax()
-    sets, at = _sets_by_slices(pdf["text"], words)
-    across, out = pdf["i"].iloc[0] != pdf["j"].iloc[0], []
-    for x, y, near in _differing(part, n, own, bits, percent / 100, across):
-        mine = (bands[y] == bands[x]).argmax(axis=1) == band
-        y = y[mine][np.argsort(-near[mine], kind="stable")]
+    group, out = _Group(pdf.drop_duplicates(["node", "text"]), percent), []
+    sets, at = _sets_by_slices(group.pdf["text"], words)
+    node, part = group.node, group.part
+    for x, y in group.pairs():
         one = sets[at[x] : at[x + 1]]
         while len(y):
             now, y = y[:STEP], y[STEP:]
-            both = np.array([np.isin(sets[at[k] : at[k + 1]], one, assume_unique=True).sum() for k in now])
+            both = shared(one, sets, at, now)
             for k in now[100 * both >= percent * (len(one) + at[now + 1] - at[now] - both)]:
                 if part[k] != part[x]:
                     out.append((min(node[x], node[k]), max(node[x], node[k])))
@@ -359,11 +374,12 @@ def _rest_links(buckets: DataFrame, frequent: DataFrame | None, sets: DataFrame,
     own = F.when(is_major, F.pmod(at, mb)).otherwise(mb + F.pmod(at, nb)).cast("int")
     others = F.sequence(F.when(is_major, mb).otherwise(F.lit(0)), mb + nb - 1)
     placed = members.withColumn("own", own).withColumn("other", F.explode(others)).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "n", "own")
-    by_bits = placed.join(sets.select("node", "bits"), "node")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # comparing takes long for few bytes, so tasks are not joined
+    by_bits = placed.join(sets.select("node", "bits", "bands"), "node").repartition(tasks, "key", "i", "j")
     likely = stored(by_bits.groupBy("key", "i", "j").applyInPandas(lambda pdf: likely_members(pdf, percent), "key long, i int, j int, node long, component long, own int"), "minhash-likely")
     ids = stored(likely.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
     texts = keep_ids(rows, ids, "doc_id").select(F.col("doc_id").alias("node"), "text")
-    full = likely.join(keep_ids(sets.select(F.col("node").alias("doc_id"), "n", "bits", "bands"), ids, "doc_id").withColumnRenamed("doc_id", "node"), "node").join(texts, "node")
+    full = likely.join(keep_ids(sets.select(F.col("node").alias("doc_id"), "n", "bits", "bands"), ids, "doc_id").withColumnRenamed("doc_id", "node"), "node").join(texts, "node").repartition(tasks, "key", "i", "j")
     found = stored(full.groupBy("key", "i", "j").applyInPandas(lambda pdf: link_block(pdf, words, percent), "a long, b long").distinct(), "minhash-rest")
     forget(labelled), forget(likely)
     return found

@@ -144,3 +144,19 @@ def test_keep_one_each_keeps_columns(docs):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "7", "8", "9", "10", "11", "12", "None"])  # rows that repeat an id are told apart, so one of 10 stays
     assert link_block is minhash.link_block
+
+
+@pytest.mark.parametrize("block", [6, 1024])
+def test_frequent_keys_are_dealt_in_parts(spark, monkeypatch, block):
+    """A bucket of 150 near copies in parts with leaders of their own, beside small families."""
+    monkeypatch.setattr(minhash, "PART", 10)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    rows = list(enumerate(family(rng, 150, words=200, edits=8) + family(rng, 30, edits=16) + family(rng, 9)))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute_near(rows, 2, 80)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
