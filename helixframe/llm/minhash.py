@@ -225,11 +225,12 @@ class _Group:
     """Members of one or two blocks of a bucket, those of small components first, as they have the fewest pairs after them."""
 
     def __init__(self, pdf: pd.DataFrame, percent: int):
-        sizes = pdf["component"].map(pdf["component"].value_counts())
-        self.pdf = pdf = pdf.assign(_size=sizes).sort_values(["_size", "component", "node"])
-        self.node, self.part, self.n, self.own = (pdf[c].to_numpy(np.int64).copy() for c in ("node", "component", "n", "own"))
-        self.bits = as_words(np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1))
-        self.bands = np.stack(pdf["bands"].to_list())
+        node, part = (pdf[c].to_numpy(np.int64) for c in ("node", "component"))
+        _, which, sizes = np.unique(part, return_inverse=True, return_counts=True)
+        self.order = order = np.lexsort((node, part, sizes[which]))  # pandas takes longer for the many small groups
+        self.node, self.part, self.n, self.own = (pdf[c].to_numpy(np.int64)[order] for c in ("node", "component", "n", "own"))
+        self.bits = as_words(np.frombuffer(b"".join(pdf["bits"].to_numpy()[order]), np.uint8).reshape(len(pdf), -1))
+        self.bands = np.stack(pdf["bands"].to_numpy()[order])
         self.band = int((self.bands[0] == pdf["key"].iloc[0]).argmax())
         self.across = bool(pdf["i"].iloc[0] != pdf["j"].iloc[0])  # of two blocks: only pairs across them count
         self.threshold, self.least = percent / 100, least_estimate(percent / 100)
@@ -257,7 +258,7 @@ def likely_members(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     found = np.zeros(len(pdf), bool)
     for x, y in group.pairs():
         found[x] = found[y] = True
-    return group.pdf[found][["key", "i", "j", "node", "component", "own"]].reset_index(drop=True)
+    return pdf[["key", "i", "j", "node", "component", "own"]].iloc[group.order[found]].reset_index(drop=True)
 
 
 def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
@@ -267,8 +268,9 @@ def link_block(pdf: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     component, though every pair of components is either joined or compared in full.
     """
     only()
-    group, out = _Group(pdf.drop_duplicates(["node", "text"]), percent), []
-    sets, at = _sets_by_slices(group.pdf["text"], words)
+    pdf = pdf.drop_duplicates(["node", "text"])
+    group, out = _Group(pdf, percent), []
+    sets, at = _sets_by_slices(pdf["text"].iloc[group.order], words)
     node, part = group.node, group.part
     for x, y in group.pairs():
         one = sets[at[x] : at[x + 1]]

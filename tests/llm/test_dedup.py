@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from helixframe.llm import exact_dedup as exact
 from helixframe.llm import minhash
-from helixframe.llm.exact_dedup import exact_dedup
+from helixframe.llm.exact_dedup import DedupState, exact_dedup
 from helixframe.llm.minhash import connected_components, estimate, keep_one_each, link_block, minima, near_duplicates, pack_bits, shingle_sets, text_bytes
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -41,6 +42,32 @@ def test_exact_dedup_in_micro_batches(spark):
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in found) == [w[:4] for w in brute_exact(rows)]
 
 
+def test_rows_added_to_state_that_is_there(spark, tmp_path):
+    """A second batch, through another object of the same folder, gives what all rows at once give."""
+    rows = [(i, f"text {i % 11}" + " " * (i * 7 % 5)) for i in range(300)]
+    kind, path = "doc_id long, text string", f"file://{tmp_path}/state"
+    for own in (rows[:120], [], rows[120:]):
+        DedupState(spark, path).add(spark.createDataFrame(own, kind).repartition(3))
+    found = DedupState(spark, path).result().select("doc.doc_id", "keep_id", "group_size", "kept", "row_kept").collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in found) == [w[:4] for w in brute_exact(rows)]
+    assert sum(r["row_kept"] for r in found) == 11
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "a b", 1), (None, "ab", 2), (5, "ab", 3), (5, "ab", 3), (5, "cd", 4), (None, "x", 5), (None, "x", 5), (7, None, 6), (8, " ", 7)]
+    found = exact.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string, digest int").repartition(4)).collect()
+    assert sorted(tuple(map(str, r)) for r in found) == sorted([("None", "a b", "1"), ("5", "cd", "4"), ("None", "x", "5"), ("8", " ", "7")])
+
+
+def test_large_groups_are_not_dealt_by_key(spark, monkeypatch):
+    from helixframe.llm import common
+
+    monkeypatch.setattr(common, "HOT_GROUPS", 3)
+    rows = [(i, f"t{i % 5 if i < 60 else i}") for i in range(80)]
+    found = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in found) == [w[:4] for w in brute_exact(rows)]
+
+
 def test_empty(empty):
     assert exact_dedup(empty).count() == 0
     assert near_duplicates(empty).count() == 0
