@@ -17,12 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import drop_ids, forget, join_groups, keep_ids, only, released, sliced, small_batches, stored, table
+from helixframe.llm.common import drop_ids, forget, join_groups, keep_ids, only, released, sliced, small_batches, stored, table, text_bytes
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
@@ -55,15 +54,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts and where each starts (one more than texts); null counts as empty."""
-    texts = pc.fill_null(column, "").cast(pa.large_binary())
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
-
-
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one text after the other, and where each starts."""
     n = len(bounds) - 1

@@ -1,7 +1,7 @@
 """Quality: attention-based multiple-instance learning.
 
-A document is a bag of passages of WORDS words. Each passage is encoded from measures of its bytes and words; gated
-attention weighs the passages, and the document's score is that of the weighted sum of their encodings.
+A document is a bag of passages of WORDS words. Each passage is encoded from its words, hashed to HASHED embeddings that
+are learned, and from measures of its bytes and words; gated attention weighs the passages, and the document's score is that of the weighted sum of their encodings.
 Encoder, gates and classifier are fitted together to document labels; which passages matter is learned.
 """
 
@@ -12,16 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import released, sliced, small_batches, stored, table
+from helixframe.llm.common import released, sliced, small_batches, stored, table, text_bytes
 from helixframe.llm.toxicity import labelled_sample
 
 WORDS = 64
 HIDDEN, GATE = 16, 8
+HASHED = 256
 #: The bounded sample of labelled rows: so many at most, those with the smallest hash of their id.
 MAX_LABELLED = 8_000
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
@@ -37,19 +37,11 @@ for _i, _b in enumerate(_SYMBOLS):
     _KINDS[_b] = 6 + _i
 _KINDS[[9, 11, 12, 32]] = -1
 N_KINDS = 6 + len(_SYMBOLS)
-FEATURES = N_KINDS + 8
+MEASURES = N_KINDS + 8
+FEATURES = MEASURES + HASHED
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _column(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts and where each starts (one more than texts); null counts as empty."""
-    texts = pc.fill_null(batch.column(text_col), "").cast(pa.large_binary())
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
-
-
 def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Measures of each passage, and where each text's passages start (one more than texts). A text has one at least."""
     n = len(bounds) - 1
@@ -64,7 +56,7 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     rank = np.arange(len(starts)) - np.repeat(np.concatenate([[0], np.cumsum(words)])[:-1], words)
     passage = bag_start[doc] + rank // WORDS
     total = int(bag_start[-1])
-    out = np.zeros((total, FEATURES))
+    out = np.zeros((total, FEATURES), np.float32)
     if len(starts):
         size = np.diff(np.append(starts, len(data)))
         cum = np.concatenate([[0], np.cumsum(~white)])
@@ -91,7 +83,9 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
             kinds_of_words / safe, np.bincount(passage, again, total) / safe, mean, np.sqrt(np.maximum(np.bincount(passage, length**2, total) / safe - mean**2, 0)),
             np.bincount(passage, length <= 1, total) / safe, np.log1p(n_words), np.bincount(passage, length > 20, total) / safe, np.log1p(np.repeat(words, bags)),
         )
-        out[:, N_KINDS:] = np.column_stack(extra)
+        out[:, N_KINDS:MEASURES] = np.column_stack(extra)
+        bucket = (hashes >> np.uint64(64 - HASHED.bit_length() + 1)).astype(np.int64)
+        out[:, MEASURES:] = np.sqrt(np.bincount(passage * HASHED + bucket, minlength=total * HASHED).reshape(total, HASHED) / safe[:, None])
     return out, bag_start
 
 
@@ -136,7 +130,7 @@ class AttentionModel:
             self.p["c"] *= 0
             return self
         every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(axis=0), np.maximum(every.std(axis=0), 1e-3)
+        self.mean, self.scale = every.mean(axis=0, dtype=np.float64), np.maximum(every.std(axis=0, dtype=np.float64), 1e-2)
         base = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.p["b"][:] = np.log(base / (1 - base))
         r, step = np.random.default_rng(5), 0
@@ -167,8 +161,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                x, start = passages(*_column(part, "text"))
-                packed = [x[a:b].astype(np.float32).tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
+                x, start = passages(*text_bytes(part.column("text")))
+                packed = [x[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "passages"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
@@ -176,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:  # one task: of at most `bound` rows
         pdf = pdf.sort_values(["doc_id", "label"])
-        bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(np.float64) for b in pdf["passages"]]
+        bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in pdf["passages"]]
         model = AttentionModel().fit(bags, pdf["label"].to_numpy(float))
         parts = model.p | {"mean": model.mean, "scale": model.scale}
         return pd.DataFrame({"name": list(parts), "value": [x.ravel().tolist() for x in parts.values()]})
@@ -193,7 +187,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -
 def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1; one row per row, all columns kept (score_col replaces one of its name).
 
-    Null and empty texts are one empty passage. Nothing is shuffled.
+    Null and empty texts are one empty passage, equal texts get equal scores; a very long text is scored with all its
+    passages. An empty table gives no rows. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
@@ -203,7 +198,7 @@ def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             for part in sliced(batch, text_col):
-                x, start = passages(*_column(part, text_col))
+                x, start = passages(*text_bytes(part.column(text_col)))
                 yield part.append_column(score_col, pa.array(shared.value.forward(x, start)["score"], pa.float64()))
 
     return docs.mapInArrow(score, schema)

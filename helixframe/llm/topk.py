@@ -22,15 +22,16 @@ BLOCK_QUERIES = 4096
 LEAST_BLOCKS = 12  # candidate blocks even for a small table, so that all cores work
 CHUNK = 1024  # candidates that are scored at once
 STEP = 16  # dimensions in a block
+EXACT = 2.0**26  # scores of vectors of smaller norms are exact in doubles
+LEAST, MOST = -(1 << 63), (1 << 63) - 1  # of a long
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id and floor(256 * x) of each component; rows with a null, NaN or infinite component or null vector go."""
-    x = F.col(vector_col)
-    usable = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.filter(usable).select(
-        F.col(id_col).alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(256.0) * c.cast("double")).cast("double")).alias("v")
-    )
+    """id and floor(256 * x) of each component as a double; rows with a null vector, or a component that is null or whose 256-fold is not finite, go."""
+    x = F.transform(F.col(vector_col), lambda c: F.lit(256.0) * c.cast("double"))
+    usable = F.col(vector_col).isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    whole = lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c)  # noqa: E731  # larger doubles are whole, and may be beyond a long
+    return vectors.filter(usable).select(F.col(id_col).alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +40,28 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best candidates of each query: exact, ties to the smaller id; vectors without dimensions score 0."""
+    """(query, candidate, score) with the k best candidates of each query at least: exact, ties to the smaller id; vectors without dimensions score 0."""
+    big_q, big_c = (np.sqrt((x * x).sum(axis=1)) >= EXACT for x in (q, c))
+    out = _search_exact(q_ids[big_q], q[big_q], c_ids, c, k) + _search_exact(q_ids[~big_q], q[~big_q], c_ids[big_c], c[big_c], k)
+    return out + _search(q_ids[~big_q], q[~big_q], c_ids[~big_c], c[~big_c], k)
+
+
+def _search_exact(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """In whole numbers of any size, for the few vectors that want it; scores beyond a long count as its ends."""
+    if not len(q_ids) or not len(c_ids):
+        return []
+    whole = lambda x: np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+    q, c = whole(q), whole(c)
+    out = []
+    for i, own in zip(q_ids.tolist(), q, strict=True):
+        best = sorted((-min(max(s, LEAST), MOST), j) for s, j in zip((c * own).sum(axis=1), c_ids.tolist(), strict=True) if j != i)[:k]
+        out += [(i, j, -s) for s, j in best]
+    return out
+
+
+def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    if not len(q_ids) or not len(c_ids):
+        return []
     dims = c.shape[1]
     order = np.argsort(-(c * c).sum(axis=0), kind="stable")  # heavy dimensions first: bounds close sooner
     q, columns = q[:, order], np.ascontiguousarray(c[:, order].T)
@@ -71,12 +93,22 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     return out
 
 
+def one_each(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A vector for each id: the least, component by component."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, v
+    order = np.lexsort((*v.T[::-1], ids))
+    first = np.concatenate([[True], ids[order][1:] != ids[order][:-1]])
+    return ids[order][first], v[order][first]
+
+
 def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """queries and candidates: (vec_id, v array<double> of integers). Returns query_id, rank, vec_id, score.
 
     A candidate with the query's own id is left out. Ties go to the smaller id; with fewer than k candidates
     all are returned; without candidates or queries no rows. Vectors are compared only with those of the
-    same number of dimensions; empty ones score 0 with each other. Null ids take no part. Repeated rows count once each.
+    same number of dimensions; empty ones score 0 with each other. Null ids take no part. Of rows that repeat an id
+    with as many dimensions one counts: the least vector, component by component. ids are integers. Scores beyond a long count as its ends.
     """
     keyed = [x.filter("vec_id IS NOT NULL").withColumn("dims", F.size("v")) for x in (queries, candidates)]
     n_q, n_c = keyed[0].count(), keyed[1].count()
@@ -88,7 +120,8 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
-            rows = search_block(left["vec_id"].to_numpy(np.int64), np.stack(left["v"].to_list()), right["vec_id"].to_numpy(np.int64), np.stack(right["v"].to_list()), k)
+            own, others = (one_each(x["vec_id"].to_numpy(np.int64), np.stack(x["v"].to_list())) for x in (left, right))
+            rows = search_block(*own, *others, k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = q.groupBy("qb", "cb", "dims").cogroup(c.groupBy("qb", "cb", "dims")).applyInPandas(search, "query_id long, vec_id long, score long")

@@ -86,15 +86,19 @@ def fit_ftrl(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tupl
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, label) of at most `bound` labelled rows outside the held-out fold."""
+    """(doc_id, label, text) of at most `bound` labelled documents outside the held-out fold, a row for each id.
+
+    Of rows that repeat an id the greatest label and the least text count.
+    """
     own = labels.select("doc_id", F.col(label).cast("double").alias("label")).dropna()
-    own = own.filter(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out)
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # of at most `bound` rows
+    own = own.filter(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
+    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    texts = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # of at most `bound` rows
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """The sample is bounded, so it is one fit in one task at every size of input.
+    """The sample is bounded, so it is one fit in one task at every size of input. Its texts are sent there, which are smaller than their features.
 
     Without labelled rows, or with one class only, the weights are empty and the bias is that class's rate.
     """
@@ -148,7 +152,8 @@ def scorer_of(model: tuple[np.ndarray, np.ndarray, float]) -> Scorer:
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1; one row per row, all columns kept (score_col replaces one of its name).
 
-    Null and empty texts get the score of a document without features. Nothing is shuffled.
+    Null and empty texts get the score of a document without features, equal texts equal scores; a very long text is
+    scored whole and alone. An empty table gives no rows. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)

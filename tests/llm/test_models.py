@@ -11,7 +11,7 @@ from helixframe.llm.html_text import Weights, best_region, container_key, extrac
 from helixframe.llm.langid import Classifier, Model, fit_languages, identify, op6_langid
 from helixframe.llm.quality import AttentionModel, fit_quality, op10_quality, score_quality
 from helixframe.llm.registry import QUERIES
-from helixframe.llm.toxicity import fit_ftrl, fit_toxicity, op5_toxicity, score_toxicity
+from helixframe.llm.toxicity import fit_ftrl, fit_toxicity, labelled_sample, op5_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -71,6 +71,50 @@ def test_language_edge_cases(docs, empty):
     assert Classifier(none).predict([])[0] == []
 
 
+def test_letters_are_those_of_unicode(spark):
+    docs = spark.createDataFrame([(i, t, l) for i in range(60) for t, l in ((f"hello there {'abc'[i % 3]}", "en"), (f"hola amigo {'abc'[i % 3]}", "es"))], "doc_id long, text string, lang string")
+    model = fit_languages(docs)
+    asked = spark.createDataFrame([(1, "½ ²"), (2, "①②"), (3, "Ⅷ _ 12"), (4, "ª 1"), (5, "hola"), (6, "\u0301")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in identify(asked, model).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True}
+
+
+def test_more_languages_than_any_cap(spark):
+    words = [f"{a}{b}{c}" for a in "bcdfghjk" for b in "aeiouyäö" for c in "lmnprstvwxz"][:700]
+    rows = [(i * 3 + k, f"{w} {w}{w} {w}", w) for i, w in enumerate(words) for k in range(3)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known = {w for i, w in enumerate(words) if any(fold(i * 3 + k, 4) != 2 for k in range(3))}
+    assert set(model.languages) == known and len(known) > 512
+    names = Classifier(model).predict([f"{w} {w}{w} {w}" for w in sorted(known)])[0]
+    assert names == sorted(known)
+
+
+def test_discounts_are_of_each_language():
+    grams = {n: {(0, "a" * n): 9, (0, "b" * n): 1, (0, "c" * n): 2} for n in range(1, 5)}
+    alone = Model(["x"], grams).word_scores(["ab", "cc"])[:, 0]
+    other = {n: own | {(1, chr(100 + i) * n): 1 for i in range(20)} for n, own in grams.items()}
+    assert np.allclose(Model(["x", "y"], other).word_scores(["ab", "cc"])[:, 0], alone)
+
+
+def test_labelled_rows_are_at_most_the_bound(spark):
+    docs = spark.createDataFrame([(i // 3, f"text {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 100, i % 2) for i in range(250)], "doc_id long, toxic int")
+    for bound, n in ((1, 1), (7, 7), (1000, sum(fold(i, 4) != 2 for i in range(100)))):
+        rows = labelled_sample(docs, labels, "toxic", 4, 2, bound).collect()
+        assert len(rows) == len({r["doc_id"] for r in rows}) == n
+        assert all(r["text"] == min(f"text {3 * r['doc_id'] + k}" for k in range(3)) for r in rows)
+
+
+def test_words_reach_the_quality_model(spark):
+    """Texts of equal shape that differ in words only."""
+    rng = np.random.default_rng(5)
+    good, bad = [f"k{i:03}" for i in range(40)], [f"q{i:03}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 80))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int"))
+    held = [(r["doc_id"], r["score"]) for r in score_quality(docs, model).collect() if fold(r["doc_id"], 5) == 0]
+    assert area(np.array([i % 2 for i, _ in held]), np.array([s for _, s in held])) > 0.95
+
+
 def test_toxicity_edge_cases(spark, docs, empty):
     labels = spark.createDataFrame([(4, 1, 1), (7, 1, 0), (1, None, None), (99, 1, 1), (10, 0, 1)], "doc_id long, quality int, toxic int")
     for own in (labels, labels.limit(0)):

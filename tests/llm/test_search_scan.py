@@ -18,8 +18,10 @@ def brute_topk(q_ids, q, c_ids, c, k):
     return out
 
 
+@pytest.mark.parametrize("chunk", [7, 1024])
 @pytest.mark.parametrize("dims", [1, 5, 64, 100])
-def test_search_block(dims):
+def test_search_block(dims, chunk, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", chunk)
     rng = np.random.default_rng(dims)
     c = rng.integers(-3 if dims < 10 else -256, 4 if dims < 10 else 256, (3000, dims)).astype(float)
     c[100:200] = c[0]  # ties
@@ -27,7 +29,7 @@ def test_search_block(dims):
     assert sorted(search_block(ids[:40], c[:40], ids, c, 5)) == sorted(brute_topk(ids[:40], c[:40], ids, c, 5))
 
 
-def test_exact_topk(spark, monkeypatch):
+def test_exact_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.1, 32)]) for i in range(400)]
     rows += [(400, None), (401, [float("nan")] * 32), (402, [float("inf")] + [0.0] * 31), (450, [None] + [0.1] * 31), (None, [0.1] * 32)]
@@ -40,7 +42,16 @@ def test_exact_topk(spark, monkeypatch):
     for q in range(0, 400, 50):
         own = sorted((r["rank"], -r["score"], r["vec_id"]) for r in found if r["query_id"] == q)
         assert [r[0] for r in own] == [1, 2, 3, 4, 5] and own == sorted(own, key=lambda r: r[1:])
-    monkeypatch.setattr(topk, "CHUNK", 7)
+
+
+def test_repeated_ids_and_large_components(spark):
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 1.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [1e18, 0.0]), (5, [3e18, 0.0]), (6, [-3e18, 1.0]), (7, [0.5, 1e9])]
+    vectors = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = sorted(tuple(r) for r in exact_topk(vectors.filter("vec_id = 0"), vectors, 9).collect())
+    one = {3: (256, 0), 4: (int(256e18), 0), 5: (int(768e18), 0), 6: (-int(768e18), 256), 7: (128, 256 * 10**9)}
+    score = {i: max(min(256 * (a + b), (1 << 63) - 1), -(1 << 63)) for i, (a, b) in one.items()}
+    want = sorted((-s, i) for i, s in score.items())
+    assert [(r[1], r[2], r[3]) for r in found] == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
 
 
 def test_few_or_no_candidates(spark):
