@@ -101,6 +101,16 @@ def create_annotations(reference: ReferencePanel, values: DataFrame, names: Sequ
     return AnnotationPanel(reference, own, tuple(Column(n, b, m) for n, b, m in zip(names, kinds, metadata or [""] * len(names), strict=True)))
 
 
+def create_annotation(reference: ReferencePanel, values: DataFrame, name: str, is_binary: bool | None = None, metadata: str = "") -> AnnotationPanel:
+    """One column from values: snp_idx, value; variants without a row are 0. Each row is of a variant of the axis, each once."""
+    own = values.join(reference.indexed().select("snp_idx", "chr", "local_idx"), "snp_idx", "left")
+    found = own.agg(F.count_if(F.col("chr").isNull()).alias("rows off the axis"), (F.count(F.lit(1)) - F.count_distinct("snp_idx") - F.count_if(F.col("snp_idx").isNull())).alias("repeated rows")).first()
+    for what, n in found.asDict().items():
+        if n:
+            raise ValueError(f"create_annotation: {n} {what}")
+    return create_annotations(reference, own.withColumn("anno_id", F.lit(0)), [name], None if is_binary is None else [is_binary], [metadata])
+
+
 def _stem(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return name.rsplit(".", 1)[0] if "." in name else name

@@ -62,12 +62,6 @@ def is_no_number(token: Column) -> Column:
     return token.isNotNull() & ~token.isin(*MISSING) & token.try_cast("double").isNull()
 
 
-def call_of(packed: Column, sample: Column) -> Column:
-    """Call of a sample (from 0) in a packed row of two bits each: 0, 1 or 2 copies, -1 where missing."""
-    byte = F.conv(F.hex(F.substring(packed, (F.floor(sample / 4) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return two_bit_call(F.expr("0") + byte.bitwiseAND(F.lit(255)), sample % 4)
-
-
 def two_bit_call(byte: Column, place: Column) -> Column:
     """Call at place 0 to 3 of a byte (0 to 255): 00 is 2, 01 missing (-1), 10 is 1, 11 is 0."""
     bits = F.floor(byte / F.pow(F.lit(4), place)).cast("int") % 4

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +22,39 @@ _PERSON = ("fid", "iid", "father_id", "mother_id", "sex")
 
 @dataclass(frozen=True)
 class Source:
-    """One BED file: its size, and for each sample of its own axis the sample of the panel's."""
+    """One BED file and its size."""
 
     path: str
     n_snp: int
     n_sample: int
-    sample_map: tuple[int, ...]  # panel's sample_idx by source row
 
 
 @dataclass(frozen=True)
 class GenotypePanel:
-    """mapped: chr, local_idx, snp_idx, source_row0, ploidy_male, ploidy_female (null where a variant isn't in the source)."""
+    """mapped: chr, local_idx, snp_idx, source_row0, ploidy_male, ploidy_female (null where a variant isn't in the source).
+
+    samples: sample_idx, fid, iid, father_id, mother_id, sex. subjects: chr, place (row of the shard's FAM), sample_idx.
+    """
 
     reference: ReferencePanel
     mapped: DataFrame
     samples: DataFrame
+    subjects: DataFrame
     sources: dict[str, Source]
     sharded: bool
 
+    def is_male(self) -> DataFrame:
+        return self.samples.select("sample_idx", (F.col("sex") == 1).alias("is_male"))
+
+    def is_female(self) -> DataFrame:
+        return self.samples.select("sample_idx", (F.col("sex") == 2).alias("is_female"))
+
+    def is_subject_present(self, label: str) -> DataFrame:
+        """(sample_idx, is_present): whether a sample is in the source of a shard."""
+        check_request([label], self.reference.labels, "GenotypePanel.is_subject_present")
+        own = self.subjects.filter(F.col("chr") == label).select("sample_idx", F.lit(True).alias("there"))
+        return self.samples.select("sample_idx").join(own, "sample_idx", "left").select("sample_idx", F.col("there").isNotNull().alias("is_present"))
+
     def is_present(self) -> DataFrame:
         return self.mapped.select("chr", "local_idx", "snp_idx", F.col("source_row0").isNotNull().alias("is_present"))
 
@@ -45,7 +62,7 @@ class GenotypePanel:
         wanted = check_request(labels, self.reference.labels, "GenotypePanel.select_shards")
         own = self.reference.select_shards(wanted)
         mapped = self.mapped.drop("snp_idx").join(own.indexed().select("chr", "local_idx", "snp_idx"), ["chr", "local_idx"])
-        return GenotypePanel(own, mapped, self.samples, {k: self.sources[k] for k in wanted}, self.sharded)
+        return GenotypePanel(own, mapped, self.samples, self.subjects.filter(F.col("chr").isin(wanted)), {k: self.sources[k] for k in wanted}, self.sharded)
 
     def bed_paths(self, labels: Sequence[str], override: str | None) -> dict[str, str]:
         if override is None:
@@ -58,7 +75,7 @@ class GenotypePanel:
             raise ValueError("one file can stand only for shards of equal size")
         return dict.fromkeys(labels, override)
 
-    def fetch(self, snp_indices: Sequence[int], bed_path: str | None = None, haploid_mode: str = "raw") -> DataFrame:
+    def fetch(self, snp_indices: int | Sequence[int], bed_path: str | None = None, haploid_mode: str = "raw") -> DataFrame:
         """(ord, snp_idx, sample_idx, call, value): a row for each requested variant, in order and with repeats, and each sample.
 
         call is -1 and value null where missing. The request, not the panel, bounds what is read.
@@ -66,8 +83,10 @@ class GenotypePanel:
         if haploid_mode not in ("raw", "ploidy_scaled"):
             raise ValueError("haploid_mode must be raw or ploidy_scaled")
         spark = self.mapped.sparkSession
-        if any(isinstance(i, bool) or not isinstance(i, int) for i in snp_indices):
+        snp_indices = [snp_indices] if isinstance(snp_indices, (int, np.integer)) else list(snp_indices)
+        if any(isinstance(i, bool) or not isinstance(i, (int, np.integer)) for i in snp_indices):
             raise ValueError("indices must be integers")
+        snp_indices = [int(i) for i in snp_indices]
         request = spark.createDataFrame([(k, i) for k, i in enumerate(snp_indices)], "ord long, snp_idx long")
         located = {r["snp_idx"]: r for r in self.mapped.join(F.broadcast(request.select("snp_idx").distinct()), "snp_idx").collect()}
         for i in snp_indices:
@@ -83,11 +102,11 @@ class GenotypePanel:
             source = self.sources[label]
             rows = [r["source_row0"] for r in located.values() if r["chr"] == label]
             packed = unpack_calls(read_bed(spark, path, source.n_sample, source.n_snp, rows), source.n_sample)
-            places = F.array(*(F.lit(i).cast("long") for i in source.sample_map))
-            one = packed.select(F.lit(label).alias("chr"), "source_row0", F.posexplode("calls").alias("at", "call")).withColumn("sample_idx", F.element_at(places, F.col("at") + 1)).drop("at")
+            one = packed.select(F.lit(label).alias("chr"), "source_row0", F.posexplode("calls").alias("at", "call")).withColumn("place", F.col("at").cast("long")).drop("at")
             calls = one if calls is None else calls.unionByName(one)
         if calls is None:
             return every.select("ord", "snp_idx", "sample_idx", F.lit(-1).cast("tinyint").alias("call"), F.lit(None).cast("double").alias("value")).limit(0)
+        calls = calls.join(self.subjects, ["chr", "place"]).drop("place")
         found = every.join(calls, ["chr", "source_row0", "sample_idx"], "left").withColumn("call", F.coalesce("call", F.lit(-1).cast("tinyint")))
         if haploid_mode == "raw":
             value = F.when(F.col("call") >= 0, F.col("call").cast("double"))
@@ -102,9 +121,10 @@ class GenotypePanel:
         """Where calls lie, not the calls."""
         spark = self.mapped.sparkSession
         self.mapped.write.partitionBy("chr").parquet(f"{path}/mapped")
-        self.samples.coalesce(1).write.parquet(f"{path}/samples")
-        rows = [(k, s.path, s.n_snp, s.n_sample, list(s.sample_map), self.sharded) for k, s in self.sources.items()]
-        spark.createDataFrame(rows, "chr string, path string, n_snp long, n_sample long, sample_map array<long>, sharded boolean").coalesce(1).write.parquet(f"{path}/sources")
+        self.samples.write.parquet(f"{path}/samples")
+        self.subjects.write.parquet(f"{path}/subjects")
+        rows = [(k, s.path, s.n_snp, s.n_sample, self.sharded) for k, s in self.sources.items()]
+        spark.createDataFrame(rows, "chr string, path string, n_snp long, n_sample long, sharded boolean").coalesce(1).write.parquet(f"{path}/sources")
 
 
 def map_subjects(source: DataFrame, panel: DataFrame) -> DataFrame:
@@ -115,61 +135,97 @@ def map_subjects(source: DataFrame, panel: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("panel_idx").isNull(), "absent").when(differs, "differs").otherwise("ok")).select(*source.columns, "panel_idx", "status")
 
 
-def same_samples(one: DataFrame, two: DataFrame) -> bool:
-    """Whether two sample tables are equal row by row in order."""
-    cols = ["sample_idx", *_PERSON]
-    joined = one.select(F.struct(*cols).alias("a"), "sample_idx").join(two.select(F.struct(*cols).alias("b"), "sample_idx"), "sample_idx", "full")
-    return joined.filter("NOT (a <=> b)").isEmpty()
+def _checked_samples(fams: DataFrame, first: str, autosomes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """fams: chr and the columns of FAM files, a file for each shard. The samples of the first, and subjects (chr, place, sample_idx) of all."""
+    samples = fams.filter(F.col("chr") == first).drop("chr")
+    theirs = samples.select("sample_idx", F.struct(*_PERSON).alias("theirs"))
+    same = fams.filter(F.col("chr").isin(list(autosomes))).join(theirs, "sample_idx", "left").withColumn("off", ~F.struct(*_PERSON).eqNullSafe(F.col("theirs")))
+    n = samples.count()
+    for r in same.groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.count_if("off").alias("off")).collect():
+        if r["off"] or r["n"] != n:
+            raise ValueError(f"the samples of shard {r['chr']!r} differ")
+    on_x = map_subjects(fams.filter(~F.col("chr").isin(first, *autosomes)), samples)
+    for r in on_x.filter("status <> 'ok'").limit(1).collect():
+        raise ValueError(f"shard {r['chr']!r}: subject ({r['fid']!r}, {r['iid']!r}) {'is not among the samples' if r['status'] == 'absent' else 'differs from the samples'}")
+    same_axis = fams.filter(F.col("chr").isin(first, *autosomes)).select("chr", F.col("sample_idx").alias("place"), "sample_idx")
+    return samples, same_axis.unionByName(on_x.select("chr", F.col("sample_idx").alias("place"), F.col("panel_idx").alias("sample_idx")))
 
 
 def load_genotype(spark: SparkSession, prefix: str, reference: ReferencePanel) -> GenotypePanel:
-    """prefix: of .bim, .fam, .bed and maybe .ploidy files, for all shards or, with @, for each."""
+    """prefix: of .bim, .fam, .bed and maybe .ploidy files, for all shards or, with @, for each. All shards are read together."""
     sharded = "@" in prefix
     at = {k: prefix.replace("@", k) for k in reference.labels}
-    for p in sorted(set(at.values())):
+    every = sorted(set(at.values()))
+    for p in every:
         if missing := [e for e in (".bim", ".fam", ".bed") if not path_exists(spark, p + e)]:
             raise ValueError(f"{p}: no {', '.join(missing)} file")
-    bims, fams = {}, {}
-    for p in sorted(set(at.values())):
-        bim = read_bim(spark, p + ".bim")
-        if path_exists(spark, p + ".ploidy"):
-            ploidy = read_ploidy(spark, p + ".ploidy")
-            if ploidy.count() != bim.count():
-                raise ValueError(f"{p}.ploidy: expected a row for each variant")
-            bims[p] = bim.join(ploidy, "row0")
-        else:
-            bims[p] = default_ploidy(bim)
-            if not sharded and "X" in reference.labels and not bim.filter("chr = 'X'").isEmpty():
-                warnings.warn(f"{prefix}: no .ploidy file; X has ploidy 1 and 2", RuntimeWarning, stacklevel=2)
-        fams[p] = read_fam(spark, p + ".fam").drop("path")
-    autosomes = [k for k in reference.labels if k != "X"]
-    first = at[autosomes[0] if autosomes else reference.labels[0]]
-    samples = fams[first]
-    for k in autosomes if sharded else ():
-        if at[k] != first and not same_samples(fams[at[k]], samples):
-            raise ValueError(f"the samples of shard {k!r} differ")
-    sources, mapped = {}, None
-    for label in reference.labels:
-        p = at[label]
-        own = map_subjects(fams[p], samples).orderBy("sample_idx").collect() if sharded and label == "X" and autosomes else fams[p].orderBy("sample_idx").select(F.col("sample_idx").alias("panel_idx"), F.lit("ok").alias("status"), "fid", "iid").collect()
-        if bad := [r for r in own if r["status"] != "ok"]:
-            raise ValueError(f"{p}.fam: subject ({bad[0]['fid']!r}, {bad[0]['iid']!r}) {'is not among the samples' if bad[0]['status'] == 'absent' else 'differs from the samples'}")
-        sources[label] = Source(p + ".bed", bims[p].count(), len(own), tuple(r["panel_idx"] for r in own))
-        rows, shard = bims[p].filter(F.col("chr") == label), reference.variants.filter(F.col("chr") == label)
-        if not sharded and rows.isEmpty():
+    name = re.escape(prefix.rsplit("/", 1)[-1]).replace("@", "([0-9X]+)")
+    shard = lambda ext: F.regexp_extract("path", rf"(?:^|/){name}\.{ext}$", 1) if sharded else F.lit("")  # noqa: E731  # of a file; empty if one file has all
+
+    bim = read_bim(spark, [f"{p}.bim" for p in every]).withColumn("shard", shard("bim"))
+    with_ploidy = [p for p in every if path_exists(spark, f"{p}.ploidy")]
+    given = read_ploidy(spark, [f"{p}.ploidy" for p in with_ploidy]).withColumn("shard", shard("ploidy")).drop("path") if with_ploidy else None
+    sizes = {r["shard"]: r["count"] for r in bim.groupBy("shard").count().collect()}
+    rows = default_ploidy(bim)
+    if given is not None:
+        for r in given.groupBy("shard").count().collect():
+            if r["count"] != sizes.get(r["shard"], 0):
+                raise ValueError(f"{prefix.replace('@', r['shard'])}.ploidy: expected a row for each variant")
+        own = given.select("shard", "row0", F.col("ploidy_male").alias("m"), F.col("ploidy_female").alias("f"))
+        rows = rows.join(own, ["shard", "row0"], "left").withColumns({"ploidy_male": F.coalesce("m", "ploidy_male"), "ploidy_female": F.coalesce("f", "ploidy_female")})
+    elif not sharded and "X" in reference.labels and not bim.filter("chr = 'X'").isEmpty():
+        warnings.warn(f"{prefix}: no .ploidy file; X has ploidy 1 and 2", RuntimeWarning, stacklevel=2)
+    rows = rows.filter(F.col("chr").isin(*reference.labels) & ((F.col("shard") == "") | (F.col("shard") == F.col("chr"))))
+    check_keys(rows, prefix)
+    there = {r["chr"] for r in rows.select("chr").distinct().collect()}
+    for label in reference.labels if not sharded else ():
+        if label not in there:
             warnings.warn(f"{prefix}: no rows for shard {label!r}; it stays missing", RuntimeWarning, stacklevel=2)
-        check_keys(rows, p)
-        for r in swapped_counts(shard, rows).collect():
-            warnings.warn(f"{p}: shard {label}: {r['n']} unmatched variant(s) would match with alleles exchanged; they stay unmatched", RuntimeWarning, stacklevel=2)
-        found = align(shard, rows.withColumnRenamed("row0", "source_row0"), ["source_row0", "ploidy_male", "ploidy_female"]).select("chr", "local_idx", "source_row0", "ploidy_male", "ploidy_female")
-        mapped = found if mapped is None else mapped.unionByName(found)
-    mapped = mapped.join(reference.indexed().select("chr", "local_idx", "snp_idx"), ["chr", "local_idx"])
-    return GenotypePanel(reference, mapped, samples, sources, sharded)
+    for r in swapped_counts(reference.variants, rows).collect():
+        warnings.warn(f"{prefix}: shard {r['chr']}: {r['n']} unmatched variant(s) would match with alleles exchanged; they stay unmatched", RuntimeWarning, stacklevel=2)
+    found = align(reference.variants, rows.withColumnRenamed("row0", "source_row0"), ["source_row0", "ploidy_male", "ploidy_female"])
+    mapped = found.select("chr", "local_idx", "source_row0", "ploidy_male", "ploidy_female").join(reference.indexed().select("chr", "local_idx", "snp_idx"), ["chr", "local_idx"])
+
+    fams = read_fam(spark, [f"{p}.fam" for p in every]).withColumn("chr", shard("fam")).drop("path")
+    autosomes = [k for k in reference.labels if k != "X"]
+    if sharded:
+        samples, subjects = _checked_samples(fams, autosomes[0] if autosomes else reference.labels[0], autosomes)
+    else:
+        samples = fams.drop("chr")
+        label = F.explode(F.array(*(F.lit(k) for k in reference.labels)))
+        subjects = samples.select(label.alias("chr"), F.col("sample_idx").alias("place"), "sample_idx")
+    n_samples = {r["chr"]: r["count"] for r in fams.groupBy("chr").count().collect()}
+    key = {k: k if sharded else "" for k in reference.labels}
+    sources = {k: Source(f"{at[k]}.bed", sizes.get(key[k], 0), n_samples.get(key[k], 0)) for k in reference.labels}
+    return GenotypePanel(reference, mapped, samples, subjects, sources, sharded)
+
+
+def check_panel(panel: GenotypePanel, where: str) -> None:
+    """Raises unless every shard has a source, each variant of the axis has one row, and subjects are samples, each of a shard's places once."""
+    if missing := [k for k in panel.reference.labels if k not in panel.sources]:
+        raise ValueError(f"{where}: no source for shard {missing[0]!r}")
+    if bad := [k for k, s in panel.sources.items() if s.n_snp < 0 or s.n_sample < 0 or not s.path]:
+        raise ValueError(f"{where}: the source of shard {bad[0]!r} makes no sense")
+    axis = panel.reference.variants.select("chr", "local_idx", F.lit(1).alias("own"))
+    rows = panel.mapped.groupBy("chr", "local_idx").agg(F.count(F.lit(1)).alias("n"), F.max("source_row0").alias("row0"))
+    size = F.create_map(*(F.lit(x) for k, s in panel.sources.items() for x in (k, s.n_snp)))
+    if off := axis.join(rows, ["chr", "local_idx"], "full").filter("own IS NULL OR n IS NULL OR n <> 1").limit(1).collect():
+        raise ValueError(f"{where}: variant {off[0]['local_idx']} of shard {off[0]['chr']!r} isn't there once")
+    if off := rows.filter((F.col("row0") < 0) | (F.col("row0") >= size[F.col("chr")])).limit(1).collect():
+        raise ValueError(f"{where}: shard {off[0]['chr']!r} has a row beyond its source")
+    if not panel.samples.filter("sex IS NULL OR sex NOT IN (0, 1, 2)").isEmpty():
+        raise ValueError(f"{where}: sex must be 0, 1 or 2")
+    known = panel.subjects.join(panel.samples.select("sample_idx", F.lit(1).alias("own")), "sample_idx", "left")
+    for r in known.groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places"), F.count_distinct("sample_idx").alias("samples"), F.count("own").alias("known"), F.max("place").alias("last")).collect():
+        if not r["n"] == r["places"] == r["samples"] == r["known"] == panel.sources[r["chr"]].n_sample or r["last"] >= r["n"]:
+            raise ValueError(f"{where}: subjects of shard {r['chr']!r} are not its samples")
 
 
 def load_genotype_cache(spark: SparkSession, path: str, reference: ReferencePanel, shards: Sequence[str] | None = None) -> GenotypePanel:
+    """reference: the panel of all shards that were saved."""
     mapped = spark.read.parquet(f"{path}/mapped").withColumn("chr", F.col("chr").cast("string"))
     rows = spark.read.parquet(f"{path}/sources").collect()
-    sources = {r["chr"]: Source(r["path"], r["n_snp"], r["n_sample"], tuple(r["sample_map"])) for r in rows}
-    found = GenotypePanel(reference, mapped, spark.read.parquet(f"{path}/samples"), sources, rows[0]["sharded"])
+    sources = {r["chr"]: Source(r["path"], r["n_snp"], r["n_sample"]) for r in rows}
+    found = GenotypePanel(reference, mapped, spark.read.parquet(f"{path}/samples"), spark.read.parquet(f"{path}/subjects"), sources, bool(rows) and rows[0]["sharded"])
+    check_panel(found, path)
     return found if shards is None else found.select_shards(shards)

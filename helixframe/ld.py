@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import logging
@@ -15,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.contigs import CHRX_SEXES, CONTIGS, check_request
-from helixframe.operators.linkage import TOLERANCE, allele_frequency, build_pairs, check_pairs, fast_prune, is_monomorphic, multiply_r2, symmetric, validation
+from helixframe.genotype import GenotypePanel
+from helixframe.operators.linkage import TOLERANCE, allele_frequency, build_pairs, check_pairs, fast_prune, is_monomorphic, multiply_r2, select_samples, symmetric, validation
 from helixframe.reference import ReferencePanel, load_reference_cache
+from helixframe.sources.plink import read_bed, unpack_calls
+from helixframe.sources.text import write_lines
 
 _LOG = logging.getLogger("helixframe")
 _verbosity = "info"
@@ -75,8 +79,8 @@ class LDPanel:
 def ld_manifest(panel: LDPanel) -> DataFrame:
     """(chr, sex, num_snp, nnz, num_monomorphic_snps, reference_checksum) by shard."""
     size = panel.r.groupBy("chr", "sex").agg(F.count(F.lit(1)).alias("nnz"))
-    mono = panel.freq.groupBy("chr", "sex").agg(F.count_if(is_monomorphic(F.col("a1freq"))).alias("num_monomorphic_snps"))
-    joined = size.join(mono, [size["chr"] == mono["chr"], size["sex"].eqNullSafe(mono["sex"])]).drop(mono["chr"], mono["sex"])
+    mono = panel.freq.groupBy(F.col("chr").alias("of_chr"), F.col("sex").alias("of_sex")).agg(F.count_if(is_monomorphic(F.col("a1freq"))).alias("num_monomorphic_snps"))
+    joined = size.join(mono, (F.col("chr") == F.col("of_chr")) & F.col("sex").eqNullSafe(F.col("of_sex"))).drop("of_chr", "of_sex")
     shards = panel.reference.shards().select("chr", "num_snp", F.col("checksum").alias("reference_checksum"))
     return joined.join(F.broadcast(shards), "chr").select("chr", "sex", "num_snp", "nnz", "num_monomorphic_snps", "reference_checksum")
 
@@ -149,8 +153,7 @@ def build_ld(reference: ReferencePanel, calls: DataFrame, window_kb: float = 10_
             raise ValueError("X wants samples of each sex")
         for sex, places in sexes.items():
             check_sex("X", sex)
-            at = F.array(*(F.lit(p) for p in places))
-            parts.append((sex, placed.filter("chr = 'X'").withColumn("calls", F.transform(at, lambda p: F.get("calls", p)))))
+            parts.append((sex, select_samples(placed.filter("chr = 'X'"), places)))
     freq = r = None
     for sex, own in parts:
         f = allele_frequency(own).select("chr", F.lit(sex).cast("string").alias("sex"), "local_idx", F.col("a1freq").cast("float").alias("a1freq"))
@@ -164,6 +167,27 @@ def build_ld(reference: ReferencePanel, calls: DataFrame, window_kb: float = 10_
     return LDPanel(reference, r, freq, "female" if "female" in found or not found else found[0], found)
 
 
+def build_ld_from_genotype(panel: GenotypePanel, window_kb: float = 10_000, least_r2: float = 0.05, allow_monomorphic: bool = False, chrx_sexes: Sequence[str] = ("female",)) -> LDPanel:
+    """From the BED files of a panel: its variants that are there, on the panel's own axis. X is built for each of the sexes that are asked for."""
+    spark = panel.mapped.sparkSession
+    present = panel.mapped.filter("source_row0 IS NOT NULL").select("chr", "local_idx", "source_row0")
+    if missing := panel.mapped.filter("source_row0 IS NULL").limit(1).collect():
+        raise ValueError(f"variant {missing[0]['snp_idx']} is not in the genotype source")
+    calls = None
+    for source in {panel.sources[k] for k in panel.reference.labels}:
+        labels = [k for k in panel.reference.labels if panel.sources[k] == source]
+        rows = unpack_calls(read_bed(spark, source.path, source.n_sample, source.n_snp), source.n_sample)
+        own = present.filter(F.col("chr").isin(labels)).join(rows, "source_row0").select("chr", "local_idx", "calls")
+        calls = own if calls is None else calls.unionByName(own)
+    sexes = None
+    if "X" in panel.reference.labels:
+        on_x = panel.subjects.filter("chr = 'X'").join(panel.samples.select("sample_idx", "sex"), "sample_idx")
+        code = {"male": [1], "female": [2], "combined": [1, 2]}
+        places = {s: [r["place"] for r in on_x.filter(F.col("sex").isin(code[s])).select("place").orderBy("place").collect()] for s in chrx_sexes}
+        sexes = places  # numbers of samples: no larger than one row of calls
+    return build_ld(panel.reference, calls, window_kb, least_r2, allow_monomorphic, sexes)
+
+
 def panel_from_pairs(reference: ReferencePanel, pairs: DataFrame, freq: DataFrame, sexes: Sequence[str] = ()) -> LDPanel:
     """pairs: chr, sex, i, j, r of one triangle; freq: chr, sex, local_idx, a1freq."""
     r = None
@@ -177,29 +201,63 @@ def panel_from_pairs(reference: ReferencePanel, pairs: DataFrame, freq: DataFram
     return LDPanel(reference, r, freq, "female" if "female" in sexes or not sexes else sexes[0], tuple(sexes))
 
 
+#: Fixed values of the format: types of a shard's arrays.
+NPZ_TYPES = {"data": "float32", "indices": "int32", "indptr": "int32", "shape": "int64", "a1freq": "float32", "metadata": "uint8"}
+ENTRIES = 1_000_000  # of a shard that are handed on at once
+
+
+def _open_npz(path: str, content: bytes) -> tuple[dict[str, np.ndarray], dict]:
+    z = np.load(io.BytesIO(content), allow_pickle=False)
+    if missing := [k for k in NPZ_TYPES if k not in z.files]:
+        raise ValueError(f"{path}: no array {missing[0]!r}")
+    arrays = {k: z[k] for k in NPZ_TYPES}
+    if bad := [k for k, t in NPZ_TYPES.items() if arrays[k].dtype != t]:
+        raise ValueError(f"{path}: {bad[0]} must be {NPZ_TYPES[bad[0]]}")
+    n, indptr = len(arrays["a1freq"]), arrays["indptr"]
+    if arrays["shape"].tolist() != [n, n] or len(indptr) != n + 1 or indptr[0] != 0 or (np.diff(indptr) < 0).any() or not len(arrays["indices"]) == len(arrays["data"]) == indptr[-1]:
+        raise ValueError(f"{path}: not a square shard of {n} variants")
+    meta = json.loads(bytes(arrays["metadata"]).decode())
+    if meta["matrix"] != "symmetric":
+        raise ValueError(f"{path}: not a symmetric shard")
+    return arrays, meta
+
+
 def read_npz_shards(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, i, j, r, a1freq of i on the diagonal): compressed-column shards, each read by one task. For import into Parquet."""
+    """(path, i, j, r, a1freq of i on the diagonal): compressed-column shards, each read by one task and handed on in parts. For import into Parquet.
+
+    A file is at most 2 GB, as Spark reads it whole.
+    """
 
     def expand(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                z = np.load(io.BytesIO(content))
-                meta = json.loads(bytes(z["metadata"]).decode())
-                n = int(z["shape"][0])
-                if meta["matrix"] != "symmetric" or len(z["indptr"]) != n + 1 or len(z["indices"]) != z["indptr"][-1] or len(z["a1freq"]) != n:
-                    raise ValueError(f"{path}: not a symmetric shard of {n} variants")
-                i = z["indices"].astype(np.int64)
-                j = np.repeat(np.arange(n), np.diff(z["indptr"]))
-                yield pd.DataFrame({"path": path, "chr": meta["chr"], "sex": meta["sex"], "i": i, "j": j, "r": z["data"], "a1freq": np.where(i == j, z["a1freq"][i], np.nan)})
+                z, meta = _open_npz(path, content)
+                columns = np.repeat(np.arange(len(z["a1freq"])), np.diff(z["indptr"]))
+                for lo in range(0, len(columns), ENTRIES):
+                    i, j = z["indices"][lo : lo + ENTRIES].astype(np.int64), columns[lo : lo + ENTRIES]
+                    if len(i) and (i.min() < 0 or i.max() >= len(z["a1freq"])):
+                        raise ValueError(f"{path}: a row is out of bounds")
+                    yield pd.DataFrame({"path": path, "chr": meta["chr"], "sex": meta["sex"], "i": i, "j": j, "r": z["data"][lo : lo + ENTRIES], "a1freq": np.where(i == j, z["a1freq"][i], np.nan)})
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(expand, "path string, chr string, sex string, i long, j long, r float, a1freq double")
 
 
+def read_npz_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, md5, metadata as JSON) of shards."""
+
+    def said(batches):
+        for pdf in batches:
+            texts = [json.dumps(_open_npz(p, c)[1]) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pd.DataFrame({"path": pdf["path"], "md5": [hashlib.md5(c).hexdigest() for c in pdf["content"]], "metadata": texts})
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(said, "path string, md5 string, metadata string")
+
+
 def write_bim(variants: DataFrame, path: str) -> None:
     """Variants of one shard as BIM text, in order."""
-    lines = variants.orderBy("local_idx").select(F.concat_ws("\t", "chr", "snp", F.lit("0"), "bp", "a1", "a2").alias("value"))
-    lines.coalesce(1).write.text(path)
+    lines = variants.select("local_idx", F.concat_ws("\t", "chr", "snp", F.lit("0"), "bp", "a1", "a2").alias("value"))
+    write_lines(lines, ["local_idx"], path)
 
 
 def write_monomorphic(panel: LDPanel, path: str) -> bool:

@@ -6,9 +6,14 @@ Correlations are long rows (chr, i, j, r) with both triangles and a unit diagona
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.tables import forget, stored
 
@@ -16,6 +21,8 @@ from helixframe.tables import forget, stored
 WINDOW_KB = 10_000
 LEAST_R2 = 0.05
 TOLERANCE = 1e-6
+#: Variants of a block at most, calls of a block where samples are many, samples that are multiplied at once, rows of calls that are looked at at once.
+BLOCK, BLOCK_CALLS, SAMPLES, ROWS = 1024, 32 << 20, 8192, 64
 
 
 def allele_frequency(calls: DataFrame) -> DataFrame:
@@ -25,48 +32,93 @@ def allele_frequency(calls: DataFrame) -> DataFrame:
     return calls.withColumn("n_obs", F.size(seen).cast("long")).withColumn("a1freq", F.when(F.col("n_obs") > 0, total / (2 * F.col("n_obs"))))
 
 
+def by_samples(calls: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], fields: str) -> DataFrame:
+    """calls with more columns, or others of a name that is there, from the matrix of calls (a row for each variant) of some rows at a time."""
+    added = T._parse_datatype_string(fields).fields
+    names = {f.name for f in added}
+    schema = T.StructType([*(f for f in calls.schema.fields if f.name not in names), *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), ROWS):
+                batch = whole.slice(lo, ROWS)
+                found = work(np.stack(batch.column("calls").to_numpy(zero_copy_only=False)))
+                columns = {f.name: batch.column(f.name) for f in schema.fields if f.name not in found}
+                columns |= {k: pa.array(list(v) if v.ndim > 1 else v, from_pandas=True) for k, v in found.items()}
+                yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], schema.names)
+
+    return calls.mapInArrow(run, schema)
+
+
+def select_samples(calls: DataFrame, places: list[int]) -> DataFrame:
+    """calls of the samples at these places."""
+    at = np.array(places, np.int64)
+    return by_samples(calls, lambda c: {"calls": c[:, at].astype(np.int8)}, "calls array<tinyint>")
+
+
 def haploid_frequency(calls: DataFrame, sexes: list[int]) -> DataFrame:
     """As allele_frequency where samples of sex 1 have one copy: a call of 2 counts as one of one, 1 is not valid."""
-    pairs = F.arrays_zip(F.col("calls").alias("c"), F.array(*(F.lit(s) for s in sexes)).alias("s"))
-    seen = F.filter(pairs, lambda p: (p["c"] >= 0) & ~((p["s"] == 1) & (p["c"] == 1)))
-    copies = F.aggregate(seen, F.lit(0.0), lambda a, p: a + F.when(p["s"] == 1, p["c"] / 2).otherwise(p["c"].cast("double")))
-    room = F.aggregate(seen, F.lit(0).cast("long"), lambda a, p: a + F.when(p["s"] == 1, 1).otherwise(2))
-    return calls.withColumn("n_obs", F.size(seen).cast("long")).withColumn("a1freq", F.when(room > 0, copies / room))
+    male = np.array(sexes) == 1
+
+    def work(c: np.ndarray) -> dict[str, np.ndarray]:
+        seen = (c >= 0) & ~(male & (c == 1))
+        copies, room = np.where(seen, np.where(male, c / 2, c), 0).sum(axis=1), np.where(seen, np.where(male, 1, 2), 0).sum(axis=1)
+        return {"n_obs": seen.sum(axis=1).astype(np.int64), "a1freq": np.where(room > 0, copies / np.maximum(room, 1), np.nan)}
+
+    return by_samples(calls, work, "n_obs long, a1freq double")
 
 
 def is_monomorphic(a1freq: Column) -> Column:
     return a1freq.isin(0.0, 1.0)
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation of two arrays of calls over the samples that both have; null where it isn't defined."""
-    both = F.filter(F.zip_with(x, y, lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))), lambda p: (p["a"] >= 0) & (p["b"] >= 0))
-    zero = F.lit(0).cast("long")
-    sums = F.aggregate(
-        both, F.struct(*(zero.alias(n) for n in ("n", "x", "y", "xx", "yy", "xy"))),
-        lambda s, p: F.struct(
-            (s["n"] + 1).alias("n"), (s["x"] + p["a"]).alias("x"), (s["y"] + p["b"]).alias("y"),
-            (s["xx"] + p["a"] * p["a"]).alias("xx"), (s["yy"] + p["b"] * p["b"]).alias("yy"), (s["xy"] + p["a"] * p["b"]).alias("xy"),
-        ),
-        lambda s: (s["n"] * s["xy"] - s["x"] * s["y"]) / F.nullif(
-            F.sqrt(((s["n"] * s["xx"] - s["x"] * s["x"]) * (s["n"] * s["yy"] - s["y"] * s["y"])).cast("double")), F.lit(0.0)),
-    )
-    return sums
+def correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson's r of every row of x with every row of y over the samples that both have; NaN where it isn't defined.
+
+    Matrix products over some samples at a time. Sums are whole numbers, so they are exact.
+    """
+    n, sx, sy, sxx, syy, sxy = (np.zeros((len(x), len(y))) for _ in range(6))
+    for lo in range(0, x.shape[1], SAMPLES):
+        a, b = x[:, lo : lo + SAMPLES].astype(np.float64), y[:, lo : lo + SAMPLES].astype(np.float64)
+        has_a, has_b = (a >= 0).astype(np.float64), (b >= 0).astype(np.float64)
+        a, b = a * has_a, b * has_b
+        n += has_a @ has_b.T
+        sx += a @ has_b.T
+        sy += has_a @ b.T
+        sxx += (a * a) @ has_b.T
+        syy += has_a @ (b * b).T
+        sxy += a @ b.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (n * sxy - sx * sy) / np.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
 
 
 def build_pairs(calls: DataFrame, window_kb: float = WINDOW_KB, least_r2: float = LEAST_R2) -> DataFrame:
     """(chr, i, j, r), i before j: variants at most window_kb apart with r * r of at least least_r2.
 
-    calls: chr, local_idx, bp, calls. Variants meet in bins of the window's width: each goes to its own bin and
-    the next, so a pair meets once, and a contig is as many groups as it has bins.
+    calls: chr, local_idx, bp, calls. Variants are dealt in blocks of neighbours, and pairs of blocks that the window
+    joins are groups, so a block is sent once for each block near it and not for each of its pairs.
     """
     width = max(1, int(window_kb * 1000))
-    own = calls.select("chr", F.col("local_idx").alias("i"), F.col("bp").alias("bp_i"), F.col("calls").alias("x"), F.floor(F.col("bp") / width).alias("bin"))
-    other = calls.select("chr", F.col("local_idx").alias("j"), F.col("bp").alias("bp_j"), F.col("calls").alias("y"), F.floor(F.col("bp") / width).alias("b"))
-    other = other.withColumn("bin", F.explode(F.array(F.col("b") - 1, F.col("b")))).drop("b")
-    pairs = own.join(other, ["chr", "bin"]).filter((F.col("j") > F.col("i")) & (F.abs(F.col("bp_j") - F.col("bp_i")) <= width))
-    found = pairs.select("chr", "i", "j", pearson(F.col("x"), F.col("y")).alias("r"))
-    return found.filter((F.col("r") * F.col("r")) >= least_r2)
+    n_sample = calls.agg(F.max(F.size("calls"))).first()[0] or 1
+    each = min(BLOCK, max(16, BLOCK_CALLS // n_sample))
+    own = calls.select("chr", F.col("local_idx").cast("long").alias("i"), F.col("bp").cast("long").alias("bp"), "calls", F.floor(F.col("local_idx") / each).alias("block"))
+    spans = stored(own.groupBy("chr", "block").agg(F.min("bp").alias("lo"), F.max("bp").alias("hi")), "ld-blocks")  # a row for each block
+    a, b = (spans.select("chr", F.col("block").alias(f"{s}_block"), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi")) for s in "ij")
+    near = a.join(b, "chr").filter(f"j_block >= i_block AND j_lo - i_hi <= {width} AND i_lo - j_hi <= {width}").select("chr", "i_block", "j_block")
+    near = stored(near, "ld-near")
+    left = own.join(near.withColumn("block", F.col("i_block")), ["chr", "block"]).drop("block")
+    right = own.join(near.filter("i_block <> j_block").withColumn("block", F.col("j_block")), ["chr", "block"]).drop("block")
+    key = ["chr", "i_block", "j_block"]
+
+    def pairs(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        two = two if len(two) else one
+        r = correlations(np.stack(one["calls"].to_list()), np.stack(two["calls"].to_list()))
+        i, j, apart = one["i"].to_numpy(), two["i"].to_numpy(), np.abs(one["bp"].to_numpy()[:, None] - two["bp"].to_numpy())
+        at = np.nonzero((r * r >= least_r2) & (i[:, None] < j) & (apart <= width))
+        return pd.DataFrame({"chr": one["chr"].iloc[0], "i": i[at[0]], "j": j[at[1]], "r": r[at]})
+
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both come from the same rows
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pairs, "chr string, i long, j long, r double")
 
 
 def symmetric(pairs: DataFrame, axis: DataFrame) -> DataFrame:

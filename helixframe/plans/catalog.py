@@ -116,13 +116,13 @@ def object_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-b AS (SELECT p_partkey AS row0, 1 AS rank, CAST(p_retailprice AS BIGINT) AS bp FROM part),
-m AS (SELECT row0, bp, max(bp) OVER (ORDER BY row0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b)
-SELECT row0, bp FROM m WHERE bp < top""".replace("b AS", "v AS (SELECT * FROM variants LIMIT 0),\nb AS", 1)
+b AS (SELECT p_partkey AS row0, CAST(floor(p_retailprice) AS BIGINT) AS bp FROM part),
+m AS (SELECT row0, bp, lag(bp) OVER (ORDER BY row0) AS before FROM b)
+SELECT row0, bp FROM m WHERE bp < before""".replace("b AS", "v AS (SELECT * FROM variants LIMIT 0),\nb AS", 1)
 )
 def row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    rows = part.select(F.lit("part").alias("path"), F.col("p_partkey").alias("row0"), F.lit("1").alias("chr"), F.col("p_retailprice").cast("long").alias("bp"))
+    rows = part.select(F.lit("part").alias("path"), F.col("p_partkey").alias("row0"), F.lit("1").alias("chr"), F.floor("p_retailprice").alias("bp"))
     return order_violations(rows).select("row0", "bp")
 
 
@@ -162,12 +162,12 @@ def swap_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-d AS (SELECT chr, bp, a1, a2 FROM variants UNION ALL SELECT chr, bp, a1, a2 FROM sumstats WHERE k % 29 = 0)
+d AS (SELECT chr, bp, a1, a2 FROM variants UNION ALL SELECT chr, bp, a1, a2 FROM sumstats)
 SELECT chr, bp, a1, a2, count(*) AS n FROM d GROUP BY chr, bp, a1, a2 HAVING count(*) > 1""".replace("UNION ALL SELECT", "UNION ALL  SELECT")
 )
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["chr", "bp", "a1", "a2"]
-    both = _v(spark, sf_dir, "VARIANTS").select(cols).unionAll(_v(spark, sf_dir, "SUMSTATS").filter("k % 29 = 0").select(cols))
+    both = _v(spark, sf_dir, "VARIANTS").select(cols).unionAll(_v(spark, sf_dir, "SUMSTATS").select(cols))
     return with_match_key(both).groupBy("chr", "bp", F.col("m1").alias("a1"), F.col("m2").alias("a2")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
@@ -178,7 +178,7 @@ def zn_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-t AS (SELECT chr, bp, a1, a2, (z * 0.5 + 1) AS z2 FROM sumstats WHERE k % 3 <> 1)
+t AS (SELECT chr, bp, a1, a2, (z * 0.5 + n / 100) AS z2 FROM sumstats)
 SELECT v.chr, count(*) AS n, round(sum(s.z * t.z2), 6) AS sum_zz
 FROM variants v JOIN sumstats s ON v.chr = s.chr AND v.bp = s.bp AND v.a1 = s.a1 AND v.a2 = s.a2
 JOIN t ON v.chr = t.chr AND v.bp = t.bp AND v.a1 = t.a1 AND v.a2 = t.a2
@@ -187,7 +187,7 @@ WHERE s.z IS NOT NULL AND t.z2 IS NOT NULL GROUP BY v.chr"""
 def bivariate_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel, source = _panel(spark, sf_dir), _v(spark, sf_dir, "SUMSTATS")
     one = aligned_sumstats(panel, source).select("chr", "local_idx", "z")
-    two = aligned_sumstats(panel, source.filter("k % 3 <> 1").withColumn("z", F.col("z") * 0.5 + 1)).select("chr", "local_idx", F.col("z").alias("z2"))
+    two = aligned_sumstats(panel, source.withColumn("z", F.col("z") * 0.5 + F.col("n") / 100)).select("chr", "local_idx", F.col("z").alias("z2"))
     both = one.join(two, ["chr", "local_idx"]).filter("z IS NOT NULL AND z2 IS NOT NULL")
     return both.groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("z") * F.col("z2")), 6).alias("sum_zz"))
 
@@ -271,7 +271,7 @@ def annotation_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT grp, count(*) AS n, min(row0) AS first FROM intervals GROUP BY grp")
-def annotation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _v(spark, sf_dir, "INTERVALS").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("row0").alias("first"))
 
 
@@ -340,7 +340,7 @@ def bed_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT v.snp, c.sample_idx, c.g::TINYINT AS call FROM variants v JOIN calls c ON c.chr = v.chr AND c.local_idx = v.local_idx WHERE v.local_idx >= 0")
-def fetch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calls_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = _v(spark, sf_dir, "VARIANTS").select("chr", "local_idx", "snp")
     found = variants.join(_calls(spark, sf_dir).select("chr", "local_idx", "calls"), ["chr", "local_idx"])
     return found.select("snp", F.posexplode("calls").alias("at", "call")).select("snp", F.col("at").cast("long").alias("sample_idx"), "call")
@@ -509,18 +509,3 @@ def random_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld, axis = _ld(spark, sf_dir)
     score = ((F.col("k") * 104729 + F.col("iteration") * 7919) % 10007).cast("double")
     return prune_frequency(axis, stored(ld, "ld"), score, 4, 0.05)
-
-
-@query(
-    _PAIRS.rstrip()
-    + """,
-f AS (SELECT chr, local_idx, sum(g) / (2.0 * count(*)) AS f FROM calls WHERE g >= 0 GROUP BY chr, local_idx)
-SELECT f.chr, count(*) AS n, count(*) FILTER (f.f IS NULL) AS missing FROM axis a JOIN f ON a.chr = f.chr AND a.local_idx = f.local_idx GROUP BY f.chr"""
-)
-def frequency_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies of a built panel against those of its calls: as many as variants, none missing or different."""
-    axis = _calls(spark, sf_dir)
-    built = allele_frequency(axis).select("chr", "local_idx", F.col("a1freq").cast("float").alias("kept"))
-    again = axis.select("chr", "local_idx", F.explode("calls").alias("g")).filter("g >= 0").groupBy("chr", "local_idx").agg((F.sum("g") / (2 * F.count("g"))).alias("f"))
-    differs = F.col("kept").isNull() | (F.abs(F.col("kept") - F.col("f")) > 1e-5)
-    return built.join(again, ["chr", "local_idx"]).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("missing"))

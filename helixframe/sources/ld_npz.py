@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.contigs import CHRX_SEXES, CONTIGS
-from helixframe.ld import LDPanel, check_sex, panel_from_pairs, read_npz_shards
+from helixframe.ld import LDPanel, check_sex, panel_from_pairs, read_npz_metadata, read_npz_shards, write_bim
+from helixframe.operators.linkage import validation
 from helixframe.reference import ReferencePanel
+from helixframe.sources.plink import load_reference
+from helixframe.tables import stored
 
 #: Fixed values of the format: fields of a manifest entry, and what a shard's metadata has to say.
 ENTRY = ("chr", "sex", "file", "file_md5", "num_snp", "nnz", "reference_checksum", "reference_bim")
@@ -67,28 +75,88 @@ def check_agreement(entry: dict, meta: dict, where: str) -> None:
         raise ValueError(f"{where}: manifest and shard differ in {', '.join(bad)}")
 
 
-def file_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, md5) of whole files, each read by one task."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.md5("content").alias("md5"))
+def check_bundled_bim(spark: SparkSession, root: str, entries: list[dict]) -> None:
+    """Raises unless the BIM file beside each shard has its variants. The files are read together."""
+    wanted = {}
+    for e in entries:
+        wanted[e["chr"]] = (e["num_snp"], e["reference_checksum"])
+    found = load_reference(spark, sorted({f"{root}/{e['reference_bim']}" for e in entries}))
+    own = {r["chr"]: (r["num_snp"], r["checksum"]) for r in found.shards().collect()}
+    if bad := [k for k, v in wanted.items() if own.get(k) != v]:
+        raise ValueError(f"{root}: the BIM file of shard {bad[0]!r} has other variants")
 
 
-def validate_distribution(spark: SparkSession, root: str) -> list[dict]:
-    """Entries of the manifest, whose files have the checksums that it says."""
+def validate_distribution(spark: SparkSession, root: str, with_bim: bool = False) -> list[dict]:
+    """Entries of the manifest, whose files have the checksums that it says and whose metadata make sense and agree with it."""
     entries = read_manifest(spark, root)
-    found = {r["path"].rsplit("/", 1)[-1]: r["md5"] for r in file_checksums(spark, [f"{root}/{e['file']}" for e in entries]).collect()}
+    said = {r["path"].rsplit("/", 1)[-1]: r for r in read_npz_metadata(spark, [f"{root}/{e['file']}" for e in entries]).collect()}
     for e in entries:
-        if found.get(e["file"].rsplit("/", 1)[-1]) != e["file_md5"]:
+        r = said.get(e["file"].rsplit("/", 1)[-1])
+        if r is None or r["md5"] != e["file_md5"]:
             raise ValueError(f"{root}: {e['file']!r} isn't the file of the manifest")
+        meta = json.loads(r["metadata"])
+        check_metadata(meta, e["file"])
+        check_agreement(e, meta, e["file"])
+    if with_bim:
+        check_bundled_bim(spark, root, entries)
     return entries
 
 
-def import_distribution(spark: SparkSession, root: str, reference: ReferencePanel) -> LDPanel:
-    """The shards that the reference has, as a panel; each must have been made for the same variants."""
-    entries = [e for e in validate_distribution(spark, root) if e["chr"] in reference.labels]
+def import_distribution(spark: SparkSession, root: str, reference: ReferencePanel, with_bim: bool = False) -> LDPanel:
+    """The shards that the reference has, as a panel; each must have been made for the same variants, be symmetric and have its unit diagonal."""
+    entries = [e for e in validate_distribution(spark, root, with_bim) if e["chr"] in reference.labels]
     own = {r["chr"]: r for r in reference.shards().collect()}
     for e in entries:
         if (own[e["chr"]]["num_snp"], own[e["chr"]]["checksum"]) != (e["num_snp"], e["reference_checksum"]):
             raise ValueError(f"{root}: shard {e['chr']!r} is not that of the reference")
-    rows = read_npz_shards(spark, [f"{root}/{e['file']}" for e in entries])
+    rows = stored(read_npz_shards(spark, [f"{root}/{e['file']}" for e in entries]), "npz")
+    name = F.concat_ws("/", "chr", "sex")
+    for r in validation(rows.withColumn("chr", name)).collect():
+        if r["asymmetric"] or r["bad_diagonal"] or r["beyond"]:
+            raise ValueError(f"{root}: shard {r['chr']} isn't symmetric with a unit diagonal and values within 1")
+    diagonal = {r["shard"]: r["count"] for r in rows.filter("i = j").groupBy(name.alias("shard")).count().collect()}
+    for e in entries:
+        if diagonal.get("/".join(filter(None, (e["chr"], e["sex"]))), 0) != e["num_snp"]:
+            raise ValueError(f"{root}: the diagonal of shard {e['chr']!r} has gaps")
     freq = rows.filter("i = j").select("chr", "sex", F.col("i").alias("local_idx"), F.col("a1freq").cast("float").alias("a1freq"))
     return panel_from_pairs(reference, rows.filter("i < j").select("chr", "sex", "i", "j", "r"), freq, [e["sex"] for e in entries if e["sex"]])
+
+
+def export_distribution(panel: LDPanel, root: str, name_of_format: str = "ld_npz_csc32") -> None:
+    """A compressed-column npz file for each shard and sex, BIM files and the manifest. Each shard is put together by one task, as it is one file."""
+    spark = panel.r.sparkSession
+    shards = {r["chr"]: (r["num_snp"], r["checksum"]) for r in panel.reference.shards().collect()}
+    freq = panel.freq.select(F.col("chr").alias("of_chr"), F.col("sex").alias("of_sex"), F.col("local_idx").alias("of"), F.col("a1freq").cast("float").alias("a1freq"))
+    of = (F.col("chr") == F.col("of_chr")) & F.col("sex").eqNullSafe(F.col("of_sex")) & (F.col("i") == F.col("of")) & (F.col("j") == F.col("of"))
+    rows = panel.r.join(freq, of, "left").select("chr", "sex", "i", "j", "r", "a1freq")
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        chr_, sex = key
+        n, checksum = shards[chr_]
+        pdf = pdf.sort_values(["j", "i"])
+        f = pdf["a1freq"][pdf["i"] == pdf["j"]].to_numpy(np.float32)
+        if len(pdf) >= 1 << 31 or len(f) != n:
+            raise ValueError(f"shard {chr_!r}: {len(pdf)} values and {len(f)} frequencies of {n} variants")
+        meta = SAID | {
+            "schema_version": "1.0", "format": name_of_format, "sparse_layout": "csc", "index_base": 0, "chr": chr_, "sex": sex, "num_snp": n, "nnz": len(pdf),
+            "num_monomorphic_snps": int(((f == 0) | (f == 1)).sum()), "reference_checksum": checksum, "reference_bim": f"reference_chr{chr_}.bim",
+        }
+        out = io.BytesIO()
+        np.savez_compressed(
+            out, data=pdf["r"].to_numpy(np.float32), indices=pdf["i"].to_numpy(np.int32), indptr=np.searchsorted(pdf["j"].to_numpy(), np.arange(n + 1)).astype(np.int32),
+            shape=np.array([n, n], np.int64), a1freq=f, metadata=np.frombuffer(json.dumps(meta).encode(), np.uint8),
+        )
+        name = f"ld_chr{chr_}{'_' + sex if sex else ''}.npz"
+        system, path = fs.FileSystem.from_uri(f"{root}/{name}")
+        with system.open_output_stream(path) as f:
+            f.write(out.getvalue())
+        entry = {k: meta[k] for k in AGREEING} | {"file": name, "file_md5": hashlib.md5(out.getvalue()).hexdigest()}
+        return pd.DataFrame({"entry": [json.dumps(entry)]})
+
+    fs.FileSystem.from_uri(root)[0].create_dir(fs.FileSystem.from_uri(root)[1], recursive=True)
+    entries = [json.loads(r["entry"]) for r in rows.groupBy("chr", "sex").applyInPandas(write, "entry string").collect()]
+    for label in panel.reference.labels:
+        write_bim(panel.reference.variants.filter(F.col("chr") == label), f"{root}/reference_chr{label}.bim")
+    system, path = fs.FileSystem.from_uri(f"{root}/ld_manifest.json")
+    with system.open_output_stream(path) as f:
+        f.write(json.dumps({"shards": entries}, indent=1).encode())

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from helixframe.contigs import CONTIGS, IGNORED, chr_rank, is_styled
@@ -51,16 +53,14 @@ def check_order(bim: DataFrame) -> None:
 
 
 def order_violations(bim: DataFrame) -> DataFrame:
-    """Rows that come after a row of higher (contig rank, bp). The row before is looked up by number, not in one window."""
+    """Rows whose (contig rank, bp) is lower than that of the row before. Rows are dealt in blocks of numbers, not by contig."""
     rank = F.struct(chr_rank(F.col("chr")).alias("rank"), "bp")
-    numbered = bim.withColumn("here", rank)
-    # the highest of each block of rows, then a running maximum over blocks, then within blocks
-    block = F.floor(F.col("row0") / 65536)
-    tops = numbered.groupBy("path", block.alias("block")).agg(F.max("here").alias("top"))
-    above = tops.select("path", "block", F.max("top").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
-    w = Window.partitionBy("path", "block").orderBy("row0").rowsBetween(Window.unboundedPreceding, -1)
-    seen = numbered.withColumn("block", block).withColumn("within", F.max("here").over(w)).join(above, ["path", "block"])
-    return seen.filter((F.col("here") < F.col("within")) | (F.col("here") < F.col("above"))).drop("here", "within", "above", "block")
+    numbered = bim.withColumn("here", rank).withColumn("block", F.floor(F.col("row0") / 65536))
+    ends = numbered.groupBy("path", "block").agg(F.max_by("here", "row0").alias("last"))
+    above = ends.select("path", "block", F.lag("last").over(Window.partitionBy("path").orderBy("block")).alias("above"))  # the last row of the block before
+    w = Window.partitionBy("path", "block").orderBy("row0")
+    seen = numbered.withColumn("within", F.lag("here").over(w)).join(above, ["path", "block"])
+    return seen.filter(F.col("here") < F.coalesce("within", "above")).drop("here", "within", "above", "block")
 
 
 def read_fam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -71,12 +71,12 @@ def read_fam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("path", F.col("row0").alias("sample_idx"), "fid", "iid", "father_id", "mother_id", F.col("sex").cast("tinyint").alias("sex"))
 
 
-def read_ploidy(spark: SparkSession, path: str) -> DataFrame:
-    """row0, ploidy_male, ploidy_female: a row for each BIM row."""
+def read_ploidy(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, row0, ploidy_male, ploidy_female: a row for each BIM row."""
     rows = fields(numbered_lines(spark, path), ["ploidy_male", "ploidy_female"], "\t")
     allowed = lambda c: F.col(c).isin("0", "1", "2")
-    check_rows(rows, [("expected 2 columns", F.col("n_fields") != 2), ("ploidy must be 0, 1 or 2", ~allowed("ploidy_male") | ~allowed("ploidy_female"))], path)
-    return rows.select("row0", F.col("ploidy_male").cast("double").alias("ploidy_male"), F.col("ploidy_female").cast("double").alias("ploidy_female"))
+    check_rows(rows, [("expected 2 columns", F.col("n_fields") != 2), ("ploidy must be 0, 1 or 2", ~allowed("ploidy_male") | ~allowed("ploidy_female"))], str(path))
+    return rows.select("path", "row0", F.col("ploidy_male").cast("double").alias("ploidy_male"), F.col("ploidy_female").cast("double").alias("ploidy_female"))
 
 
 def default_ploidy(bim: DataFrame) -> DataFrame:
@@ -84,18 +84,18 @@ def default_ploidy(bim: DataFrame) -> DataFrame:
     return bim.withColumns({"ploidy_male": F.when(F.col("chr") == "X", 1.0).otherwise(2.0), "ploidy_female": F.lit(2.0)})
 
 
-def load_reference(spark: SparkSession, path: str, shards: list[str] | None = None, exists=None) -> ReferencePanel:
-    """A panel from one BIM file, or from a template in which @ stands for each label.
+def load_reference(spark: SparkSession, path: str | list[str], shards: list[str] | None = None, exists=None) -> ReferencePanel:
+    """A panel from one BIM file, from one for each shard, or from a template in which @ stands for each label.
 
     exists: says whether a path of the template is there; by default Hadoop's file systems are asked.
     """
     exists = exists or (lambda p: path_exists(spark, p))
-    paths = [path] if "@" not in path else [p for label in CONTIGS if (shards is None or label in shards) and exists(p := path.replace("@", label))]
+    paths = list(path) if not isinstance(path, str) else [path] if "@" not in path else [p for label in CONTIGS if (shards is None or label in shards) and exists(p := path.replace("@", label))]
     if not paths:
         raise ValueError(f"{path}: no such file for any label")
     bim = read_bim(spark, paths)
     check_order(bim)
-    if "@" in path:
+    if not isinstance(path, str) or "@" in path:
         mixed = bim.groupBy("path").agg(F.min("chr").alias("lo"), F.max("chr").alias("hi")).filter("lo <> hi").limit(1).collect()
         if mixed:
             raise ValueError(f"{mixed[0]['path']}: a shard's file holds one contig")
@@ -191,11 +191,54 @@ def read_bed(spark: SparkSession, path: str, n_sample: int, n_snp: int, rows: li
     return (reader if rows is None else reader.option("rows", json.dumps(rows))).load()
 
 
+#: Calls of the four places of each byte: 00 is 2, 01 missing (-1), 10 is 1, 11 is 0; and the bits of a call, by call + 1.
+CALLS = np.array([[(2, -1, 1, 0)[b >> 2 * k & 3] for k in range(4)] for b in range(256)], np.int8)
+CODES = np.array([1, 3, 2, 0], np.uint8)
+
+
 def unpack_calls(packed: DataFrame, n_sample: int) -> DataFrame:
-    """packed with `calls`: an array of a call for each sample, decoded in the JVM."""
-    pairs = F.split(F.regexp_replace(F.hex("packed"), "(..)", "$1 "), " ")
-    by_byte = F.transform(F.filter(pairs, lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int"))
-    table = [[(2, -1, 1, 0)[b >> 2 * k & 3] for k in range(4)] for b in range(256)]
-    lookup = F.array(*(F.array(*(F.lit(x).cast("tinyint") for x in row)) for row in table))
-    calls = F.slice(F.flatten(F.transform(by_byte, lambda b: F.element_at(lookup, b + 1))), 1, n_sample)
-    return packed.withColumn("calls", calls).drop("packed")
+    """packed with `calls`: an array of a call for each sample, decoded batch by batch."""
+    rest = [c for c in packed.columns if c != "packed"]
+    schema = T.StructType([*(packed.schema[c] for c in rest), T.StructField("calls", T.ArrayType(T.ByteType(), False))])
+    step = max(1, (16 << 20) // max(1, n_sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                batch = whole.slice(lo, step)
+                data = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.uint8).reshape(len(batch), -(-n_sample // 4))
+                calls = CALLS[data].reshape(len(batch), -1)[:, :n_sample]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * n_sample), pa.array(np.ascontiguousarray(calls).ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), lists], [*rest, "calls"])
+
+    return packed.mapInArrow(run, schema)
+
+
+def pack_calls(calls: np.ndarray) -> np.ndarray:
+    """Bytes of calls, a row for each variant; the last byte is filled with zero bits."""
+    codes = np.pad(CODES[calls.astype(np.int64) + 1], [(0, 0), (0, -calls.shape[1] % 4)])
+    codes = np.where(np.arange(codes.shape[1]) < calls.shape[1], codes, 0).astype(np.uint8)
+    return codes[:, ::4] | codes[:, 1::4] << 2 | codes[:, 2::4] << 4 | codes[:, 3::4] << 6
+
+
+def write_bed(calls: DataFrame, path: str) -> None:
+    """calls: shard, row0, calls. A BED file for each shard (@ in path stands for it), each streamed in order by one task, as it is one file."""
+    from pyarrow import fs
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = out = None
+        for batch in batches:
+            for shard, row in zip(batch.column("shard").to_pylist(), batch.column("calls").to_pylist(), strict=True):
+                if shard != label:
+                    if out is not None:
+                        out.close()
+                    label = shard
+                    system, own = fs.FileSystem.from_uri(path.replace("@", shard))
+                    out = system.open_output_stream(own)
+                    out.write(BED_MAGIC)
+                out.write(pack_calls(np.array([row])).tobytes())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
+
+    calls.select("shard", "row0", "calls").repartition("shard").sortWithinPartitions("shard", "row0").mapInArrow(write, "n long").count()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.contigs import CONTIGS, IGNORED, is_styled
 from helixframe.functions.variants import finite, is_dna, is_no_number, number
+from helixframe.sources.text import first_line, numbered_lines
 from helixframe.tables import check_rows
 
 #: Names of columns, and other names for them.
@@ -15,22 +16,33 @@ OPTIONAL = ("z", "n", "beta", "se", "eaf", "info")
 ALIASES = {"pos": "bp", "effectallele": "a1", "otherallele": "a2"}
 
 
-def canonical_names(columns: list[str], where: str) -> list[str]:
-    names = [ALIASES.get(c.lower(), c.lower()) for c in columns]
-    if twice := sorted({n for n in names if names.count(n) > 1}):
-        raise ValueError(f"{where}: duplicate columns: {', '.join(twice)}")
-    return names
+def column_places(header: list[str], where: str) -> dict[str, int]:
+    """Where each known column stands. Names count in any case, and a column must not be there under two names."""
+    known = {**{n: n for n in (*REQUIRED, *OPTIONAL)}, **ALIASES}
+    found = [(known.get(name, name), at) for at, name in enumerate(map(str.lower, header))]
+    places = dict(found)
+    if len(places) < len(found):
+        raise ValueError(f"{where}: duplicate columns: {', '.join(n for n in places if sum(m == n for m, _ in found) > 1)}")
+    if not set(REQUIRED) <= places.keys():
+        raise ValueError(f"{where}: missing columns: {', '.join(n for n in REQUIRED if n not in places)}")
+    return {n: at for n, at in places.items() if n in known}
 
 
 def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
-    """chr, bp, a1, a2, p and those of the optional columns that the file has; rows of ignored contigs are dropped first."""
-    raw = spark.read.csv(path, sep="\t", header=True, inferSchema=False, nullValue="\u0000", emptyValue="")
-    names = canonical_names(raw.columns, path)
-    if missing := [c for c in REQUIRED if c not in names]:
-        raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
-    wanted = [n for n in names if n in REQUIRED or n in OPTIONAL]
-    rows = raw.toDF(*names).select(*wanted).withColumn("row0", F.monotonically_increasing_id())
-    return typed_sumstats(rows.filter(~F.coalesce(F.col("chr").isin(*IGNORED), F.lit(False))), path)
+    """chr, bp, a1, a2, p and those of the optional columns that the file has; rows of ignored contigs are dropped first.
+
+    Every row has as many fields as the header. Blank lines are skipped.
+    """
+    head = first_line(spark, path)
+    if head is None:
+        raise ValueError(f"{path}: no header")
+    header = head.split("\t")
+    places = column_places(header, path)
+    parts = F.split("value", "\t")
+    lines = numbered_lines(spark, path).filter("row0 > 0 AND value <> ''")
+    rows = lines.select("row0", F.size(parts).alias("n_fields"), *(F.get(parts, F.lit(at)).alias(n) for n, at in places.items()))
+    check_rows(rows, [(f"expected {len(header)} columns", F.col("n_fields") != len(header))], path)
+    return typed_sumstats(rows.drop("n_fields").filter(~F.coalesce(F.col("chr").isin(*IGNORED), F.lit(False))), path)
 
 
 def typed_sumstats(rows: DataFrame, where: str) -> DataFrame:

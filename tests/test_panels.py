@@ -252,7 +252,7 @@ def test_store(spark, panel, ld, tmp_path):
     with pytest.raises(ValueError):
         load_ld(spark, path, default_chrx_sex="combined")
     write_bim(panel.variants.filter("chr = '1'"), str(tmp_path / "bim"))
-    assert [r[0].split("\t")[1] for r in spark.read.text(str(tmp_path / "bim")).collect()] == [v[2] for v in VARIANTS[:5]]
+    assert by_axis(load_reference(spark, str(tmp_path / "bim")).variants, "snp") == [v[2] for v in VARIANTS[:5]]  # its part files are one file
     assert not write_monomorphic(ld, str(tmp_path / "mono"))
 
 
