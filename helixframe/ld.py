@@ -21,6 +21,7 @@ from helixframe.operators.linkage import TOLERANCE, allele_frequency, build_pair
 from helixframe.reference import ReferencePanel, load_reference_cache
 from helixframe.sources.plink import read_bed, unpack_calls
 from helixframe.sources.text import write_lines
+from helixframe.tables import stored
 
 _LOG = logging.getLogger("helixframe")
 _verbosity = "info"
@@ -179,6 +180,7 @@ def build_ld_from_genotype(panel: GenotypePanel, window_kb: float = 10_000, leas
         rows = unpack_calls(read_bed(spark, source.path, source.n_sample, source.n_snp), source.n_sample)
         own = present.filter(F.col("chr").isin(labels)).join(rows, "source_row0").select("chr", "local_idx", "calls")
         calls = own if calls is None else calls.unionByName(own)
+    calls = stored(calls, "ld-calls")  # read from the BED files once
     sexes = None
     if "X" in panel.reference.labels:
         on_x = panel.subjects.filter("chr = 'X'").join(panel.samples.select("sample_idx", "sex"), "sample_idx")

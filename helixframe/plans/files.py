@@ -267,7 +267,7 @@ def fetch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_OWN_CALLS + "y AS (SELECT 1) SELECT DISTINCT chr, idx AS local_idx, true AS is_present FROM x WHERE chr IN ('1', 'X')")
 def genotype_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, _ = _genotype(spark, sf_dir)
+    panel, _ = _genotype(spark, sf_dir, sharded=False)
     path = fresh_path(spark, "genotype")
     panel.save(path)
     return load_genotype_cache(spark, path, panel.reference, ["1", "X"]).is_present().select("chr", "local_idx", "is_present")
@@ -275,7 +275,7 @@ def genotype_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT i AS sample_idx, i % 2 = 0 AS is_male, i % 2 = 1 AS is_female, true AS is_present FROM range({N_SAMPLES}) t(i) WHERE EXISTS (SELECT 1 FROM calls)")
 def sample_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, _ = _genotype(spark, sf_dir)
+    panel, _ = _genotype(spark, sf_dir, sharded=False)
     return panel.is_male().join(panel.is_female(), "sample_idx").join(panel.is_subject_present("X"), "sample_idx")
 
 
@@ -285,7 +285,7 @@ _FREQUENCY = _OWN_CALLS + "f AS (SELECT chr, idx AS local_idx, sum(g) / (2.0::DO
 
 
 def _built(spark: SparkSession, sf_dir: str) -> tuple[LDPanel, GenotypePanel]:
-    panel, _ = _genotype(spark, sf_dir)
+    panel, _ = _genotype(spark, sf_dir, sharded=False)
     return build_ld_from_genotype(panel, window_kb=3, least_r2=0.05, allow_monomorphic=True), panel
 
 
