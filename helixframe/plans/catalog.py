@@ -126,6 +126,20 @@ def row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_violations(rows).select("row0", "bp")
 
 
+@query(
+    """
+b AS (SELECT o_orderkey AS row0, o_orderkey % 7 // 3 AS rank, o_custkey AS bp FROM orders),
+m AS (SELECT *, lag(rank) OVER (ORDER BY row0) AS rank0, lag(bp) OVER (ORDER BY row0) AS bp0 FROM b)
+SELECT row0, bp FROM m WHERE rank < rank0 OR (rank = rank0 AND bp < bp0)""".replace("b AS", "v AS (SELECT * FROM variants LIMIT 0),\nb AS", 1)
+)
+def row_order_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three contigs in disorder."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    label = F.element_at(F.array(*(F.lit(c) for c in ("1", "2", "X"))), (F.floor(F.col("o_orderkey") % 7 / 3) + 1).cast("int"))
+    rows = orders.select(F.lit("orders").alias("path"), F.col("o_orderkey").alias("row0"), label.alias("chr"), F.col("o_custkey").alias("bp"))
+    return order_violations(rows).select("row0", "bp")
+
+
 # Summary statistics ------------------------------------------------------------------------------------------
 
 _ALIGNED = """

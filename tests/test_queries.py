@@ -3,27 +3,30 @@ import os
 import duckdb
 import pytest
 
+from helixframe.plans import files
 from helixframe.plans.catalog import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def duck():
+def duck(sf):
     con = duckdb.connect()
-    for f in os.listdir(SF):
-        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}'")
     return con
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_query_matches_sql(spark, duck, name):
-    got = QUERIES[name](spark, SF)
-    want = duck.execute(SQL[name])
+def test_query_matches_sql(spark, name):
+    """Queries that write and load files run on the smaller tables. None may be empty."""
+    sf = SMALL if QUERIES[name].__module__ == files.__name__ else LARGER
+    got = QUERIES[name](spark, sf)
+    want = duck(sf).execute(SQL[name])
     cols = [d[0] for d in want.description]
     assert sorted(cols) == sorted(got.columns)
     key = lambda r: [str(x) for x in r]
-    assert sorted((tuple(r) for r in got.select(cols).collect()), key=key) == sorted(want.fetchall(), key=key)
+    rows = sorted((tuple(r) for r in got.select(cols).collect()), key=key)
+    assert rows and rows == sorted(want.fetchall(), key=key)
 
 
 def test_entry_without_training_data_operators(spark, tmp_path):
