@@ -1,12 +1,14 @@
 """Half-open intervals on contigs: union, overlap, and painting of positions.
 
-There are only 23 contigs, so nothing here joins on the contig alone: positions and intervals meet in bins
-of fixed width, and unions are taken in bins first, so that one contig's rows are few when they meet.
+There are only 23 contigs, so no rows of data are dealt by the contig alone: positions and intervals meet in bins
+of fixed width, and what earlier bins reach is carried over as one row for each bin.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,28 +16,36 @@ from pyspark.sql import functions as F
 BIN = 1 << 16
 
 
-def _merged(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start0", "end0")
-    reach = F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("start0") > reach), 1).otherwise(0)
-    return (
-        df.withColumn("_fresh", fresh).withColumn("_group", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_group").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_group")
-    )
+def _carried(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """df (with _bin) and the greatest value in the bins before: a contig's bins are few, whatever its rows are. Null keys are equal."""
+    tops = df.groupBy(*keys, "_bin").agg(F.max(value).alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    at = [*keys, "_bin"]
+    before = tops.select(*(F.col(k).alias(f"_of_{k}") for k in at), F.max("_top").over(earlier).alias(name))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in at))
+    return df.join(before, same).drop(*(f"_of_{k}" for k in at))
+
+
+def _reached(df: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """df with _bin, that of the start, and _reach: the greatest end of the rows before (by start, then end, then row0 if there)."""
+    own = _carried(df.withColumn("_bin", F.floor(F.col("start0") / width)), keys, "end0", "_before")
+    w = Window.partitionBy(*keys, "_bin").orderBy("start0", "end0", *(["row0"] if "row0" in df.columns else []))
+    return own.withColumn("_reach", F.greatest("_before", F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1)))).drop("_before")
 
 
 def union_intervals(df: DataFrame, keys: Sequence[str] = ("chr",), width: int = BIN) -> DataFrame:
     """(keys, start0, end0): intervals that overlap or touch become one."""
-    own = df.select(*keys, "start0", "end0")
-    binned = _merged(own.withColumn("_bin", F.floor(F.col("start0") / width)), [*keys, "_bin"])
-    return _merged(binned.drop("_bin"), list(keys))
+    own = _reached(df.select(*keys, "start0", "end0"), keys, width)
+    opens = F.when(F.col("_reach").isNull() | (F.col("start0") > F.col("_reach")), F.col("start0"))
+    marked = _carried(own.withColumn("_opens", opens), keys, "_opens", "_before")
+    w = Window.partitionBy(*keys, "_bin").orderBy("start0").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # of equal starts only one opens
+    first = F.greatest("_before", F.max("_opens").over(w))  # starts grow: the greatest is the last
+    return marked.withColumn("_first", first).groupBy(*keys, "_first").agg(F.max("end0").alias("end0")).select(*keys, F.col("_first").alias("start0"), "end0")
 
 
-def overlapping(df: DataFrame, keys: Sequence[str] = ("chr",)) -> DataFrame:
+def overlapping(df: DataFrame, keys: Sequence[str] = ("chr",), width: int = BIN) -> DataFrame:
     """Rows that start before an earlier one (by start, then end) ends; touching is no overlap."""
-    w = Window.partitionBy(*keys).orderBy("start0", "end0", *(["row0"] if "row0" in df.columns else []))
-    reach = F.max("end0").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_reach", reach).filter("start0 < _reach").drop("_reach")
+    return _reached(df, keys, width).filter("start0 < _reach").select(*df.columns)
 
 
 def _in_bins(intervals: DataFrame, width: int) -> DataFrame:

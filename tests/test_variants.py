@@ -165,3 +165,28 @@ def test_random_paint_is_that_of_brute_force(spark):
     v = spark.createDataFrame(variants, SCHEMA)
     want = {s for c, _, s, bp, *_ in variants if any(c == k and a <= bp - 1 < b for k, a, b in rows)}
     assert {r["snp"] for r in paint(v, df, 17).collect()} == want == {r["snp"] for r in paint(v, union_intervals(df, width=13), 50).collect()}
+
+
+def test_random_unions_and_overlaps_are_those_of_brute_force(spark):
+    """Intervals that span many bins, empty ones, repeated ones and a null key."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    starts, widths = rng.integers(0, 4000, 150), rng.choice([0, 1, 5, 30, 400], 150)
+    rows = [((None, "1", "X")[k % 3], int(s), int(s + w)) for k, (s, w) in enumerate(zip(starts, widths, strict=True))]
+    rows = [(c, s, e, k) for k, (c, s, e) in enumerate(rows * 3)]
+    df = spark.createDataFrame(rows, "chr string, start0 long, end0 long, row0 long")
+    unions, overlaps = set(), set()
+    for label in (None, "1", "X"):
+        reach = None
+        for c, s, e, k in sorted((r for r in rows if r[0] == label), key=lambda r: (r[1], r[2], r[3])):
+            if reach is not None and s < reach:
+                overlaps.add(k)
+            if reach is None or s > reach:
+                first = s
+            reach = e if reach is None else max(reach, e)
+            unions = {u for u in unions if u[:2] != (c, first)} | {(c, first, reach)}
+    for width in (7, 1 << 16):
+        assert {tuple(r) for r in union_intervals(df, width=width).collect()} == unions
+        found = overlapping(df, width=width)
+        assert found.columns == df.columns and sorted(r["row0"] for r in found.collect()) == sorted(overlaps)
