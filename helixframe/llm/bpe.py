@@ -32,7 +32,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel
 
 LEAF = 16_384  # code points
 WINDOW = 256  # code points on each side of a cut, at first
-MARGIN = 64  # tokens that have to agree end or begin at least so far from the cut
+MARGIN = 64  # code points between the cut and the tokens that have to agree
 AGREE = 3  # tokens on each side
 CACHED = 60_000  # segments that an encoder keeps
 
@@ -250,7 +250,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, drop_space: bool, id_
     """One row per row of docs: id, ids (array<int>), decoded (the library's decode of them).
 
     Null texts count as empty and have no ids. Repeated rows are encoded once each; an empty table gives no
-    rows. Only id_col and text_col are read. Texts of more than two leaves are dealt out by leaf, so that one
+    rows. Only id_col (of any type) and text_col are read. Texts of more than two leaves are dealt out by leaf, so that one
     long text is encoded by many tasks; only the joins meet in the task that owns the text.
     """
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver: of fixed size, sent to the tasks
@@ -259,7 +259,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, drop_space: bool, id_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     long = F.coalesce(F.char_length("text"), F.lit(0)) > 2 * leaf
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def short_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec = shared.value
@@ -278,7 +277,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, drop_space: bool, id_
                 pieces = [text[i : i + leaf] for i in range(0, len(text), leaf)]
                 n, key = len(pieces), key + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.int64()), pa.array([doc_id.as_py()] * n, arrow_id), pa.array(range(n), pa.int32()), pa.array(pieces, pa.string())], ["key", "doc_id", "leaf", "text"]
+                    [pa.array([key] * n, pa.int64()), pa.array([doc_id.as_py()] * n, batch.column("doc_id").type), pa.array(range(n), pa.int32()), pa.array(pieces, pa.string())], ["key", "doc_id", "leaf", "text"]
                 )
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

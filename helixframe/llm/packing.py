@@ -114,20 +114,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is its ids and end_id, so a null or empty text is end_id alone. Repeated rows are packed once
-    each; an empty table gives no rows. Only id_col and text_col are read. Sequence ids are unique, not gapless.
+    each; an empty table gives no rows. Only id_col (of any type) and text_col are read. Sequence ids are unique, not gapless. Very long texts are cut as others are.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value, False)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
 
-        def out() -> pa.RecordBatch:
+        def out(arrow_id: pa.DataType) -> pa.RecordBatch:
             doc_id, start, ids, doc_tokens, sequence, offset = zip(*packer.rows, strict=True)
             bounds = np.cumsum([0] + [4 * len(x) for x in ids]).astype(np.int32)
             data = np.concatenate(ids).astype("<u4")
@@ -137,7 +136,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
             packer.rows = []
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
+        arrow_id = None
         for batch in released(batches):
+            arrow_id = batch.column("doc_id").type
             for part in sliced(batch):
                 ids, bounds = enc.encode(texts_of(part))
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
@@ -145,10 +146,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
                 if sum(packer.counts.values()) > POOL:
                     packer.pack(REST)
                 if packer.rows:
-                    yield out()
+                    yield out(arrow_id)
         packer.pack()
         if packer.rows:
-            yield out()
+            yield out(arrow_id)
 
     return rows.mapInArrow(pack, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -64,6 +64,17 @@ def test_encode_documents(docs, path):
         assert r["decoded"] == TOKENIZERS[path].decode(list(r["ids"]), skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string", "binary", "date"])
+def test_ids_of_any_type(spark, kind):
+    shown = {"date": "DATE'2024-02-29'", "binary": "X'0A00'"}.get(kind, f"CAST(7 AS {kind})")
+    rows = spark.sql(f"SELECT {shown} AS doc_id, t AS text FROM VALUES ('a b'), (repeat('long words ', 90)) v(t) UNION ALL SELECT NULL, repeat('none ', 200)")
+    want = sorted((str(r["doc_id"]), ids(BYTE, r["text"])) for r in rows.collect())
+    assert sorted((str(r["doc_id"]), list(r["ids"])) for r in encode_documents(rows, BYTE, False, leaf=200).collect()) == want
+    packed = pack_documents(rows, BYTE)
+    assert packed.schema["doc_id"].dataType == rows.schema["doc_id"].dataType
+    assert {str(r["doc_id"]) for r in packed.collect()} == {i for i, _ in want}
+
+
 def test_empty_tables(empty):
     assert encode_documents(empty, WORD, True).count() == 0
     assert pack_documents(empty, BYTE).count() == 0
