@@ -62,12 +62,6 @@ def is_no_number(token: Column) -> Column:
     return token.isNotNull() & ~token.isin(*MISSING) & token.try_cast("double").isNull()
 
 
-def two_bit_call(byte: Column, place: Column) -> Column:
-    """Call at place 0 to 3 of a byte (0 to 255): 00 is 2, 01 missing (-1), 10 is 1, 11 is 0."""
-    bits = F.floor(byte / F.pow(F.lit(4), place)).cast("int") % 4
-    return F.element_at(F.array(*(F.lit(x).cast("tinyint") for x in (2, -1, 1, 0))), bits + 1)
-
-
 def ploidy_scaled(call: Column, sex: Column, ploidy_male: Column, ploidy_female: Column) -> Column:
     """A call as a double, times the ploidy of the sample's sex over 2; null where missing."""
     ploidy = F.when(sex == 2, ploidy_female).otherwise(ploidy_male)

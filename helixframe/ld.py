@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from helixframe.contigs import CHRX_SEXES, CONTIGS, check_request
 from helixframe.genotype import GenotypePanel
-from helixframe.operators.linkage import TOLERANCE, allele_frequency, build_pairs, check_pairs, fast_prune, is_monomorphic, multiply_r2, select_samples, symmetric, validation
+from helixframe.operators.blocks import NAMES, SIZE, block_faults, blocks_of, build_blocks, multiply_r2, rows_of
+from helixframe.operators.linkage import TOLERANCE, allele_frequency, check_pairs, fast_prune, is_monomorphic, select_samples
 from helixframe.reference import ReferencePanel, load_reference_cache
 from helixframe.sources.plink import read_bed, unpack_calls
 from helixframe.sources.text import write_lines
@@ -46,14 +47,25 @@ def check_sex(label: str, sex: str | None) -> None:
 
 @dataclass(frozen=True)
 class LDPanel:
-    """r: chr, sex, i, j, r (float; both triangles and the diagonal). freq: chr, sex, local_idx, a1freq."""
+    """blocks: sex and the columns of `operators.blocks`. freq: chr, sex, local_idx, a1freq."""
 
     reference: ReferencePanel
-    r: DataFrame
+    blocks: DataFrame
     freq: DataFrame
     default_chrx_sex: str = "female"
     sexes: tuple[str, ...] = ("female",)
 
+    @property
+    def r(self) -> DataFrame:
+        """(chr, sex, i, j, r) of both triangles and the unit diagonal, as rows."""
+        found = None
+        for sex in (None, *self.sexes):
+            mine = F.col("sex").eqNullSafe(F.lit(sex).cast("string"))
+            axis = self.reference.variants.filter(F.col("chr") != "X" if sex is None else F.col("chr") == "X")
+            one = rows_of(self.blocks.filter(mine), axis).select("chr", F.lit(sex).cast("string").alias("sex"), "i", "j", "r")
+            found = one if found is None else found.unionByName(one)
+        return found
+
     def _of_sex(self, df: DataFrame, sex: str | None) -> DataFrame:
         sex = self.default_chrx_sex if sex is None else sex
         if "X" in self.reference.labels and sex not in self.sexes:
@@ -66,29 +78,30 @@ class LDPanel:
         return self.reference.indexed().select("chr", "local_idx", "snp_idx").join(own, ["chr", "local_idx"]).select("snp_idx", "a1freq")
 
     def multiply_r2(self, matrix: DataFrame, chrx_sex: str | None = None) -> DataFrame:
-        return multiply_r2(self._of_sex(self.r, chrx_sex), matrix, self.reference.variants)
+        return multiply_r2(self._of_sex(self.blocks, chrx_sex), matrix, self.reference.variants)
 
     def fast_prune(self, scores: DataFrame, threshold: float = 0.2, chrx_sex: str | None = None) -> DataFrame:
-        return fast_prune(scores, self._of_sex(self.r, chrx_sex), threshold)
+        return fast_prune(scores, self._of_sex(self.blocks, chrx_sex), threshold)
 
     def select_shards(self, labels: Sequence[str]) -> LDPanel:
         wanted = check_request(labels, self.reference.labels, "LDPanel.select_shards")
         keep = F.col("chr").isin(wanted)
-        return LDPanel(self.reference.select_shards(wanted), self.r.filter(keep), self.freq.filter(keep), self.default_chrx_sex, self.sexes)
+        return LDPanel(self.reference.select_shards(wanted), self.blocks.filter(keep), self.freq.filter(keep), self.default_chrx_sex, self.sexes)
 
 
 def ld_manifest(panel: LDPanel) -> DataFrame:
     """(chr, sex, num_snp, nnz, num_monomorphic_snps, reference_checksum) by shard."""
-    size = panel.r.groupBy("chr", "sex").agg(F.count(F.lit(1)).alias("nnz"))
-    mono = panel.freq.groupBy(F.col("chr").alias("of_chr"), F.col("sex").alias("of_sex")).agg(F.count_if(is_monomorphic(F.col("a1freq"))).alias("num_monomorphic_snps"))
-    joined = size.join(mono, (F.col("chr") == F.col("of_chr")) & F.col("sex").eqNullSafe(F.col("of_sex"))).drop("of_chr", "of_sex")
+    size = panel.blocks.groupBy("chr", "sex").agg((2 * F.sum(F.size("r"))).alias("nnz"), F.lit(0).cast("long").alias("mono"))
+    mono = panel.freq.groupBy("chr", "sex").agg(F.lit(0).cast("long").alias("nnz"), F.count_if(is_monomorphic(F.col("a1freq"))).alias("mono"))
+    both = size.unionByName(mono).groupBy("chr", "sex").agg(F.sum("nnz").alias("nnz"), F.sum("mono").alias("num_monomorphic_snps"))
     shards = panel.reference.shards().select("chr", "num_snp", F.col("checksum").alias("reference_checksum"))
-    return joined.join(F.broadcast(shards), "chr").select("chr", "sex", "num_snp", "nnz", "num_monomorphic_snps", "reference_checksum")
+    joined = both.join(F.broadcast(shards), "chr")
+    return joined.select("chr", "sex", "num_snp", (F.col("nnz") + F.col("num_snp")).alias("nnz"), "num_monomorphic_snps", "reference_checksum")
 
 
 def save_ld(panel: LDPanel, path: str, build: dict | None = None) -> None:
     """Parquet by shard and sex, the reference, and a manifest; nothing that is there is overwritten."""
-    panel.r.write.mode("errorifexists").partitionBy("chr", "sex").parquet(f"{path}/r")
+    panel.blocks.write.mode("errorifexists").partitionBy("chr", "sex").parquet(f"{path}/blocks")
     panel.freq.write.mode("errorifexists").partitionBy("chr", "sex").parquet(f"{path}/freq")
     panel.reference.save(f"{path}/reference")
     order = F.array_position(F.array(*(F.lit(c) for c in CONTIGS)), F.col("chr"))
@@ -96,8 +109,13 @@ def save_ld(panel: LDPanel, path: str, build: dict | None = None) -> None:
     ranked.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
 
 
-def _read(spark: SparkSession, path: str, shards: Sequence[str] | None) -> DataFrame:
-    df = spark.read.parquet(path).withColumns({"chr": F.col("chr").cast("string"), "sex": F.col("sex").cast("string")})
+#: Stored columns; a panel without a single correlation has no file that would tell them.
+_BLOCKS = "bi int, bj int, i array<smallint>, j array<smallint>, r array<float>, chr string, sex string"
+_FREQ = "local_idx long, a1freq float, chr string, sex string"
+
+
+def _read(spark: SparkSession, path: str, shards: Sequence[str] | None, schema: str) -> DataFrame:
+    df = spark.read.schema(schema).parquet(path).withColumns({"chr": F.col("chr").cast("string"), "sex": F.col("sex").cast("string")})
     return df if shards is None else df.filter(F.col("chr").isin(list(shards)))
 
 
@@ -127,15 +145,19 @@ def load_ld(spark: SparkSession, path: str, shards: Sequence[str] | None = None,
         raise ValueError(f"{path}: no shard {missing[0]!r}")
     if "X" in reference.labels and default_chrx_sex not in sexes:
         raise ValueError(f"no shard X of sex {default_chrx_sex!r}; there are {', '.join(sexes)}")
-    return LDPanel(reference, _read(spark, f"{path}/r", shards), _read(spark, f"{path}/freq", shards), default_chrx_sex, tuple(sexes))
+    return LDPanel(reference, _read(spark, f"{path}/blocks", shards, _BLOCKS), _read(spark, f"{path}/freq", shards, _FREQ), default_chrx_sex, tuple(sexes))
 
 
 def validate_ld(panel: LDPanel) -> None:
-    """Raises for a shard that isn't symmetric with a unit diagonal and values within 1, or frequencies out of [0, 1]."""
-    by = panel.r.withColumn("chr", F.concat_ws("/", "chr", "sex"))
-    for r in validation(by).collect():
-        if r["asymmetric"] or r["bad_diagonal"] or r["beyond"]:
-            raise ValueError(f"shard {r['chr']}: {r['asymmetric']} asymmetric, {r['bad_diagonal']} bad diagonal and {r['beyond']} values beyond 1 (tolerance {TOLERANCE})")
+    """Raises for values beyond 1 or of no pair of variants, or frequencies out of [0, 1]. Blocks are symmetric with a unit diagonal as they are laid out."""
+    by = panel.blocks.withColumn("chr", F.concat_ws("/", "chr", "sex"))
+    for r in block_faults(by).collect():
+        if r["misplaced"] or r["beyond"]:
+            raise ValueError(f"shard {r['chr']}: {r['misplaced']} entries out of place and {r['beyond']} values beyond 1 (tolerance {TOLERANCE})")
+    last = panel.reference.variants.groupBy("chr").agg(F.max("local_idx").alias("last"))
+    ends = panel.blocks.groupBy("chr").agg(F.max(F.struct("bj", F.array_max("j").alias("j"))).alias("end")).join(last, "chr", "left")
+    if bad := ends.filter(F.col("last").isNull() | (F.col("end.bj").cast("long") * SIZE + F.col("end.j") > F.col("last"))).limit(1).collect():
+        raise ValueError(f"shard {bad[0]['chr']}: correlations of variants that the reference doesn't have")
     if bad := panel.freq.filter("a1freq IS NULL OR isnan(a1freq) OR a1freq < 0 OR a1freq > 1").limit(1).collect():
         raise ValueError(f"shard {bad[0]['chr']}: a frequency is out of [0, 1]")
 
@@ -155,17 +177,17 @@ def build_ld(reference: ReferencePanel, calls: DataFrame, window_kb: float = 10_
         for sex, places in sexes.items():
             check_sex("X", sex)
             parts.append((sex, select_samples(placed.filter("chr = 'X'"), places)))
-    freq = r = None
+    freq = blocks = None
     for sex, own in parts:
         f = allele_frequency(own).select("chr", F.lit(sex).cast("string").alias("sex"), "local_idx", F.col("a1freq").cast("float").alias("a1freq"))
         freq = f if freq is None else freq.unionByName(f)
     if not allow_monomorphic and (n := freq.filter(is_monomorphic(F.col("a1freq"))).count()):
         raise ValueError(f"{n} variants are monomorphic")
     for sex, own in parts:
-        one = symmetric(build_pairs(own, window_kb, least_r2), own).select("chr", F.lit(sex).cast("string").alias("sex"), "i", "j", "r")
-        r = one if r is None else r.unionByName(one)
+        one = build_blocks(own, window_kb, least_r2).withColumn("sex", F.lit(sex).cast("string"))
+        blocks = one if blocks is None else blocks.unionByName(one)
     found = tuple(sexes or ())
-    return LDPanel(reference, r, freq, "female" if "female" in found or not found else found[0], found)
+    return LDPanel(reference, stored(blocks.select(*NAMES, "sex"), "ld-blocks"), freq, "female" if "female" in found or not found else found[0], found)
 
 
 def build_ld_from_genotype(panel: GenotypePanel, window_kb: float = 10_000, least_r2: float = 0.05, allow_monomorphic: bool = False, chrx_sexes: Sequence[str] = ("female",)) -> LDPanel:
@@ -192,15 +214,17 @@ def build_ld_from_genotype(panel: GenotypePanel, window_kb: float = 10_000, leas
 
 def panel_from_pairs(reference: ReferencePanel, pairs: DataFrame, freq: DataFrame, sexes: Sequence[str] = ()) -> LDPanel:
     """pairs: chr, sex, i, j, r of one triangle; freq: chr, sex, local_idx, a1freq."""
-    r = None
+    blocks = None
     for sex in (None, *sexes):
         mine = F.col("sex").isNull() if sex is None else F.col("sex") == sex
         axis = reference.variants.filter("chr <> 'X'" if sex is None else "chr = 'X'")
         own = pairs.filter(mine).drop("sex")
         check_pairs(own, axis)
-        one = symmetric(own, axis).select("chr", F.lit(sex).cast("string").alias("sex"), "i", "j", "r")
-        r = one if r is None else r.unionByName(one)
-    return LDPanel(reference, r, freq, "female" if "female" in sexes or not sexes else sexes[0], tuple(sexes))
+        upper = own.select("chr", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "r")
+        one = blocks_of(upper).withColumn("sex", F.lit(sex).cast("string"))
+        blocks = one if blocks is None else blocks.unionByName(one)
+    freq = freq.withColumn("a1freq", F.col("a1freq").cast("float"))
+    return LDPanel(reference, stored(blocks.select(*NAMES, "sex"), "ld-blocks"), freq, "female" if "female" in sexes or not sexes else sexes[0], tuple(sexes))
 
 
 #: Fixed values of the format: types of a shard's arrays.

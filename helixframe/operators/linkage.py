@@ -9,20 +9,20 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.tables import forget, stored
+from helixframe.operators.blocks import build_blocks, pairs_of
+from helixframe.operators.prune import prune_blocks
+from helixframe.tables import stored
 
 #: Defaults of a build: window in thousands of base pairs, least squared correlation that is kept.
 WINDOW_KB = 10_000
 LEAST_R2 = 0.05
 TOLERANCE = 1e-6
-#: Variants of a block at most, calls of a block where samples are many, samples that are multiplied at once, rows of calls that are looked at at once.
-BLOCK, BLOCK_CALLS, SAMPLES, ROWS = 1024, 32 << 20, 8192, 64
+ROWS = 64  # of calls that are looked at at once
 
 
 def allele_frequency(calls: DataFrame) -> DataFrame:
@@ -72,53 +72,9 @@ def is_monomorphic(a1freq: Column) -> Column:
     return a1freq.isin(0.0, 1.0)
 
 
-def correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pearson's r of every row of x with every row of y over the samples that both have; NaN where it isn't defined.
-
-    Matrix products over some samples at a time. Sums are whole numbers, so they are exact.
-    """
-    n, sx, sy, sxx, syy, sxy = (np.zeros((len(x), len(y))) for _ in range(6))
-    for lo in range(0, x.shape[1], SAMPLES):
-        a, b = x[:, lo : lo + SAMPLES].astype(np.float64), y[:, lo : lo + SAMPLES].astype(np.float64)
-        has_a, has_b = (a >= 0).astype(np.float64), (b >= 0).astype(np.float64)
-        a, b = a * has_a, b * has_b
-        n += has_a @ has_b.T
-        sx += a @ has_b.T
-        sy += has_a @ b.T
-        sxx += (a * a) @ has_b.T
-        syy += has_a @ (b * b).T
-        sxy += a @ b.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return (n * sxy - sx * sy) / np.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-
-
 def build_pairs(calls: DataFrame, window_kb: float = WINDOW_KB, least_r2: float = LEAST_R2) -> DataFrame:
-    """(chr, i, j, r), i before j: variants at most window_kb apart with r * r of at least least_r2.
-
-    calls: chr, local_idx, bp, calls. Variants are dealt in blocks of neighbours, and pairs of blocks that the window
-    joins are groups, so a block is sent once for each block near it and not for each of its pairs.
-    """
-    width = max(1, int(window_kb * 1000))
-    n_sample = calls.agg(F.max(F.size("calls"))).first()[0] or 1
-    each = min(BLOCK, max(16, BLOCK_CALLS // n_sample))
-    own = calls.select("chr", F.col("local_idx").cast("long").alias("i"), F.col("bp").cast("long").alias("bp"), "calls", F.floor(F.col("local_idx") / each).alias("block"))
-    spans = stored(own.groupBy("chr", "block").agg(F.min("bp").alias("lo"), F.max("bp").alias("hi")), "ld-blocks")  # a row for each block
-    a, b = (spans.select("chr", F.col("block").alias(f"{s}_block"), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi")) for s in "ij")
-    near = a.join(b, "chr").filter(f"j_block >= i_block AND j_lo - i_hi <= {width} AND i_lo - j_hi <= {width}").select("chr", "i_block", "j_block")
-    near = stored(near, "ld-near")
-    left = own.join(near.withColumn("block", F.col("i_block")), ["chr", "block"]).drop("block")
-    right = own.join(near.filter("i_block <> j_block").withColumn("block", F.col("j_block")), ["chr", "block"]).drop("block")
-    key = ["chr", "i_block", "j_block"]
-
-    def pairs(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        two = two if len(two) else one
-        r = correlations(np.stack(one["calls"].to_list()), np.stack(two["calls"].to_list()))
-        i, j, apart = one["i"].to_numpy(), two["i"].to_numpy(), np.abs(one["bp"].to_numpy()[:, None] - two["bp"].to_numpy())
-        at = np.nonzero((r * r >= least_r2) & (i[:, None] < j) & (apart <= width))
-        return pd.DataFrame({"chr": one["chr"].iloc[0], "i": i[at[0]], "j": j[at[1]], "r": r[at]})
-
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both come from the same rows
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pairs, "chr string, i long, j long, r double")
+    """(chr, i, j, r), i before j: variants at most window_kb apart with r * r of at least least_r2; calls as `blocks.build_blocks` wants them."""
+    return pairs_of(build_blocks(calls, window_kb, least_r2))
 
 
 def symmetric(pairs: DataFrame, axis: DataFrame) -> DataFrame:
@@ -159,60 +115,27 @@ def validation(ld: DataFrame) -> DataFrame:
     )
 
 
-def multiply_r2(ld: DataFrame, matrix: DataFrame, axis: DataFrame) -> DataFrame:
-    """(chr, local_idx, name, value): sum over j of r * r * value of j, for each column `name` of a long matrix.
-
-    matrix: chr, local_idx, name, value. Every variant of the axis has a row for every name. r * r is taken in float.
-    """
-    weights = ld.select("chr", F.col("i"), F.col("j").alias("local_idx"), (F.col("r") * F.col("r")).alias("r2"))
-    sums = weights.join(matrix, ["chr", "local_idx"]).groupBy("chr", "i", "name").agg(F.sum(F.col("r2") * F.col("value")).alias("value"))
-    names = F.broadcast(matrix.select("name").distinct())  # columns of a panel: as many as annotations
-    every = axis.select("chr", "local_idx").crossJoin(names)
-    return every.join(sums.withColumnRenamed("i", "local_idx"), ["chr", "local_idx", "name"], "left").fillna(0.0, ["value"])
-
-
-def fast_prune(scores: DataFrame, ld: DataFrame, threshold: float = 0.2) -> DataFrame:
+def fast_prune(scores: DataFrame, blocks: DataFrame, threshold: float = 0.2) -> DataFrame:
     """scores (chr, local_idx, score) with null for what is pruned.
 
     By decreasing absolute score, then index, a finite score that is still there removes its neighbours with r * r of at
-    least threshold (compared as float). Infinite scores remove nothing but can be removed.
-
-    Instead of one by one, rounds decide all scores whose better neighbours are decided; on a symmetric graph the
-    outcome is the same, and the rounds are few. Each round is a table in the shared folder.
+    least threshold (compared as float). Infinite scores remove nothing but can be removed. See `prune.prune_blocks`.
     """
     if not math.isfinite(threshold) or threshold < 0:
         raise ValueError("threshold must be finite and not negative")
-    near = F.col("r") * F.col("r") >= F.lit(threshold).cast("float")
-    links = ld.filter((F.col("i") != F.col("j")) & near).select("chr", "i", "j").distinct()
-    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
-    nodes = scores.filter(finite).select("chr", "local_idx", F.struct((-F.abs("score")).alias("a"), F.col("local_idx").alias("b")).alias("rank"))
-    one, two = (nodes.select("chr", F.col("local_idx").alias(c), F.col("rank").alias(f"rank_{c}")) for c in "ij")
-    # (better, worse) neighbours
-    order = stored(links.join(one, ["chr", "i"]).join(two, ["chr", "j"]).filter("rank_i < rank_j").select("chr", "i", "j"), "prune-order")
-    open_, kept = stored(nodes.select("chr", F.col("local_idx").alias("j")), "prune-open"), None
-    while not open_.isEmpty():
-        live = order.join(open_, ["chr", "j"], "left_semi").join(open_.withColumnRenamed("j", "i"), ["chr", "i"], "left_semi")
-        chosen = stored(open_.join(live, ["chr", "j"], "left_anti"), "prune-kept")
-        gone = order.join(chosen.withColumnRenamed("j", "i"), ["chr", "i"], "left_semi").select("chr", "j")
-        rest = stored(open_.join(chosen.union(gone), ["chr", "j"], "left_anti"), "prune-open")
-        forget(open_)
-        open_, kept = rest, chosen if kept is None else kept.union(chosen)
-    if kept is None:
-        return scores.select("chr", "local_idx", "score")
-    removed = links.join(kept.withColumnRenamed("j", "i"), ["chr", "i"], "left_semi").select("chr", F.col("j").alias("local_idx")).distinct()
-    removed = removed.join(kept.select("chr", F.col("j").alias("local_idx")), ["chr", "local_idx"], "left_anti").withColumn("gone", F.lit(True))
-    return scores.join(removed, ["chr", "local_idx"], "left").select("chr", "local_idx", F.when(F.col("gone").isNull(), F.col("score")).alias("score"))
-
-
-def prune_frequency(axis: DataFrame, ld: DataFrame, score: Column, n_iter: int, threshold: float = 0.2) -> DataFrame:
+    own = scores.select("chr", "local_idx", F.array(F.col("score").cast("double")).alias("scores"))
+    gone = prune_blocks(own, blocks, threshold).filter(F.col("gone")[0]).select("chr", "local_idx", F.lit(True).alias("gone"))
+    return scores.join(gone, ["chr", "local_idx"], "left").select("chr", "local_idx", F.when(F.col("gone").isNull(), F.col("score")).alias("score"))
+
+
+def prune_frequency(axis: DataFrame, blocks: DataFrame, score: Callable[[Column], Column], n_iter: int, threshold: float = 0.2) -> DataFrame:
     """(chr, local_idx, frequency): in which part of n_iter prunings a variant stays.
 
-    score: by axis columns and `iteration` (from 1). All prunings run in the same rounds, each as shards of its own.
+    score: a variant's score, by axis columns and the number of the pruning (from 1). All prunings go over one copy of the links, with a bit for each.
     """
-    many = F.explode(F.sequence(F.lit(1), F.lit(n_iter)))
-    own = F.concat_ws("/", "iteration", "chr")
-    scores = axis.withColumn("iteration", many).select(own.alias("chr"), "local_idx", score.alias("score"))
-    links = ld.withColumn("iteration", many).select(own.alias("chr"), "i", "j", "r")
-    kept = fast_prune(scores, links, threshold)
-    label = F.element_at(F.split("chr", "/"), 2)
-    return kept.groupBy(label.alias("chr"), "local_idx").agg((F.count("score") / n_iter).alias("frequency"))
+    if n_iter < 1:
+        raise ValueError("there must be one pruning at least")
+    scores = stored(axis.select("chr", "local_idx", F.transform(F.sequence(F.lit(1), F.lit(n_iter)), lambda k: score(k).cast("double")).alias("scores")), "prune-scores")
+    gone = prune_blocks(scores, blocks, threshold)
+    stays = F.size(F.filter(F.arrays_zip("scores", "gone"), lambda x: x["scores"].isNotNull() & ~x["gone"]))
+    return scores.join(gone, ["chr", "local_idx"]).select("chr", "local_idx", (stays / n_iter).alias("frequency"))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from helixframe.annotations import append_columns, infer_binary, select_columns
 from helixframe.contigs import CONTIGS
-from helixframe.functions.variants import allele_hash64, is_single_nucleotide, is_strand_ambiguous, ploidy_scaled, two_bit_call
+from helixframe.functions.variants import allele_hash64, is_single_nucleotide, is_strand_ambiguous, ploidy_scaled
 from helixframe.genotype import map_subjects
 from helixframe.operators.align import swapped_counts, with_match_key
 from helixframe.operators.intervals import overlapping, paint, paint_groups, paint_values, union_intervals
-from helixframe.operators.linkage import allele_frequency, build_pairs, fast_prune, haploid_frequency, is_monomorphic, multiply_r2, prune_frequency, symmetric, validation
+from helixframe.operators.blocks import build_blocks, multiply_r2, pairs_of, rows_of
+from helixframe.operators.linkage import allele_frequency, fast_prune, haploid_frequency, is_monomorphic, prune_frequency, validation
 from helixframe.plans import views
 from helixframe.plans.views import duck
 from helixframe.reference import ReferencePanel, shard_checksums, shard_offsets
@@ -25,12 +26,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "sumstats_align"
-WINDOW_KB = 5.0  # of the LD queries, whose variants are 1 kb apart
-LEAST_R2 = 0.02
+WINDOW_KB = 10_000.0  # of the LD queries: the default of a build
+LEAST_R2 = 0.05
+ITERATIONS = 100  # of random pruning
 
 
 def query(sql: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         SQL[f.__name__] = duck(sql)
         return f
@@ -116,13 +120,15 @@ def object_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-b AS (SELECT p_partkey AS row0, CAST(floor(p_retailprice) AS BIGINT) AS bp FROM part),
+b AS (SELECT p_partkey % 100 * 1000000000 + p_partkey AS row0, CAST(floor(p_retailprice) AS BIGINT) AS bp FROM part),
 m AS (SELECT row0, bp, lag(bp) OVER (ORDER BY row0) AS before FROM b)
 SELECT row0, bp FROM m WHERE bp < before""".replace("b AS", "v AS (SELECT * FROM variants LIMIT 0),\nb AS", 1)
 )
 def row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one contig in disorder."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    rows = part.select(F.lit("part").alias("path"), F.col("p_partkey").alias("row0"), F.lit("1").alias("chr"), F.floor("p_retailprice").alias("bp"))
+    row0 = F.col("p_partkey") % 100 * F.lit(1_000_000_000).cast("long") + F.col("p_partkey")
+    rows = part.select(F.lit("part").alias("path"), row0.alias("row0"), F.lit("1").alias("chr"), F.floor("p_retailprice").alias("bp"))
     return order_violations(rows).select("row0", "bp")
 
 
@@ -284,11 +290,6 @@ def annotation_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer_binary(append_columns(*_two_panels(spark, sf_dir), 3))
 
 
-@query("SELECT grp, count(*) AS n, min(row0) AS first FROM intervals GROUP BY grp")
-def interval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _v(spark, sf_dir, "INTERVALS").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("row0").alias("first"))
-
-
 # Genotypes ---------------------------------------------------------------------------------------------------
 
 
@@ -342,24 +343,6 @@ def chrx_subject_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_subjects(own, samples.filter("sample_idx % 40 <> 1")).select("sample_idx", F.coalesce("panel_idx", F.lit(-1).cast("long")).alias("panel_idx"), "status")
 
 
-@query(
-    """
-c AS (SELECT event_id, user_id % 256 AS byte, unnest([0, 1, 2, 3]) AS place FROM events)
-SELECT event_id, place, CASE (byte >> (2 * place)) & 3 WHEN 0 THEN 2 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END::TINYINT AS call FROM c""".replace("c AS", "v AS (SELECT * FROM variants LIMIT 0),\nc AS", 1)
-)
-def bed_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 256).alias("byte"))
-    long = events.withColumn("place", F.explode(F.array(*(F.lit(i) for i in range(4)))))
-    return long.select("event_id", "place", two_bit_call(F.col("byte"), F.col("place")).alias("call"))
-
-
-@query("SELECT v.snp, c.sample_idx, c.g::TINYINT AS call FROM variants v JOIN calls c ON c.chr = v.chr AND c.local_idx = v.local_idx WHERE v.local_idx >= 0")
-def calls_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variants = _v(spark, sf_dir, "VARIANTS").select("chr", "local_idx", "snp")
-    found = variants.join(_calls(spark, sf_dir).select("chr", "local_idx", "calls"), ["chr", "local_idx"])
-    return found.select("snp", F.posexplode("calls").alias("at", "call")).select("snp", F.col("at").cast("long").alias("sample_idx"), "call")
-
-
 # Linkage disequilibrium --------------------------------------------------------------------------------------
 
 _PAIRS = f"""
@@ -376,23 +359,20 @@ ld AS (
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_pairs(_calls(spark, sf_dir), WINDOW_KB, LEAST_R2)
-
-
 def _ld(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of correlations of the calls, and the calls as the axis."""
     axis = _calls(spark, sf_dir)
-    return symmetric(build_pairs(axis, WINDOW_KB, LEAST_R2), axis), axis
+    return stored(build_blocks(axis, WINDOW_KB, LEAST_R2), "ld"), axis
 
 
-@query(_PAIRS + "SELECT chr, i, j, round(r, 6) AS r FROM pairs")
+@query(_PAIRS + "SELECT chr, i, j, round(r::FLOAT::DOUBLE, 6) AS r FROM pairs")
 def ld_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("chr", "i", "j", F.round("r", 6).alias("r"))
+    return pairs_of(_ld(spark, sf_dir)[0]).select("chr", "i", "j", F.round(F.col("r").cast("double"), 6).alias("r"))
 
 
 @query(_PAIRS + "SELECT chr, count(*) AS nnz, count(*) FILTER (i = j) AS diagonal, count(*) FILTER (i < j) AS upper FROM ld GROUP BY chr")
 def ld_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ld, _ = _ld(spark, sf_dir)
+    ld = rows_of(*_ld(spark, sf_dir))
     return ld.groupBy("chr").agg(F.count(F.lit(1)).alias("nnz"), F.count_if(F.col("i") == F.col("j")).alias("diagonal"), F.count_if(F.col("i") < F.col("j")).alias("upper"))
 
 
@@ -404,7 +384,7 @@ SELECT w.chr, count(*) AS nnz, count(*) FILTER (o.r IS NULL) AS asymmetric, coun
 FROM w LEFT JOIN w o ON w.chr = o.chr AND w.i = o.j AND w.j = o.i GROUP BY w.chr"""
 )
 def ld_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ld, _ = _ld(spark, sf_dir)
+    ld = rows_of(*_ld(spark, sf_dir))
     return validation(ld.filter("(i * 7 + j) % 31 <> 5"))  # some rows are gone, so that there is something to find
 
 
@@ -471,7 +451,7 @@ def _scores(axis: DataFrame) -> DataFrame:
 @query(_sql_prune(_SCORE_SQL) + "SELECT chr, local_idx, score FROM pruned")
 def ld_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld, axis = _ld(spark, sf_dir)
-    return fast_prune(_scores(axis), stored(ld, "ld"), 0.05)
+    return fast_prune(_scores(axis), ld, 0.05)
 
 
 @query(
@@ -483,7 +463,6 @@ SELECT m.chr, m.local_idx, round(1 / s.value, 5) AS weight FROM mask m JOIN sums
 )
 def prune_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld, axis = _ld(spark, sf_dir)
-    ld = stored(ld, "ld")
     kept = fast_prune(axis.select("chr", "local_idx", (F.col("k") * 104729 % 997).cast("double").alias("score")), ld, 0.05)
     mask = kept.select("chr", "local_idx", F.lit("mask").alias("name"), F.when(F.col("score").isNull(), 0.0).otherwise(1.0).alias("value"))
     sums = multiply_r2(ld, mask, axis).select("chr", "local_idx", F.col("value").alias("total"))
@@ -498,7 +477,7 @@ JOIN calls c ON c.chr = p.chr AND c.local_idx = p.local_idx WHERE p.score IS NOT
 )
 def prune_and_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld, axis = _ld(spark, sf_dir)
-    kept = fast_prune(_scores(axis), stored(ld, "ld"), 0.05).filter("score IS NOT NULL")
+    kept = fast_prune(_scores(axis), ld, 0.05).filter("score IS NOT NULL")
     present = kept.join(_v(spark, sf_dir, "VARIANTS").select("chr", "local_idx"), ["chr", "local_idx"], "left_semi")
     found = present.join(axis.select("chr", "local_idx", "calls"), ["chr", "local_idx"])
     return found.select("chr", "local_idx", F.posexplode("calls").alias("at", "call")).select("chr", "local_idx", F.col("at").cast("long").alias("sample_idx"), "call")
@@ -516,10 +495,9 @@ sc AS ("""
 
 
 @query(
-    _sql_iterations(_sql_prune("((k * 104729 + it * 7919) % 10007)::DOUBLE"), 4)
-    + "SELECT split_part(chr, '/', 2) AS chr, local_idx, count(score) / 4.0::DOUBLE AS frequency FROM pruned GROUP BY split_part(chr, '/', 2), local_idx"
+    _sql_iterations(_sql_prune("((k * 104729 + it * 7919) % 10007)::DOUBLE"), ITERATIONS)
+    + f"SELECT split_part(chr, '/', 2) AS chr, local_idx, count(score) / {ITERATIONS}.0::DOUBLE AS frequency FROM pruned GROUP BY split_part(chr, '/', 2), local_idx"
 )
 def random_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld, axis = _ld(spark, sf_dir)
-    score = ((F.col("k") * 104729 + F.col("iteration") * 7919) % 10007).cast("double")
-    return prune_frequency(axis, stored(ld, "ld"), score, 4, 0.05)
+    return prune_frequency(axis, ld, lambda n: (F.col("k") * 104729 + n * 7919) % 10007, ITERATIONS, 0.05)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from helixframe.annotations import create_annotations, load_annotation, load_annotations, load_annotations_cache
 from helixframe.genotype import load_genotype, load_genotype_cache
 from helixframe.ld import build_ld, get_verbosity, ld_manifest, load_ld, load_ld_reference, panel_from_pairs, read_npz_shards, save_ld, set_verbosity, validate_ld, write_bim, write_monomorphic
-from helixframe.operators.linkage import fast_prune
+from helixframe.operators import blocks, prune
+from helixframe.operators.blocks import blocks_of, build_blocks, multiply_r2, pairs_of, rows_of
+from helixframe.operators.linkage import fast_prune, prune_frequency
 from helixframe.reference import panel_of
 from helixframe.sources.plink import load_reference
 from helixframe.sources.text import numbered_lines
@@ -231,7 +233,7 @@ def test_prune_is_that_of_one_by_one(spark):
     i, j = np.nonzero(r)
     ld = spark.createDataFrame([("1", int(a), int(b), float(r[a, b])) for a, b in zip(i, j, strict=True)], "chr string, i long, j long, r float")
     scores = spark.createDataFrame([("1", k, None if math.isnan(s) else float(s)) for k, s in enumerate(score)], "chr string, local_idx long, score double")
-    got = {x["local_idx"]: x["score"] for x in fast_prune(scores, ld, 0.2).collect()}
+    got = {x["local_idx"]: x["score"] for x in fast_prune(scores, blocks_of(ld.filter("i < j")), 0.2).collect()}
     assert [got[k] for k in range(n)] == [None if math.isnan(x) else x for x in out]
 
 
@@ -252,7 +254,8 @@ def test_store(spark, panel, ld, tmp_path):
     with pytest.raises(ValueError):
         load_ld(spark, path, default_chrx_sex="combined")
     write_bim(panel.variants.filter("chr = '1'"), str(tmp_path / "bim"))
-    assert by_axis(load_reference(spark, str(tmp_path / "bim")).variants, "snp") == [v[2] for v in VARIANTS[:5]]  # its part files are one file
+    again = load_reference(spark, str(tmp_path / "bim")).variants.orderBy("local_idx")
+    assert [r["snp"] for r in again.collect()] == [v[2] for v in VARIANTS[:5]]  # its part files are one file
     assert not write_monomorphic(ld, str(tmp_path / "mono"))
 
 

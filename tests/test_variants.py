@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.contigs import CONTIGS, check_request, chr_rank
-from helixframe.functions.variants import allele_hash64, is_no_number, is_single_nucleotide, is_strand_ambiguous, neg_log10, number, two_bit_call
+from helixframe.functions.variants import allele_hash64, is_no_number, is_single_nucleotide, is_strand_ambiguous, neg_log10, number
 from helixframe.operators.align import align, check_keys, swapped_counts
 from helixframe.operators.intervals import overlapping, paint, paint_groups, paint_values, union_intervals
 from helixframe.reference import panel_of, shard_checksums
@@ -59,10 +59,6 @@ def test_numbers(spark):
     assert [r[0] for r in logs] == [math.inf, 0.0, 2.0, None, None]
 
 
-def test_two_bit_decode(spark):
-    df = spark.createDataFrame([(0x1B, k) for k in range(4)], "b int, k int").select(two_bit_call(F.col("b"), F.col("k")))
-    assert [r[0] for r in df.collect()] == [0, 1, -1, 2]
-
 
 def test_shards(panel, spark, tmp_path):
     own = {r["chr"]: r for r in panel.shards().collect()}
