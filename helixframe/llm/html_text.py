@@ -400,9 +400,9 @@ def prior_of_learned(name: str) -> float:
 
 
 def fit_weights(pages: DataFrame, bound: int = MAX_LABELLED) -> Weights:
-    """Counted by Spark over at most `bound` pages; containers are as many as those pages have at most."""
-    ids = pages.select("page_id").filter("page_id IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(bound)
-    sample = stored(pages.select("page_id", "html").join(F.broadcast(ids), "page_id"), "html-sample")
+    """Counted by Spark over at most `bound` pages; containers are as many as those pages have at most. Of rows that repeat an id the least html counts, once."""
+    ids = pages.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(bound)
+    sample = stored(pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")), "html-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter()
@@ -425,7 +425,7 @@ def extract_text(pages: DataFrame, weights: Weights) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages; other columns are not read.
 
     A null or empty page, or one without content, has an empty text. Repeated rows are extracted once each; an
-    empty table gives no rows.
+    empty table gives no rows. A very long page is extracted whole, by one task, in time in proportion to its length.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights)
     small_batches(pages.sparkSession)

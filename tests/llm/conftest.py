@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
     for name, schema in {
         "documents": DOCS, "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string",
-        "labels": "doc_id long, quality int, toxic int",
+        "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "conversations": "conv_id long, turn long, role string, text string",
     }.items():
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     return str(path)

@@ -307,6 +307,17 @@ def test_pages_without_article_elements(spark):
     assert {r["page_id"]: r["text"] for r in extract_text(pages, fit_weights(pages)).collect()} == want
 
 
+def test_page_sample_is_bounded_by_distinct_ids(spark):
+    """Rows that repeat an id count once, so a bound is one of rows, too."""
+    page = "<html><body><div class='menu'>one two</div><article><p>three words here</p></article></body></html>"
+    once = [(i, "u", page) for i in range(30)]
+    many = once + [(i % 3, "u", page) for i in range(600)] + [(0, "u", None)]
+    one, two = (fit_weights(spark.createDataFrame(rows, "page_id long, url string, html string"), 30) for rows in (once, many))
+    assert one.words == two.words and one.words
+    few = fit_weights(spark.createDataFrame(many, "page_id long, url string, html string"), 5)
+    assert {k: 6 * n for k, (_, n) in few.words.items()} == {k: n for k, (_, n) in one.words.items()}
+
+
 def test_names_move_with_what_pages_show():
     """A listed name is a prior of as much weight as some words, not a veto."""
     w = Weights({("word", "div comment"): (5000, 0), ("word", "div zork"): (0, 5000)})
