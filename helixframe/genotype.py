@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.contigs import check_request
-from helixframe.functions.variants import ploidy_scaled
 from helixframe.operators.align import align, check_keys, swapped_counts
 from helixframe.reference import ReferencePanel
-from helixframe.sources.plink import default_ploidy, path_exists, read_bed, read_bim, read_fam, read_ploidy, unpack_calls
+from helixframe.sources.plink import default_ploidy, path_exists, read_bed, read_bim, read_fam, read_ploidy, rows_of_range, unpacked
+from helixframe.tables import stored
 
+CALLS_AT_ONCE = 4 << 20  # that are gathered together
 _PERSON = ("fid", "iid", "father_id", "mother_id", "sex")
 
 
@@ -75,47 +77,93 @@ class GenotypePanel:
             raise ValueError("one file can stand only for shards of equal size")
         return dict.fromkeys(labels, override)
 
-    def fetch(self, snp_indices: int | Sequence[int], bed_path: str | None = None, haploid_mode: str = "raw") -> DataFrame:
-        """(ord, snp_idx, sample_idx, call, value): a row for each requested variant, in order and with repeats, and each sample.
-
-        call is -1 and value null where missing. The request, not the panel, bounds what is read.
+    def requested(self, snp_indices: DataFrame | int | Sequence[int]) -> DataFrame:
+        """(ord, snp_idx, chr, local_idx, source_row0, ploidies) of a request: a table (ord, snp_idx), or numbers in order. Raises for numbers that aren't there."""
+        spark = self.mapped.sparkSession
+        request = snp_indices
+        if not isinstance(request, DataFrame):
+            numbers = [request] if isinstance(request, (int, np.integer)) else list(request)
+            if any(isinstance(i, bool) or not isinstance(i, (int, np.integer)) for i in numbers):
+                raise ValueError("indices must be integers")
+            request = spark.createDataFrame([(k, int(i)) for k, i in enumerate(numbers)], "ord long, snp_idx long")
+        located = stored(request.select("ord", "snp_idx").join(self.mapped, "snp_idx", "left"), "fetch-request")
+        for r in located.filter("source_row0 IS NULL").orderBy("ord").limit(1).collect():
+            if r["chr"] is None:
+                raise ValueError(f"index {r['snp_idx']} is out of bounds")
+            raise ValueError(f"variant {r['snp_idx']} in shard {r['chr']!r} is not in the genotype source")
+        return located
+
+    def _places(self, labels: Sequence[str]) -> dict[str, np.ndarray | None]:
+        """For each shard where each sample of the panel stands in its source, -1 where it doesn't; None where both are alike. As large as rows of calls."""
+        n = self.samples.count()
+        own = self.subjects.filter(F.col("chr").isin(list(labels)))
+        alike = own.groupBy("chr").agg((F.count_if(F.col("place") != F.col("sample_idx")) == 0).alias("same"), F.count(F.lit(1)).alias("n")).collect()
+        out: dict[str, np.ndarray | None] = {r["chr"]: None for r in alike if r["same"] and r["n"] == n == self.sources[r["chr"]].n_sample}
+        for label in labels:
+            if label not in out:
+                rows = own.filter(F.col("chr") == label).select("sample_idx", "place").toPandas()
+                out[label] = np.full(n, -1, np.int64)
+                out[label][rows["sample_idx"].to_numpy()] = rows["place"].to_numpy()
+        return out
+
+    def fetch_arrays(self, snp_indices: DataFrame | int | Sequence[int], bed_path: str | None = None, haploid_mode: str = "raw") -> DataFrame:
+        """(ord, snp_idx, calls, values): arrays over the panel's samples for each requested variant, with repeats.
+
+        A call is -1 and its value null where it is missing or the sample isn't in the shard's source. snp_indices: numbers in order, or a table (ord, snp_idx) of any size.
+        What is read are the ranges of BED rows that the request lies in; a row of calls stays one array.
         """
         if haploid_mode not in ("raw", "ploidy_scaled"):
             raise ValueError("haploid_mode must be raw or ploidy_scaled")
         spark = self.mapped.sparkSession
-        snp_indices = [snp_indices] if isinstance(snp_indices, (int, np.integer)) else list(snp_indices)
-        if any(isinstance(i, bool) or not isinstance(i, (int, np.integer)) for i in snp_indices):
-            raise ValueError("indices must be integers")
-        snp_indices = [int(i) for i in snp_indices]
-        request = spark.createDataFrame([(k, i) for k, i in enumerate(snp_indices)], "ord long, snp_idx long")
-        located = {r["snp_idx"]: r for r in self.mapped.join(F.broadcast(request.select("snp_idx").distinct()), "snp_idx").collect()}
-        for i in snp_indices:
-            if i not in located:
-                raise ValueError(f"index {i} is out of bounds")
-        for i in snp_indices:
-            if located[i]["source_row0"] is None:
-                raise ValueError(f"variant {i} in shard {located[i]['chr']!r} is not in the genotype source")
-        every = request.join(F.broadcast(self.mapped.join(F.broadcast(request.select("snp_idx").distinct()), "snp_idx")), "snp_idx").crossJoin(self.samples.select("sample_idx", "sex"))
-        labels = sorted({r["chr"] for r in located.values()})
-        calls = None
+        located = self.requested(snp_indices)
+        labels = [r["chr"] for r in located.select("chr").distinct().collect()]
+        sexes = np.array([r["sex"] for r in self.samples.select("sample_idx", "sex").orderBy("sample_idx").collect()], np.int8)  # as long as a row of calls
+        scaled = haploid_mode == "ploidy_scaled"
+        by_sex = F.col("ploidy_male") != F.col("ploidy_female")
+        unsexed = scaled and (sexes == 0).any() and not located.filter(by_sex).isEmpty()
+        shared = spark.sparkContext.broadcast((sexes, self._places(labels)))
+        found = None
         for label, path in self.bed_paths(labels, bed_path).items():
             source = self.sources[label]
-            rows = [r["source_row0"] for r in located.values() if r["chr"] == label]
-            packed = unpack_calls(read_bed(spark, path, source.n_sample, source.n_snp, rows), source.n_sample)
-            one = packed.select(F.lit(label).alias("chr"), "source_row0", F.posexplode("calls").alias("at", "call")).withColumn("place", F.col("at").cast("long")).drop("at")
-            calls = one if calls is None else calls.unionByName(one)
-        if calls is None:
-            return every.select("ord", "snp_idx", "sample_idx", F.lit(-1).cast("tinyint").alias("call"), F.lit(None).cast("double").alias("value")).limit(0)
-        calls = calls.join(self.subjects, ["chr", "place"]).drop("place")
-        found = every.join(calls, ["chr", "source_row0", "sample_idx"], "left").withColumn("call", F.coalesce("call", F.lit(-1).cast("tinyint")))
-        if haploid_mode == "raw":
-            value = F.when(F.col("call") >= 0, F.col("call").cast("double"))
-        else:
-            unknown = (F.col("sex") == 0) & (F.col("call") >= 0) & (F.col("ploidy_male") != F.col("ploidy_female"))
-            if found.filter(unknown).limit(1).collect():
-                raise ValueError("ploidy_scaled wants the sex of samples where male and female ploidy differ")
-            value = ploidy_scaled(F.col("call"), F.col("sex"), F.col("ploidy_male"), F.col("ploidy_female"))
-        return found.select("ord", "snp_idx", "sample_idx", "call", value.alias("value"))
+            mine = located.filter(F.col("chr") == label)
+            each = rows_of_range(source.n_sample)
+            ranges = [r["at"] for r in mine.select(F.floor(F.col("source_row0") / each).alias("at")).distinct().orderBy("at").collect()]  # of RANGE_BYTES each
+            packed = read_bed(spark, path, source.n_sample, source.n_snp, [(a * each, min((a + 1) * each, source.n_snp)) for a in ranges])
+            # few rows are requested, or many: Spark broadcasts them by their size
+            one = packed.join(mine.select("ord", "snp_idx", "source_row0", "ploidy_male", "ploidy_female"), "source_row0").withColumn("chr", F.lit(label)).withColumn("n", F.lit(source.n_sample))
+            found = one if found is None else found.unionByName(one)
+        out = "ord long, snp_idx long, calls array<tinyint>, values array<double>"
+        if found is None:
+            return spark.createDataFrame([], out)
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sex, places = shared.value
+            for whole in batches:
+                for batch in _runs(whole):
+                    n, place = batch.column("n")[0].as_py(), places[batch.column("chr")[0].as_py()]
+                    own = unpacked(batch.column("packed").to_pylist(), n)
+                    calls = own if place is None else np.where(place >= 0, own[:, place], np.int8(-1)) if n else np.full((len(batch), len(place)), -1, np.int8)
+                    values = np.where(calls >= 0, calls, np.nan).astype(np.float64)
+                    if scaled:
+                        male, female = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("ploidy_male", "ploidy_female"))
+                        if unsexed and ((male != female) & (sex == 0) & (calls >= 0)).any():
+                            raise ValueError("ploidy_scaled wants the sex of samples where male and female ploidy differ")
+                        values *= np.where(sex == 2, female, male) / 2
+                    bounds = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * calls.shape[1])
+                    flat = pa.array(values.ravel(), pa.float64(), from_pandas=True)
+                    lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(np.ascontiguousarray(calls).ravel()), flat)]
+                    yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("snp_idx"), *lists], ["ord", "snp_idx", "calls", "values"])
+
+        arrays = found.select("ord", "snp_idx", "packed", "ploidy_male", "ploidy_female", "chr", "n").mapInArrow(gather, out)
+        if unsexed:  # found before any row is handed on
+            arrays = stored(arrays, "fetch-arrays")
+        return arrays
+
+    def fetch(self, snp_indices: DataFrame | int | Sequence[int], bed_path: str | None = None, haploid_mode: str = "raw") -> DataFrame:
+        """(ord, snp_idx, sample_idx, call, value): fetch_arrays as a row for each requested variant and each sample."""
+        arrays = self.fetch_arrays(snp_indices, bed_path, haploid_mode)
+        long = arrays.select("ord", "snp_idx", F.posexplode(F.arrays_zip("calls", "values")).alias("at", "x"))
+        return long.select("ord", "snp_idx", F.col("at").cast("long").alias("sample_idx"), F.col("x.calls").alias("call"), F.col("x.values").alias("value"))
 
     def save(self, path: str) -> None:
         """Where calls lie, not the calls."""
@@ -127,6 +175,16 @@ class GenotypePanel:
         spark.createDataFrame(rows, "chr string, path string, n_snp long, n_sample long, sharded boolean").coalesce(1).write.parquet(f"{path}/sources")
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of one shard, of a bounded number of calls."""
+    labels = batch.column("chr").to_pylist()
+    start = 0
+    for i in range(1, len(labels) + 1):
+        if i == len(labels) or labels[i] != labels[start] or (i - start) * max(1, batch.column("n")[start].as_py()) >= CALLS_AT_ONCE:
+            yield batch.slice(start, i - start)
+            start = i
+
+
 def map_subjects(source: DataFrame, panel: DataFrame) -> DataFrame:
     """source with panel_idx: a subject is the same by fid and iid; the other columns must agree. status says what is wrong, if anything."""
     own = panel.select("fid", "iid", F.col("sample_idx").alias("panel_idx"), *(F.col(c).alias(f"panel_{c}") for c in ("father_id", "mother_id", "sex")))

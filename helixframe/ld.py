@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
 import json
 import logging
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,59 +223,6 @@ def panel_from_pairs(reference: ReferencePanel, pairs: DataFrame, freq: DataFram
     return LDPanel(reference, stored(blocks.select(*NAMES, "sex"), "ld-blocks"), freq, "female" if "female" in sexes or not sexes else sexes[0], tuple(sexes))
 
 
-#: Fixed values of the format: types of a shard's arrays.
-NPZ_TYPES = {"data": "float32", "indices": "int32", "indptr": "int32", "shape": "int64", "a1freq": "float32", "metadata": "uint8"}
-ENTRIES = 1_000_000  # of a shard that are handed on at once
-
-
-def _open_npz(path: str, content: bytes) -> tuple[dict[str, np.ndarray], dict]:
-    z = np.load(io.BytesIO(content), allow_pickle=False)
-    if missing := [k for k in NPZ_TYPES if k not in z.files]:
-        raise ValueError(f"{path}: no array {missing[0]!r}")
-    arrays = {k: z[k] for k in NPZ_TYPES}
-    if bad := [k for k, t in NPZ_TYPES.items() if arrays[k].dtype != t]:
-        raise ValueError(f"{path}: {bad[0]} must be {NPZ_TYPES[bad[0]]}")
-    n, indptr = len(arrays["a1freq"]), arrays["indptr"]
-    if arrays["shape"].tolist() != [n, n] or len(indptr) != n + 1 or indptr[0] != 0 or (np.diff(indptr) < 0).any() or not len(arrays["indices"]) == len(arrays["data"]) == indptr[-1]:
-        raise ValueError(f"{path}: not a square shard of {n} variants")
-    meta = json.loads(bytes(arrays["metadata"]).decode())
-    if meta["matrix"] != "symmetric":
-        raise ValueError(f"{path}: not a symmetric shard")
-    return arrays, meta
-
-
-def read_npz_shards(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, i, j, r, a1freq of i on the diagonal): compressed-column shards, each read by one task and handed on in parts. For import into Parquet.
-
-    A file is at most 2 GB, as Spark reads it whole.
-    """
-
-    def expand(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                z, meta = _open_npz(path, content)
-                columns = np.repeat(np.arange(len(z["a1freq"])), np.diff(z["indptr"]))
-                for lo in range(0, len(columns), ENTRIES):
-                    i, j = z["indices"][lo : lo + ENTRIES].astype(np.int64), columns[lo : lo + ENTRIES]
-                    if len(i) and (i.min() < 0 or i.max() >= len(z["a1freq"])):
-                        raise ValueError(f"{path}: a row is out of bounds")
-                    yield pd.DataFrame({"path": path, "chr": meta["chr"], "sex": meta["sex"], "i": i, "j": j, "r": z["data"][lo : lo + ENTRIES], "a1freq": np.where(i == j, z["a1freq"][i], np.nan)})
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(expand, "path string, chr string, sex string, i long, j long, r float, a1freq double")
-
-
-def read_npz_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, md5, metadata as JSON) of shards."""
-
-    def said(batches):
-        for pdf in batches:
-            texts = [json.dumps(_open_npz(p, c)[1]) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame({"path": pdf["path"], "md5": [hashlib.md5(c).hexdigest() for c in pdf["content"]], "metadata": texts})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(said, "path string, md5 string, metadata string")
-
-
 def write_bim(variants: DataFrame, path: str) -> None:
     """Variants of one shard as BIM text, in order."""
     lines = variants.select("local_idx", F.concat_ws("\t", "chr", "snp", F.lit("0"), "bp", "a1", "a2").alias("value"))

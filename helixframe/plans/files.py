@@ -14,6 +14,7 @@ from helixframe.annotations import create_annotation, load_annotation, load_anno
 from helixframe.contigs import CONTIGS, chr_rank
 from helixframe.genotype import GenotypePanel, load_genotype, load_genotype_cache
 from helixframe.ld import LDPanel, build_ld_from_genotype, ld_manifest, load_ld, save_ld, validate_ld
+from helixframe.operators.linkage import allele_frequency
 from helixframe.plans import views
 from helixframe.plans.catalog import _PAIRS, _calls, _v, query
 from helixframe.reference import ReferencePanel, load_reference_cache
@@ -219,7 +220,10 @@ x AS (SELECT chr, bp, k, dense_rank() OVER (PARTITION BY chr ORDER BY local_idx)
 
 
 def _genotype(spark: SparkSession, sf_dir: str, sharded: bool = True) -> tuple[GenotypePanel, str]:
-    """The calls as BED, BIM and FAM files, for each shard or in one, and the panel of these. In the source of X the samples are turned round."""
+    """The calls as BED, BIM and FAM files, for each shard or in one, and the panel of these.
+
+    With a source for each shard the samples of X are turned round, and some are not in it.
+    """
     calls = _calls(spark, sf_dir)
     root = fresh_path(spark, "bfile")
     prefix = f"{root}/c=@" if sharded else f"{root}/c"
@@ -227,9 +231,10 @@ def _genotype(spark: SparkSession, sf_dir: str, sharded: bool = True) -> tuple[G
     bim = numbered.select("chr", _text("chr", F.concat(F.lit("v"), "k"), F.lit("0"), "bp", F.lit("A"), F.lit("G")), _rank().alias("rank"), "row0")
     people = spark.range(N_SAMPLES).select(F.col("id"), _text(F.concat(F.lit("F"), F.col("id") % 5), F.concat(F.lit("I"), "id"), F.lit("0"), F.lit("0"), F.col("id") % 2 + 1, F.lit("-9")))
     if sharded:  # a folder of part files for each shard and kind
-        bed = numbered.withColumn("calls", F.when(F.col("chr") == "X", F.reverse("calls")).otherwise(F.col("calls"))).withColumn("shard", F.col("chr"))
+        on_x = F.reverse(F.filter("calls", lambda _, i: i % 16 != 5))
+        bed = numbered.withColumn("calls", F.when(F.col("chr") == "X", on_x).otherwise(F.col("calls"))).withColumn("shard", F.col("chr"))
         at = F.when(F.col("chr") == "X", -F.col("id")).otherwise(F.col("id"))
-        fams = people.crossJoin(calls.select("chr").distinct()).select(F.concat("chr", F.lit(".fam")).alias("c"), "value", at.alias("row0"))
+        fams = people.crossJoin(calls.select("chr").distinct()).filter("chr <> 'X' OR id % 16 <> 5").select(F.concat("chr", F.lit(".fam")).alias("c"), "value", at.alias("row0"))
         lines = bim.select(F.concat("chr", F.lit(".bim")).alias("c"), "value", "row0").unionByName(fams)
         lines.repartitionByRange("c", "row0").sortWithinPartitions("c", "row0").select("c", "value").write.partitionBy("c").text(root)
     else:
@@ -257,12 +262,25 @@ def bed_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = "o AS (SELECT *, dense_rank() OVER (ORDER BY CASE chr WHEN 'X' THEN 23 ELSE chr::INTEGER END, idx) - 1 AS snp_idx FROM x)\n"
 
 
-@query(_OWN_CALLS + _ALL + "SELECT snp_idx, sample_idx, g::TINYINT AS call, CASE WHEN g >= 0 THEN g::DOUBLE * CASE WHEN chr = 'X' AND sample_idx % 2 = 0 THEN 1 ELSE 2 END / 2 END AS value FROM o")
+#: Of the calls of X, those of samples that its own source lacks.
+_ABSENT = "chr = 'X' AND sample_idx % 16 = 5"
+
+
+def _every(panel: GenotypePanel) -> DataFrame:
+    """A request for all variants, as a table."""
+    return panel.mapped.select(F.col("snp_idx").alias("ord"), "snp_idx")
+
+
+@query(
+    _OWN_CALLS
+    + _ALL.rstrip()
+    + f""", p AS (SELECT *, CASE WHEN {_ABSENT} THEN -1 ELSE g END AS c FROM o)
+SELECT snp_idx, sample_idx, c::TINYINT AS call, CASE WHEN c >= 0 THEN c::DOUBLE * CASE WHEN chr = 'X' AND sample_idx % 2 = 0 THEN 1 ELSE 2 END / 2 END AS value FROM p"""
+)
 def fetch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of all variants by their numbers, scaled by ploidy: X counts once in males."""
+    """Calls of all variants by a table of their numbers, scaled by ploidy: X counts once in males, and is missing in samples that its source lacks."""
     panel, _ = _genotype(spark, sf_dir)
-    every = list(range(panel.reference.variants.count()))
-    return panel.fetch(every, haploid_mode="ploidy_scaled").select("snp_idx", "sample_idx", "call", "value")
+    return panel.fetch(_every(panel), haploid_mode="ploidy_scaled").select("snp_idx", "sample_idx", "call", "value")
 
 
 @query(_OWN_CALLS + "y AS (SELECT 1) SELECT DISTINCT chr, idx AS local_idx, true AS is_present FROM x WHERE chr IN ('1', 'X')")
@@ -273,9 +291,9 @@ def genotype_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_genotype_cache(spark, path, panel.reference, ["1", "X"]).is_present().select("chr", "local_idx", "is_present")
 
 
-@query(f"SELECT i AS sample_idx, i % 2 = 0 AS is_male, i % 2 = 1 AS is_female, true AS is_present FROM range({N_SAMPLES}) t(i) WHERE EXISTS (SELECT 1 FROM calls)")
+@query(f"SELECT i AS sample_idx, i % 2 = 0 AS is_male, i % 2 = 1 AS is_female, i % 16 <> 5 AS is_present FROM range({N_SAMPLES}) t(i) WHERE EXISTS (SELECT 1 FROM calls)")
 def sample_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, _ = _genotype(spark, sf_dir, sharded=False)
+    panel, _ = _genotype(spark, sf_dir)
     return panel.is_male().join(panel.is_female(), "sample_idx").join(panel.is_subject_present("X"), "sample_idx")
 
 
@@ -298,8 +316,9 @@ def frequency_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = load_ld(spark, path)
     validate_ld(again)
     axis = panel.mapped.select("chr", "local_idx", "snp_idx")
-    fetched = panel.fetch(list(range(panel.reference.variants.count()))).filter("call >= 0").join(axis, "snp_idx").filter("chr <> 'X' OR sample_idx % 2 = 1")
-    own = fetched.groupBy("chr", "local_idx").agg((F.sum("call") / (2.0 * F.count("call"))).alias("f"))
+    fetched = panel.fetch_arrays(_every(panel)).join(axis, "snp_idx")
+    females = F.when(F.col("chr") == "X", F.filter("calls", lambda _, i: i % 2 == 1)).otherwise(F.col("calls"))
+    own = allele_frequency(fetched.withColumn("calls", females)).select("chr", "local_idx", F.col("a1freq").alias("f"))
     kept = again.a1freq().join(axis, "snp_idx").select("chr", "local_idx", F.round(F.col("a1freq").cast("double"), 5).alias("built"))
     return kept.join(own, ["chr", "local_idx"]).select("chr", "local_idx", "built", F.round("f", 5).alias("fetched"))
 

@@ -1,73 +1,128 @@
-"""Import of LD distributions that are kept as a manifest and compressed-column npz files."""
+"""LD distributions as a manifest, compressed-column npz files and BIM files: validation, import by ranges of columns, export."""
 
 from __future__ import annotations
 
 import hashlib
 import io
 import json
+import zipfile
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyarrow import fs
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from numpy.lib import format as npy
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from helixframe.contigs import CHRX_SEXES, CONTIGS
-from helixframe.ld import LDPanel, check_sex, panel_from_pairs, read_npz_metadata, read_npz_shards, write_bim
+from helixframe.ld import LDPanel, check_sex, panel_from_pairs, write_bim
+from helixframe.operators.blocks import SIZE
 from helixframe.operators.linkage import validation
 from helixframe.reference import ReferencePanel
+from helixframe.sources.files import file_system, md5_of, read_small, write_file, write_files
 from helixframe.sources.plink import load_reference
 from helixframe.tables import stored
 
-#: Fixed values of the format: fields of a manifest entry, and what a shard's metadata has to say.
+#: Fixed values of the format: the manifest, fields of its entries, what a shard's metadata has to say, types of a shard's arrays.
+MANIFEST = {"object_type": "ld_panel_manifest", "schema_version": "1.0", "runtime_format": "python_npz_csc32"}
 ENTRY = ("chr", "sex", "file", "file_md5", "num_snp", "nnz", "reference_checksum", "reference_bim")
 AGREEING = ("chr", "sex", "num_snp", "nnz", "reference_checksum", "reference_bim")
-SAID = {"object_type": "ld_shard", "matrix": "symmetric", "diagonal": "explicit_unit", "value": "r"}
+SAID = {"object_type": "ld_shard", "schema_version": "1.0", "matrix": "symmetric", "diagonal": "explicit_unit", "value": "r", "sparse_layout": "csc", "index_base": 0}
+FORMAT = "ld_npz_csc32"
+NPZ_TYPES = {"data": "float32", "indices": "int32", "indptr": "int32", "shape": "int64", "a1freq": "float32", "metadata": "uint8"}
+
+ENTRIES = 16 << 20  # entries of a shard that one task reads, some columns more or less
+BATCH = 1 << 20  # entries that are handed on at once
+CHUNK = 4 << 20  # bytes of a file that are one row of a sink
 
 
 def is_plain_name(name: object) -> bool:
-    """Whether a name stays in its folder: no separators, no drive, not . or .."""
-    return isinstance(name, str) and name not in ("", ".", "..") and not any(c in name for c in "/\\:\0")
+    """Whether a name stays in its folder: no separators, no drive, no dots that lead out."""
+    return isinstance(name, str) and name not in ("", ".") and ".." not in name and not any(c in name for c in "/\\:\0")
 
 
 def _whole(x: object, least: int) -> bool:
     return isinstance(x, int) and not isinstance(x, bool) and x >= least
 
 
-def read_manifest(spark: SparkSession, root: str) -> list[dict]:
-    """Entries of the manifest in its folder, checked and in canonical order."""
-    text = spark.read.text(f"{root}/ld_manifest.json", wholetext=True).first()[0]
-    entries = json.loads(text)["shards"]
-    if not entries:
-        raise ValueError(f"{root}: the manifest has no shards")
+def _is_md5(x: object) -> bool:
+    return isinstance(x, str) and len(x) == 32
+
+
+def _same(found: dict, wanted: dict, where: str) -> None:
+    for key, value in wanted.items():
+        if found.get(key) != value or isinstance(found.get(key), bool):
+            raise ValueError(f"{where}: {key} must be {value!r}")
+
+
+def check_entry(e: dict, where: str) -> None:
+    if missing := [k for k in ENTRY if k not in e]:
+        raise ValueError(f"{where}: an entry has no {', '.join(missing)}")
+    if e["chr"] not in CONTIGS:
+        raise ValueError(f"{where}: unknown contig {e['chr']!r}")
+    check_sex(e["chr"], e["sex"])
+    if not isinstance(e["file"], str) or not e["file"].endswith(".npz") or e["file"].startswith("/") or ".." in e["file"].split("/"):
+        raise ValueError(f"{where}: {e['file']!r} must be an npz file within the distribution")
+    if not is_plain_name(e["reference_bim"]):
+        raise ValueError(f"{where}: reference_bim must be the name of a file beside the manifest")
+    if not _whole(e["num_snp"], 1) or not _whole(e["nnz"], 0):
+        raise ValueError(f"{where}: sizes of {e['file']!r} must be whole numbers")
+    if not _is_md5(e["file_md5"]):
+        raise ValueError(f"{where}: file_md5 of {e['file']!r} must be an MD5")
+    if not isinstance(e["reference_checksum"], str) or not e["reference_checksum"]:
+        raise ValueError(f"{where}: {e['file']!r} has no reference_checksum")
+
+
+def in_order(entries: list[dict]) -> list[dict]:
+    """Entries in canonical order."""
+    return sorted(entries, key=lambda e: (CONTIGS.index(e["chr"]), CHRX_SEXES.index(e["sex"]) if e["sex"] else -1))
+
+
+def check_manifest(manifest: dict, where: str) -> list[dict]:
+    """Entries of a manifest, checked, in canonical order."""
+    _same(manifest, MANIFEST, where)
+    if not is_plain_name(manifest.get("reference_cache")):
+        raise ValueError(f"{where}: reference_cache must be the name of a file beside the manifest")
+    if not _is_md5(manifest.get("reference_cache_md5")):
+        raise ValueError(f"{where}: reference_cache_md5 must be an MD5")
+    entries = manifest.get("shards")
+    if not isinstance(entries, list) or not entries:
+        raise ValueError(f"{where}: the manifest has no shards")
     for e in entries:
-        if missing := [k for k in ENTRY if k not in e]:
-            raise ValueError(f"{root}: an entry has no {', '.join(missing)}")
-        if e["chr"] not in CONTIGS:
-            raise ValueError(f"{root}: unknown contig {e['chr']!r}")
-        check_sex(e["chr"], e["sex"])
-        if not is_plain_name(e["reference_bim"]) or e["file"].startswith("/") or ".." in e["file"].split("/"):
-            raise ValueError(f"{root}: {e['file']!r} or {e['reference_bim']!r} leads out of the folder")
-        if not _whole(e["num_snp"], 1) or not _whole(e["nnz"], 0):
-            raise ValueError(f"{root}: sizes of {e['file']!r} must be whole numbers")
-        if not isinstance(e["file_md5"], str) or len(e["file_md5"]) != 32 or not e["reference_checksum"]:
-            raise ValueError(f"{root}: checksums of {e['file']!r} are missing")
+        check_entry(e, where)
     places = [(e["chr"], e["sex"]) for e in entries]
     if len(set(places)) != len(places):
-        raise ValueError(f"{root}: a shard is listed twice")
-    return sorted(entries, key=lambda e: (CONTIGS.index(e["chr"]), CHRX_SEXES.index(e["sex"]) if e["sex"] else -1))
+        raise ValueError(f"{where}: a shard is listed twice")
+    bims = {(e["chr"], e["reference_bim"]) for e in entries}
+    if len({c for c, _ in bims}) < len(bims):
+        raise ValueError(f"{where}: entries of one contig must share reference_bim")
+    return in_order(entries)
+
+
+def read_manifest(spark: SparkSession, root: str) -> list[dict]:
+    """Entries of the manifest in its folder, checked and in canonical order."""
+    return check_manifest(json.loads(read_small(spark, f"{root}/ld_manifest.json")), root)
 
 
 def check_metadata(meta: dict, where: str) -> None:
     """Raises unless a shard's metadata describes a symmetric matrix of correlations with sizes that make sense."""
-    for key, value in SAID.items():
-        if meta.get(key) != value:
-            raise ValueError(f"{where}: {key} must be {value!r}")
+    if missing := [k for k in (*AGREEING, *SAID, "format", "num_monomorphic_snps") if k not in meta]:
+        raise ValueError(f"{where}: metadata has no {', '.join(missing)}")
+    _same(meta, SAID, where)
+    if not isinstance(meta["format"], str) or not meta["format"].endswith(FORMAT):
+        raise ValueError(f"{where}: format must be one of {FORMAT}")
+    if meta["chr"] not in CONTIGS:
+        raise ValueError(f"{where}: unknown contig {meta['chr']!r}")
     check_sex(meta["chr"], meta["sex"])
     if not _whole(meta["num_snp"], 1) or not _whole(meta["nnz"], 0) or meta["nnz"] >= 1 << 31:
         raise ValueError(f"{where}: num_snp or nnz is out of bounds")
     if not _whole(meta["num_monomorphic_snps"], 0) or meta["num_monomorphic_snps"] > meta["num_snp"]:
         raise ValueError(f"{where}: more monomorphic variants than variants")
+    if not isinstance(meta["reference_checksum"], str) or not meta["reference_checksum"]:
+        raise ValueError(f"{where}: no reference_checksum")
+    if not is_plain_name(meta["reference_bim"]):
+        raise ValueError(f"{where}: reference_bim must be the name of a file")
 
 
 def check_agreement(entry: dict, meta: dict, where: str) -> None:
@@ -75,26 +130,149 @@ def check_agreement(entry: dict, meta: dict, where: str) -> None:
         raise ValueError(f"{where}: manifest and shard differ in {', '.join(bad)}")
 
 
+# Reading -----------------------------------------------------------------------------------------------------
+
+
+class _Shard:
+    """An open npz file: its small arrays, and streams over its large ones."""
+
+    def __init__(self, path: str):
+        self.path = path
+        system, own = file_system(path)
+        self.zip = zipfile.ZipFile(system.open_input_file(own))
+        names = set(self.zip.namelist())
+        if missing := [k for k in NPZ_TYPES if f"{k}.npy" not in names]:
+            raise ValueError(f"{path}: no array {missing[0]!r}")
+        self.sizes = {}
+        for k, kind in NPZ_TYPES.items():
+            with self.zip.open(f"{k}.npy") as f:
+                shape, _, dtype = self._header(f)
+            if dtype != kind or len(shape) != 1:
+                raise ValueError(f"{path}: {k} must be a list of {kind}")
+            self.sizes[k] = shape[0]
+        self.indptr, self.a1freq, shape, said = (next(self.stream(k, 0, self.sizes[k], self.sizes[k] or 1), np.empty(0, NPZ_TYPES[k])) for k in ("indptr", "a1freq", "shape", "metadata"))
+        n = len(self.a1freq)
+        if shape.tolist() != [n, n] or len(self.indptr) != n + 1 or self.indptr[0] != 0 or (np.diff(self.indptr) < 0).any() or not self.sizes["indices"] == self.sizes["data"] == self.indptr[-1]:
+            raise ValueError(f"{path}: not a square shard of {n} variants")
+        self.meta = json.loads(bytes(said).decode())
+        if self.meta.get("matrix") != "symmetric":
+            raise ValueError(f"{path}: not a symmetric shard")
+
+    @staticmethod
+    def _header(f) -> tuple:
+        version = npy.read_magic(f)
+        return npy.read_array_header_1_0(f) if version == (1, 0) else npy.read_array_header_2_0(f)
+
+    def stream(self, name: str, start: int, stop: int, each: int) -> Iterator[np.ndarray]:
+        """Entries start to stop of an array, some at a time. What lies before is passed over, not kept."""
+        width = np.dtype(NPZ_TYPES[name]).itemsize
+        with self.zip.open(f"{name}.npy") as f:
+            self._header(f)
+            skip = start * width
+            while skip:
+                got = len(f.read(min(skip, CHUNK)))
+                if not got:
+                    raise ValueError(f"{self.path}: {name} ends too soon")
+                skip -= got
+            for lo in range(start, stop, each):
+                data = f.read(width * (min(lo + each, stop) - lo))
+                if len(data) != width * (min(lo + each, stop) - lo):
+                    raise ValueError(f"{self.path}: {name} ends too soon")
+                yield np.frombuffer(data, NPZ_TYPES[name])
+
+
+class _Columns(InputPartition):
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
+
+
+class _NpzReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.paths, self.entries = json.loads(options["paths"]), int(options.get("entries", ENTRIES))
+
+    def partitions(self) -> list[_Columns]:
+        """Ranges of columns of about as many entries each; the driver reads a shard's column starts only."""
+        out = []
+        for path in self.paths:
+            starts = _Shard(path).indptr.astype(np.int64)
+            cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], self.entries), "left"), [0, len(starts) - 1]))
+            out += [_Columns(path, int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out or [_Columns("", 0, 0)]
+
+    def read(self, partition: _Columns) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        z = _Shard(partition.path)
+        n, lo, hi = len(z.a1freq), int(z.indptr[partition.start]), int(z.indptr[partition.stop])
+        at = lo
+        for i, r in zip(z.stream("indices", lo, hi, BATCH), z.stream("data", lo, hi, BATCH), strict=True):
+            if i.min() < 0 or i.max() >= n:
+                raise ValueError(f"{z.path}: a row is out of bounds")
+            j = np.searchsorted(z.indptr, np.arange(at, at + len(i)), "right") - 1
+            said = [pa.array([x] * len(i), pa.string()) for x in (z.path, z.meta["chr"], z.meta["sex"])]
+            freq = pa.array(z.a1freq[i].astype(np.float64), pa.float64(), mask=i != j)
+            yield pa.RecordBatch.from_arrays([*said, pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(r), freq], ["path", "chr", "sex", "i", "j", "r", "a1freq"])
+            at += len(i)
+
+
+class NpzShards(DataSource):
+    """Entries of compressed-column shards: options paths (JSON), and entries, how many a task reads."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ld_npz"
+
+    def schema(self) -> str:
+        return "path string, chr string, sex string, i long, j long, r float, a1freq double"
+
+    def reader(self, schema) -> _NpzReader:
+        return _NpzReader(self.options)
+
+
+def read_npz_shards(spark: SparkSession, paths: str | list[str], entries: int = ENTRIES) -> DataFrame:
+    """(path, chr, sex, i, j, r, a1freq of i on the diagonal): a shard of any size is read by many tasks, each a range of its columns."""
+    spark.dataSource.register(NpzShards)
+    return spark.read.format("ld_npz").option("paths", json.dumps([paths] if isinstance(paths, str) else list(paths))).option("entries", entries).load()
+
+
+def read_npz_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, md5, metadata as JSON) of shards. Files are read a piece at a time, one task for each."""
+    own = [paths] if isinstance(paths, str) else list(paths)
+
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([md5_of(p) for p in names], pa.string()), pa.array([json.dumps(_Shard(p).meta) for p in names], pa.string())], ["path", "md5", "metadata"])
+
+    return spark.createDataFrame([(p,) for p in own], "path string").repartition(max(1, len(own)), "path").mapInArrow(said, "path string, md5 string, metadata string")
+
+
 def check_bundled_bim(spark: SparkSession, root: str, entries: list[dict]) -> None:
     """Raises unless the BIM file beside each shard has its variants. The files are read together."""
-    wanted = {}
-    for e in entries:
-        wanted[e["chr"]] = (e["num_snp"], e["reference_checksum"])
+    wanted = {e["chr"]: (e["num_snp"], e["reference_checksum"]) for e in entries}
     found = load_reference(spark, sorted({f"{root}/{e['reference_bim']}" for e in entries}))
     own = {r["chr"]: (r["num_snp"], r["checksum"]) for r in found.shards().collect()}
     if bad := [k for k, v in wanted.items() if own.get(k) != v]:
         raise ValueError(f"{root}: the BIM file of shard {bad[0]!r} has other variants")
 
 
-def validate_distribution(spark: SparkSession, root: str, with_bim: bool = False) -> list[dict]:
-    """Entries of the manifest, whose files have the checksums that it says and whose metadata make sense and agree with it."""
+def validate_distribution(spark: SparkSession, root: str, with_bim: bool = True) -> list[dict]:
+    """Entries of the manifest, whose files have the checksums that it says and whose metadata make sense and agree with it.
+
+    with_bim: the BIM files beside the shards are held against them, too.
+    """
     entries = read_manifest(spark, root)
-    said = {r["path"].rsplit("/", 1)[-1]: r for r in read_npz_metadata(spark, [f"{root}/{e['file']}" for e in entries]).collect()}
+    manifest = json.loads(read_small(spark, f"{root}/ld_manifest.json"))
+    cache = f"{root}/{manifest['reference_cache']}"
+    sums = {r["path"]: r["md5"] for r in _sums(spark, [cache, *(f"{root}/{e['file']}" for e in entries)]).collect()}
+    if sums[cache] != manifest["reference_cache_md5"]:
+        raise ValueError(f"{root}: {manifest['reference_cache']!r} isn't the file of the manifest")
     for e in entries:
-        r = said.get(e["file"].rsplit("/", 1)[-1])
-        if r is None or r["md5"] != e["file_md5"]:
+        if sums[f"{root}/{e['file']}"] != e["file_md5"]:
             raise ValueError(f"{root}: {e['file']!r} isn't the file of the manifest")
-        meta = json.loads(r["metadata"])
+    said = {r["path"]: json.loads(r["metadata"]) for r in read_npz_metadata(spark, [f"{root}/{e['file']}" for e in entries]).collect()}
+    for e in entries:
+        meta = said[f"{root}/{e['file']}"]
         check_metadata(meta, e["file"])
         check_agreement(e, meta, e["file"])
     if with_bim:
@@ -102,7 +280,23 @@ def validate_distribution(spark: SparkSession, root: str, with_bim: bool = False
     return entries
 
 
-def import_distribution(spark: SparkSession, root: str, reference: ReferencePanel, with_bim: bool = False) -> LDPanel:
+def _sums(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, md5); a file that isn't there has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    found.append(md5_of(path))
+                except FileNotFoundError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], ["path", "md5"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path").mapInArrow(run, "path string, md5 string")
+
+
+def import_distribution(spark: SparkSession, root: str, reference: ReferencePanel, with_bim: bool = True) -> LDPanel:
     """The shards that the reference has, as a panel; each must have been made for the same variants, be symmetric and have its unit diagonal."""
     entries = [e for e in validate_distribution(spark, root, with_bim) if e["chr"] in reference.labels]
     own = {r["chr"]: r for r in reference.shards().collect()}
@@ -122,41 +316,84 @@ def import_distribution(spark: SparkSession, root: str, reference: ReferencePane
     return panel_from_pairs(reference, rows.filter("i < j").select("chr", "sex", "i", "j", "r"), freq, [e["sex"] for e in entries if e["sex"]])
 
 
-def export_distribution(panel: LDPanel, root: str, name_of_format: str = "ld_npz_csc32") -> None:
-    """A compressed-column npz file for each shard and sex, BIM files and the manifest. Each shard is put together by one task, as it is one file."""
-    spark = panel.r.sparkSession
+# Writing -----------------------------------------------------------------------------------------------------
+
+
+def _chunks(name: str, content: bytes) -> pa.RecordBatch:
+    parts = [content[lo : lo + CHUNK] for lo in range(0, len(content), CHUNK)]
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.string())], ["name", "part", "content", "entry"])
+
+
+def export_distribution(panel: LDPanel, root: str, name_of_format: str = FORMAT) -> None:
+    """A compressed-column npz file for each shard and sex, BIM files, the reference and, when all these are there, the manifest.
+
+    Each shard's arrays are put together by one task, as it is one file of at most 2 ** 31 entries.
+    """
+    spark = panel.blocks.sparkSession
     shards = {r["chr"]: (r["num_snp"], r["checksum"]) for r in panel.reference.shards().collect()}
-    freq = panel.freq.select(F.col("chr").alias("of_chr"), F.col("sex").alias("of_sex"), F.col("local_idx").alias("of"), F.col("a1freq").cast("float").alias("a1freq"))
-    of = (F.col("chr") == F.col("of_chr")) & F.col("sex").eqNullSafe(F.col("of_sex")) & (F.col("i") == F.col("of")) & (F.col("j") == F.col("of"))
-    rows = panel.r.join(freq, of, "left").select("chr", "sex", "i", "j", "r", "a1freq")
-
-    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        chr_, sex = key
-        n, checksum = shards[chr_]
-        pdf = pdf.sort_values(["j", "i"])
-        f = pdf["a1freq"][pdf["i"] == pdf["j"]].to_numpy(np.float32)
-        if len(pdf) >= 1 << 31 or len(f) != n:
-            raise ValueError(f"shard {chr_!r}: {len(pdf)} values and {len(f)} frequencies of {n} variants")
-        meta = SAID | {
-            "schema_version": "1.0", "format": name_of_format, "sparse_layout": "csc", "index_base": 0, "chr": chr_, "sex": sex, "num_snp": n, "nnz": len(pdf),
-            "num_monomorphic_snps": int(((f == 0) | (f == 1)).sum()), "reference_checksum": checksum, "reference_bim": f"reference_chr{chr_}.bim",
-        }
-        out = io.BytesIO()
-        np.savez_compressed(
-            out, data=pdf["r"].to_numpy(np.float32), indices=pdf["i"].to_numpy(np.int32), indptr=np.searchsorted(pdf["j"].to_numpy(), np.arange(n + 1)).astype(np.int32),
-            shape=np.array([n, n], np.int64), a1freq=f, metadata=np.frombuffer(json.dumps(meta).encode(), np.uint8),
-        )
-        name = f"ld_chr{chr_}{'_' + sex if sex else ''}.npz"
-        system, path = fs.FileSystem.from_uri(f"{root}/{name}")
-        with system.open_output_stream(path) as f:
-            f.write(out.getvalue())
-        entry = {k: meta[k] for k in AGREEING} | {"file": name, "file_md5": hashlib.md5(out.getvalue()).hexdigest()}
-        return pd.DataFrame({"entry": [json.dumps(entry)]})
-
-    fs.FileSystem.from_uri(root)[0].create_dir(fs.FileSystem.from_uri(root)[1], recursive=True)
-    entries = [json.loads(r["entry"]) for r in rows.groupBy("chr", "sex").applyInPandas(write, "entry string").collect()]
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    lists = {"i": "array<smallint>", "j": "array<smallint>", "r": "array<float>"}
+    freq = panel.freq.select("chr", "sex", F.floor(F.col("local_idx") / SIZE).cast("int").alias("bi"), F.struct((F.col("local_idx") % SIZE).cast("int").alias("at"), F.col("a1freq").cast("float").alias("f")).alias("e"))
+    freq = freq.groupBy("chr", "sex", "bi").agg(F.collect_list("e").alias("freq")).select("chr", "sex", "bi", F.lit(-1).alias("bj"), *(none(c, t) for c, t in lists.items()), "freq")
+    rows = panel.blocks.select("chr", "sex", "bi", "bj", *lists, none("freq", "array<struct<at:int,f:float>>")).unionByName(freq)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        pairs: list[tuple] = []
+        freqs: list[tuple] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            chr_, sex = key
+            n, checksum = shards[chr_]
+            i, j, r = (np.concatenate([p[k] for p in pairs] or [np.empty(0)]) for k in range(3))
+            at, f = (np.concatenate([x[k] for x in freqs] or [np.empty(0)]) for k in range(2))
+            if len(at) != n or len(np.unique(at)) != n or 2 * len(i) + n >= 1 << 31:
+                raise ValueError(f"shard {chr_!r}: {2 * len(i) + n} values and {len(at)} frequencies of {n} variants")
+            a1freq = np.empty(n, np.float32)
+            a1freq[at.astype(np.int64)] = f
+            every = np.arange(n)
+            row, column = (np.concatenate([a, b, every]).astype(np.int32) for a, b in ((i, j), (j, i)))
+            value = np.concatenate([r, r, np.ones(n)]).astype(np.float32)
+            order = np.lexsort((row, column))
+            meta = SAID | {
+                "format": name_of_format, "chr": chr_, "sex": sex, "num_snp": n, "nnz": len(row), "num_monomorphic_snps": int(((a1freq == 0) | (a1freq == 1)).sum()),
+                "reference_checksum": checksum, "reference_bim": f"reference_chr{chr_}.bim",
+            }
+            out = io.BytesIO()
+            np.savez_compressed(
+                out, data=value[order], indices=row[order], indptr=np.searchsorted(column[order], np.arange(n + 1)).astype(np.int32), shape=np.array([n, n], np.int64), a1freq=a1freq,
+                metadata=np.frombuffer(json.dumps(meta).encode(), np.uint8),
+            )
+            name = f"ld_chr{chr_}{'_' + sex if sex else ''}.npz"
+            entry = {k: meta[k] for k in AGREEING} | {"file": name, "file_md5": hashlib.md5(out.getbuffer()).hexdigest()}
+            yield _chunks(name, out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([json.dumps(entry)])], ["name", "part", "content", "entry"])
+
+        for batch in batches:
+            for k, own in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chr", "sex", "bi", "bj")), strict=True)):
+                if own[:2] != key:
+                    if key is not None:
+                        yield from close()
+                    key, pairs, freqs = own[:2], [], []
+                if own[3] < 0:
+                    e = batch.column("freq")[k].values
+                    freqs.append((e.field("at").to_numpy(zero_copy_only=False).astype(np.int64) + own[2] * SIZE, e.field("f").to_numpy(zero_copy_only=False)))
+                else:
+                    i, j, r = (batch.column(c)[k].values.to_numpy() for c in "ijr")
+                    pairs.append((i.astype(np.int64) + own[2] * SIZE, j.astype(np.int64) + own[3] * SIZE, r))
+        if key is not None:
+            yield from close()
+
+    made = rows.repartition("chr", "sex").sortWithinPartitions("chr", "sex").mapInArrow(write, "name string, part long, content binary, entry string")
+    made = stored(made, "npz-files")  # so that checksums are those of what is written
+    entries = [json.loads(r["entry"]) for r in made.filter("part < 0").select("entry").collect()]
+    write_files(made.filter("part >= 0"), root)
     for label in panel.reference.labels:
         write_bim(panel.reference.variants.filter(F.col("chr") == label), f"{root}/reference_chr{label}.bim")
-    system, path = fs.FileSystem.from_uri(f"{root}/ld_manifest.json")
-    with system.open_output_stream(path) as f:
-        f.write(json.dumps({"shards": entries}, indent=1).encode())
+    cache = "reference.tsv"  # the axis as one file, a chunk for each block of variants
+    line = F.concat_ws("\t", "chr", "local_idx", "snp", "bp", "a1", "a2")
+    place = F.array_position(F.array(*(F.lit(c) for c in CONTIGS)), F.col("chr")) * F.lit(1 << 40) + F.floor(F.col("local_idx") / 65536)
+    text = panel.reference.variants.groupBy(place.alias("part")).agg(F.sort_array(F.collect_list(F.struct("local_idx", line.alias("line")))).alias("lines"))
+    write_files(text.select(F.lit(cache).alias("name"), "part", F.concat(F.array_join("lines.line", "\n"), F.lit("\n")).cast("binary").alias("content")), root)
+    manifest = MANIFEST | {"reference_cache": cache, "reference_cache_md5": md5_of(f"{root}/{cache}"), "shards": in_order(entries)}
+    write_file(f"{root}/ld_manifest.json", json.dumps(manifest, indent=1).encode())

@@ -15,12 +15,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from helixframe.contigs import CONTIGS, IGNORED, chr_rank, is_styled
 from helixframe.functions.variants import is_dna
 from helixframe.reference import ReferencePanel, panel_of
+from helixframe.sources.files import file_system, write_files
 from helixframe.sources.text import fields, numbered_lines
 from helixframe.tables import check_rows, check_unique
 
 #: First bytes of a BED file in variant-major order.
 BED_MAGIC = b"\x6c\x1b\x01"
 BLOCK_BYTES = 64 << 20
+RANGE_BYTES = 1 << 20  # of a BED file that are read where one row of them is wanted
 
 
 def _integral(token) -> F.Column:
@@ -124,20 +126,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 class _Rows(InputPartition):
-    def __init__(self, start: int, stop: int, rows: list[int] | None = None):
-        self.start, self.stop, self.rows = start, stop, rows
+    def __init__(self, start: int, stop: int):
+        self.start, self.stop = start, stop
 
 
 class _BedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.n_sample, self.n_snp = options["path"], int(options["n_sample"]), int(options["n_snp"])
-        self.rows = sorted(set(json.loads(options["rows"]))) if "rows" in options else None
+        self.ranges = json.loads(options["ranges"]) if "ranges" in options else None
         self.width = -(-self.n_sample // 4)
 
     def _open(self):
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        system, path = file_system(self.path)
         return system.open_input_file(path)
 
     def partitions(self) -> list[_Rows]:
@@ -147,17 +147,16 @@ class _BedReader(DataSourceReader):
             if f.size() != 3 + self.width * self.n_snp:
                 raise ValueError(f"{self.path}: expected {3 + self.width * self.n_snp} bytes, found {f.size()}")
         each = max(1, BLOCK_BYTES // max(1, self.width))
-        if self.rows is None:
-            return [_Rows(a, min(a + each, self.n_snp)) for a in range(0, self.n_snp, each)] or [_Rows(0, 0)]
-        if any(r < 0 or r >= self.n_snp for r in self.rows):
+        ranges = [(0, self.n_snp)] if self.ranges is None else sorted(map(tuple, self.ranges))
+        if any(a < 0 or b > self.n_snp or a >= b for a, b in ranges if self.ranges is not None):
             raise ValueError(f"{self.path}: a row is out of bounds")
-        runs: list[_Rows] = []
-        for r in self.rows:  # neighbours are read at once
-            if runs and runs[-1].stop == r and r - runs[-1].start < each:
-                runs[-1].stop = r + 1
+        merged: list[list[int]] = []
+        for a, b in ranges:  # neighbours are read at once
+            if merged and merged[-1][1] >= a:
+                merged[-1][1] = max(b, merged[-1][1])
             else:
-                runs.append(_Rows(r, r + 1))
-        return runs or [_Rows(0, 0)]
+                merged.append([a, b])
+        return [_Rows(lo, min(lo + each, b)) for a, b in merged for lo in range(a, b, each)] or [_Rows(0, 0)]
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         step = max(1, (4 << 20) // max(1, self.width))
@@ -171,7 +170,7 @@ class _BedReader(DataSourceReader):
 
 
 class PlinkBed(DataSource):
-    """Packed rows of a BED file: options path, n_sample, n_snp, and rows (JSON) to read no others."""
+    """Packed rows of a BED file: options path, n_sample, n_snp, and ranges (JSON) of rows to read no others."""
 
     @classmethod
     def name(cls) -> str:
@@ -184,11 +183,16 @@ class PlinkBed(DataSource):
         return _BedReader(self.options)
 
 
-def read_bed(spark: SparkSession, path: str, n_sample: int, n_snp: int, rows: list[int] | None = None) -> DataFrame:
-    """(source_row0, packed); with rows, only those."""
+def rows_of_range(n_sample: int) -> int:
+    """How many rows of a BED file RANGE_BYTES are."""
+    return max(1, RANGE_BYTES // max(1, -(-n_sample // 4)))
+
+
+def read_bed(spark: SparkSession, path: str, n_sample: int, n_snp: int, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(source_row0, packed); with ranges (start and end of rows), only those."""
     spark.dataSource.register(PlinkBed)
     reader = spark.read.format("plink_bed").option("path", path).option("n_sample", n_sample).option("n_snp", n_snp)
-    return (reader if rows is None else reader.option("rows", json.dumps(rows))).load()
+    return (reader if ranges is None else reader.option("ranges", json.dumps(ranges))).load()
 
 
 #: Calls of the four places of each byte: 00 is 2, 01 missing (-1), 10 is 1, 11 is 0; and the bits of a call, by call + 1.
@@ -196,6 +200,12 @@ CALLS = np.array([[(2, -1, 1, 0)[b >> 2 * k & 3] for k in range(4)] for b in ran
 CODES = np.array([1, 3, 2, 0], np.uint8)
 
 
+def unpacked(packed: list[bytes], n_sample: int) -> np.ndarray:
+    """Calls of packed rows: a row for each variant, a column for each sample."""
+    data = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -(-n_sample // 4))
+    return CALLS[data].reshape(len(packed), 4 * data.shape[1])[:, :n_sample]
+
+
 def unpack_calls(packed: DataFrame, n_sample: int) -> DataFrame:
     """packed with `calls`: an array of a call for each sample, decoded batch by batch."""
     rest = [c for c in packed.columns if c != "packed"]
@@ -206,8 +216,7 @@ def unpack_calls(packed: DataFrame, n_sample: int) -> DataFrame:
         for whole in batches:
             for lo in range(0, len(whole), step):
                 batch = whole.slice(lo, step)
-                data = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.uint8).reshape(len(batch), -(-n_sample // 4))
-                calls = CALLS[data].reshape(len(batch), -1)[:, :n_sample]
+                calls = unpacked(batch.column("packed").to_pylist(), n_sample)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * n_sample), pa.array(np.ascontiguousarray(calls).ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), lists], [*rest, "calls"])
 
@@ -222,23 +231,17 @@ def pack_calls(calls: np.ndarray) -> np.ndarray:
 
 
 def write_bed(calls: DataFrame, path: str) -> None:
-    """calls: shard, row0, calls. A BED file for each shard (@ in path stands for it), each streamed in order by one task, as it is one file."""
-    from pyarrow import fs
+    """calls: shard, row0, calls. A BED file for each shard (@ in path stands for it), streamed in order by one task, as it is one file; see `files.write_files`."""
+    root = path.split("@", 1)[0].rsplit("/", 1)[0]
+    name = F.replace(F.lit(path[len(root) + 1 :]), F.lit("@"), F.col("shard"))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = out = None
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, row in zip(batch.column("shard").to_pylist(), batch.column("calls").to_pylist(), strict=True):
-                if shard != label:
-                    if out is not None:
-                        out.close()
-                    label = shard
-                    system, own = fs.FileSystem.from_uri(path.replace("@", shard))
-                    out = system.open_output_stream(own)
-                    out.write(BED_MAGIC)
-                out.write(pack_calls(np.array([row])).tobytes())
-        if out is not None:
-            out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
-
-    calls.select("shard", "row0", "calls").repartition("shard").sortWithinPartitions("shard", "row0").mapInArrow(write, "n long").count()
+            sizes = batch.column("calls").value_lengths().to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(sizes)]
+            data = [row.tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True) for row in pack_calls(batch.column("calls").slice(a, b - a).flatten().to_numpy().reshape(b - a, int(sizes[a])))] if len(sizes) else []
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("part"), pa.array(data, pa.binary())], ["name", "part", "content"])
+
+    rows = calls.select(name.alias("name"), F.col("row0").cast("long").alias("part"), F.col("calls").cast("array<tinyint>").alias("calls")).mapInArrow(pack, "name string, part long, content binary")
+    heads = calls.select(name.alias("name")).distinct().select("name", F.lit(-1).cast("long").alias("part"), F.lit(bytearray(BED_MAGIC)).alias("content"))
+    write_files(heads.unionByName(rows), root)

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from helixframe.annotations import create_annotations, load_annotation, load_annotations, load_annotations_cache
 from helixframe.genotype import load_genotype, load_genotype_cache
-from helixframe.ld import build_ld, get_verbosity, ld_manifest, load_ld, load_ld_reference, panel_from_pairs, read_npz_shards, save_ld, set_verbosity, validate_ld, write_bim, write_monomorphic
+from helixframe.ld import build_ld, get_verbosity, ld_manifest, load_ld, load_ld_reference, panel_from_pairs, save_ld, set_verbosity, validate_ld, write_bim, write_monomorphic
 from helixframe.operators import blocks, prune
 from helixframe.operators.blocks import blocks_of, build_blocks, multiply_r2, pairs_of, rows_of
 from helixframe.operators.linkage import fast_prune, prune_frequency
 from helixframe.reference import panel_of
+from helixframe.sources.ld_npz import MANIFEST, SAID, read_npz_shards
 from helixframe.sources.plink import load_reference
 from helixframe.sources.text import numbered_lines
 from tests.test_variants import SCHEMA, VARIANTS, by_axis
@@ -302,7 +303,7 @@ def npz_shard(path, r, freq, chr_, sex, checksum):
 
     r = np.asarray(r, np.float32)
     j, i = np.nonzero(r.T)
-    meta = {"chr": chr_, "sex": sex, "matrix": "symmetric", "diagonal": "explicit_unit", "value": "r", "object_type": "ld_shard", "num_snp": len(r), "nnz": len(i), "num_monomorphic_snps": 0}
+    meta = SAID | {"format": "ld_npz_csc32", "chr": chr_, "sex": sex, "num_snp": len(r), "nnz": len(i), "num_monomorphic_snps": 0}
     meta |= {"reference_checksum": checksum, "reference_bim": f"{chr_}.bim"}
     np.savez(path, data=r[i, j], indices=i.astype(np.int32), indptr=np.searchsorted(j, range(len(r) + 1)).astype(np.int32), shape=np.array(r.shape), a1freq=np.array(freq, np.float32), metadata=np.frombuffer(json.dumps(meta).encode(), np.uint8))
     return meta
@@ -325,19 +326,122 @@ def test_import_distribution(spark, panel, tmp_path):
         check_metadata(meta, name)
         entries.append({k: meta[k] for k in ("chr", "sex", "num_snp", "nnz", "reference_checksum", "reference_bim")} | {"file": name, "file_md5": hashlib.md5((tmp_path / name).read_bytes()).hexdigest()})
         check_agreement(entries[-1], meta, name)
+    (tmp_path / "reference.tsv").write_text("axis")
+    (tmp_path / "1.bim").write_text("".join(f"{c} {s} 0 {bp} {a} {b}\n" for c, _, s, bp, a, b in VARIANTS if c == "1"))
+    (tmp_path / "X.bim").write_text("".join(f"{c} {s} 0 {bp} {a} {b}\n" for c, _, s, bp, a, b in VARIANTS if c == "X"))
+    head = MANIFEST | {"reference_cache": "reference.tsv", "reference_cache_md5": hashlib.md5(b"axis").hexdigest()}
     manifest = tmp_path / "ld_manifest.json"
-    manifest.write_text(json.dumps({"shards": entries}))
+    manifest.write_text(json.dumps(head | {"shards": entries}))
     got = import_distribution(spark, str(tmp_path), panel)
     validate_ld(got)
     assert {(r["chr"], r["i"], r["j"]): round(r["r"], 2) for r in got.r.filter("i < j").collect()} == {("1", 0, 1): 0.9, ("X", 1, 2): -0.35}
     assert [e["chr"] for e in read_manifest(spark, str(tmp_path))] == ["1", "X"]
-    for change in ({"file_md5": "0" * 32}, {"file": "../1.npz"}, {"num_snp": True}, {"chr": "Y"}, {"sex": "female"}, {"reference_bim": "a/b"}, {"reference_checksum": "x"}):
-        manifest.write_text(json.dumps({"shards": [entries[1] | change]}))
+    for change in ({"file_md5": "0" * 32}, {"reference_bim": "X.bim"}, {"nnz": 6}):  # held against the files
+        manifest.write_text(json.dumps(head | {"shards": [entries[1] | change]}))
         with pytest.raises(ValueError):
             import_distribution(spark, str(tmp_path), panel)
+    (tmp_path / "reference.tsv").write_text("other")
+    manifest.write_text(json.dumps(head | {"shards": entries}))
+    with pytest.raises(ValueError, match="reference.tsv"):
+        import_distribution(spark, str(tmp_path), panel)
     assert [is_plain_name(n) for n in ("a.bim", "a/b", "..", "", "c:x", 5)] == [True, False, False, False, False, False]
+
+
+ENTRY = {"chr": "1", "sex": None, "file": "a.npz", "file_md5": "0" * 32, "num_snp": 5, "nnz": 7, "reference_checksum": "x", "reference_bim": "1.bim"}
+HEAD = MANIFEST | {"reference_cache": "r.tsv", "reference_cache_md5": "1" * 32}
+
+
+@pytest.mark.parametrize("change", [
+    {"object_type": "x"}, {"schema_version": "2.0"}, {"runtime_format": "other"}, {"reference_cache": "a/b"}, {"reference_cache": None}, {"reference_cache_md5": "12"}, {"shards": []}, {"shards": None},
+    {"shards": [ENTRY, ENTRY]}, {"shards": [ENTRY | {"chr": "X", "sex": s, "reference_bim": f"{s}.bim"} for s in ("male", "female")]},
+    *({"shards": [ENTRY | e]} for e in (
+        {"chr": "Y"}, {"sex": "female"}, {"chr": "X"}, {"file": "../a.npz"}, {"file": "/a.npz"}, {"file": "a.mat"}, {"file": ""}, {"file_md5": None}, {"num_snp": True}, {"num_snp": 0}, {"nnz": -1},
+        {"nnz": 1.5}, {"reference_checksum": ""}, {"reference_bim": "a/b"}, {"reference_bim": ".."},
+    )), *({"shards": [{k: v for k, v in ENTRY.items() if k != gone}]} for gone in ENTRY),
+])
+def test_manifest_rules(change):
+    from helixframe.sources.ld_npz import check_manifest
+
+    assert check_manifest(HEAD | {"shards": [ENTRY | {"chr": "X", "sex": "male"}, ENTRY]}, "t")[0] == ENTRY
+    with pytest.raises(ValueError):
+        check_manifest(HEAD | {"shards": [ENTRY]} | change, "t")
+
+
+META = SAID | {"format": "ld_npz_csc32", "num_monomorphic_snps": 0} | {k: ENTRY[k] for k in ("chr", "sex", "num_snp", "nnz", "reference_checksum", "reference_bim")}
+
+
+@pytest.mark.parametrize("change", [
+    *({k: "x"} for k in SAID), {"index_base": False}, {"format": "mat"}, {"chr": "Y"}, {"sex": "male"}, {"num_snp": 0}, {"nnz": 1 << 31}, {"num_monomorphic_snps": 6}, {"num_monomorphic_snps": -1},
+    {"reference_checksum": ""}, {"reference_bim": "a/b"}, *({k: None for k in (gone,)} for gone in SAID),
+])
+def test_metadata_rules(change):
+    from helixframe.sources.ld_npz import check_agreement, check_metadata
+
+    check_metadata(META, "t")
     with pytest.raises(ValueError):
-        check_metadata(meta | {"diagonal": "none"}, "t")
+        check_metadata(META | change, "t")
+    for gone in META:
+        with pytest.raises(ValueError, match="metadata has no"):
+            check_metadata({k: v for k, v in META.items() if k != gone}, "t")
+    with pytest.raises(ValueError, match="differ in nnz"):
+        check_agreement(ENTRY | {"nnz": 8}, META, "t")
+
+
+def test_npz_in_ranges(spark, tmp_path):
+    """A shard is read by many tasks, each some columns of it, whether its arrays are compressed or not."""
+    import json
+
+    rng = np.random.default_rng(5)
+    n = 300
+    r = np.where(rng.random((n, n)) < 0.2, rng.random((n, n)), 0).astype(np.float32)
+    r[:, 40:80] = 0  # columns without entries
+    j, i = np.nonzero(r.T)
+    arrays = dict(data=r[i, j], indices=i.astype(np.int32), indptr=np.searchsorted(j, range(n + 1)).astype(np.int32), shape=np.array([n, n]), a1freq=rng.random(n).astype(np.float32))
+    arrays["metadata"] = np.frombuffer(json.dumps({"chr": "X", "sex": "male", "matrix": "symmetric"}).encode(), np.uint8)
+    np.savez(tmp_path / "a.npz", **arrays)
+    np.savez_compressed(tmp_path / "b.npz", **arrays)
+    got = read_npz_shards(spark, [str(tmp_path / "a.npz"), f"file://{tmp_path}/b.npz"], entries=1000)
+    assert got.rdd.getNumPartitions() > 20 and got.count() == 2 * len(i)
+    rows = got.filter("path LIKE '%b.npz'").collect()
+    assert {(x["i"], x["j"]): (x["r"], x["a1freq"]) for x in rows} == {(int(a), int(b)): (float(r[a, b]), float(arrays["a1freq"][a]) if a == b else None) for a, b in zip(i, j, strict=True)}
+    for name, change in (("indices", arrays["indices"] + n), ("indptr", arrays["indptr"][:-1]), ("data", arrays["data"].astype(np.float64))):
+        np.savez(tmp_path / "bad.npz", **(arrays | {name: change}))
+        with pytest.raises(Exception):  # noqa: B017
+            read_npz_shards(spark, str(tmp_path / "bad.npz")).count()
+
+
+def test_files_are_committed(spark, tmp_path):
+    """A task that fails leaves no file, its second attempt writes another one, and names come with the commit."""
+    import pyarrow as pa
+
+    from helixframe.sources.files import FilesWriter, write_files
+
+    root = str(tmp_path / "out")
+    writer = FilesWriter(root)
+    batch = pa.record_batch({"name": ["a/x.bin"] * 2 + ["y.bin"], "part": [0, 1, 0], "content": [b"12", b"34", b"5"]})
+
+    def lost():
+        yield batch
+        raise RuntimeError("executor lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(lost())
+    assert [p for p in (tmp_path / "out").iterdir() if not p.name.startswith("_unfinished")] == []
+    done = writer.write(iter([batch]))
+    twice = writer.write(iter([batch]))  # a second attempt that Spark doesn't take
+    assert {t for _, t in done.files}.isdisjoint(t for _, t in twice.files)
+    writer.commit([done, None])
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a/x.bin", "y.bin"]
+    assert (tmp_path / "out/a/x.bin").read_bytes() == b"1234"
+    rows = spark.createDataFrame([("big.bin", k, bytes([k % 256]) * 3) for k in range(2000)] + [("other.bin", 0, b"o")], "name string, part long, content binary").repartition(7)
+    write_files(rows, root)
+    assert (tmp_path / "out/big.bin").read_bytes() == b"".join(bytes([k % 256]) * 3 for k in range(2000))
+    with pytest.raises(Exception, match="already"):
+        write_files(rows.filter("name = 'other.bin'").withColumn("content", F.lit(bytearray(b"z"))), root)
+    failing = rows.withColumn("content", F.when(F.col("part") == 1999, F.raise_error(F.lit("broken")).cast("binary")).otherwise(F.col("content"))).withColumn("name", F.concat(F.lit("f-"), "name"))
+    with pytest.raises(Exception, match="broken"):
+        write_files(failing, root)
+    assert (tmp_path / "out/other.bin").read_bytes() == b"o" and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "big.bin", "other.bin", "y.bin"]
 
 
 def test_hash_table(spark, tmp_path):
