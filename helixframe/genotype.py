@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from helixframe.contigs import check_request
 from helixframe.operators.align import align, check_keys, swapped_counts
-from helixframe.reference import ReferencePanel
-from helixframe.sources.plink import default_ploidy, path_exists, read_bed, read_bim, read_fam, read_ploidy, rows_of_range, unpacked
-from helixframe.tables import stored
+from helixframe.reference import ReferencePanel, check_stored, save_shards
+from helixframe.sources.plink import default_ploidy, read_bed, read_bim, read_fam, read_ploidy, rows_of_range, unpacked
+from helixframe.tables import path_exists, stored
 
 CALLS_AT_ONCE = 4 << 20  # that are gathered together
 _PERSON = ("fid", "iid", "father_id", "mother_id", "sex")
@@ -45,6 +45,10 @@ class GenotypePanel:
     sources: dict[str, Source]
     sharded: bool
 
+    def summary(self) -> str:
+        size = sum(n for _, n, _ in self.reference.described_shards)
+        return f"<GenotypePanel: {size} variants x {self.samples.count()} samples across {len(self.reference.labels)} shard(s): {', '.join(self.reference.labels)}>"
+
     def is_male(self) -> DataFrame:
         return self.samples.select("sample_idx", (F.col("sex") == 1).alias("is_male"))
 
@@ -143,21 +147,22 @@ class GenotypePanel:
                     n, place = batch.column("n")[0].as_py(), places[batch.column("chr")[0].as_py()]
                     own = unpacked(batch.column("packed").to_pylist(), n)
                     calls = own if place is None else np.where(place >= 0, own[:, place], np.int8(-1)) if n else np.full((len(batch), len(place)), -1, np.int8)
-                    values = np.where(calls >= 0, calls, np.nan).astype(np.float64)
+                    values, off = np.where(calls >= 0, calls, np.nan).astype(np.float64), np.zeros(len(batch), bool)
                     if scaled:
                         male, female = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("ploidy_male", "ploidy_female"))
-                        if unsexed and ((male != female) & (sex == 0) & (calls >= 0)).any():
-                            raise ValueError("ploidy_scaled wants the sex of samples where male and female ploidy differ")
+                        off = ((male != female) & (sex == 0) & (calls >= 0)).any(axis=1)
                         values *= np.where(sex == 2, female, male) / 2
                     bounds = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * calls.shape[1])
                     flat = pa.array(values.ravel(), pa.float64(), from_pandas=True)
                     lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(np.ascontiguousarray(calls).ravel()), flat)]
-                    yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("snp_idx"), *lists], ["ord", "snp_idx", "calls", "values"])
+                    yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("snp_idx"), *lists, pa.array(off)], ["ord", "snp_idx", "calls", "values", "off"])
 
-        arrays = found.select("ord", "snp_idx", "packed", "ploidy_male", "ploidy_female", "chr", "n").mapInArrow(gather, out)
+        arrays = found.select("ord", "snp_idx", "packed", "ploidy_male", "ploidy_female", "chr", "n").mapInArrow(gather, f"{out}, off boolean")
         if unsexed:  # found before any row is handed on
             arrays = stored(arrays, "fetch-arrays")
-        return arrays
+            if not arrays.filter("off").isEmpty():
+                raise ValueError("ploidy_scaled wants the sex of samples where male and female ploidy differ")
+        return arrays.drop("off")
 
     def fetch(self, snp_indices: DataFrame | int | Sequence[int], bed_path: str | None = None, haploid_mode: str = "raw") -> DataFrame:
         """(ord, snp_idx, sample_idx, call, value): fetch_arrays as a row for each requested variant and each sample."""
@@ -166,8 +171,9 @@ class GenotypePanel:
         return long.select("ord", "snp_idx", F.col("at").cast("long").alias("sample_idx"), F.col("x.calls").alias("call"), F.col("x.values").alias("value"))
 
     def save(self, path: str) -> None:
-        """Where calls lie, not the calls."""
+        """Where calls lie, not the calls; and what shards of the reference these are."""
         spark = self.mapped.sparkSession
+        save_shards(self.reference, path)
         self.mapped.write.partitionBy("chr").parquet(f"{path}/mapped")
         self.samples.write.parquet(f"{path}/samples")
         self.subjects.write.parquet(f"{path}/subjects")
@@ -280,7 +286,8 @@ def check_panel(panel: GenotypePanel, where: str) -> None:
 
 
 def load_genotype_cache(spark: SparkSession, path: str, reference: ReferencePanel, shards: Sequence[str] | None = None) -> GenotypePanel:
-    """reference: the panel of all shards that were saved."""
+    """reference: the panel of all shards that were saved; its shards must be those that the cache says."""
+    check_stored(spark, path, reference)
     mapped = spark.read.parquet(f"{path}/mapped").withColumn("chr", F.col("chr").cast("string"))
     rows = spark.read.parquet(f"{path}/sources").collect()
     sources = {r["chr"]: Source(r["path"], r["n_snp"], r["n_sample"]) for r in rows}

@@ -51,6 +51,10 @@ class LDPanel:
     default_chrx_sex: str = "female"
     sexes: tuple[str, ...] = ("female",)
 
+    def summary(self) -> str:
+        size = sum(n for _, n, _ in self.reference.described_shards)
+        return f"<LDPanel: {size} variants across {len(self.reference.labels)} shard group(s): {', '.join(self.reference.labels)}>"
+
     @property
     def r(self) -> DataFrame:
         """(chr, sex, i, j, r) of both triangles and the unit diagonal, as rows."""
@@ -186,8 +190,11 @@ def build_ld(reference: ReferencePanel, calls: DataFrame, window_kb: float = 10_
     return LDPanel(reference, stored(blocks.select(*NAMES, "sex"), "ld-blocks"), freq, "female" if "female" in found or not found else found[0], found)
 
 
-def build_ld_from_genotype(panel: GenotypePanel, window_kb: float = 10_000, least_r2: float = 0.05, allow_monomorphic: bool = False, chrx_sexes: Sequence[str] = ("female",)) -> LDPanel:
-    """From the BED files of a panel: its variants that are there, on the panel's own axis. X is built for each of the sexes that are asked for."""
+def build_ld_from_genotype(panel: GenotypePanel, window_kb: float = 10_000, least_r2: float = 0.05, allow_monomorphic: bool = False, chrx_sexes: Sequence[str] = ("female", "male")) -> LDPanel:
+    """From the BED files of a panel: its variants that are there, on the panel's own axis.
+
+    X is built for females and males apart, which wants the sex of every sample, or for the sexes that are asked for; combined is all samples as one.
+    """
     spark = panel.mapped.sparkSession
     present = panel.mapped.filter("source_row0 IS NOT NULL").select("chr", "local_idx", "source_row0")
     if missing := panel.mapped.filter("source_row0 IS NULL").limit(1).collect():
@@ -202,7 +209,10 @@ def build_ld_from_genotype(panel: GenotypePanel, window_kb: float = 10_000, leas
     sexes = None
     if "X" in panel.reference.labels:
         on_x = panel.subjects.filter("chr = 'X'").join(panel.samples.select("sample_idx", "sex"), "sample_idx")
-        code = {"male": [1], "female": [2], "combined": [1, 2]}
+        if set(chrx_sexes) - {"combined"}:
+            for r in on_x.filter("sex = 0").orderBy("place").limit(1).collect():
+                raise ValueError(f"sample {r['sample_idx']} on X has no sex; only a combined shard can be built")
+        code = {"male": [1], "female": [2], "combined": [0, 1, 2]}
         places = {s: [r["place"] for r in on_x.filter(F.col("sex").isin(code[s])).select("place").orderBy("place").collect()] for s in chrx_sexes}
         sexes = places  # numbers of samples: no larger than one row of calls
     return build_ld(panel.reference, calls, window_kb, least_r2, allow_monomorphic, sexes)

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.annotations import append_columns, infer_binary, select_columns
+from helixframe.annotations import append_columns, group_columns, infer_binary, select_columns
 from helixframe.contigs import CONTIGS
 from helixframe.functions.variants import allele_hash64, is_single_nucleotide, is_strand_ambiguous, ploidy_scaled
 from helixframe.genotype import map_subjects
 from helixframe.operators.align import swapped_counts, with_match_key
 from helixframe.operators.intervals import overlapping, paint, paint_groups, paint_values, union_intervals
 from helixframe.operators.blocks import build_blocks, multiply_r2, pairs_of, rows_of
-from helixframe.operators.linkage import allele_frequency, fast_prune, haploid_frequency, is_monomorphic, prune_frequency, validation
+from helixframe.operators.linkage import allele_frequency, fast_prune, haploid_frequency, is_monomorphic, prune_frequency, select_samples, validation
 from helixframe.plans import views
 from helixframe.plans.views import duck
 from helixframe.reference import ReferencePanel, shard_checksums, shard_offsets
@@ -290,6 +290,14 @@ def annotation_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer_binary(append_columns(*_two_panels(spark, sf_dir), 3))
 
 
+@query("SELECT grp, count(*) AS n, min(row0) AS first, (row_number() OVER (ORDER BY min(row0)))::INTEGER - 1 AS anno_id FROM intervals GROUP BY grp")
+def interval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that groups become, in the order of their first rows."""
+    rows = _v(spark, sf_dir, "INTERVALS")
+    first = rows.groupBy("grp").agg(F.min("row0").alias("first"))
+    return group_columns(rows, "grp").withColumnRenamed("group", "grp").join(first, "grp").select("grp", "n", "first", "anno_id")
+
+
 # Genotypes ---------------------------------------------------------------------------------------------------
 
 
@@ -322,12 +330,12 @@ def monomorphic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 SELECT chr, local_idx, sample_idx, CASE WHEN g < 0 THEN NULL ELSE g * CASE WHEN sample_idx % 3 = 2 THEN 2.0 ELSE CASE WHEN chr = 'X' THEN 1.0 ELSE 2.0 END END / 2 END AS value
-FROM calls WHERE sample_idx % 3 <> 0"""
+FROM calls"""
 )
 def ploidy_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _calls(spark, sf_dir).select("chr", "local_idx", F.posexplode("calls").alias("at", "call")).withColumn("sample_idx", F.col("at").cast("long"))
     sex, male = (F.col("sample_idx") % 3).cast("int"), F.when(F.col("chr") == "X", 1.0).otherwise(2.0)
-    return long.filter(F.col("sample_idx") % 3 != 0).select("chr", "local_idx", "sample_idx", ploidy_scaled(F.col("call"), sex, male, F.lit(2.0)).alias("value"))
+    return long.select("chr", "local_idx", "sample_idx", ploidy_scaled(F.col("call"), sex, male, F.lit(2.0)).alias("value"))
 
 
 @query(
@@ -343,6 +351,14 @@ def chrx_subject_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_subjects(own, samples.filter("sample_idx % 40 <> 1")).select("sample_idx", F.coalesce("panel_idx", F.lit(-1).cast("long")).alias("panel_idx"), "status")
 
 
+@query("SELECT v.snp, 63 - c.sample_idx AS sample_idx, c.g::TINYINT AS call FROM variants v JOIN calls c ON c.chr = v.chr AND c.local_idx = v.local_idx WHERE v.local_idx >= 0")
+def calls_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the variants that have some, on an axis of samples that is turned round."""
+    variants = _v(spark, sf_dir, "VARIANTS").select("chr", "local_idx", "snp")
+    found = variants.join(select_samples(_calls(spark, sf_dir).select("chr", "local_idx", "calls"), list(range(63, -1, -1))), ["chr", "local_idx"])
+    return found.select("snp", F.posexplode("calls").alias("at", "call")).select("snp", F.col("at").cast("long").alias("sample_idx"), "call")
+
+
 # Linkage disequilibrium --------------------------------------------------------------------------------------
 
 _PAIRS = f"""

@@ -72,7 +72,7 @@ def reference_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "reference")
     _reference(spark, sf_dir).save(path)
     again = load_reference_cache(spark, path)
-    again.validate_checksums(spark.read.parquet(f"{path}/shards"))
+    again.validate_checksums()
     return load_reference_cache(spark, path, ["3", "20", "X"]).variants.select("chr", "local_idx", "snp")
 
 
@@ -135,9 +135,9 @@ def load_sumstats_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LOADED + "SELECT chr, local_idx, logp IS NOT NULL AS is_present FROM a WHERE chr IN ('2', 'X')")
 def sumstats_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "sumstats")
-    _sumstats(spark, sf_dir).save(path)
-    return load_sumstats_cache(spark, path, ["2", "X"]).is_present()
+    path, found = fresh_path(spark, "sumstats"), _sumstats(spark, sf_dir)
+    found.save(path)
+    return load_sumstats_cache(spark, path, found.reference, ["2", "X"]).is_present()
 
 
 @query(_AXIS + "SELECT chr, idx AS local_idx, round(-log10((k % 100 + 1) / 101.0::DOUBLE), 6) AS logp, (k % 7)::DOUBLE AS z FROM ax")
@@ -160,10 +160,10 @@ def _interval_file(spark: SparkSession, rows: DataFrame, name: str, columns: lis
 _IN = "JOIN intervals i ON i.chr = ax.chr AND ax.bp - 1 >= i.start0 AND ax.bp - 1 < i.end0"
 
 
-@query(_AXIS + f"SELECT DISTINCT ax.chr, ax.idx AS local_idx, CASE i.grp WHEN 'g0' THEN 0 ELSE 1 END AS anno_id, 1.0::DOUBLE AS value FROM ax {_IN} WHERE i.grp IN ('g0', 'g1')")
+@query(_AXIS + f"SELECT DISTINCT ax.chr, ax.idx AS local_idx, substr(i.grp, 2, 1)::INTEGER AS anno_id, 1.0::DOUBLE AS value FROM ax {_IN}")
 def load_annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _v(spark, sf_dir, "INTERVALS")
-    paths = [_interval_file(spark, own.filter(F.col("grp") == g), f"{g}.bed", []) for g in ("g0", "g1")]
+    paths = [_interval_file(spark, own.filter(F.col("grp") == g), f"{g}.bed", []) for g in ("g0", "g1", "g2")]
     return load_annotations(spark, paths, _reference(spark, sf_dir)).values.select("chr", "local_idx", "anno_id", "value")
 
 
@@ -177,9 +177,7 @@ def annotation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotation_group_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns in the order in which groups come first in the file, with how many intervals their metadata say."""
     path = _interval_file(spark, _v(spark, sf_dir, "INTERVALS"), "groups.annot", ["grp"])
-    columns = load_annotation(spark, path, _reference(spark, sf_dir), group_column=3).columns
-    rows = spark.createDataFrame([(c.name, i, c.metadata, c.is_binary) for i, c in enumerate(columns)], "name string, anno_id int, metadata string, is_binary boolean")
-    return rows.select("name", "anno_id", F.get_json_object("metadata", "$.num_source_intervals").cast("long").alias("n"), "is_binary")
+    return load_annotation(spark, path, _reference(spark, sf_dir), group_column=3).table.select("name", "anno_id", F.get_json_object("metadata", "$.num_source_intervals").cast("long").alias("n"), "is_binary")
 
 
 _NUMERIC = _AXIS + "p AS (SELECT ax.chr, ax.idx AS local_idx, n.score, n.weight FROM ax JOIN numerics n ON n.chr = ax.chr AND ax.bp - 1 >= n.start0 AND ax.bp - 1 < n.end0)\n"
@@ -333,19 +331,19 @@ q AS (SELECT * FROM pr WHERE r * r >= 0.05)
 )
 
 
-@query(_BUILT + "SELECT chr, i, j, round(r, 5) AS r FROM q")
+@query(_BUILT + "SELECT chr, sex, i, j, round(r, 5) AS r FROM q")
 def ld_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel built from BED files, as compressed-column files with a manifest, validated and imported again."""
     ld, panel = _built(spark, sf_dir)
     root = fresh_path(spark, "distribution")
     export_distribution(ld, root)
     again = import_distribution(spark, root, panel.reference, with_bim=True)
-    return again.r.filter("i < j").select("chr", "i", "j", F.round(F.col("r").cast("double"), 5).alias("r"))
+    return again.r.filter("i < j").select("chr", F.coalesce("sex", F.lit("")).alias("sex"), "i", "j", F.round(F.col("r").cast("double"), 5).alias("r"))
 
 
-@query(_BUILT.rstrip() + ",\nn AS (SELECT chr, count(DISTINCT idx) AS num_snp FROM x GROUP BY chr) SELECT n.chr, n.num_snp, n.num_snp + 2 * (SELECT count(*) FROM q WHERE q.chr = n.chr) AS nnz FROM n")
+@query(_BUILT.rstrip() + ",\nn AS (SELECT chr, sex, count(DISTINCT idx) AS num_snp FROM y GROUP BY chr, sex) SELECT n.chr, n.sex, n.num_snp, n.num_snp + 2 * (SELECT count(*) FROM q WHERE q.chr = n.chr AND q.sex = n.sex) AS nnz FROM n")
 def ld_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld, _ = _built(spark, sf_dir)
     path = fresh_path(spark, "ld")
     save_ld(ld, path)
-    return ld_manifest(load_ld(spark, path)).select("chr", "num_snp", "nnz")
+    return ld_manifest(load_ld(spark, path)).select("chr", F.coalesce("sex", F.lit("")).alias("sex"), "num_snp", "nnz")

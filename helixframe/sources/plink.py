@@ -17,7 +17,7 @@ from helixframe.functions.variants import is_dna
 from helixframe.reference import ReferencePanel, panel_of
 from helixframe.sources.files import file_system, write_files
 from helixframe.sources.text import fields, numbered_lines
-from helixframe.tables import check_rows, check_unique
+from helixframe.tables import check_rows, check_unique, path_exists
 
 #: First bytes of a BED file in variant-major order.
 BED_MAGIC = b"\x6c\x1b\x01"
@@ -120,11 +120,6 @@ def read_hash_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop("path", "n_fields")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 class _Rows(InputPartition):
     def __init__(self, start: int, stop: int):
         self.start, self.stop = start, stop

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.contigs import CONTIGS, check_request
+from helixframe.contigs import check_request
 from helixframe.functions.variants import neg_log10
 from helixframe.operators.align import align, check_keys, swapped_counts
-from helixframe.reference import ReferencePanel
+from helixframe.reference import ReferencePanel, check_stored, save_shards
 from helixframe.sources.sumstats import OPTIONAL, read_sumstats
 
 
@@ -23,16 +23,22 @@ class Sumstats:
     values: DataFrame
     labels: tuple[str, ...]
     fields: tuple[str, ...]
+    reference: ReferencePanel | None = None
 
     def is_present(self) -> DataFrame:
         return self.values.select("chr", "local_idx", F.col("logp").isNotNull().alias("is_present"))
 
     def select_shards(self, labels: Sequence[str]) -> Sumstats:
         wanted = check_request(labels, self.labels, "Sumstats.select_shards")
-        return Sumstats(self.values.filter(F.col("chr").isin(wanted)), tuple(wanted), self.fields)
+        return Sumstats(self.values.filter(F.col("chr").isin(wanted)), tuple(wanted), self.fields, self.reference.select_shards(wanted) if self.reference else None)
+
+    def summary(self) -> str:
+        return f"<Sumstats: {self.values.count()} variants across {len(self.labels)} shard(s): {', '.join(self.labels)}>"
 
     def save(self, path: str) -> None:
-        self.values.write.partitionBy("chr").parquet(path)
+        """Parquet by shard, and what shards of the reference these are."""
+        self.values.write.partitionBy("chr").parquet(f"{path}/values")
+        save_shards(self.reference, path)
 
 
 def aligned_sumstats(reference: ReferencePanel, source: DataFrame) -> DataFrame:
@@ -66,7 +72,7 @@ def load_sumstats(spark: SparkSession, path: str, reference: ReferencePanel, sou
     for name in ("z", "n"):
         if gaps[f"no_{name}"]:
             warnings.warn(f"{path}: {name} is missing for {gaps[f'no_{name}']} of {gaps['present']} present variants", RuntimeWarning, stacklevel=2)
-    return Sumstats(values, reference.labels, tuple(c for c in OPTIONAL if c in values.columns))
+    return Sumstats(values, reference.labels, tuple(c for c in OPTIONAL if c in values.columns), reference)
 
 
 def create_sumstats(reference: ReferencePanel, rows: DataFrame) -> Sumstats:
@@ -83,11 +89,12 @@ def create_sumstats(reference: ReferencePanel, rows: DataFrame) -> Sumstats:
         if n:
             raise ValueError(f"create_sumstats: {n} {what}")
     values = joined.select("chr", "local_idx", neg_log10(F.col("p")).alias("logp"), *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in extra))
-    return Sumstats(values, reference.labels, tuple(extra))
+    return Sumstats(values, reference.labels, tuple(extra), reference)
 
 
-def load_sumstats_cache(spark: SparkSession, path: str, shards: Sequence[str] | None = None) -> Sumstats:
-    values = spark.read.parquet(path).withColumn("chr", F.col("chr").cast("string"))
-    labels = tuple(sorted((r["chr"] for r in values.select("chr").distinct().collect()), key=CONTIGS.index))
-    found = Sumstats(values, labels, tuple(c for c in OPTIONAL if c in values.columns))
+def load_sumstats_cache(spark: SparkSession, path: str, reference: ReferencePanel, shards: Sequence[str] | None = None) -> Sumstats:
+    """reference: the panel of all shards that were saved; its shards must be those that the cache says."""
+    labels = check_stored(spark, path, reference)
+    values = spark.read.parquet(f"{path}/values").withColumn("chr", F.col("chr").cast("string"))
+    found = Sumstats(values, labels, tuple(c for c in OPTIONAL if c in values.columns), reference)
     return found if shards is None else found.select_shards(shards)

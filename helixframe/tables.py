@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,21 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with `name`: numbers from 0 in this order. Rows are dealt by ranges of the order, and what ranges before have gives a range's first number."""
+    own = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    own = stored(own.withColumn("_range", F.shiftright("_place", 33)), "numbered")
+    sizes = own.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")  # a row for each range
+    starts = sizes.select("_range", "_first", before.alias("_before"))
+    return own.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_place") - F.col("_first")).drop("_range", "_place", "_first", "_before")
+
+
 def check_rows(df: DataFrame, rules: Sequence[tuple[str, Column]], where: str, row: str = "row0") -> None:
     """Raises for the first rule, in order, that a row breaks, naming its first bad row. One pass for all rules."""
     if not rules:

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.annotations import create_annotations, load_annotation, load_annotations, load_annotations_cache
 from helixframe.genotype import load_genotype, load_genotype_cache
-from helixframe.ld import build_ld, get_verbosity, ld_manifest, load_ld, load_ld_reference, panel_from_pairs, save_ld, set_verbosity, validate_ld, write_bim, write_monomorphic
+from helixframe.ld import build_ld, build_ld_from_genotype, get_verbosity, ld_manifest, load_ld, load_ld_reference, panel_from_pairs, save_ld, set_verbosity, validate_ld, write_bim, write_monomorphic
 from helixframe.operators import blocks, prune
 from helixframe.operators.blocks import blocks_of, build_blocks, multiply_r2, pairs_of, rows_of
 from helixframe.operators.linkage import fast_prune, prune_frequency
@@ -95,7 +96,12 @@ def test_genotypes(spark, panel, tmp_path):
     with pytest.raises(ValueError):
         got.fetch([0], haploid_mode="x")
     assert got.fetch([]).count() == 0
+    assert got.summary() == "<GenotypePanel: 8 variants x 4 samples across 2 shard(s): 1, X>"
+    arrays = got.fetch_arrays(spark.createDataFrame([(9, 2), (4, 6), (1, 2)], "ord long, snp_idx long")).collect()
+    assert sorted((r["ord"], r["snp_idx"], r["calls"]) for r in arrays) == [(1, 2, calls[2]), (4, 6, calls[6]), (9, 2, calls[2])]
     got.save(str(tmp_path / "cache"))
+    with pytest.raises(ValueError, match="not that of the reference"):
+        load_genotype_cache(spark, str(tmp_path / "cache"), panel_of(panel.variants.filter("snp <> 'rs1003'")))
     again = load_genotype_cache(spark, str(tmp_path / "cache"), panel, ["X"])
     assert [r["call"] for r in again.fetch([1]).orderBy("sample_idx").collect()] == calls[6]
 
@@ -110,11 +116,41 @@ def test_partial_last_byte(spark, panel, tmp_path, n):
     assert sorted((r["ord"], r["sample_idx"], r["call"]) for r in got) == sorted((k, s, calls[v][s]) for k, v in enumerate((4, 1)) for s in range(n))
 
 
+@pytest.mark.filterwarnings("ignore")
+def test_sexes_of_x(spark, panel, tmp_path):
+    """X is built for females and males apart, which no sample may lack a sex for."""
+    rng = np.random.default_rng(4)
+    calls = rng.integers(0, 3, (8, 40))
+    calls[:, :6] = [0, 1, 2, 0, 1, 2]
+    people = [("F", f"I{i}", 1 + (i // 3) % 2) for i in range(40)]
+    write_bfile(str(tmp_path / "g"), VARIANTS, people, calls.tolist())
+    got = build_ld_from_genotype(load_genotype(spark, str(tmp_path / "g"), panel), least_r2=0)
+    assert got.sexes == ("female", "male") and got.default_chrx_sex == "female"
+    for sex, code in (("female", 2), ("male", 1)):
+        at = [i for i, p in enumerate(people) if p[2] == code]
+        want = {(i, j): np.corrcoef(calls[5 + i, at], calls[5 + j, at])[0, 1] for i in range(3) for j in range(i + 1, 3)}
+        assert {(r["i"], r["j"]): r["r"] for r in got.r.filter(F.col("sex") == sex).filter("i < j").collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    people[7] = ("F", "I7", 0)
+    write_bfile(str(tmp_path / "u"), VARIANTS, people, calls.tolist())
+    unsexed = load_genotype(spark, str(tmp_path / "u"), panel)
+    with pytest.raises(ValueError, match="sample 7 on X has no sex"):
+        build_ld_from_genotype(unsexed)
+    with pytest.raises(ValueError, match="wants the sex"):
+        unsexed.fetch([6], haploid_mode="ploidy_scaled").collect()
+    assert unsexed.fetch([0], haploid_mode="ploidy_scaled").count() == 40
+    whole = build_ld_from_genotype(unsexed, least_r2=0, chrx_sexes=["combined"])
+    r = whole.r.filter("chr = 'X' AND i = 0 AND j = 1").first()["r"]
+    assert whole.default_chrx_sex == "combined" and r == pytest.approx(np.corrcoef(calls[5], calls[6])[0, 1], abs=1e-6)
+
+
 @pytest.mark.filterwarnings("ignore")
 def test_samples_of_x(spark, panel, tmp_path):
     write_bfile(str(tmp_path / "c1"), VARIANTS[:5], FAM, CALLS)
     write_bfile(str(tmp_path / "cX"), VARIANTS[5:], [FAM[2], FAM[0]], [[0, 1], [1, 2], [2, -1]])
     got = load_genotype(spark, str(tmp_path / "c@"), panel)
+    one = got.fetch_arrays([5, 0], haploid_mode="ploidy_scaled").orderBy("ord").collect()
+    assert [r["calls"] for r in one] == [[1, -1, 0, -1], CALLS[0]] and one[0]["values"] == [0.5, None, 0.0, None]
+    assert {r["sample_idx"]: r["is_present"] for r in got.is_subject_present("X").collect()} == {0: True, 1: False, 2: True, 3: False}
     assert [r["call"] for r in got.fetch([5]).orderBy("sample_idx").collect()] == [1, -1, 0, -1]
     write_bfile(str(tmp_path / "cX"), VARIANTS[5:], [FAM[2], ("FAM9", "IND9", 1)], [[0, 1], [1, 2], [2, -1]])
     with pytest.raises(ValueError):
@@ -158,6 +194,71 @@ def test_annotations(spark, panel, tmp_path):
     assert '"group_value":"coding"' in grouped.columns[0].metadata
 
 
+def test_metadata_of_annotations(spark, panel, tmp_path):
+    """Sidecars: a whole file for each binary column, a line for each physical column of a table of values; else provenance is generated."""
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.bed").write_text("1\t99\t150\n1\t300\t310\n")
+        (tmp_path / f"{name}.txt").write_text(f"about {name}\nin two lines\n")
+    paths, sidecars = ([str(tmp_path / f"{n}.{e}") for n in ("b", "a")] for e in ("bed", "txt"))
+    assert [c.metadata for c in load_annotations(spark, paths, panel, metadata_paths=sidecars).columns] == ["about b\nin two lines\n", "about a\nin two lines\n"]
+    assert [c.metadata for c in load_annotations(spark, paths, panel, metadata=["x", ""]).columns] == ["x", ""]
+    assert load_annotations(spark, paths, panel).columns[0].metadata == f'{{"num_source_intervals":2,"source_file":"{paths[0]}","source_file_has_header":0}}'
+    for bad in ({"metadata": ["x"]}, {"metadata_paths": sidecars[:1]}, {"metadata": ["x", "y"], "metadata_paths": sidecars}):
+        with pytest.raises(ValueError):
+            load_annotations(spark, paths, panel, **bad)
+    (tmp_path / "v.annot").write_text("1\t99\t150\t1.5\t2\n")
+    (tmp_path / "v.txt").write_text("chr\nstart\nend\nthe score\nthe weight\n")
+    values = load_annotation(spark, str(tmp_path / "v.annot"), panel, value_columns=[4, 3], annotation_names=["w", "s"], metadata_path=str(tmp_path / "v.txt"))
+    assert [(c.name, c.metadata, c.is_binary) for c in values.columns] == [("w", "the weight", False), ("s", "the score", False)]
+    for text in ("a\nb\n", "a\nb\n\nd\ne\n"):
+        (tmp_path / "v.txt").write_text(text)
+        with pytest.raises(ValueError, match="lines"):
+            load_annotation(spark, str(tmp_path / "v.annot"), panel, value_columns=[3], annotation_names=["s"], metadata_path=str(tmp_path / "v.txt"))
+    grouped = tmp_path / "g é.annot"
+    grouped.write_text("1\t99\t150\tcödé\n1\t99\t150\tcödé\n")
+    one = load_annotation(spark, str(grouped), panel, group_column=3).columns[0]
+    assert one.metadata == json.dumps({"group_column": 3, "group_value": "cödé", "num_source_intervals": 2, "source_file": str(grouped), "source_file_has_header": 0}, separators=(",", ":"))
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup(name := f"jobs-{id(work)}", "")
+    work()
+    spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_many_files_are_one_plan(spark, panel, tmp_path):
+    paths = []
+    for k in range(60):
+        paths.append(str(tmp_path / f"f+{k} %.bed"))
+        with open(paths[-1], "w") as f:
+            f.write(f"# {k}\n1\t{k * 5}\t{k * 5 + 120}\n1\t{k * 5 + 100}\t{k * 5 + 130}\nMT\t1\t2\n")
+    two, sixty = (jobs_of(spark, lambda n=n: load_annotations(spark, paths[:n], panel)) for n in (2, 60))
+    assert sixty <= two + 2
+    got = matrix(load_annotations(spark, paths[::-1], panel))
+    assert got[::-1] == [[float(c == "1" and any(a <= bp - 1 < b for a, b in ((5 * k, 5 * k + 120), (5 * k + 100, 5 * k + 130)))) for c, _, _, bp, *_ in VARIANTS] for k in range(60)]
+    with open(paths[7], "a") as f:
+        f.write("1\t5\n")
+    with pytest.raises(ValueError, match=r"f\+7 %.bed: row 5: expected 3 columns"):
+        load_annotations(spark, paths[:9], panel)
+    with open(paths[7], "w") as f:
+        f.write("1\t9\t5\n")
+    with pytest.raises(ValueError, match=r"f\+7 %.bed: row 1: end must not be before start"):
+        load_annotations(spark, paths[:9], panel)
+
+
+def test_many_groups(spark, panel, tmp_path):
+    """As many columns as a table says, without any of them on the driver."""
+    n = 100_000
+    with open(tmp_path / "groups.annot", "w") as f:
+        f.writelines(f"1\t{k % 300}\t{k % 300 + 100}\tg{n - k}\n" for k in range(n))
+    got = load_annotation(spark, str(tmp_path / "groups.annot"), panel, group_column=3)
+    assert got.table.count() == n and got.table.filter(F.concat(F.lit("g"), n - F.col("anno_id")) != F.col("name")).isEmpty()
+    assert got.values.count() == sum(a <= bp - 1 < a + 100 for k in range(n) for a in (k % 300,) for c, _, _, bp, *_ in VARIANTS if c == "1")
+    assert got.select_annotations(["g5", "g70000"]).values.filter("anno_id > 1").isEmpty()
+    assert got.summary() == f"<AnnotationPanel: 8 variants x {n} annotations across 2 shard(s): 1, X>"
+
+
 @pytest.mark.parametrize("text, options", [
     ("1\t5\t3\n", {}), ("1\t-1\t3\n", {}), ("1\t1.5\t3\n", {}), ("chr1\t1\t3\n", {}), ("99\t1\t3\n", {}), ("1\t1\t3\n1\t1\n", {}), ("", {}), ("1\t1\t9\tx\n", {}),
     ("1\t1\t9\t1\n1\t5\t12\t2\n", {}), ("1\t1\t9\t1\t2\n", {}), ("1\t1\t9\t1\n", {"group_column": 3, "value_columns": [3]}), ("1\t1\t9\t1\n", {"value_columns": [2]}), ("a\ta\tb\n1\t2\t3\n", {"has_header": True}),
@@ -200,6 +301,7 @@ def axis(spark, values, name="value"):
 def test_multiply_r2(spark, ld):
     m = axis(spark, range(1, 9)).withColumn("name", F.lit("m"))
     female = [2.89, 3.81, 3.09, 6.95, 6.96, 8.9575, 10.515, 8.8575]
+    assert ld.summary() == "<LDPanel: 8 variants across 2 shard group(s): 1, X>"
     assert by_axis(ld.multiply_r2(m), "value") == pytest.approx(female, abs=1e-5)
     assert by_axis(ld.multiply_r2(m, "male"), "value")[5:] == pytest.approx([8.1175, 10.435, 9.4175], abs=1e-5)
     assert by_axis(ld.multiply_r2(m.filter("value = 1")), "value") == pytest.approx([1, 0.81, 0.09, 0, 0, 0, 0, 0], abs=1e-6)
@@ -288,8 +390,6 @@ def test_build(spark, panel):
 
 
 def test_npz_import(spark, tmp_path):
-    import json
-
     r = np.array([[1, 0.5, 0], [0.5, 1, 0.25], [0, 0.25, 1]], np.float32)
     j, i = np.nonzero(r.T)
     meta = np.frombuffer(json.dumps({"chr": "1", "sex": None, "matrix": "symmetric"}).encode(), np.uint8)
@@ -299,8 +399,6 @@ def test_npz_import(spark, tmp_path):
 
 
 def npz_shard(path, r, freq, chr_, sex, checksum):
-    import json
-
     r = np.asarray(r, np.float32)
     j, i = np.nonzero(r.T)
     meta = SAID | {"format": "ld_npz_csc32", "chr": chr_, "sex": sex, "num_snp": len(r), "nnz": len(i), "num_monomorphic_snps": 0}
@@ -311,8 +409,6 @@ def npz_shard(path, r, freq, chr_, sex, checksum):
 
 def test_import_distribution(spark, panel, tmp_path):
     import hashlib
-    import json
-
     from helixframe.sources.ld_npz import check_agreement, check_metadata, import_distribution, is_plain_name, read_manifest
 
     sums = {r["chr"]: r["checksum"] for r in panel.shards().collect()}
@@ -389,8 +485,6 @@ def test_metadata_rules(change):
 
 def test_npz_in_ranges(spark, tmp_path):
     """A shard is read by many tasks, each some columns of it, whether its arrays are compressed or not."""
-    import json
-
     rng = np.random.default_rng(5)
     n = 300
     r = np.where(rng.random((n, n)) < 0.2, rng.random((n, n)), 0).astype(np.float32)

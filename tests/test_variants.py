@@ -74,7 +74,12 @@ def test_shards(panel, spark, tmp_path):
     from helixframe.reference import load_reference_cache
 
     again = load_reference_cache(spark, str(tmp_path / "cache"))
-    again.validate_checksums(shards)
+    again.validate_checksums()
+    assert again.described_shards == panel.described_shards and again.summary() == "<ReferencePanel: 8 variants across 2 shard(s): 1, X>"
+    changed = ReferencePanel(again.variants.withColumn("a1", F.lit("T")), again.labels, again.known)
+    assert changed.shards().filter("chr = '1'").first()["checksum"] == own["1"]["checksum"]  # what is stored is trusted
+    with pytest.raises(ValueError, match="validate_checksums"):
+        changed.validate_checksums()
     assert load_reference_cache(spark, str(tmp_path / "cache"), ["X"]).labels == ("X",)
     assert shard_checksums(again.variants).count() == 2
 
@@ -110,7 +115,10 @@ def test_load_sumstats(spark, panel, tmp_path, suffix):
     assert got.fields == ("z",) and by_axis(got.values, "z")[:4] == [2.5, None, 1.8, -1.2]
     assert by_axis(got.is_present(), "is_present") == [True, True, True, True, False, True, True, False]
     got.save(str(tmp_path / f"cache{suffix}"))
-    again = load_sumstats_cache(spark, str(tmp_path / f"cache{suffix}"), ["X"])
+    again = load_sumstats_cache(spark, str(tmp_path / f"cache{suffix}"), panel, ["X"])
+    assert got.summary() == "<Sumstats: 8 variants across 2 shard(s): 1, X>"
+    with pytest.raises(ValueError, match="not that of the reference"):
+        load_sumstats_cache(spark, str(tmp_path / f"cache{suffix}"), panel_of(panel.variants.filter("snp <> 'rs1003'")))
     assert again.labels == ("X",) and again.fields == ("z",) and again.values.count() == 3
 
 
