@@ -302,7 +302,7 @@ _FREQUENCY = _OWN_CALLS + "f AS (SELECT chr, idx AS local_idx, sum(g) / (2.0::DO
 
 def _built(spark: SparkSession, sf_dir: str) -> tuple[LDPanel, GenotypePanel]:
     panel, _ = _genotype(spark, sf_dir, sharded=False)
-    return build_ld_from_genotype(panel, window_kb=3, least_r2=0.05, allow_monomorphic=True), panel
+    return build_ld_from_genotype(panel, allow_monomorphic=True), panel
 
 
 @query(_FREQUENCY + "SELECT chr, local_idx, round(f, 5) AS built, round(f, 5) AS fetched FROM f")
@@ -310,7 +310,7 @@ def frequency_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of a panel that was built from BED files, saved and loaded, beside those of the calls that the genotype panel fetches."""
     ld, panel = _built(spark, sf_dir)
     path = fresh_path(spark, "ld")
-    save_ld(ld, path, {"window_kb": 3})
+    save_ld(ld, path, {"window_kb": 10_000})
     again = load_ld(spark, path)
     validate_ld(again)
     axis = panel.mapped.select("chr", "local_idx", "snp_idx")
@@ -324,14 +324,15 @@ def frequency_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT = (
     _OWN_CALLS
     + """
-pr AS (SELECT a.chr, a.idx AS i, b.idx AS j, corr(a.g, b.g) AS r FROM x a JOIN x b ON a.chr = b.chr AND a.sample_idx = b.sample_idx AND b.idx > a.idx AND b.bp - a.bp <= 3000
-  WHERE a.g >= 0 AND b.g >= 0 AND (a.chr <> 'X' OR a.sample_idx % 2 = 1) GROUP BY a.chr, a.idx, b.idx),
+y AS (SELECT *, CASE WHEN chr <> 'X' THEN '' WHEN sample_idx % 2 = 1 THEN 'female' ELSE 'male' END AS sex FROM x),
+pr AS (SELECT a.chr, a.sex, a.idx AS i, b.idx AS j, corr(a.g, b.g) AS r FROM y a JOIN y b ON a.chr = b.chr AND a.sample_idx = b.sample_idx AND b.idx > a.idx AND b.bp - a.bp <= 10000000
+  WHERE a.g >= 0 AND b.g >= 0 GROUP BY a.chr, a.sex, a.idx, b.idx),
 q AS (SELECT * FROM pr WHERE r * r >= 0.05)
 """
 )
 
 
-@query(_BUILT + "SELECT chr, sex, i, j, round(r, 5) AS r FROM q")
+@query(_BUILT + "SELECT chr, sex, i, j, round(r::FLOAT::DOUBLE, 5) AS r FROM q")
 def ld_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel built from BED files, as compressed-column files with a manifest, validated and imported again."""
     ld, panel = _built(spark, sf_dir)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from helixframe.contigs import CONTIGS, check_request, chr_rank
 from helixframe.functions.variants import allele_hash64, is_single_nucleotide, is_strand_ambiguous
+from helixframe.operators.align import source_rows
 
 _LOG = logging.getLogger("helixframe")
 
@@ -85,6 +86,10 @@ class ReferencePanel:
         """variants with snp_idx on the axis of this panel: it starts at 0 for any selection of shards."""
         return self.variants.join(F.broadcast(self.offsets().select("chr", "start0")), "chr").withColumn("snp_idx", F.col("start0") + F.col("local_idx")).drop("start0")
 
+    def locate(self, keys: DataFrame) -> DataFrame:
+        """keys (chr, bp, a1, a2, and other columns) with the local_idx of the variant that each names exactly; raises where there is none."""
+        return source_rows(self.variants, keys)
+
     def described(self) -> DataFrame:
         """indexed, with allele hashes and masks."""
         a1, a2 = F.col("a1"), F.col("a2")
