@@ -1,5 +1,6 @@
 import json
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -221,7 +222,7 @@ def test_metadata_of_annotations(spark, panel, tmp_path):
 
 
 def jobs_of(spark, work):
-    spark.sparkContext.setJobGroup(name := f"jobs-{id(work)}", "")
+    spark.sparkContext.setJobGroup(name := f"jobs-{uuid.uuid4()}", "")
     work()
     spark.sparkContext.setJobGroup("", "")
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))

@@ -7,7 +7,7 @@ from helixframe.contigs import CONTIGS, check_request, chr_rank
 from helixframe.functions.variants import allele_hash64, is_no_number, is_single_nucleotide, is_strand_ambiguous, neg_log10, number
 from helixframe.operators.align import align, check_keys, swapped_counts
 from helixframe.operators.intervals import overlapping, paint, paint_groups, paint_values, union_intervals
-from helixframe.reference import panel_of, shard_checksums
+from helixframe.reference import ReferencePanel, panel_of, shard_checksums
 from helixframe.sumstats import aligned_sumstats, completeness, create_sumstats, load_sumstats, load_sumstats_cache
 
 VARIANTS = [
