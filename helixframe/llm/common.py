@@ -56,9 +56,9 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def is_small(ids: DataFrame) -> bool:
-    """Whether the rows of one key column may be broadcast."""
-    rows = BROADCAST_BYTES // KEY_BYTES.get(ids.dtypes[0][1], 256)
+def is_small(ids: DataFrame, row_bytes: int | None = None) -> bool:
+    """Whether the rows may be broadcast: of one key column, or of row_bytes each."""
+    rows = BROADCAST_BYTES // (row_bytes or KEY_BYTES.get(ids.dtypes[0][1], 256))
     return ids.limit(rows + 1).count() <= rows
 
 

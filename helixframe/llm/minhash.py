@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import drop_ids, forget, join_groups, keep_ids, only, released, sliced, small_batches, stored, table, text_bytes
+from helixframe.llm.common import drop_ids, forget, is_small, join_groups, keep_ids, only, released, sliced, small_batches, stored, table, text_bytes
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
@@ -29,6 +29,8 @@ B = 4  # low bits that are kept of each minimum
 SIGMAS = 5.0  # standard errors that an estimate may lie below the threshold
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # members of a bucket (and shingles of them) that are compared with as many others at once
 SLICE = 1 << 20  # bytes of text that are cut into shingles at once
+SPOKES = 64  # pairs of a hub that are confirmed in one part
+PLACED_BYTES = 64  # what a place of a text takes in a broadcast table
 STEP = 64  # pairs that are confirmed at once, the likeliest first
 PERMUTATIONS = 4  # leaders differ between bands
 PART = 512  # members of a frequent key's bucket that get a leader of their own
@@ -177,32 +179,55 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             near = estimate(*(np.frombuffer(b"".join(batch.column(f"bits_{s}").to_pylist()), np.uint8).reshape(len(batch), K * B // 8) for s in "ab"))
             keep = np.flatnonzero(near >= least)
-            yield batch.select(["a", "b"]).take(pa.array(keep)).append_column("near", pa.array(near[keep]))
+            yield batch.select(["a", "b", "n"]).take(pa.array(keep)).append_column("near", pa.array(near[keep]))
 
-    return near.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, near double")
+    return near.select("a", "b", F.greatest("n_a", "n_b").alias("n"), "bits_a", "bits_b").mapInArrow(run, "a long, b long, n long, near double")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose full shingle sets are that similar."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-ids")
-    texts = keep_ids(docs, ids, "doc_id")
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
+    """The pairs (a, b) of document ids whose full shingle sets are that similar. pairs: a, b and n, the shingles of the larger set.
+
+    A pair is dealt to the end that is in more pairs, its hub, and a hub's pairs to parts of a bounded size. A hub's
+    text goes to each of its parts once, ahead of those it is held against, so that no text is copied for each pair.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("pairs"))
+    of = lambda s: degrees.select(F.col("node").alias(s), F.col("pairs").alias(f"of_{s}"))
+    a_is_hub = F.col("of_a") >= F.col("of_b")
+    parts = F.ceil(F.greatest(F.lit(1.0), F.greatest("of_a", "of_b") / SPOKES, F.greatest("of_a", "of_b") * F.col("n") / BLOCK_SHINGLES))
+    ends = F.when(a_is_hub, F.struct(F.col("a").alias("hub"), F.col("b").alias("node"))).otherwise(F.struct(F.col("b").alias("hub"), F.col("a").alias("node")))
+    spokes = pairs.join(of("a"), "a").join(of("b"), "b").select(ends.alias("end"), parts.alias("parts"))
+    spokes = stored(spokes.select("end.hub", F.pmod(F.xxhash64("end.node"), F.col("parts")).alias("part"), "end.node"), "minhash-spokes")
+    hubs = spokes.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("node"))
+    placed = stored(hubs.withColumn("spoke", F.lit(False)).unionByName(spokes.withColumn("spoke", F.lit(True))), "minhash-placed")
+    ids = stored(placed.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
+    texts = keep_ids(docs, ids, "doc_id").select(F.col("doc_id").alias("node"), "text")
+    rows = texts.join(F.broadcast(placed) if is_small(placed, PLACED_BYTES) else placed, "node").select("hub", "part", "spoke", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
+        at, own = None, []
         for batch in released(batches):
-            for part in sliced(batch, "text_a", SLICE):
-                a, a_at = shingle_sets(*text_bytes(part.column("text_a")), words)
-                b, b_at = shingle_sets(*text_bytes(part.column("text_b")), words)
-                keep = []
-                for i in np.flatnonzero((np.diff(a_at) > 0) & (np.diff(b_at) > 0)):
-                    x, y = a_at[i + 1] - a_at[i], b_at[i + 1] - b_at[i]
-                    both = int(shared(a[a_at[i] : a_at[i + 1]], b, b_at, np.array([i]))[0])
-                    if both and 100 * both >= percent * (x + y - both):
-                        keep.append(i)
-                yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+            for some in sliced(batch, max_bytes=SLICE):
+                sets, start = shingle_sets(*text_bytes(some.column("text")), words)
+                sizes = np.diff(start)
+                hub, part, node = (some.column(c).to_numpy() for c in ("hub", "part", "node"))
+                spoke = some.column("spoke").to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero((np.diff(hub) != 0) | (np.diff(part) != 0)) + 1
+                found = [np.empty((0, 2), np.int64)]
+                for lo, hi in zip([0, *edges], [*edges, len(some)], strict=True):
+                    if at != (hub[lo], part[lo]):
+                        at, own = (hub[lo], part[lo]), []
+                    here = lo + np.flatnonzero(sizes[lo:hi])
+                    own += [sets[start[i] : start[i + 1]].copy() for i in here[~spoke[here]]]  # more than one where rows share an id
+                    which = here[spoke[here]]
+                    for one in own if len(which) else []:
+                        both = shared(one, sets, start, which)
+                        near = which[(both > 0) & (100 * both >= percent * (len(one) + sizes[which] - both))]
+                        found.append(np.column_stack([np.minimum(hub[near], node[near]), np.maximum(hub[near], node[near])]))
+                pairs = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "spoke").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets_by_slices(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,13 +359,13 @@ def _led_pairs(buckets: DataFrame, frequent: DataFrame | None) -> DataFrame:
 
 def _star_links(likely: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links among the likely pairs: first the likeliest pair of each node, then of the rest what isn't joined by these."""
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node"), F.struct("near", "a", "b").alias("pair"))
-    best = stored(ends.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "minhash-best")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node"), F.struct("near", "a", "b", "n").alias("pair"))
+    best = stored(ends.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b", "pair.n").distinct(), "minhash-best")
     links = stored(_confirmed(best, rows, words, percent), "minhash-links")
     found = stored(connected_components(links), "minhash-components")
     of = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
     open_ = likely.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = stored(open_.filter("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b"), "minhash-open")
+    rest = stored(open_.filter("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b", "n"), "minhash-open")
     forget(found)
     return links.unionByName(stored(_confirmed(rest, rows, words, percent), "minhash-links"))
 

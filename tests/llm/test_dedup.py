@@ -177,6 +177,7 @@ def test_keep_one_each_keeps_columns(docs):
 def test_frequent_keys_are_dealt_in_parts(spark, monkeypatch, block):
     """A bucket of 150 near copies in parts with leaders of their own, beside small families."""
     monkeypatch.setattr(minhash, "PART", 10)
+    monkeypatch.setattr(minhash, "SPOKES", 3)
     monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(12)
     rows = list(enumerate(family(rng, 150, words=200, edits=8) + family(rng, 30, edits=16) + family(rng, 9)))
