@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import drop_ids, forget, is_small, join_groups, keep_ids, only, released, sliced, small_batches, stored, table, text_bytes
+from helixframe.llm.common import HOT_GROUPS, drop_ids, forget, is_small, join_groups, keep_ids, only, released, sliced, small_batches, stored, table, text_bytes
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
@@ -34,8 +34,7 @@ PLACED_BYTES = 64  # what a place of a text takes in a broadcast table
 STEP = 64  # pairs that are confirmed at once, the likeliest first
 PERMUTATIONS = 4  # leaders differ between bands
 PART = 512  # members of a frequent key's bucket that get a leader of their own
-#: Frequent keys are looked for among so many counters: each of more than 1 in 3/4 of them of all rows is found. At most FREQUENT of them are dealt out.
-COUNTERS, FREQUENT = 32_768, 4_096
+SEEN = 16  # frequent keys are looked for in one node in so many
 
 _R = np.random.default_rng(20240229)
 _BYTE = _R.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -324,22 +323,32 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def _frequent(keys: DataFrame) -> DataFrame | None:
-    """(key, parts) of the band keys that many nodes have, FREQUENT at most; None without any. One row of counters reaches the driver."""
-    found = keys.agg(F.expr(f"approx_top_k(key, {FREQUENT}, {COUNTERS})").alias("top")).first()["top"] or []
-    rows = [(r["item"], -(-r["count"] // PART)) for r in found if r["count"] > PART]
-    return keys.sparkSession.createDataFrame(rows, "key long, parts long") if rows else None
+def _frequent(sets: DataFrame) -> DataFrame:
+    """(key, parts) of the band keys that more than PART nodes have, estimated from one node in SEEN; any number of them.
+
+    A key of twice PART nodes is missed with a probability below 1e-5; its bucket is right then too, in one part.
+    """
+    seen = sets.filter(F.pmod(F.xxhash64(F.lit("seen"), "node"), F.lit(SEEN)) == 0)
+    counts = seen.select(F.explode("bands").alias("key")).groupBy("key").agg((F.count(F.lit(1)) * SEEN).alias("nodes"))
+    return stored(counts.filter(F.col("nodes") > PART).select("key", F.ceil(F.col("nodes") / PART).alias("parts")), "minhash-frequent")
+
+
+def _with_parts(placed: DataFrame, frequent: DataFrame) -> DataFrame:
+    """placed with the parts of its key, null unless frequent: by broadcasts of the frequent keys while they are few, and of the most frequent ones beyond."""
+    if is_small(frequent.select("key")):
+        return placed.join(F.broadcast(frequent), "key", "left")
+    most = stored(frequent.orderBy(F.desc("parts"), "key").limit(HOT_GROUPS), "minhash-most")
+    known = placed.join(F.broadcast(most), "key", "left")
+    rest = known.filter("parts IS NULL").drop("parts").join(frequent, "key", "left")
+    return known.filter("parts IS NOT NULL").unionByName(rest)
 
 
-def _buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, part, node, lead, hot) of the buckets with two members or more, dealt once; and the frequent keys with their number of parts."""
-    placed = sets.select("node", F.explode("bands").alias("key"))
-    frequent = _frequent(placed)
-    if frequent is None:
-        placed = placed.withColumns({"part": F.lit(0).cast("long"), "hot": F.lit(False)})
-    else:
-        part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-        placed = placed.join(F.broadcast(frequent), "key", "left").select("node", "key", part.alias("part"), F.col("parts").isNotNull().alias("hot"))
+    frequent = _frequent(sets)
+    placed = _with_parts(sets.select("node", F.explode("bands").alias("key")), frequent)
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long")))
+    placed = placed.select("node", "key", part.alias("part"), F.col("parts").isNotNull().alias("hot"))
     rank = F.xxhash64("node", F.pmod("key", F.lit(PERMUTATIONS)))
     w = Window.partitionBy("key", "part").orderBy(rank, "node")
     lead = F.first("node").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -347,13 +356,12 @@ def _buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return stored(led.filter("hot OR node <> lead OR next IS NOT NULL").select("key", "part", "node", "lead", "hot"), "minhash-buckets"), frequent
 
 
-def _led_pairs(buckets: DataFrame, frequent: DataFrame | None) -> DataFrame:
+def _led_pairs(buckets: DataFrame) -> DataFrame:
     """Pairs of each member with its part's leader, and of a frequent key's leaders with the first of them."""
     pairs = buckets.filter("node <> lead").select("node", "lead")
-    if frequent is not None:
-        tops = buckets.filter("hot AND node = lead").select("key", "node")
-        first = tops.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), "node")).alias("first")).select("key", F.col("first.node").alias("lead"))
-        pairs = pairs.unionByName(tops.join(F.broadcast(first), "key").filter("node <> lead").select("node", "lead"))  # a row for each frequent key
+    tops = buckets.filter("hot AND node = lead").select("key", "node")
+    first = tops.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("r"), "node")).alias("first")).select("key", F.col("first.node").alias("lead"))
+    pairs = pairs.unionByName(tops.join(first, "key").filter("node <> lead").select("node", "lead"))
     return pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
@@ -370,7 +378,7 @@ def _star_links(likely: DataFrame, rows: DataFrame, words: int, percent: int) ->
     return links.unionByName(stored(_confirmed(rest, rows, words, percent), "minhash-links"))
 
 
-def _rest_links(buckets: DataFrame, frequent: DataFrame | None, sets: DataFrame, found: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _rest_links(buckets: DataFrame, frequent: DataFrame, sets: DataFrame, found: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between members of a bucket that are in different components so far."""
     own = sets.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     labelled = stored(buckets.select("key", "part", "node").join(own, "node"), "minhash-labelled")
@@ -381,10 +389,8 @@ def _rest_links(buckets: DataFrame, frequent: DataFrame | None, sets: DataFrame,
     mixed = mixed.select(
         "key", F.col("major.component").alias("major"), blocks(F.col("major.m"), F.col("major.all")).alias("mb"), blocks(F.col("m") - F.col("major.m"), F.col("all") - F.col("major.all")).alias("nb")
     )
-    if frequent is None:
-        mixed = mixed.withColumn("part", F.lit(0).cast("long"))
-    else:  # a row for each part of a frequent key
-        mixed = mixed.join(F.broadcast(frequent), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    # a row for each part of a frequent key
+    mixed = mixed.join(frequent, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
     members = labelled.join(stored(mixed, "minhash-mixed"), ["key", "part"]).drop("part")
     # blocks of the largest component come first; no two of them meet
     is_major, mb, nb, at = F.col("component") == F.col("major"), F.col("mb"), F.col("nb"), F.xxhash64("node")
@@ -420,7 +426,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     of_digest = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands")).alias("s"), F.count(F.lit(1)).alias("docs"))
     sets = stored(of_digest.select("digest", "docs", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), "s.bits", "s.bands"), "minhash-sets")
     buckets, frequent = _buckets(sets)
-    likely = stored(_likely(_led_pairs(buckets, frequent), sets, percent / 100), "minhash-led")
+    likely = stored(_likely(_led_pairs(buckets), sets, percent / 100), "minhash-led")
     links = _star_links(likely, rows, words, percent)
     found = stored(connected_components(links), "minhash-components")
     rest = _rest_links(buckets, frequent, sets, found, rows, words, percent)
