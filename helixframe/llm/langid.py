@@ -4,8 +4,9 @@ A text is its runs of letters in lower case, each between two blanks. For each l
 probability of every character after up to ORDER - 1 others of its word: absolute discounts of its own, and
 continuation counts below the highest order. The n-grams of all languages are one sorted array of hashes for each
 order, with the log probabilities and back-off weights of those languages that have them; a text gets the language of
-the lowest cross-entropy per character. One sampled text in CALIBRATE is not counted but measured: posteriors are tempered
-so that they fit these texts, and a cross-entropy that hardly any of the chosen language has marks the row as rejected.
+the lowest cross-entropy per character. Every CALIBRATE-th sampled text of a language is not counted but measured: posteriors are
+tempered so that they fit these texts, and a cross-entropy that hardly any of the chosen language has marks the row as
+rejected. How far is decided over all languages together, as standard deviations, since one language's sample is too few texts for a quantile.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from helixframe.llm.common import only, own_cache, released, sliced, small_batches, stored, table, texts_of
 
@@ -26,9 +28,9 @@ LETTERS = regex.compile(r"\p{L}+")
 ORDER = 4
 #: The bounded sample: so many texts of each language at most, those with the smallest hash of their id.
 MAX_TEXTS = 1_500
-CALIBRATE, CALIBRATED = 5, 50  # of a language with so many sampled texts at least
+CALIBRATE = 5
 UNSEEN = 1e-6  # probability of a character that no training text has
-REJECT = 0.999  # quantile of calibrating texts' cross-entropy beyond which a row is rejected
+REJECT = 0.99  # quantile of calibrating texts' cross-entropy, in standard deviations of their language, beyond which a row is rejected
 CACHED = 100_000  # words
 CACHED_SCORES = 1_600_000  # of words by languages
 LONG = 64  # code points; longer words are scored but not cached
@@ -182,7 +184,7 @@ class Classifier:
 def fit_languages(docs: DataFrame) -> Model:
     """docs: doc_id, text, lang. Learns from a bounded sample outside the held-out fold (crc32 of the id mod 4 is 2).
 
-    n-grams are counted by Spark; what reaches the driver is bounded by the sample.
+    n-grams are counted by Spark; what reaches the driver is bounded by the sample. Rows that repeat an id are sampled together, each as a row of its own.
     """
     own = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     sizes = own.groupBy("lang").count().collect()  # a row for each language
@@ -190,11 +192,10 @@ def fit_languages(docs: DataFrame) -> Model:
     if not languages:
         return Model([], {})
     #: ids whose hash is under a language's share of the range: about MAX_TEXTS of each
-    share = {r["lang"]: min(1.0, MAX_TEXTS / r["count"]) for r in sizes}
-    cut = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(v * (1 << 30)))) for k, v in share.items()))
-    enough = [r["lang"] for r in sizes if r["count"] * share[r["lang"]] >= CALIBRATED]
-    apart = F.col("lang").isin(enough) & (F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATE)) == 0)
-    sample = stored(own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut[F.col("lang")]).select("lang", "text", apart.alias("apart")), "langid-sample")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], r["count"], int(min(1.0, MAX_TEXTS / r["count"]) * (1 << 30))) for r in sizes], "lang string, rows long, cut long")
+    sample = own.select("doc_id", "text", "lang").join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("cut"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))  # of about MAX_TEXTS rows
+    sample = stored(sample.select("lang", "rows", "text", (nth % CALIBRATE == 0).alias("apart")), "langid-sample")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,12 +238,19 @@ def _calibrate(sample: DataFrame, model: Model) -> None:
             rows = np.arange(len(pdf))
             best = entropy[rows, true]
             others = np.where(np.arange(entropy.shape[1]) == true[:, None], np.inf, entropy).min(axis=1)
-            yield pd.DataFrame({"lang": pdf["lang"], "entropy": best, "margin": (others - best) * np.minimum(letters, 200), "letters": letters})[letters >= 40]
-
-    seen = sample.mapInPandas(measure, "lang string, entropy double, margin double, letters long")
-    for row in seen.groupBy("lang").agg(F.percentile_approx("entropy", REJECT).alias("limit")).collect():
-        model.limits[model.languages.index(row["lang"])] = row["limit"]
-    low = seen.agg(F.percentile_approx("margin", 0.01)).first()[0]
+            yield pd.DataFrame({"lang": pdf["lang"], "rows": pdf["rows"], "entropy": best, "margin": (others - best) * np.minimum(letters, 200), "letters": letters})[letters > 0]
+
+    seen = stored(sample.mapInPandas(measure, "lang string, rows long, entropy double, margin double, letters long"), "langid-seen")
+    own = seen.groupBy("lang").agg(F.mean("entropy").alias("mean"), F.stddev_pop("entropy").alias("deviation"), F.count(F.lit(1)).alias("apart"))
+    # each text stands for its share of its language, so that REJECT is of all documents
+    far = F.percentile(F.try_divide(F.col("entropy") - F.col("mean"), "deviation"), F.lit(REJECT), F.ceil(F.col("rows") / F.col("apart")))
+    limit = seen.join(own, "lang").agg(far).first()[0]
+    every = seen.agg(F.mean("entropy").alias("mean"), F.stddev_pop("entropy").alias("deviation")).first()
+    if limit is not None:
+        model.limits[:] = every["mean"] + limit * every["deviation"]  # of languages without a text apart
+        for row in own.collect():  # a row for each language
+            model.limits[model.languages.index(row["lang"])] = row["mean"] + limit * (row["deviation"] or every["deviation"])
+    low = seen.filter("letters >= 40").agg(F.percentile_approx("margin", 0.01)).first()[0]
     if low is not None and np.isfinite(low):  # the weakest of a hundred texts is about ten times as likely as not
         model.temperature = float(np.clip(low / np.log(10), 1.0, 50.0))
 
