@@ -4,9 +4,10 @@ A text is its runs of letters in lower case, each between two blanks. For each l
 probability of every character after up to ORDER - 1 others of its word: absolute discounts of its own, and
 continuation counts below the highest order. The n-grams of all languages are one sorted array of hashes for each
 order, with the log probabilities and back-off weights of those languages that have them; a text gets the language of
-the lowest cross-entropy per character. Every CALIBRATE-th sampled text of a language is not counted but measured: posteriors are
-tempered so that they fit these texts, and a cross-entropy that hardly any of the chosen language has marks the row as
-rejected. How far is decided over all languages together, as standard deviations, since one language's sample is too few texts for a quantile.
+the lowest cross-entropy per character. Every CALIBRATE-th sampled text of a language, and MEASURED more that are not sampled,
+are not counted but measured: posteriors are tempered so that they fit these texts, and a cross-entropy that hardly any of the
+chosen language has marks the row as rejected. How far is decided over all languages together, as standard deviations, since a
+small language has too few texts for a quantile.
 """
 
 from __future__ import annotations
@@ -15,20 +16,21 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import only, own_cache, released, sliced, small_batches, stored, table, texts_of
+from helixframe.llm.common import forget, only, own_cache, released, sliced, small_batches, stored, table, texts_of
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDER = 4
 #: The bounded sample: so many texts of each language at most, those with the smallest hash of their id.
 MAX_TEXTS = 1_500
 CALIBRATE = 5
+#: Texts of each language that are measured at most, beside those of the sample; those with the next hashes.
+MEASURED = 4_000
 UNSEEN = 1e-6  # probability of a character that no training text has
 REJECT = 0.99  # quantile of calibrating texts' cross-entropy, in standard deviations of their language, beyond which a row is rejected
 CACHED = 100_000  # words
@@ -191,9 +193,11 @@ def fit_languages(docs: DataFrame) -> Model:
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], {})
-    #: ids whose hash is under a language's share of the range: about MAX_TEXTS of each
-    shares = docs.sparkSession.createDataFrame([(r["lang"], r["count"], int(min(1.0, MAX_TEXTS / r["count"]) * (1 << 30))) for r in sizes], "lang string, rows long, cut long")
-    sample = own.select("doc_id", "text", "lang").join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("cut"))
+    #: ids whose hash is under a language's share of the range: about MAX_TEXTS of each, and about MEASURED up to its next share
+    share = lambda texts, rows: int(min(1.0, texts / rows) * (1 << 30))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], r["count"], share(MAX_TEXTS, r["count"]), share(MAX_TEXTS + MEASURED, r["count"])) for r in sizes], "lang string, rows long, cut long, far long")
+    near = own.select("doc_id", "text", "lang").join(shares, "lang").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).filter("at < far")
+    sample, beyond = near.filter("at < cut"), near.filter("at >= cut").select("lang", "rows", "text")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))  # of about MAX_TEXTS rows
     sample = stored(sample.select("lang", "rows", "text", (nth % CALIBRATE == 0).alias("apart")), "langid-sample")
 
@@ -223,24 +227,30 @@ def fit_languages(docs: DataFrame) -> Model:
     for lang, gram, n in zip(counted["lang"], counted["gram"], counted["n"], strict=True):
         grams.setdefault(len(gram), {})[number[lang], gram] = n
     model = Model(languages, grams)
-    _calibrate(sample.filter("apart"), model)
+    _calibrate(sample.filter("apart").select("lang", "rows", "text").unionByName(beyond), model)
+    forget(sample)
     return model
 
 
 def _calibrate(sample: DataFrame, model: Model) -> None:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Classifier(shared.value)
-        for pdf in batches:
-            entropy, letters = own.entropies([t or "" for t in pdf["text"]])
-            true = np.array([own.model.languages.index(x) for x in pdf["lang"]])
-            rows = np.arange(len(pdf))
-            best = entropy[rows, true]
-            others = np.where(np.arange(entropy.shape[1]) == true[:, None], np.inf, entropy).min(axis=1)
-            yield pd.DataFrame({"lang": pdf["lang"], "rows": pdf["rows"], "entropy": best, "margin": (others - best) * np.minimum(letters, 200), "letters": letters})[letters > 0]
-
-    seen = stored(sample.mapInPandas(measure, "lang string, rows long, entropy double, margin double, letters long"), "langid-seen")
+    small_batches(sample.sparkSession)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = classifier_of(shared.value)
+        number = {name: i for i, name in enumerate(own.model.languages)}
+        for batch in released(batches):
+            for part in sliced(batch):
+                entropy, letters = own.entropies(texts_of(part))
+                true = np.array([number[x] for x in part.column("lang").to_pylist()])
+                best = entropy[np.arange(len(true)), true]
+                others = np.where(np.arange(entropy.shape[1]) == true[:, None], np.inf, entropy).min(axis=1)
+                measured = {"entropy": best, "margin": (others - best) * np.minimum(letters, 200), "letters": letters}
+                found = part.select(["lang", "rows"]).to_pydict() | measured
+                yield pa.RecordBatch.from_pydict(found).filter(pa.array(letters > 0))
+
+    seen = stored(sample.mapInArrow(measure, "lang string, rows long, entropy double, margin double, letters long"), "langid-seen")
     own = seen.groupBy("lang").agg(F.mean("entropy").alias("mean"), F.stddev_pop("entropy").alias("deviation"), F.count(F.lit(1)).alias("apart"))
     # each text stands for its share of its language, so that REJECT is of all documents
     far = F.percentile(F.try_divide(F.col("entropy") - F.col("mean"), "deviation"), F.lit(REJECT), F.ceil(F.col("rows") / F.col("apart")))
@@ -253,6 +263,7 @@ def _calibrate(sample: DataFrame, model: Model) -> None:
     low = seen.filter("letters >= 40").agg(F.percentile_approx("margin", 0.01)).first()[0]
     if low is not None and np.isfinite(low):  # the weakest of a hundred texts is about ten times as likely as not
         model.temperature = float(np.clip(low / np.log(10), 1.0, 50.0))
+    forget(seen)
 
 
 _LAST: list = own_cache("langid", [])

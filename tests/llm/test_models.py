@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from helixframe.llm.html_text import Weights, best_region, container_key, extract_text, fit_weights, label_counts, main_text
-from helixframe.llm.langid import Classifier, Model, fit_languages, identify, op6_langid
+from helixframe.llm.langid import ORDER, REJECT, UNSEEN, Classifier, Model, fit_languages, identify, op6_langid
 from helixframe.llm.quality import AttentionModel, fit_quality, op10_quality, score_quality
 from helixframe.llm.registry import QUERIES
 from helixframe.llm.toxicity import fit_ftrl, fit_toxicity, labelled_sample, op5_toxicity, score_toxicity
@@ -44,6 +44,63 @@ def test_held_out_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in own)
 
 
+def test_rejection_is_about_what_its_name_says(spark):
+    """Of held-out rows of the larger table, within a factor of two; the calibrating texts are others."""
+    own = [r for r in op6_langid(spark, "/root/testdata/sf0.1").select("held_out", "rejected").collect() if r["held_out"]]
+    assert (1 - REJECT) / 2 <= np.mean([r["rejected"] for r in own]) <= 2 * (1 - REJECT)
+
+
+def plain_kneser_ney(words, order, unseen):
+    """p(character, what is before it in its word), by the definition; words: word and how often."""
+    seen = {n: {} for n in range(1, order + 1)}
+    for w, k in words.items():
+        w = f" {w} "
+        for n in seen:
+            for i in range(1 if n == 1 else 0, len(w) - n + 1):
+                seen[n][w[i : i + n]] = seen[n].get(w[i : i + n], 0) + k
+
+    def count(gram):
+        n = len(gram)
+        before = [g for g in seen.get(n + 1, ()) if g[1:] == gram] if n < order else []
+        return len(before) or seen[n].get(gram, 0)
+
+    discounts = {}
+    for n in seen:
+        of = [count(g) for g in seen[n]]
+        discounts[n] = of.count(1) / (of.count(1) + 2 * of.count(2)) if 1 in of and 2 in of else 0.5
+
+    def p(c, before):
+        n = len(before) + 1
+        after = [count(g) for g in seen[n] if g[:-1] == before]
+        lower = p(c, before[1:]) if n > 1 else unseen
+        if not after or (n == 1 and c not in seen[1]):
+            return lower
+        return max(count(before + c) - discounts[n], 0) / sum(after) + discounts[n] * len(after) / sum(after) * lower
+
+    return p
+
+
+def test_scores_are_those_of_plain_kneser_ney():
+    rng = np.random.default_rng(3)
+    draw = lambda letters: {"".join(rng.choice(list(letters), rng.integers(1, 8))): int(rng.integers(1, 4)) for _ in range(40)}
+    languages = [draw("abcd"), draw("bcdefé")]
+    grams = {}
+    for lang, words in enumerate(languages):
+        for w, k in words.items():
+            w = f" {w} "
+            for n in range(1, ORDER + 1):
+                for i in range(1 if n == 1 else 0, len(w) - n + 1):
+                    own = grams.setdefault(n, {})
+                    own[lang, w[i : i + n]] = own.get((lang, w[i : i + n]), 0) + k
+    asked = list(languages[0])[:15] + list(languages[1])[:15] + ["abz", "é", "dcba", "ffff", "zz"]
+    found = Model(["x", "y"], grams).word_scores(asked)
+    for lang, words in enumerate(languages):
+        p = plain_kneser_ney(words, ORDER, UNSEEN)
+        whole = [f" {w} " for w in asked]
+        want = [sum(np.log(p(w[i], w[max(0, i - ORDER + 1) : i])) for i in range(1, len(w))) for w in whole]
+        assert np.allclose(found[:, lang], want, rtol=1e-4)
+
+
 def test_probabilities_sum_to_one():
     """Over all words of up to 7 letters from the training alphabet; longer ones and unseen characters have the rest."""
     grams = {}
