@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import forget, only, own_cache, released, sliced, small_batches, stored, table, texts_of
+from helixframe.llm.common import forget, is_small, only, own_cache, released, sliced, small_batches, stored, table, texts_of
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDER = 4
@@ -196,6 +196,7 @@ def fit_languages(docs: DataFrame) -> Model:
     #: ids whose hash is under a language's share of the range: about MAX_TEXTS of each, and about MEASURED up to its next share
     share = lambda texts, rows: int(min(1.0, texts / rows) * (1 << 30))
     shares = docs.sparkSession.createDataFrame([(r["lang"], r["count"], share(MAX_TEXTS, r["count"]), share(MAX_TEXTS + MEASURED, r["count"])) for r in sizes], "lang string, rows long, cut long, far long")
+    shares = F.broadcast(shares) if is_small(shares) else shares  # a row for each language; a shuffle would send every text to its language's task
     near = own.select("doc_id", "text", "lang").join(shares, "lang").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).filter("at < far")
     sample, beyond = near.filter("at < cut"), near.filter("at >= cut").select("lang", "rows", "text")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))  # of about MAX_TEXTS rows
