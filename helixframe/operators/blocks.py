@@ -8,6 +8,7 @@ rows only where a user asks for them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ SCHEMA = "chr string, bi int, bj int, i array<smallint>, j array<smallint>, r ar
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 #: Blocks of a stripe at most, and bytes of packed calls that a task holds of it; bytes of a row's calls that are multiplied at once; columns of a matrix that are multiplied together.
 STRIPE_BLOCKS, STRIPE_BYTES, STEP, COLUMNS = 8, 256 << 20, 2048, 64
+ROUNDING = 1e-12  # squared correlations that are so near the least one, relative to it, are compared in whole numbers
 
 
 def blocks_of(pairs: DataFrame) -> DataFrame:
@@ -61,8 +63,9 @@ def block_faults(blocks: DataFrame) -> DataFrame:
 # Building ----------------------------------------------------------------------------------------------------
 
 
-def correlations(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Pearson's r of every row of x with every row of y (packed calls of n samples) over the samples that both have; NaN where it isn't defined.
+def correlations(x: np.ndarray, y: np.ndarray, n: int, least_r2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pearson's r of every row of x with every row of y (packed calls of n samples) over the samples that both have, NaN where it isn't defined; and
+    whether r * r reaches least_r2.
 
     Matrix products over some samples at a time. Sums are whole numbers, and those of one product fit single precision, so they are exact.
     """
@@ -75,8 +78,22 @@ def correlations(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
         for total, left, right in zip(sums, (has_a, a, has_a, a * a, has_a, a), (has_b, has_b, b, has_b, b * b, b), strict=True):
             total += left @ right.T
     seen, sx, sy, sxx, syy, sxy = sums
+    both, of_x, of_y = seen * sxy - sx * sy, seen * sxx - sx * sx, seen * syy - sy * sy
     with np.errstate(divide="ignore", invalid="ignore"):
-        return (seen * sxy - sx * sy) / np.sqrt((seen * sxx - sx * sx) * (seen * syy - sy * sy))
+        r = both / np.sqrt(of_x * of_y)
+    return r, reaches(r, both, of_x, of_y, least_r2)
+
+
+def reaches(r: np.ndarray, both: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, least_r2: float) -> np.ndarray:
+    """Whether r * r = both ** 2 / (of_x * of_y) is at least least_r2, the decimal fraction that it is written as.
+
+    What rounding might turn is decided in whole numbers: r * r may be that very fraction.
+    """
+    square, least = r * r, Fraction(repr(float(least_r2)))
+    found = square >= least_r2
+    for at in zip(*np.nonzero(np.abs(square - least_r2) < least_r2 * ROUNDING), strict=True):
+        found[at] = int(both[at]) ** 2 * least.denominator >= least.numerator * int(of_x[at]) * int(of_y[at])
+    return found
 
 
 def _near(own: DataFrame, width: int, stripe_blocks: int) -> DataFrame:
@@ -134,8 +151,8 @@ def build_blocks(calls: DataFrame, window_kb: float, least_r2: float, stripe_blo
             for bi, i, at, data in mine:
                 if at.max() + width < bp.min() or bp.max() + width < at.min():
                     continue
-                r = correlations(data, here[3], n)
-                keep = (r * r >= least_r2) & (np.abs(at[:, None] - bp) <= width)
+                r, keep = correlations(data, here[3], n, least_r2)
+                keep &= np.abs(at[:, None] - bp) <= width
                 if bi == block:
                     keep &= i[:, None] < here[1]
                 a, b = np.nonzero(keep)

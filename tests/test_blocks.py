@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +72,26 @@ def test_build(spark, monkeypatch, size, stripe, window):
     assert got == want
 
 
+def test_squares_that_are_the_least_one_stay(spark):
+    """Of 18 samples many pairs have r * r of 1/20 or 1/5 itself, which rounding may put on either side."""
+    rng = np.random.default_rng(5)
+    calls = rng.integers(-1, 3, (150, 18))
+    frame = spark.createDataFrame([("1", k, k, c.tolist()) for k, c in enumerate(calls)], "chr string, local_idx long, bp long, calls array<tinyint>")
+    for least in ("0.05", "0.2"):
+        want, ties = set(), 0
+        for i in range(len(calls)):
+            for j in range(i + 1, len(calls)):
+                there = (calls[i] >= 0) & (calls[j] >= 0)
+                x, y, n = calls[i][there].tolist(), calls[j][there].tolist(), int(there.sum())
+                s = [n * sum(p * q for p, q in zip(u, v, strict=True)) - sum(u) * sum(v) for u, v in ((x, y), (x, x), (y, y))]
+                if s[1] * s[2]:
+                    square = Fraction(s[0] ** 2, s[1] * s[2])
+                    ties += square == Fraction(least)
+                    if square >= Fraction(least):
+                        want.add((i, j))
+        assert ties > 5 and {(x["i"], x["j"]) for x in pairs_of(build_blocks(frame, 10, float(least))).collect()} == want
+
+
 def test_build_of_nothing(spark):
     none = spark.createDataFrame([], "chr string, local_idx long, bp long, calls array<tinyint>")
     assert build_blocks(none, 10, 0.1).count() == 0
