@@ -18,7 +18,7 @@ from helixframe.operators.linkage import TOLERANCE, allele_frequency, check_pair
 from helixframe.reference import ReferencePanel, load_reference_cache
 from helixframe.sources.plink import read_bed, unpack_calls
 from helixframe.sources.text import write_lines
-from helixframe.tables import stored
+from helixframe.tables import SMALL_GROUPS, stored
 
 _LOG = logging.getLogger("helixframe")
 _verbosity = "info"
@@ -101,7 +101,7 @@ def ld_manifest(panel: LDPanel) -> DataFrame:
 
 def save_ld(panel: LDPanel, path: str, build: dict | None = None) -> None:
     """Parquet by shard and sex, the reference, and a manifest; nothing that is there is overwritten."""
-    panel.blocks.write.mode("errorifexists").partitionBy("chr", "sex").parquet(f"{path}/blocks")
+    panel.blocks.write.mode("errorifexists").options(**SMALL_GROUPS).partitionBy("chr", "sex").parquet(f"{path}/blocks")
     panel.freq.write.mode("errorifexists").partitionBy("chr", "sex").parquet(f"{path}/freq")
     panel.reference.save(f"{path}/reference")
     order = F.array_position(F.array(*(F.lit(c) for c in CONTIGS)), F.col("chr"))

@@ -1,10 +1,11 @@
 """Greedy pruning over blocks of the variant axis.
 
 By falling score each variant that is still there removes its correlated neighbours. A task has the neighbouring
-variants of one group of blocks: it decides all that depends on its own group, and on what is known of others, and hands on
+variants of one group of blocks: it decides what depends on its own group, and on what is known of others, and hands on
 only links between variants that are still open. Then neighbouring groups exchange what they have decided, a
 bit for each pruning and variant, and groups grow. So long chains of falling scores along a contig take few rounds.
-Many prunings with other scores go together over one copy of the links.
+Many prunings with other scores go together over one copy of the links. Links pass by block by block: a task has those of one
+block at once, and of its group no more open ones than fit KEPT bytes.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from helixframe.operators.blocks import SIZE
 from helixframe.tables import forget, stored
 
-#: Variants of a block, how often groups double, and sweeps over a group's links before it is decided one by one.
+#: Variants of a group at first, how often groups double, and sweeps over links before they are decided one by one.
 WIDTH, DOUBLINGS, SWEEPS = 16_384, 4, 12
 CHUNK = 1 << 20  # comparisons of scores at once
+KEPT = 32 << 20  # bytes of open links that a task keeps of its group
 
 _SCHEMA = "chr string, p int, size int, keys binary, kept binary, gone binary, u array<int>, v array<int>, q array<int>"
 _NAMES = [f.split()[0] for f in _SCHEMA.split(", ")]
@@ -118,8 +120,8 @@ def _links(blocks: DataFrame, threshold: float, width: int) -> DataFrame:
     least = np.float32(threshold)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 3]
         for batch in batches:
-            out: list[tuple] = []
             for k in range(len(batch)):
                 i, j, r = (batch.column(c)[k].values.to_numpy() for c in "ijr")
                 near = r * r >= least
@@ -127,15 +129,86 @@ def _links(blocks: DataFrame, threshold: float, width: int) -> DataFrame:
                     chr_, a, b = batch.column("chr")[k].as_py(), batch.column("bi")[k].as_py(), batch.column("bj")[k].as_py()
                     i, j = i[near].astype(np.int32) + a * SIZE, j[near].astype(np.int32) + b * SIZE
                     at, to = a * SIZE // width, b * SIZE // width
-                    out += [(chr_, to, i, j, [at]), (chr_, at, j, i, [to])]
-            kinds = [pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["chr", "p", "u", "v", "q"])
+                    out = [(chr_, to, i, j, [at]), (chr_, at, j, i, [to])]
+                    yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["chr", "p", "u", "v", "q"])
 
     return blocks.select("chr", "bi", "bj", "i", "j", "r").mapInArrow(cut, "chr string, p int, u array<int>, v array<int>, q array<int>")
 
 
+class _Group:
+    """Nodes of a group and those it has links to, by places in order of their numbers, and links that are still open.
+
+    Methods return rows without the contig: of nodes (p, size, keys, kept, gone, then nulls) and links (p, nulls, u, v, q).
+    """
+
+    def __init__(self, have: list[tuple], own: list[int], width: int):
+        self.keys, self.kept, self.gone = (np.concatenate([h[k] for h in have]) for k in (1, 2, 3))
+        sizes = np.array([len(h[1]) for h in have])
+        self.p, self.starts, self.own, self.width = np.array([h[0] for h in have]), np.append(0, np.cumsum(sizes)), own, width
+        self.number = np.concatenate([np.arange(n) + p * width for p, n in zip(self.p.tolist(), sizes.tolist(), strict=True)]).astype(np.int32)
+        self.most = max(1, KEPT // (8 + self.kept.shape[1]))
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        self.linked: set[int] = set()
+
+    def _within(self, p: int) -> slice:
+        at = int(np.searchsorted(self.p, p))
+        return slice(int(self.starts[at]), int(self.starts[at + 1])) if at < len(self.p) and self.p[at] == p else slice(0, 0)
+
+    def _alone(self, s: slice, v: np.ndarray) -> None:
+        """Without links to it, what is open stays."""
+        alone = np.ones(s.stop - s.start, bool)
+        alone[v - s.start] = False
+        self.kept[s][alone] |= ~self.gone[s][alone]
+
+    def add(self, p: int, u: np.ndarray, v: np.ndarray) -> list[tuple]:
+        """All links of block p; returns rows of links that are no longer kept here, though open."""
+        s = self._within(p)
+        at = [np.minimum(np.searchsorted(self.number, x), len(self.number) - 1).astype(np.int32) for x in (u, v)]
+        there = (self.number[at[0]] == u) & (self.number[at[1]] == v)  # variants without a score take no part
+        u, v = (x[there] for x in at)
+        order = np.argsort(v, kind="stable")
+        u, v = u[order], v[order]
+        self.linked.add(p)
+        self._alone(s, v)
+        u, v = decide(self.keys, self.kept, self.gone, u, v)
+        if len(u):
+            self.open.append((u, v))
+        if sum(len(x) for x, _ in self.open) > self.most:
+            u, v = self._again()
+            if len(u) > self.most // 2:
+                self.open = []
+                return self._rows(u, v)
+        return []
+
+    def _again(self) -> tuple[np.ndarray, np.ndarray]:
+        """What is open once more, by all that is known; blocks are in order, so the links' v are."""
+        u, v = (np.concatenate([x[k] for x in self.open] or [np.empty(0, np.int32)]) for k in (0, 1))
+        self.open = [decide(self.keys, self.kept, self.gone, u, v)]
+        return self.open[0]
+
+    def _rows(self, u: np.ndarray, v: np.ndarray) -> list[tuple]:
+        out = []
+        for p in self.own:
+            s = self._within(p)
+            lo, hi = np.searchsorted(v, [s.start, s.stop])
+            if lo < hi:
+                a, b = self.number[u[lo:hi]], self.number[v[lo:hi]]
+                out.append((p, None, None, None, None, a, b, np.unique(a // self.width)))
+        return out
+
+    def end(self) -> list[tuple]:
+        for p in self.own:
+            if p not in self.linked:
+                self._alone(self._within(p), np.empty(0, np.int32))
+        out = self._rows(*self._again())
+        for p in self.own:
+            s = self._within(p)
+            out.append((p, s.stop - s.start, self.keys[s].tobytes(), self.kept[s].tobytes(), self.gone[s].tobytes(), None, None, None))
+        return out
+
+
 def _round(nodes: DataFrame, links: DataFrame, level: int, width: int) -> DataFrame:
-    """Nodes (u is null) and links that are still open (keys is null) after what groups of 2 ** level blocks can decide."""
+    """Nodes (u is null) and links that are still open (keys is null) after what groups of 2 ** level blocks of width variants can decide."""
     group = F.shiftright("p", level).alias("g")
     wanted = links.select("chr", group, F.explode("q").alias("p")).unionByName(nodes.select("chr", group, "p")).distinct()
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
@@ -144,59 +217,45 @@ def _round(nodes: DataFrame, links: DataFrame, level: int, width: int) -> DataFr
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
+        group: _Group | None = None
         have: list[tuple] = []
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        block = None  # whose links are in pairs
+
+        def rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.int32())] * 3]
+            for o in out:
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), *(pa.array([x], kind) for x, kind in zip(o, kinds, strict=True))], _NAMES)
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            """The block's links are all there."""
+            nonlocal group, pairs
+            if have and group is None:
+                group = _Group(have, [h[0] for h in have if h[0] >> level == key[1]], width)
+                have.clear()
+            if group is not None and pairs:
+                yield from rows(group.add(block, *(np.concatenate([p[k] for p in pairs]) for k in (0, 1))))
+            pairs = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            keys, kept, gone = (np.concatenate([h[k] for h in have]) for k in (2, 3, 4))
-            starts = dict(zip((h[0] for h in have), np.cumsum([0] + [len(h[2]) for h in have[:-1]]).tolist(), strict=True))
-            table = np.full(max(starts) + 1, -1, np.int64)
-            sizes = np.zeros(max(starts) + 1, np.int64)
-            for h in have:
-                table[h[0]], sizes[h[0]] = starts[h[0]], len(h[2])
-            u, v = (np.concatenate([p[k] for p in pairs] or [np.empty(0, np.int32)]).astype(np.int64) for k in (0, 1))
-            there = np.ones(len(u), bool)
-            places = []
-            for x in (u, v):
-                p, off = x // width, x % width
-                ok = p < len(table)
-                p = np.where(ok, p, 0)
-                there &= ok & (table[p] >= 0) & (off < sizes[p])
-                places.append(table[p] + off)
-            u, v = (x[there] for x in places)  # variants without a score take no part
-            order = np.lexsort((u, v))
-            mine = [h for h in have if h[0] >> level == key[1]]
-            for h in mine:  # without links, what is open stays
-                s = slice(starts[h[0]], starts[h[0]] + len(h[2]))
-                alone = np.ones(len(h[2]), bool)
-                inside = (v >= s.start) & (v < s.stop)
-                alone[v[inside] - s.start] = False
-                kept[s][alone] |= ~gone[s][alone]
-            u, v = decide(keys, kept, gone, u[order], v[order])
-            number = np.concatenate([np.arange(len(h[2])) + h[0] * width for h in have])
-            out = []
-            for h in mine:
-                s = slice(starts[h[0]], starts[h[0]] + len(h[2]))
-                out.append((key[0], h[0], len(h[2]), keys[s].tobytes(), kept[s].tobytes(), gone[s].tobytes(), None, None, None))
-                own = (v >= s.start) & (v < s.stop)
-                if own.any():
-                    a, b = number[u[own]], number[v[own]]
-                    out.append((key[0], h[0], None, None, None, None, a.astype(np.int32), b.astype(np.int32), np.unique(a // width).astype(np.int32)))
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.int32())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], _NAMES)
+            yield from passed()
+            if group is not None:
+                yield from rows(group.end())
 
         for batch in batches:
             for k, (chr_, g, kind, p, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chr", "g", "kind", "p", "size")), strict=True)):
                 if (chr_, g) != key:
-                    if have:
+                    if key is not None:
                         yield from close()
-                    key, have, pairs = (chr_, g), [], []
+                    key, group, have, pairs, block = (chr_, g), None, [], [], None
                 if kind == 0:
-                    arrays = [np.frombuffer(batch.column(c)[k].as_py(), t).reshape(size, -1).copy() for c, t in (("keys", np.float64), ("kept", np.uint8), ("gone", np.uint8))]
-                    have.append((p, None, *arrays))
+                    have.append((p, *(np.frombuffer(batch.column(c)[k].as_py(), t).reshape(size, -1) for c, t in (("keys", np.float64), ("kept", np.uint8), ("gone", np.uint8)))))
                 else:
+                    if p != block:
+                        yield from passed()
+                        block = p
                     pairs.append((batch.column("u")[k].values.to_numpy(), batch.column("v")[k].values.to_numpy()))
-        if have:
+        if key is not None:
             yield from close()
 
     dealt = sent.unionByName(rest).repartition("chr", "g").sortWithinPartitions("chr", "g", "kind", "p")
@@ -212,7 +271,11 @@ def prune_blocks(scores: DataFrame, blocks: DataFrame, threshold: float, width:
     """
     if width % SIZE:
         raise ValueError(f"width must be a multiple of {SIZE}")
-    nodes, links, level = stored(_nodes(scores, width), "prune-nodes"), stored(_links(blocks, threshold, width), "prune-links"), 0
+    level = 0
+    while width % (2 * SIZE) == 0:  # a group is of blocks, which are small, as a task has all links of one
+        width, level = width // 2, level + 1
+    last = level + doublings
+    nodes, links = stored(_nodes(scores, width), "prune-nodes"), stored(_links(blocks, threshold, width), "prune-links")
     there = nodes.select("chr", "p").limit(1).collect()
     olds = [nodes, links]
     while there:
@@ -223,7 +286,7 @@ def prune_blocks(scores: DataFrame, blocks: DataFrame, threshold: float, width:
         olds = [found]
         if links.isEmpty():
             break
-        level = min(level + 1, doublings)
+        level = min(level + 1, last)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Row groups are small, as rows may hold long arrays: readers take up to 4,096 rows of one group at once, arrays and all.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "10"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is set, a temporary one on a single machine (tests); a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +32,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder; it survives the loss of executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**SMALL_GROUPS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

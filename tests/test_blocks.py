@@ -167,3 +167,45 @@ def test_prune_frequency(spark):
         prune_frequency(axis, made, lambda m: m, 0)
     assert fast_prune(axis.withColumn("score", F.lit(1.0)), made.limit(0), 0.5).filter("score IS NULL").count() == 0
     assert fast_prune(axis.withColumn("score", F.lit(1.0)).limit(0), made, 0.5).count() == 0
+
+
+def test_prune_keeps_no_more_links_than_fit(monkeypatch):
+    """A group takes its links block by block, and hands on what it may not keep; rounds end as one by one."""
+    monkeypatch.setattr(prune, "KEPT", 9 * 4000)  # of 4,000 links with a byte of bits
+    most, plain = [], prune.decide
+
+    def decide(keys, kept, gone, u, v):
+        most.append(len(u))
+        found = plain(keys, kept, gone, u, v)
+        return found
+
+    monkeypatch.setattr(prune, "decide", decide)
+    rng = np.random.default_rng(8)
+    n, width = 6 * 64, 64
+    r = banded(rng, n, 150, 0.5)
+    score = rng.permutation(n).astype(float)
+    u, v = np.nonzero((r * r >= np.float32(0.2)) & ~np.eye(n, dtype=bool))
+    of_block = max(((v // width) == p).sum() for p in range(6))
+    assert len(u) > 3 * of_block and len(u) > 20_000
+    have = [(p, -score[p * width : (p + 1) * width, None], np.zeros((width, 1), np.uint8) | 0x7F, np.zeros((width, 1), np.uint8) | 0x7F) for p in range(6)]
+    links, rounds = [(p, u[v // width == p], v[v // width == p]) for p in range(6)], 0
+    while links:
+        group = prune._Group(have, list(range(6)), width)
+        out = [row for link in links for row in group.add(*link)] + group.end()
+        have = [(p, *(np.frombuffer(b, t).reshape(size, -1) for b, t in zip(three, (np.float64, np.uint8, np.uint8), strict=True))) for p, size, *three, a, _, _ in out if a is None]
+        parts = [(row[0], row[5], row[6]) for row in out if row[5] is not None]
+        links = [(p, *(np.concatenate([x[k] for x in parts if x[0] == p]) for k in (1, 2))) for p in sorted({x[0] for x in parts})]
+        rounds += 1
+        assert rounds < 20
+    gone = np.concatenate([h[3] for h in sorted(have, key=lambda h: h[0])])[:, 0] & 0x80 != 0
+    assert gone.tolist() == np.isnan(one_by_one(r, score, 0.2)).tolist() and max(most) <= 4000 + of_block
+
+
+def test_tables_of_long_arrays_have_small_row_groups(spark):
+    """Spark's reader takes as many as 4,096 rows of a row group at once: 300 rows of 40,000 numbers are several groups."""
+    import pyarrow.parquet as pq
+
+    from helixframe.tables import stored
+
+    table = stored(spark.range(300).coalesce(1).select(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda k: F.xxhash64(k, "id")).alias("x")), "long-arrays")
+    assert max(pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in table.inputFiles()) >= 8
