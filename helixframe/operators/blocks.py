@@ -51,13 +51,21 @@ def rows_of(blocks: DataFrame, axis: DataFrame) -> DataFrame:
 
 def block_faults(blocks: DataFrame) -> DataFrame:
     """(chr, nnz, misplaced, beyond): entries of each shard's triangle, those that are not i before j or not within a block, and those that are no correlation."""
-    wide = lambda b, c: F.col(b).cast("long") * SIZE + c
-    e = F.arrays_zip("i", "j", "r")
-    inside = lambda x: (F.least(x["i"], x["j"]) >= 0) & (F.greatest(x["i"], x["j"]) < SIZE)
-    off = F.size(F.filter(e, lambda x: ~inside(x) | (wide("bi", x["i"]) >= wide("bj", x["j"]))))
-    bad = F.size(F.filter("r", lambda r: r.isNull() | F.isnan(r) | (F.abs(r) > 1 + 1e-6)))
-    uneven = F.when((F.size("i") != F.size("r")) | (F.size("j") != F.size("r")), F.lit(1)).otherwise(0)
-    return blocks.groupBy("chr").agg(F.sum(F.size("r")).cast("long").alias("nnz"), F.sum(off + uneven).cast("long").alias("misplaced"), F.sum(bad).cast("long").alias("beyond"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.zeros((3, len(batch)), np.int64)
+            for k in range(len(batch)):
+                i, j, r = (x.values.to_numpy(zero_copy_only=False) if (x := batch.column(c)[k]).is_valid else np.empty(0) for c in "ijr")
+                sizes = len(i), len(j)
+                n, low = min(sizes), (batch.column("bj")[k].as_py() - batch.column("bi")[k].as_py()) * SIZE
+                i, j = i[:n].astype(np.float64), j[:n].astype(np.float64)  # nulls are NaN
+                fine = (np.minimum(i, j) >= 0) & (np.maximum(i, j) < SIZE) & (i < j + low)
+                counts[:, k] = len(r), n - fine.sum() + (not sizes[0] == sizes[1] == len(r)), len(r) - (np.abs(r) <= 1 + 1e-6).sum()
+            yield pa.RecordBatch.from_arrays([batch.column("chr"), *(pa.array(x) for x in counts)], ["chr", "nnz", "misplaced", "beyond"])
+
+    found = blocks.select(*NAMES).mapInArrow(count, "chr string, nnz long, misplaced long, beyond long")
+    return found.groupBy("chr").agg(*(F.sum(c).alias(c) for c in ("nnz", "misplaced", "beyond")))
 
 
 # Building ----------------------------------------------------------------------------------------------------

@@ -209,3 +209,9 @@ def test_tables_of_long_arrays_have_small_row_groups(spark):
 
     table = stored(spark.range(300).coalesce(1).select(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda k: F.xxhash64(k, "id")).alias("x")), "long-arrays")
     assert max(pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in table.inputFiles()) >= 8
+
+
+def test_places_that_are_null_are_faults(spark):
+    rows = [("1", 0, 0, [0, None], [1, 2], [0.5, 0.5]), ("2", 0, 1, [5, 3], [1, 2], [0.5, None]), ("3", 0, 0, [0], [1, 2], [0.5, 0.5])]
+    made = spark.createDataFrame(rows, "chr string, bi int, bj int, i array<smallint>, j array<smallint>, r array<float>")
+    assert {x["chr"]: (x["nnz"], x["misplaced"], x["beyond"]) for x in block_faults(made).collect()} == {"1": (2, 1, 0), "2": (2, 0, 1), "3": (2, 1, 0)}
