@@ -51,3 +51,14 @@ def test_ld_distribution(spark, ties):
     assert got == pytest.approx({(*k, *at): r for k in own for at, r in shards[k][0].items()}, abs=1e-5)
     of_sql = {r[:4] for r in duck(root).execute(f"SELECT chr, sex, i, j FROM ({SQL['ld_distribution']})").fetchall()}
     assert of_sql <= set(got) and set(got) - of_sql <= {(*k, *at) for k in own for at in shards[k][1]}
+
+
+def test_ld_multiply(spark, ties):
+    root, numbers, shards = ties
+    want = {}
+    for label, k in numbers.items():
+        r2 = np.eye(len(k))
+        for (i, j), r in shards[label, ""][0].items():
+            r2[i, j] = r2[j, i] = r * r
+        want |= {(label, n // 23): v for n, v in zip(k.tolist(), r2 @ (k % 10), strict=True)}
+    assert {(r["chr"], r["local_idx"]): r["value"] for r in QUERIES["ld_multiply"](spark, root).collect()} == pytest.approx(want, abs=1e-4)
