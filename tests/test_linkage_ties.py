@@ -62,3 +62,9 @@ def test_ld_multiply(spark, ties):
             r2[i, j] = r2[j, i] = r * r
         want |= {(label, n // 23): v for n, v in zip(k.tolist(), r2 @ (k % 10), strict=True)}
     assert {(r["chr"], r["local_idx"]): r["value"] for r in QUERIES["ld_multiply"](spark, root).collect()} == pytest.approx(want, abs=1e-4)
+
+
+def test_ld_store(spark, ties):
+    root, _, shards = ties
+    want = {(*k, 2 * PAIRS, 2 * PAIRS + 2 * len(shards[k][0])) for k in (("1", ""), ("X", "female"), ("X", "male"))}
+    assert {(r["chr"], r["sex"], r["num_snp"], r["nnz"]) for r in QUERIES["ld_store"](spark, root).collect()} == want
