@@ -68,3 +68,9 @@ def test_ld_store(spark, ties):
     root, _, shards = ties
     want = {(*k, 2 * PAIRS, 2 * PAIRS + 2 * len(shards[k][0])) for k in (("1", ""), ("X", "female"), ("X", "male"))}
     assert {(r["chr"], r["sex"], r["num_snp"], r["nnz"]) for r in QUERIES["ld_store"](spark, root).collect()} == want
+
+
+def test_ld_symmetrize(spark, ties):
+    root, _, shards = ties
+    want = {(c, 2 * PAIRS + 2 * len(shards[c, ""][0]), 2 * PAIRS, len(shards[c, ""][0])) for c in ("1", "X")}
+    assert {(r["chr"], r["nnz"], r["diagonal"], r["upper"]) for r in QUERIES["ld_symmetrize"](spark, root).collect()} == want
