@@ -229,10 +229,15 @@ def panel_from_pairs(reference: ReferencePanel, pairs: DataFrame, freq: DataFram
         upper = own.select("chr", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "r")
         one = blocks_of(upper).withColumn("sex", F.lit(sex).cast("string"))
         blocks = one if blocks is None else blocks.unionByName(one)
+    return panel_from_blocks(reference, stored(blocks.select(*NAMES, "sex"), "ld-blocks"), freq, sexes)
+
+
+def panel_from_blocks(reference: ReferencePanel, blocks: DataFrame, freq: DataFrame, sexes: Sequence[str] = ()) -> LDPanel:
+    """blocks: as the panel has them; freq: chr, sex, local_idx, a1freq."""
     if bad := freq.filter("a1freq IS NULL OR isnan(a1freq) OR a1freq < 0 OR a1freq > 1").limit(1).collect():
         raise ValueError(f"shard {bad[0]['chr']}: frequency {bad[0]['a1freq']} of variant {bad[0]['local_idx']} is out of [0, 1]")
     freq = freq.withColumn("a1freq", F.col("a1freq").cast("float"))
-    return LDPanel(reference, stored(blocks.select(*NAMES, "sex"), "ld-blocks"), freq, "female" if "female" in sexes or not sexes else sexes[0], tuple(sexes))
+    return LDPanel(reference, blocks, freq, "female" if "female" in sexes or not sexes else sexes[0], tuple(sexes))
 
 
 def write_bim(variants: DataFrame, path: str) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import zipfile
 from collections.abc import Iterator
@@ -16,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from helixframe.contigs import CHRX_SEXES, CONTIGS
-from helixframe.ld import LDPanel, check_sex, panel_from_pairs, write_bim
-from helixframe.operators.blocks import SIZE
-from helixframe.operators.linkage import validation
+from helixframe.ld import LDPanel, check_sex, panel_from_blocks, write_bim
+from helixframe.operators.blocks import NAMES, SIZE
+from helixframe.operators.linkage import TOLERANCE
 from helixframe.reference import ReferencePanel
 from helixframe.sources.files import file_system, md5_of, read_small, write_file, write_files
 from helixframe.sources.plink import load_reference
@@ -34,7 +33,7 @@ NPZ_TYPES = {"data": "float32", "indices": "int32", "indptr": "int32", "shape":
 
 ENTRIES = 16 << 20  # entries of a shard that one task reads, some columns more or less
 BATCH = 1 << 20  # entries that are handed on at once
-CHUNK = 4 << 20  # bytes of a file that are one row of a sink
+CHUNK = 1 << 20  # bytes of a file that are one row of a sink, more or less
 
 
 def is_plain_name(name: object) -> bool:
@@ -164,23 +163,30 @@ class _Shard:
         return npy.read_array_header_1_0(f) if version == (1, 0) else npy.read_array_header_2_0(f)
 
     def stream(self, name: str, start: int, stop: int, each: int) -> Iterator[np.ndarray]:
-        """Entries start to stop of an array, some at a time. What lies before is passed over, not kept."""
+        """Entries start to stop of an array, some at a time."""
+        return self.pieces(name, [*range(start, stop, each), stop])
+
+    def pieces(self, name: str, cuts: list[int]) -> Iterator[np.ndarray]:
+        """Entries of an array from each cut to the next. What lies before is passed over, not kept."""
         width = np.dtype(NPZ_TYPES[name]).itemsize
         with self.zip.open(f"{name}.npy") as f:
             self._header(f)
-            skip = start * width
+            skip = cuts[0] * width
             while skip:
                 got = len(f.read(min(skip, CHUNK)))
                 if not got:
                     raise ValueError(f"{self.path}: {name} ends too soon")
                 skip -= got
-            for lo in range(start, stop, each):
-                data = f.read(width * (min(lo + each, stop) - lo))
-                if len(data) != width * (min(lo + each, stop) - lo):
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                data = f.read(width * (hi - lo))
+                if len(data) != width * (hi - lo):
                     raise ValueError(f"{self.path}: {name} ends too soon")
                 yield np.frombuffer(data, NPZ_TYPES[name])
 
 
+_BLOCKS = "chr string, sex string, bi int, bj int, i array<smallint>, j array<smallint>, r array<float>"
+
+
 class _Columns(InputPartition):
     def __init__(self, path: str, start: int, stop: int):
         self.path, self.start, self.stop = path, start, stop
@@ -188,14 +194,15 @@ class _Columns(InputPartition):
 
 class _NpzReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.paths, self.entries = json.loads(options["paths"]), int(options.get("entries", ENTRIES))
+        self.paths, self.entries, self.as_blocks = json.loads(options["paths"]), int(options.get("entries", ENTRIES)), options.get("blocks") == "true"
 
     def partitions(self) -> list[_Columns]:
         """Ranges of columns of about as many entries each; the driver reads a shard's column starts only."""
         out = []
         for path in self.paths:
             starts = _Shard(path).indptr.astype(np.int64)
-            cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], self.entries), "left"), [0, len(starts) - 1]))
+            cuts = np.searchsorted(starts, np.arange(0, starts[-1], self.entries), "left")
+            cuts = np.unique(np.append(cuts // SIZE * SIZE if self.as_blocks else cuts, [0, len(starts) - 1]))
             out += [_Columns(path, int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out or [_Columns("", 0, 0)]
 
@@ -203,6 +210,9 @@ class _NpzReader(DataSourceReader):
         if not partition.path:
             return
         z = _Shard(partition.path)
+        if self.as_blocks:
+            yield from self._blocks(z, partition.start, partition.stop)
+            return
         n, lo, hi = len(z.a1freq), int(z.indptr[partition.start]), int(z.indptr[partition.stop])
         at = lo
         for i, r in zip(z.stream("indices", lo, hi, BATCH), z.stream("data", lo, hi, BATCH), strict=True):
@@ -214,16 +224,36 @@ class _NpzReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([*said, pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(r), freq], ["path", "chr", "sex", "i", "j", "r", "a1freq"])
             at += len(i)
 
+    def _blocks(self, z: _Shard, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+        """SIZE columns at a time, a row for each SIZE of their rows."""
+        firsts = range(start, stop, SIZE)
+        cuts = [int(z.indptr[k]) for k in (*firsts, stop)]
+        for first, i, r in zip(firsts, z.pieces("indices", cuts), z.pieces("data", cuts), strict=True):
+            if not len(i):
+                continue
+            if i.min() < 0 or i.max() >= len(z.a1freq):
+                raise ValueError(f"{z.path}: a row is out of bounds")
+            each = np.diff(z.indptr[first : min(first + SIZE, stop) + 1])
+            j = np.repeat(np.arange(len(each), dtype=np.int16), each)
+            block = i // SIZE
+            order = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            offsets = pa.array(np.append(starts, len(i)).astype(np.int32))
+            said = [pa.array([x] * len(starts), pa.string()) for x in (z.meta["chr"], z.meta["sex"])]
+            places = [pa.array(x, pa.int32()) for x in (block[order][starts], np.full(len(starts), first // SIZE))]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in ((i % SIZE).astype(np.int16), j, r)]
+            yield pa.RecordBatch.from_arrays([*said, *places, *lists], ["chr", "sex", *NAMES[1:]])
+
 
 class NpzShards(DataSource):
-    """Entries of compressed-column shards: options paths (JSON), and entries, how many a task reads."""
+    """Entries of compressed-column shards: options paths (JSON), entries, how many a task reads, and blocks (true: a row has those of SIZE by SIZE)."""
 
     @classmethod
     def name(cls) -> str:
         return "ld_npz"
 
     def schema(self) -> str:
-        return "path string, chr string, sex string, i long, j long, r float, a1freq double"
+        return _BLOCKS if self.options.get("blocks") == "true" else "path string, chr string, sex string, i long, j long, r float, a1freq double"
 
     def reader(self, schema) -> _NpzReader:
         return _NpzReader(self.options)
@@ -235,6 +265,71 @@ def read_npz_shards(spark: SparkSession, paths: str | list[str], entries: int =
     return spark.read.format("ld_npz").option("paths", json.dumps([paths] if isinstance(paths, str) else list(paths))).option("entries", entries).load()
 
 
+def read_npz_blocks(spark: SparkSession, paths: list[str], entries: int = ENTRIES) -> DataFrame:
+    """(chr, sex, bi, bj, i, j, r): all entries of shards, diagonal and both triangles, by blocks of SIZE rows and SIZE columns."""
+    spark.dataSource.register(NpzShards)
+    return spark.read.format("ld_npz").option("paths", json.dumps(paths)).option("entries", entries).option("blocks", "true").load()
+
+
+def read_npz_frequencies(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(chr, sex, local_idx, a1freq) of shards, one task for each."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                z = _Shard(path)
+                n = len(z.a1freq)
+                said = [pa.array([x] * n, pa.string()) for x in (z.meta["chr"], z.meta["sex"])]
+                yield pa.RecordBatch.from_arrays([*said, pa.array(np.arange(n)), pa.array(z.a1freq)], ["chr", "sex", "local_idx", "a1freq"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path").mapInArrow(read, "chr string, sex string, local_idx long, a1freq float")
+
+
+#: Counts of what a whole matrix must not have, and of its diagonal.
+_COUNTS = ("asymmetric", "bad_diagonal", "beyond", "twice", "diagonal")
+
+
+def fold_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of the upper triangle from those of both and the diagonal, with counts for each: entries without an equal one across the diagonal, diagonal ones
+    that are not 1, values beyond 1 (those kept: without tolerance), entries that are given more than once, and diagonal ones.
+
+    A block meets the one across the diagonal, so a task has two at once.
+    """
+    own = blocks.select("chr", "sex", F.least("bi", "bj").alias("bi"), F.greatest("bi", "bj").alias("bj"), (F.col("bi") > F.col("bj")).alias("turned"), "i", "j", "r")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, []
+
+        def close() -> pa.RecordBatch:
+            i, j, r = (np.concatenate([x[k] for x in sides]) for k in range(3))
+            lower = np.concatenate([np.full(len(x[0]), x[3]) if key[2] < key[3] else x[0] > x[1] for x in sides])
+            i, j = np.where(lower, j, i).astype(np.int64), np.where(lower, i, j).astype(np.int64)
+            own = (i == j) if key[2] == key[3] else np.zeros(len(i), bool)
+            (diagonal, d), (one, x), (two, y) = ((np.unique((i * SIZE + j)[at], return_index=True)) for at in (own, ~own & ~lower, lower))
+            d, x, y = r[own][d], r[~own & ~lower][x], r[lower][y]
+            _, a, b = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+            found = [
+                len(one) + len(two) - 2 * len(a) + 2 * (~(np.abs(x[a].astype(np.float64) - y[b]) <= TOLERANCE)).sum(), (~(np.abs(d - 1) <= TOLERANCE)).sum(),
+                (~(np.abs(r) <= 1 + TOLERANCE)).sum() + (~(np.abs(x) <= 1)).sum(), len(r) - len(diagonal) - len(one) - len(two), len(diagonal),
+            ]
+            columns = [pa.array([v], t) for v, t in zip(key, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
+            columns += [pa.array([v], pa.list_(t)) for v, t in (((one // SIZE).astype(np.int16), pa.int16()), ((one % SIZE).astype(np.int16), pa.int16()), (x, pa.float32()))]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array([int(v)], pa.int64()) for v in found)], ["chr", "sex", *NAMES[1:], *_COUNTS])
+
+        for batch in batches:
+            for k, (*now, turned) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chr", "sex", "bi", "bj", "turned")), strict=True)):
+                if now != key:
+                    if key is not None:
+                        yield close()
+                    key, sides = now, []
+                sides.append((*(batch.column(c)[k].values.to_numpy() for c in "ijr"), turned))
+        if key is not None:
+            yield close()
+
+    keys = ["chr", "sex", "bi", "bj"]
+    return own.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(fold, ", ".join([_BLOCKS, *(f"{c} long" for c in _COUNTS)]))
+
+
 def read_npz_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, md5, metadata as JSON) of shards. Files are read a piece at a time, one task for each."""
     own = [paths] if isinstance(paths, str) else list(paths)
@@ -303,88 +398,183 @@ def import_distribution(spark: SparkSession, root: str, reference: ReferencePane
     for e in entries:
         if (own[e["chr"]]["num_snp"], own[e["chr"]]["checksum"]) != (e["num_snp"], e["reference_checksum"]):
             raise ValueError(f"{root}: shard {e['chr']!r} is not that of the reference")
-    rows = stored(read_npz_shards(spark, [f"{root}/{e['file']}" for e in entries]), "npz")
-    name = F.concat_ws("/", "chr", "sex")
-    for r in validation(rows.withColumn("chr", name)).collect():
-        if r["asymmetric"] or r["bad_diagonal"] or r["beyond"]:
-            raise ValueError(f"{root}: shard {r['chr']} isn't symmetric with a unit diagonal and values within 1")
-    diagonal = {r["shard"]: r["count"] for r in rows.filter("i = j").groupBy(name.alias("shard")).count().collect()}
+    paths = [f"{root}/{e['file']}" for e in entries]
+    blocks = stored(fold_blocks(read_npz_blocks(spark, paths)), "npz-blocks")
+    found = {(r["chr"], r["sex"]): r for r in blocks.groupBy("chr", "sex").agg(*(F.sum(c).alias(c) for c in _COUNTS)).collect()}
     for e in entries:
-        if diagonal.get("/".join(filter(None, (e["chr"], e["sex"]))), 0) != e["num_snp"]:
+        r = found.get((e["chr"], e["sex"]))
+        if r and (r["asymmetric"] or r["bad_diagonal"] or r["beyond"]):
+            raise ValueError(f"{root}: shard {e['chr']!r} isn't symmetric with a unit diagonal and values within 1")
+        if not r or r["diagonal"] != e["num_snp"]:
             raise ValueError(f"{root}: the diagonal of shard {e['chr']!r} has gaps")
-    freq = rows.filter("i = j").select("chr", "sex", F.col("i").alias("local_idx"), F.col("a1freq").cast("float").alias("a1freq"))
-    return panel_from_pairs(reference, rows.filter("i < j").select("chr", "sex", "i", "j", "r"), freq, [e["sex"] for e in entries if e["sex"]])
+        if r["twice"]:
+            raise ValueError(f"{root}: a pair of shard {e['chr']!r} is given more than once")
+    return panel_from_blocks(reference, blocks.filter(F.size("r") > 0).select(*NAMES, "sex"), read_npz_frequencies(spark, paths), [e["sex"] for e in entries if e["sex"]])
 
 
 # Writing -----------------------------------------------------------------------------------------------------
 
 
-def _chunks(name: str, content: bytes) -> pa.RecordBatch:
-    parts = [content[lo : lo + CHUNK] for lo in range(0, len(content), CHUNK)]
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.string())], ["name", "part", "content", "entry"])
+class _Taken:
+    """A stream whose bytes are taken away as they come."""
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+
+    def write(self, data) -> int:
+        self.parts.append(bytes(data))
+        return len(data)
+
+    def flush(self) -> None:
+        pass
+
+
+class _Archive:
+    """An npz file as it is written: what is done of it are chunks, of which none is kept."""
+
+    def __init__(self, name: str):
+        self.name, self.out, self.md5, self.part, self.entry = name, _Taken(), hashlib.md5(), 0, None
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+
+    def begin(self, array: str, n: int) -> None:
+        if self.entry is not None:
+            self.entry.close()
+        self.entry = self.zip.open(f"{array}.npy", "w", force_zip64=True)
+        npy.write_array_header_1_0(self.entry, {"descr": np.dtype(NPZ_TYPES[array]).str, "fortran_order": False, "shape": (n,)})
+
+    def whole(self, array: str, values: np.ndarray) -> None:
+        self.begin(array, len(values))
+        self.entry.write(values.astype(NPZ_TYPES[array]).tobytes())
+
+    def chunk(self, least: int = CHUNK) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, self.out.parts)) >= least:
+            content, self.out.parts = b"".join(self.out.parts), []
+            self.md5.update(content)
+            yield _made(self.name, self.part, content, None)
+            self.part += 1
+
+    def end(self, entry: dict) -> Iterator[pa.RecordBatch]:
+        self.entry.close()
+        self.zip.close()
+        yield from self.chunk(1)
+        yield _made(self.name, -1, None, json.dumps(entry | {"file": self.name, "file_md5": self.md5.hexdigest()}))
+
+
+def _made(name: str, part: int, content: bytes | None, entry: str | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([content], pa.binary()), pa.array([entry], pa.string())], ["name", "part", "content", "entry"])
+
+
+#: Kinds of pieces of a shard, in the order in which they are met: entries of each column, frequencies, values, rows.
+_COUNT, _FREQ, _DATA, _ROW = range(4)
+_PIECES = "chr string, sex string, kind int, b int, at int, content binary"
+
+
+def cut_columns(batches: Iterator[pa.RecordBatch], sizes: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Pieces of shards of these numbers of variants, from blocks in order of (chr, sex, b): those whose columns are block b (other: the block of their rows), and
+    frequencies."""
+    key: tuple | None = None
+    parts: list[tuple] = []
+    freqs: list[tuple] = []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        n = min(SIZE, sizes[key[0]] - key[2] * SIZE)
+        at, f = (np.concatenate([x[k] for x in freqs] or [np.empty(0)]) for k in range(2))
+        if len(at) != n or not np.array_equal(np.sort(at), np.arange(n)):
+            raise ValueError(f"shard {key[0]!r}: {len(at)} frequencies of {n} variants")
+        every = np.arange(n, dtype=np.int32)
+        row = np.concatenate([*(p[0] for p in parts), every + key[2] * SIZE])
+        column = np.concatenate([*(p[1] for p in parts), every.astype(np.int16)])
+        value = np.concatenate([*(p[2] for p in parts), np.ones(n, np.float32)])
+        order = np.lexsort((row, column))
+        for kind, x in ((_COUNT, np.bincount(column, minlength=n)), (_FREQ, f[np.argsort(at)].astype(np.float32)), (_DATA, value[order]), (_ROW, row[order])):
+            content = x.tobytes()
+            pieces = [content[lo : lo + CHUNK] for lo in range(0, len(content), CHUNK)]
+            same = [pa.array([v] * len(pieces), t) for v, t in zip((*key[:2], kind, key[2]), (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["chr", "sex", "kind", "b", "at", "content"])
+
+    for batch in batches:
+        for k, (*own, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chr", "sex", "b", "other")), strict=True)):
+            if own != key:
+                if key is not None:
+                    yield from close()
+                key, parts, freqs = own, [], []
+            if other is None:
+                e = batch.column("freq")[k].values
+                freqs.append((e.field("at").to_numpy(zero_copy_only=False), e.field("f").to_numpy(zero_copy_only=False)))
+            else:
+                row, column, r = (batch.column(c)[k].values.to_numpy() for c in ("row", "column", "r"))
+                parts.append((row.astype(np.int32) + other * SIZE, column, r))
+    if key is not None:
+        yield from close()
+
+
+def write_shards(batches: Iterator[pa.RecordBatch], shards: dict[str, tuple[int, str]], name_of_format: str) -> Iterator[pa.RecordBatch]:
+    """(name, part, content, entry) of npz files from pieces in order of (chr, sex, kind, b, at), and for each file a last row of part -1 with its entry of the manifest.
+
+    Of a shard only the counts and the frequencies of its columns are kept.
+    """
+    key: tuple | None = None
+    small: list[list[bytes]] = [[], []]
+    file: _Archive | None = None
+    kind = _COUNT
+
+    def begin() -> None:
+        nonlocal file
+        if file is None:
+            file = _Archive(f"ld_chr{key[0]}{'_' + key[1] if key[1] else ''}.npz")
+
+    def starts() -> tuple[np.ndarray, np.ndarray]:
+        return np.append(0, np.cumsum(np.frombuffer(b"".join(small[_COUNT]), np.int64))), np.frombuffer(b"".join(small[_FREQ]), np.float32)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        (n, checksum), (indptr, a1freq) = shards[key[0]], starts()
+        meta = SAID | {
+            "format": name_of_format, "chr": key[0], "sex": key[1], "num_snp": n, "nnz": int(indptr[-1]), "num_monomorphic_snps": int(((a1freq == 0) | (a1freq == 1)).sum()),
+            "reference_checksum": checksum, "reference_bim": f"reference_chr{key[0]}.bim",
+        }
+        for array, values in (("indptr", indptr), ("shape", np.array([n, n])), ("a1freq", a1freq), ("metadata", np.frombuffer(json.dumps(meta).encode(), np.uint8))):
+            file.whole(array, values)
+        yield from file.end({k: meta[k] for k in AGREEING})
+
+    for batch in batches:
+        for *own, now, content in zip(*(batch.column(c).to_pylist() for c in ("chr", "sex", "kind")), batch.column("content"), strict=True):
+            if own != key:
+                if key is not None:
+                    yield from close()
+                key, small, file, kind = own, [[], []], None, _COUNT
+            if now in (_COUNT, _FREQ):
+                small[now].append(content.as_py())
+                continue
+            begin()
+            if now != kind:
+                kind, (indptr, a1freq) = now, starts()
+                if len(indptr) != shards[key[0]][0] + 1 or len(a1freq) != shards[key[0]][0] or indptr[-1] >= 1 << 31:
+                    raise ValueError(f"shard {key[0]!r}: {indptr[-1]} values and {len(a1freq)} frequencies of {shards[key[0]][0]} variants")
+                file.begin("data" if kind == _DATA else "indices", int(indptr[-1]))
+            file.entry.write(content.as_buffer())
+            yield from file.chunk()
+    if key is not None:
+        yield from close()
 
 
 def export_distribution(panel: LDPanel, root: str, name_of_format: str = FORMAT) -> None:
     """A compressed-column npz file for each shard and sex, BIM files, the reference and, when all these are there, the manifest.
 
-    Each shard's arrays are put together by one task, as it is one file of at most 2 ** 31 entries.
+    Columns are put in order by blocks, many tasks for each shard; its file of at most 2 ** 31 entries is one stream that one task compresses.
     """
     spark = panel.blocks.sparkSession
     shards = {r["chr"]: (r["num_snp"], r["checksum"]) for r in panel.reference.shards().collect()}
+    sizes = {k: n for k, (n, _) in shards.items()}
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    lists = {"i": "array<smallint>", "j": "array<smallint>", "r": "array<float>"}
-    freq = panel.freq.select("chr", "sex", F.floor(F.col("local_idx") / SIZE).cast("int").alias("bi"), F.struct((F.col("local_idx") % SIZE).cast("int").alias("at"), F.col("a1freq").cast("float").alias("f")).alias("e"))
-    freq = freq.groupBy("chr", "sex", "bi").agg(F.collect_list("e").alias("freq")).select("chr", "sex", "bi", F.lit(-1).alias("bj"), *(none(c, t) for c, t in lists.items()), "freq")
-    rows = panel.blocks.select("chr", "sex", "bi", "bj", *lists, none("freq", "array<struct<at:int,f:float>>")).unionByName(freq)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        pairs: list[tuple] = []
-        freqs: list[tuple] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            chr_, sex = key
-            n, checksum = shards[chr_]
-            i, j, r = (np.concatenate([p[k] for p in pairs] or [np.empty(0)]) for k in range(3))
-            at, f = (np.concatenate([x[k] for x in freqs] or [np.empty(0)]) for k in range(2))
-            if len(at) != n or len(np.unique(at)) != n or 2 * len(i) + n >= 1 << 31:
-                raise ValueError(f"shard {chr_!r}: {2 * len(i) + n} values and {len(at)} frequencies of {n} variants")
-            a1freq = np.empty(n, np.float32)
-            a1freq[at.astype(np.int64)] = f
-            every = np.arange(n)
-            row, column = (np.concatenate([a, b, every]).astype(np.int32) for a, b in ((i, j), (j, i)))
-            value = np.concatenate([r, r, np.ones(n)]).astype(np.float32)
-            order = np.lexsort((row, column))
-            meta = SAID | {
-                "format": name_of_format, "chr": chr_, "sex": sex, "num_snp": n, "nnz": len(row), "num_monomorphic_snps": int(((a1freq == 0) | (a1freq == 1)).sum()),
-                "reference_checksum": checksum, "reference_bim": f"reference_chr{chr_}.bim",
-            }
-            out = io.BytesIO()
-            np.savez_compressed(
-                out, data=value[order], indices=row[order], indptr=np.searchsorted(column[order], np.arange(n + 1)).astype(np.int32), shape=np.array([n, n], np.int64), a1freq=a1freq,
-                metadata=np.frombuffer(json.dumps(meta).encode(), np.uint8),
-            )
-            name = f"ld_chr{chr_}{'_' + sex if sex else ''}.npz"
-            entry = {k: meta[k] for k in AGREEING} | {"file": name, "file_md5": hashlib.md5(out.getbuffer()).hexdigest()}
-            yield _chunks(name, out.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([json.dumps(entry)])], ["name", "part", "content", "entry"])
-
-        for batch in batches:
-            for k, own in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chr", "sex", "bi", "bj")), strict=True)):
-                if own[:2] != key:
-                    if key is not None:
-                        yield from close()
-                    key, pairs, freqs = own[:2], [], []
-                if own[3] < 0:
-                    e = batch.column("freq")[k].values
-                    freqs.append((e.field("at").to_numpy(zero_copy_only=False).astype(np.int64) + own[2] * SIZE, e.field("f").to_numpy(zero_copy_only=False)))
-                else:
-                    i, j, r = (batch.column(c)[k].values.to_numpy() for c in "ijr")
-                    pairs.append((i.astype(np.int64) + own[2] * SIZE, j.astype(np.int64) + own[3] * SIZE, r))
-        if key is not None:
-            yield from close()
-
-    made = rows.repartition("chr", "sex").sortWithinPartitions("chr", "sex").mapInArrow(write, "name string, part long, content binary, entry string")
+    way = lambda b, other, row, column: F.struct(F.col(b).alias("b"), F.col(other).alias("other"), F.col(row).alias("row"), F.col(column).alias("column"))
+    sent = panel.blocks.select("chr", "sex", F.explode(F.array(way("bj", "bi", "i", "j"), way("bi", "bj", "j", "i"))).alias("way"), "r").select("chr", "sex", "way.*", "r", none("freq", "array<struct<at:int,f:float>>"))
+    freq = panel.freq.select("chr", "sex", F.floor(F.col("local_idx") / SIZE).cast("int").alias("b"), F.struct((F.col("local_idx") % SIZE).cast("int").alias("at"), F.col("a1freq").cast("float").alias("f")).alias("e"))
+    lists = {"row": "array<smallint>", "column": "array<smallint>", "r": "array<float>"}
+    freq = freq.groupBy("chr", "sex", "b").agg(F.collect_list("e").alias("freq")).select("chr", "sex", "b", none("other", "int"), *(none(c, t) for c, t in lists.items()), "freq")
+    by = ["chr", "sex", "b"]
+    pieces = sent.unionByName(freq).repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda batches: cut_columns(batches, sizes), _PIECES)
+    ordered = pieces.repartition("chr", "sex").sortWithinPartitions("chr", "sex", "kind", "b", "at")
+    made = ordered.mapInArrow(lambda batches: write_shards(batches, shards, name_of_format), "name string, part long, content binary, entry string")
     made = stored(made, "npz-files")  # so that checksums are those of what is written
     entries = [json.loads(r["entry"]) for r in made.filter("part < 0").select("entry").collect()]
     write_files(made.filter("part >= 0"), root)

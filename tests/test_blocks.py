@@ -1,3 +1,5 @@
+import hashlib
+import json
 from fractions import Fraction
 
 import numpy as np
@@ -215,3 +217,95 @@ def test_places_that_are_null_are_faults(spark):
     rows = [("1", 0, 0, [0, None], [1, 2], [0.5, 0.5]), ("2", 0, 1, [5, 3], [1, 2], [0.5, None]), ("3", 0, 0, [0], [1, 2], [0.5, 0.5])]
     made = spark.createDataFrame(rows, "chr string, bi int, bj int, i array<smallint>, j array<smallint>, r array<float>")
     assert {x["chr"]: (x["nnz"], x["misplaced"], x["beyond"]) for x in block_faults(made).collect()} == {"1": (2, 1, 0), "2": (2, 0, 1), "3": (2, 1, 0)}
+
+
+def test_npz_shards_are_streamed(tmp_path):
+    """A shard's file is written from pieces in less memory than its entries take, and np.load gives the matrix."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from helixframe.sources import ld_npz
+
+    n, size = 2_500, ld_npz.SIZE
+    rng = np.random.default_rng(4)
+    r = np.triu(np.where(rng.random((n, n)) < 0.4, rng.random((n, n)), 0).astype(np.float32), 1)
+    freq = rng.random(n).astype(np.float32)
+
+    def blocks():
+        for b in range(-(-n // size)):
+            at = np.arange(b * size, min(n, (b + 1) * size))
+            rows = [{"chr": "X", "sex": "male", "b": b, "other": None, "row": None, "column": None, "r": None, "freq": [{"at": int(k % size), "f": float(freq[k])} for k in at]}]
+            for o in range(-(-n // size)):
+                part = (r + r.T)[o * size : (o + 1) * size, at]
+                i, j = np.nonzero(part)
+                rows.append({"chr": "X", "sex": "male", "b": b, "other": o, "row": i, "column": j, "r": part[i, j], "freq": None})
+            for row in rows:
+                kinds = [("chr", pa.string()), ("sex", pa.string()), ("b", pa.int32()), ("other", pa.int32()), ("row", pa.list_(pa.int16())), ("column", pa.list_(pa.int16())), ("r", pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_pylist([row], pa.schema([*kinds, ("freq", pa.list_(pa.struct([("at", pa.int32()), ("f", pa.float32())])))]))
+
+    pieces = pa.Table.from_batches(ld_npz.cut_columns(blocks(), {"X": n})).sort_by([(c, "ascending") for c in ("kind", "b", "at")])
+    del blocks
+    entry, names, most = None, set(), 0
+    tracemalloc.start()
+    with open(tmp_path / "x.npz", "wb") as f:
+        for row in ld_npz.write_shards(iter(pieces.to_batches(max_chunksize=1)), {"X": (n, "sum")}, ld_npz.FORMAT):
+            row = row.to_pylist()[0]
+            names.add(row["name"])
+            if row["part"] < 0:
+                entry = row["entry"]
+            else:
+                most = max(most, len(row["content"]))
+                f.write(row["content"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = r + r.T + np.eye(n, dtype=np.float32)
+    nnz = np.count_nonzero(whole)
+    assert peak < 8 * nnz // 2 and most < 4 * ld_npz.CHUNK  # values and rows take 8 bytes an entry
+    with np.load(tmp_path / "x.npz") as z:
+        assert z["data"].dtype == np.float32 and z["indices"].dtype == z["indptr"].dtype == np.int32
+        j, i = np.nonzero(whole.T)
+        assert (z["indices"] == i).all() and (z["data"] == whole[i, j]).all() and (z["indptr"] == np.searchsorted(j, np.arange(n + 1))).all()
+        assert (z["a1freq"] == freq).all() and z["shape"].tolist() == [n, n]
+        meta = json.loads(bytes(z["metadata"]))
+    ld_npz.check_metadata(meta, "x")
+    said = json.loads(entry)
+    ld_npz.check_entry(said, "x")
+    ld_npz.check_agreement(said, meta, "x")
+    assert names == {"ld_chrX_male.npz"} and said["file_md5"] == hashlib.md5((tmp_path / "x.npz").read_bytes()).hexdigest()
+    with pytest.raises(ValueError, match="frequencies"):  # a piece that is missing
+        list(ld_npz.write_shards(iter(pieces.filter(pa.compute.not_equal(pieces["b"], 1)).to_batches()), {"X": (n, "sum")}, ld_npz.FORMAT))
+
+
+def test_fold_blocks(spark, tmp_path):
+    """Each fault of a matrix is counted in the block where it is, and blocks of one triangle come back."""
+    from helixframe.sources.ld_npz import fold_blocks, read_npz_blocks, read_npz_frequencies
+
+    n, rng = 1_100, np.random.default_rng(6)
+    r = np.triu(np.where(rng.random((n, n)) < 0.05, 2 * rng.random((n, n)) - 1, 0).astype(np.float32), 1)
+    whole = r + r.T + np.eye(n, dtype=np.float32)
+    meta = np.frombuffer(json.dumps({"chr": "X", "sex": "male", "matrix": "symmetric"}).encode(), np.uint8)
+    freq = rng.random(n).astype(np.float32)
+
+    def counts(whole, more=()):
+        j, i = np.nonzero(whole.T)
+        i, j, data = (np.append(a, [e[k] for e in more]) for k, a in enumerate((i, j, whole[i, j])))
+        order = np.argsort(j, kind="stable")
+        path = str(tmp_path / f"{len(list(tmp_path.iterdir()))}.npz")
+        np.savez_compressed(path, data=data[order].astype(np.float32), indices=i[order].astype(np.int32), indptr=np.searchsorted(j[order], np.arange(n + 1)).astype(np.int32), shape=np.array([n, n]), a1freq=freq, metadata=meta)
+        found = fold_blocks(read_npz_blocks(spark, [path], 20_000)).toPandas()
+        return path, found, {c: int(found[c].sum()) for c in ("asymmetric", "bad_diagonal", "beyond", "twice", "diagonal")}
+
+    path, found, fine = counts(whole)
+    assert fine == {"asymmetric": 0, "bad_diagonal": 0, "beyond": 0, "twice": 0, "diagonal": n}
+    got = np.zeros((n, n), np.float32)
+    for b in found.itertuples():
+        got[np.array(b.i, int) + b.bi * SIZE, np.array(b.j, int) + b.bj * SIZE] = b.r
+    assert (got == r).all() and set(found["chr"]) == {"X"} and set(found["sex"]) == {"male"}
+    assert [x["a1freq"] for x in read_npz_frequencies(spark, [path]).orderBy("local_idx").collect()] == freq.tolist()
+    at = tuple(np.argwhere(r)[-1])
+    odd = whole.copy()
+    odd[at], odd[700, 700], odd[3, 3] = 0, 0.5, 0
+    i, j = np.argwhere(r)[0]
+    odd[i, j] = odd[j, i] = 1.5
+    assert counts(odd, [(*np.argwhere(r)[9], 0.25)])[2] == {"asymmetric": 1, "bad_diagonal": 1, "beyond": 3, "twice": 1, "diagonal": n - 1}
