@@ -29,50 +29,102 @@ _SCHEMA = "chr string, p int, size int, keys binary, kept binary, gone binary, u
 _NAMES = [f.split()[0] for f in _SCHEMA.split(", ")]
 
 
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """For each pruning the place of each node by least key, then number: whole numbers of few bytes, the largest one for infinite keys."""
+    kind = np.uint16 if len(keys) < 1 << 16 else np.uint32
+    out = np.empty(keys.shape, kind)
+    for n in range(keys.shape[1]):
+        out[np.argsort(keys[:, n], kind="stable"), n] = np.arange(len(keys), dtype=kind)
+    out[~np.isfinite(keys)] = np.iinfo(kind).max
+    return out
+
+
+def goes_before(keys: np.ndarray) -> np.ndarray:
+    """For each node a bit for each pruning: whether its key is finite."""
+    return np.packbits(np.isfinite(keys) if keys.dtype.kind == "f" else keys != np.iinfo(keys.dtype).max, axis=1)
+
+
 def better(keys: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For each link a bit for each pruning: whether u goes before v, by least key, then number; infinite keys go before nothing."""
+    """For each link a bit for each pruning: whether u goes before v, by least key, then number; infinite keys go before nothing. keys may be `ranks`."""
     out = np.empty((len(u), -(-keys.shape[1] // 8)), np.uint8)
     step = max(1, CHUNK // max(1, keys.shape[1]))
     for lo in range(0, len(u), step):
         a, b = u[lo : lo + step], v[lo : lo + step]
         x, y = keys[a], keys[b]
-        out[lo : lo + step] = np.packbits(np.isfinite(x) & ((x < y) | ((x == y) & (a < b)[:, None])), axis=1)
+        out[lo : lo + step] = np.packbits(x < y if keys.dtype.kind == "u" else np.isfinite(x) & ((x < y) | ((x == y) & (a < b)[:, None])), axis=1)
     return out
 
 
-def _spread(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.bitwise_or.reduceat(values, starts, axis=0)
+def _words(bits: np.ndarray, beyond: int = 0) -> list[np.ndarray]:
+    """Rows of bytes as lists of 64 bits each; beyond: what bytes that are added hold."""
+    wide = np.full((len(bits), -(-bits.shape[1] // 8) * 8), beyond, np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return [np.ascontiguousarray(w) for w in wide.view(np.uint64).T]
+
+
+def _bytes(words: list[np.ndarray], n: int) -> np.ndarray:
+    return np.stack(words, axis=1).view(np.uint8)[:, :n]
+
+
+def _any(words: list[np.ndarray]) -> np.ndarray:
+    return np.bitwise_or.reduce(words) != 0
 
 
 def decide(keys: np.ndarray, kept: np.ndarray, gone: np.ndarray, u: np.ndarray, v: np.ndarray, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
     """Sets bits of kept and gone for each v that they follow for; nodes that are no v stay as they are. Returns the links that are still open.
 
-    Bits of a node that takes no part are set in both. The links' v has to be in order.
+    Bits of a node that takes no part are set in both. The links' v has to be in order, and all links of a v have to be there whose u may go before it and isn't
+    gone.
     """
-    before = better(keys, u, v)
-
-    def open_links() -> np.ndarray:
-        return ((~(kept[v] | gone[v]) & ~(kept[u] | gone[u]) & before) != 0).any(axis=1)
-
+    if not len(u):
+        return u, v
+    k, g, f = _words(kept, 0xFF), _words(gone, 0xFF), _words(goes_before(keys))
+    starts = np.flatnonzero(np.diff(v, prepend=-1))
+    at = v[starts]
+    sizes = np.diff(starts, append=len(v))
+    wait = []  # whose u is open where v is; what is kept removes its neighbours, whichever goes first
+    for w in range(len(k)):
+        one, two = k[w][u], g[w][u]
+        free = ~(k[w][at] | g[w][at])
+        goes = np.bitwise_or.reduceat(one & ~two & f[w][u], starts) & free
+        g[w][at] |= goes
+        wait.append(np.repeat(free & ~goes, sizes) & ~one & ~two)
+    wait = _any(wait)
+    # those without an open neighbour stay
+    alone = np.bitwise_or.reduceat(wait, starts)
+    for w in range(len(k)):
+        k[w][at[~alone]] |= ~g[w][at[~alone]]
+    u, v = u[wait], v[wait]
+    b = _words(better(keys, u, v))
     for _ in range(sweeps):
         if not len(u):
             break
         starts = np.flatnonzero(np.diff(v, prepend=-1))
         at = v[starts]
-        free = ~(kept[at] | gone[at])
-        goes = _spread(kept[u] & ~gone[u] & before, starts) & free
-        waits = _spread(~gone[u] & before, starts)
-        stays = free & ~waits
-        if not goes.any() and not stays.any():
+        moved, alive = False, np.zeros(len(at), bool)
+        for w in range(len(k)):
+            there = ~g[w][u] & b[w]
+            free = ~(k[w][at] | g[w][at])
+            goes = np.bitwise_or.reduceat(k[w][u] & there, starts) & free
+            stays = free & ~np.bitwise_or.reduceat(there, starts)
+            moved = moved or bool(goes.any() or stays.any())
+            g[w][at] |= goes
+            k[w][at] |= stays
+            alive |= (free & ~goes & ~stays) != 0
+        if not moved:
             break
-        gone[at] |= goes
-        kept[at] |= stays
-        alive = ((~(kept[v] | gone[v])) != 0).any(axis=1)
-        u, v, before = u[alive], v[alive], before[alive]
+        alive = np.repeat(alive, np.diff(starts, append=len(v)))
+        u, v, b = u[alive], v[alive], [x[alive] for x in b]
     else:
-        _one_by_one(keys, kept, gone, u, v, before)
-    still = open_links() if len(u) else np.zeros(0, bool)
-    return u[still], v[still]
+        if len(u):
+            now = [_bytes(x, kept.shape[1]).copy() for x in (k, g)]
+            _one_by_one(keys, *now, u, v, _bytes(b, kept.shape[1]))
+            k, g = (_words(x, 0xFF) for x in now)
+    kept[:], gone[:] = _bytes(k, kept.shape[1]), _bytes(g, kept.shape[1])
+    if len(u):
+        still = _any([~(k[w][v] | g[w][v]) & ~(k[w][u] | g[w][u]) & b[w] for w in range(len(k))])
+        u, v = u[still], v[still]
+    return u, v
 
 
 def _one_by_one(keys: np.ndarray, kept: np.ndarray, gone: np.ndarray, u: np.ndarray, v: np.ndarray, before: np.ndarray) -> None:
@@ -143,6 +195,7 @@ class _Group:
 
     def __init__(self, have: list[tuple], own: list[int], width: int):
         self.keys, self.kept, self.gone = (np.concatenate([h[k] for h in have]) for k in (1, 2, 3))
+        self.ranks = ranks(self.keys)
         sizes = np.array([len(h[1]) for h in have])
         self.p, self.starts, self.own, self.width = np.array([h[0] for h in have]), np.append(0, np.cumsum(sizes)), own, width
         self.number = np.concatenate([np.arange(n) + p * width for p, n in zip(self.p.tolist(), sizes.tolist(), strict=True)]).astype(np.int32)
@@ -170,7 +223,7 @@ class _Group:
         u, v = u[order], v[order]
         self.linked.add(p)
         self._alone(s, v)
-        u, v = decide(self.keys, self.kept, self.gone, u, v)
+        u, v = decide(self.ranks, self.kept, self.gone, u, v)
         if len(u):
             self.open.append((u, v))
         if sum(len(x) for x, _ in self.open) > self.most:
@@ -183,7 +236,7 @@ class _Group:
     def _again(self) -> tuple[np.ndarray, np.ndarray]:
         """What is open once more, by all that is known; blocks are in order, so the links' v are."""
         u, v = (np.concatenate([x[k] for x in self.open] or [np.empty(0, np.int32)]) for k in (0, 1))
-        self.open = [decide(self.keys, self.kept, self.gone, u, v)]
+        self.open = [decide(self.ranks, self.kept, self.gone, u, v)]
         return self.open[0]
 
     def _rows(self, u: np.ndarray, v: np.ndarray) -> list[tuple]:

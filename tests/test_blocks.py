@@ -309,3 +309,29 @@ def test_fold_blocks(spark, tmp_path):
     i, j = np.argwhere(r)[0]
     odd[i, j] = odd[j, i] = 1.5
     assert counts(odd, [(*np.argwhere(r)[9], 0.25)])[2] == {"asymmetric": 1, "bad_diagonal": 1, "beyond": 3, "twice": 1, "diagonal": n - 1}
+
+
+def test_links_that_are_settled_are_not_compared(monkeypatch):
+    """Scores are compared as small ranks, and only on links whose two variants are both open in one pruning."""
+    rng = np.random.default_rng(8)
+    n, m = 600, 21
+    keys = np.where(rng.random((n, m)) < 0.1, np.inf, -rng.integers(0, 40, (n, m)).astype(np.float64))
+    u, v = rng.integers(0, n, 5000), np.sort(rng.integers(0, n, 5000))
+    u, v = u[u != v], v[u != v]
+    own = prune.ranks(keys)
+    assert own.dtype == np.uint16 and (prune.better(own, u, v) == prune.better(keys, u, v)).all()
+    state = np.tile(~np.packbits(np.ones(m, bool)), (n, 1))
+    kept, gone = state.copy(), state.copy()
+    first = np.arange(n) < 10
+    kept[first] = 0xFF  # ten that stay in all prunings, and that some go before by score
+    gone[~first & (np.arange(n) < 300)] = 0xFF
+    kept[~first & (np.arange(n) < 300)] = ~np.packbits(np.ones(m, bool))
+    v = np.repeat(np.arange(300, n), 300).astype(np.int32)
+    u = np.tile(np.arange(300), n - 300).astype(np.int32)
+    seen, plain = [], prune.better
+    monkeypatch.setattr(prune, "better", lambda k, a, b: (seen.append(len(a)), plain(k, a, b))[1])
+    left, _ = prune.decide(own, kept, gone, u, v)
+    assert not len(left) and sum(seen) == 0
+    goes = np.isfinite(keys[:10]).any(axis=0)  # an infinite one removes nothing
+    bits = np.unpackbits(gone[300:], axis=1)[:, :m].astype(bool)
+    assert (bits == goes).all() and (np.unpackbits(kept[300:], axis=1)[:, :m] == ~goes).all()
